@@ -1,0 +1,3 @@
+"""Named queries over the test tables, each with its DuckDB oracle where SQL can express it."""
+
+from scrub.plans import q_masking  # noqa: F401
