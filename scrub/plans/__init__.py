@@ -1,3 +1,5 @@
 """Named queries over the test tables, each with its DuckDB oracle where SQL can express it."""
 
 from scrub.plans import q_masking  # noqa: F401
+from scrub.plans import q_detect  # noqa: F401
+from scrub.plans import q_redact  # noqa: F401
