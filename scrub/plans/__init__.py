@@ -3,3 +3,4 @@
 from scrub.plans import q_masking  # noqa: F401
 from scrub.plans import q_detect  # noqa: F401
 from scrub.plans import q_redact  # noqa: F401
+from scrub.plans import q_tables  # noqa: F401

@@ -110,3 +110,37 @@ def entity_rows_sql(pipe: str, keys: str, policy: Policy) -> str:
         )
         cur = f"u{i}"
     return "\nunion all\n".join(parts)
+
+
+def redact_expr(c: str, policy: Policy) -> str:
+    """The whole pipeline as one nested scalar expression (for short cells)."""
+    _check(policy)
+    t = scored_sql(S.account_mask(S.card_mask(c)), policy)
+    for p in policy.custom_patterns:
+        t = custom_sql(t, p)
+    return t
+
+
+def cell_sql(c: str, policy: Policy) -> str:
+    """A cell as written by table redaction: sensitive columns become ``[REDACTED]``."""
+    if c in policy.sensitive_columns:
+        return f"(case when {c} is not null then '[REDACTED]' end)"
+    return redact_expr(c, policy)
+
+
+STMT_LONG = (
+    "stmt_long as (select o_orderkey, column_name, value from "
+    "(unpivot (select * from stmt) on COLUMNS(* exclude o_orderkey) into name column_name value value))"
+)
+
+
+def cell_findings_sql(policy: Policy, carry: str = "o_orderkey, column_name") -> str:
+    """CTEs + select of ``(carry, entity_type)`` per finding in a changed cell of ``stmt``."""
+    ctes, pipe = pipeline_ctes("stmt_long", carry, "value", policy, name="cells")
+    sens = ", ".join(S.lit(c) for c in policy.sensitive_columns) or "NULL"
+    rows = entity_rows_sql(pipe, carry + ", changed", policy)
+    body = (
+        f"select {carry}, entity_type from ({rows}) where changed and column_name not in ({sens})\n"
+        f"union all select {carry}, 'FULL_COLUMN_REDACTION' from stmt_long where column_name in ({sens})"
+    )
+    return f"{S.stmt_cte()}, {STMT_LONG}, {ctes}", body
