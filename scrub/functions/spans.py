@@ -18,7 +18,8 @@ def rule_spans(text: Column, pattern: str, stage: str, entity_type: str, score_o
             lambda h, r, s, e: span(stage, entity_type, s, e, score_of(h), h if include_text else None, masked),
         )
 
-    return let(with_replacements(scan(text, pattern), lambda m: F.lit(None).cast("string")), body)
+    found = let(with_replacements(scan(text, pattern), lambda m: F.lit(None).cast("string")), body)
+    return F.when(text.rlike(pattern), found).otherwise(empty_spans())
 
 
 def by_start(spans: Column) -> Column:

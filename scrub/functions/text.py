@@ -112,7 +112,11 @@ def rewrite_stage(
         spans = hit_spans(ghr, make) if make is not None else empty_spans()
         return F.struct(rebuild(ghr).alias("text"), spans.alias("spans"))
 
-    return let(with_replacements(scan(text, pattern), rewrite), body)
+    # One failed find is far cheaper than split + extract + lambdas: most
+    # values hold no hit, so they skip the array machinery entirely.
+    return F.when(text.rlike(pattern), let(with_replacements(scan(text, pattern), rewrite), body)).otherwise(
+        F.struct(text.alias("text"), empty_spans().alias("spans"))
+    )
 
 
 def count_hits(text: Column, pattern: str) -> Column:

@@ -27,11 +27,23 @@ def _targets(df: DataFrame, keep) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in set(keep)]
 
 
+def _pipeline_over(names: list[str], policy: Policy) -> Column:
+    """One pipeline tree applied to an array of cells: plan size stays flat in the column count."""
+    return F.transform(F.array(*[F.col(n) for n in names]), lambda v: redact(v, policy))
+
+
 def cell_results(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> DataFrame:
-    """Add ``__r_<col>`` = ``struct<redacted, entities, changed>`` for every redactable column."""
+    """Add ``__r_<col>`` = ``struct<redacted, entities, changed>`` for every redactable column.
+
+    ``entities`` holds only the entity type here (that is all the audit needs).
+    """
     sens = set(policy.sensitive_columns)
+    targets = _targets(df, keep)
+    plain = [n for n in targets if n not in sens]
+    base = list(df.columns)
+    staged = df.select(*base, _pipeline_over(plain, policy).alias("__cells")) if plain else df
     extra = []
-    for name in _targets(df, keep):
+    for name in targets:
         c = F.col(name)
         if name in sens:
             r = F.struct(
@@ -41,20 +53,23 @@ def cell_results(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
                 c.isNotNull().alias("changed"),
             )
         else:
-            full = redact(c, policy)
+            full = F.col("__cells")[plain.index(name)]
             r = F.struct(
                 full["redacted"].alias("redacted"),
                 F.transform(full["entities"], lambda s: F.struct(s["entity_type"].alias("entity_type"))).alias("entities"),
                 full["changed"].alias("changed"),
             )
         extra.append(r.alias(RESULT_PREFIX + name))
-    return df.select("*", *extra)
+    return staged.select(*base, *extra)
 
 
 def redact_table(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> DataFrame:
     """Same columns, same order, same rows; string cells redacted (``keep`` columns untouched)."""
     sens = set(policy.sensitive_columns)
-    targets = set(_targets(df, keep))
+    targets = _targets(df, keep)
+    plain = [n for n in targets if n not in sens]
+    staged = df.select("*", F.transform(_pipeline_over(plain, policy), lambda r: r["redacted"]).alias("__cells")) \
+        if plain else df
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -63,8 +78,8 @@ def redact_table(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
         elif f.name in sens:
             out.append(redact_column(c).alias(f.name))
         else:
-            out.append(redact(c, policy)["redacted"].alias(f.name))
-    return df.select(*out)
+            out.append(F.col("__cells")[plain.index(f.name)].alias(f.name))
+    return staged.select(*out)
 
 
 def cell_findings(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=(), carry=()) -> DataFrame:
