@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrub.functions import patterns as P
-from scrub.functions.text import empty_spans, let, rewrite_stage, span
+from scrub.functions.text import empty_spans, let, memo_column, rewrite_stage, span
 from scrub.policy import FinancialRules, NumberRule
 
 CARD_NUMBER = "CARD_NUMBER"
@@ -78,6 +78,7 @@ def _number_pass(text: Column, pattern: str, entity_type: str, rule: NumberRule,
     return rewrite_stage(text, pattern, rewrite, make if with_spans else None)
 
 
+@memo_column
 def financial_mask(c, rules: FinancialRules | None = None, with_spans: bool = True, include_text: bool = False) -> Column:
     """Two-pass financial masking: cards first, then accounts on the result.
 

@@ -32,6 +32,32 @@ SPAN_TYPE = T.StructType(
 SPANS_TYPE = T.ArrayType(SPAN_TYPE)
 
 
+def memo_column(fn):
+    """Cache a Column builder per (input expressions, arguments).
+
+    Building a pipeline tree costs thousands of Py4J calls; Column objects are
+    immutable JVM expressions and can be shared by every DataFrame of the
+    session, so the same (input, policy) is built once.
+    """
+    cache: dict = {}
+
+    def wrapper(*args, **kw):
+        from pyspark import SparkContext
+
+        sc = SparkContext._active_spark_context
+        key = (id(sc), tuple(str(a) if isinstance(a, Column) else repr(a) for a in args),
+               tuple(sorted((k, repr(v)) for k, v in kw.items())))
+        hit = cache.get(key)
+        if hit is None:
+            hit = cache[key] = fn(*args, **kw)
+        return hit
+
+    wrapper.__wrapped__ = fn
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__name__ = fn.__name__
+    return wrapper
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` (a one-element transform)."""
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from scrub.functions.mask import financial_mask
 from scrub.functions.rules import CUSTOM_STAGE, SCORED_STAGE, Rule, active_rules
 from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
-from scrub.functions.text import empty_spans, let, rewrite_stage, span
+from scrub.functions.text import empty_spans, let, memo_column, rewrite_stage, span
 from scrub.policy import DEFAULT_POLICY, CustomPattern, Policy
 
 REDACTION_FIELDS = ("redacted", "entities", "changed")
@@ -93,6 +93,7 @@ def custom_stage(text, policy: Policy = DEFAULT_POLICY, with_spans: bool = True)
     return cur
 
 
+@memo_column
 def redact(c, policy: Policy = DEFAULT_POLICY) -> Column:
     """Full pipeline on one string column: ``struct<redacted, entities, changed>``."""
     original = _col(c)
@@ -113,6 +114,7 @@ def redact(c, policy: Policy = DEFAULT_POLICY) -> Column:
     return let(financial_mask(original, policy.financial, True, policy.include_text), after_fin)
 
 
+@memo_column
 def redact_text(c, policy: Policy = DEFAULT_POLICY) -> Column:
     """Only the redacted string (no entity bookkeeping beyond what stage 2 needs)."""
     fin = financial_mask(_col(c), policy.financial, False, False)
