@@ -7,3 +7,4 @@ from scrub.plans import q_tables  # noqa: F401
 from scrub.plans import q_docs  # noqa: F401
 from scrub.plans import q_audit  # noqa: F401
 from scrub.plans import q_gazetteer  # noqa: F401
+from scrub.plans import q_io  # noqa: F401
