@@ -12,6 +12,7 @@ chained stages re-run upstream regexes 2^k times.
 
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 from pyspark.sql import Column
@@ -32,8 +33,26 @@ SPAN_TYPE = T.StructType(
 SPANS_TYPE = T.ArrayType(SPAN_TYPE)
 
 
+_UNRESOLVED = re.compile(r"UnresolvedAttribute\(List\(([^)]*)\),None,")
+
+
+def _key_part(a):
+    """Cache key of one argument; ``None`` when it cannot be shared safely.
+
+    Only plain by-name columns (``F.col("text")``) are shared: a column taken
+    from a DataFrame (``df["text"]``) is bound to that DataFrame's plan.
+    """
+    if not isinstance(a, Column):
+        return repr(a)
+    try:
+        m = _UNRESOLVED.match(a._jc.node().toString())
+    except Exception:  # noqa: BLE001 - other Column implementations: no caching
+        return None
+    return ("col", m.group(1)) if m else None
+
+
 def memo_column(fn):
-    """Cache a Column builder per (input expressions, arguments).
+    """Cache a Column builder per (input column name, arguments).
 
     Building a pipeline tree costs thousands of Py4J calls; Column objects are
     immutable JVM expressions and can be shared by every DataFrame of the
@@ -44,9 +63,10 @@ def memo_column(fn):
     def wrapper(*args, **kw):
         from pyspark import SparkContext
 
-        sc = SparkContext._active_spark_context
-        key = (id(sc), tuple(str(a) if isinstance(a, Column) else repr(a) for a in args),
-               tuple(sorted((k, repr(v)) for k, v in kw.items())))
+        parts = [_key_part(a) for a in args] + [(k, _key_part(v)) for k, v in sorted(kw.items())]
+        if any(p is None or (isinstance(p, tuple) and len(p) == 2 and p[1] is None) for p in parts):
+            return fn(*args, **kw)
+        key = (id(SparkContext._active_spark_context), tuple(parts))
         hit = cache.get(key)
         if hit is None:
             hit = cache[key] = fn(*args, **kw)
