@@ -114,20 +114,46 @@ def preview_lines(df: DataFrame, doc: str, before: str, after: str, n: int = 20)
     )
 
 
+def _txt_piece(page: str, text: str) -> Column:
+    return F.concat(F.lit("=== Page "), F.col(page).cast("string"), F.lit(" ===\n"), F.coalesce(F.col(text), F.lit("")),
+                    F.lit(PAGE_END))
+
+
 def write_renders(pages: DataFrame, out_dir: str, formats=("txt", "md", "json"), doc: str = "doc_id",
                   page: str = "page_number", source_name: str | None = None, mode: str = "errorifexists") -> list[str]:
-    """Write the chosen renders, one folder per format, partitioned by document."""
+    """Write the chosen renders, one folder per document and format, without gathering pages.
+
+    Page pieces are range-partitioned on ``(doc, page)`` and sorted, then written
+    partitioned by document: a document's file is the concatenation of its part
+    files in part order.  A very large document spans several tasks instead of
+    being collected into one row.  The text writer ends every piece with one
+    newline, so each piece drops its own last one.
+    """
     written = []
+    name = F.col(source_name) if source_name else F.col(doc).cast("string")
+    keyed = pages.select(doc, page, name.alias("_name"), "redacted", "entities")
+
+    def emit(rows: DataFrame, sub: str):
+        path = f"{out_dir}/{sub}"
+        (rows.repartitionByRange(doc, "_order").sortWithinPartitions(doc, "_order")
+         .select(doc, "value").write.mode(mode).partitionBy(doc).text(path))
+        written.append(path)
+
     if "txt" in formats:
-        p = f"{out_dir}/txt"
-        render_txt(pages, doc, page).write.mode(mode).partitionBy(doc).text(p)
-        written.append(p)
+        piece = _txt_piece(page, "redacted")
+        emit(keyed.select(doc, F.col(page).alias("_order"), piece.substr(F.lit(1), F.length(piece) - 1).alias("value")),
+             "txt")
     if "md" in formats:
-        p = f"{out_dir}/md"
-        render_md(pages, doc, page, source_name=source_name).write.mode(mode).partitionBy(doc).text(p)
-        written.append(p)
+        body = F.concat(F.lit("## Page "), F.col(page).cast("string"), F.lit("\n\n"),
+                        F.coalesce(F.col("redacted"), F.lit("")), F.lit("\n"))
+        heads = keyed.groupBy(doc).agg(F.min("_name").alias("_name")).select(
+            doc, F.lit(-1).cast(pages.schema[page].dataType).alias("_order"),
+            F.concat(F.lit("# Sanitized: "), F.col("_name"), F.lit("\n\n"), F.lit(MD_NOTICE.rstrip("\n")), F.lit("\n"))
+            .alias("value"))
+        emit(heads.unionByName(keyed.select(doc, F.col(page).alias("_order"), body.alias("value"))), "md")
     if "json" in formats:
-        p = f"{out_dir}/json"
-        redaction_map_json(pages, doc, page, source_name).write.mode(mode).partitionBy(doc).text(p)
-        written.append(p)
+        entry = F.to_json(F.struct(F.col("_name").alias("source"), F.col(page).alias("page_number"),
+                                   F.col("entities").alias("entities_detected"),
+                                   F.substring("redacted", 1, PREVIEW_CHARS).alias("redacted_text_preview")))
+        emit(keyed.select(doc, F.col(page).alias("_order"), entry.alias("value")), "json")
     return written

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrub.functions.text import memo_column
 from scrub.operators.redact import redact
 from scrub.policy import DEFAULT_POLICY, FULL_COLUMN_REDACTION, REDACTED, Policy
 
@@ -27,7 +28,8 @@ def _targets(df: DataFrame, keep) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in set(keep)]
 
 
-def _pipeline_over(names: list[str], policy: Policy) -> Column:
+@memo_column
+def _pipeline_over(names: tuple, policy: Policy) -> Column:
     """One pipeline tree applied to an array of cells: plan size stays flat in the column count."""
     return F.transform(F.array(*[F.col(n) for n in names]), lambda v: redact(v, policy))
 
@@ -41,7 +43,7 @@ def cell_results(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
     targets = _targets(df, keep)
     plain = [n for n in targets if n not in sens]
     base = list(df.columns)
-    staged = df.select(*base, _pipeline_over(plain, policy).alias("__cells")) if plain else df
+    staged = df.select(*base, _pipeline_over(tuple(plain), policy).alias("__cells")) if plain else df
     extra = []
     for name in targets:
         c = F.col(name)
@@ -68,7 +70,7 @@ def redact_table(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
     sens = set(policy.sensitive_columns)
     targets = _targets(df, keep)
     plain = [n for n in targets if n not in sens]
-    staged = df.select("*", F.transform(_pipeline_over(plain, policy), lambda r: r["redacted"]).alias("__cells")) \
+    staged = df.select("*", F.transform(_pipeline_over(tuple(plain), policy), lambda r: r["redacted"]).alias("__cells")) \
         if plain else df
     out = []
     for f in df.schema.fields:

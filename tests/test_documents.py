@@ -51,3 +51,15 @@ def test_paging_and_line_preview(spark):
     red = redact_pages(df.withColumnRenamed("text", "text"))
     diff = preview_lines(red, "doc_id", "text", "redacted").collect()
     assert [(r.line_no, r.after) for r in diff] == [(2, "mail [EMAIL_ADDRESS]")]
+
+
+def test_write_renders_is_ordered_per_document(spark):
+    df = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one 4111111111111234"), ("b", 1, "x")],
+                               "doc_id string, page_number int, text string")
+    out = tempfile.mkdtemp(prefix="scrub-test-") + "/r"
+    write_renders(redact_pages(df), out, formats=("txt", "md"))
+    import glob
+    a_txt = "".join(open(f).read() for f in sorted(glob.glob(out + "/txt/doc_id=a/part-*")))
+    assert a_txt == "=== Page 1 ===\none XXXXXXXXXXXX1234\n\n=== Page 2 ===\ntwo\n\n"
+    a_md = "".join(open(f).read() for f in sorted(glob.glob(out + "/md/doc_id=a/part-*")))
+    assert a_md.startswith("# Sanitized: a\n\n> **Note:**") and a_md.endswith("## Page 2\n\ntwo\n\n")
