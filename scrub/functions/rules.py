@@ -71,6 +71,11 @@ class Rule:
     def score_of(self, hit: Column) -> Column:
         return F.lit(self.score) if self.score_fn is None else self.score_fn(hit)
 
+    def may_match(self, t: Column) -> Column:
+        """Cheap necessary condition, then one regex find."""
+        found = t.rlike(self.pattern)
+        return found if self.guard is None else self.guard(t) & found
+
     def can_pass(self, threshold: float) -> bool:
         return (self.score if self.score is not None else self.max_score) >= threshold
 

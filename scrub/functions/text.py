@@ -127,8 +127,48 @@ def rebuild(ghr: Column) -> Column:
     )
 
 
+PREFIX_BLOCK = 128
+
+
+def _sum(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
+
+
+def prefix_sums(lengths: Column, block: int = PREFIX_BLOCK) -> Column:
+    """Inclusive running sums of an ``array<int>``, built from built-ins in O(n*B + (n/B)^2).
+
+    ``aggregate`` with a growing array copies the array at every step (O(n^2));
+    summing fixed blocks first keeps long arrays (many hits in one value) linear
+    in practice.
+    """
+    n = F.size(lengths)
+    nb = F.floor((n + block - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), nb - 1), lambda b: _sum(F.slice(lengths, b * block + 1, block)))
+
+    def body(bs):
+        before = F.transform(F.sequence(F.lit(0), nb - 1), lambda b: _sum(F.slice(bs, 1, b)))
+
+        def with_before(bf):
+            def at(x, k):
+                b = F.floor(k / block).cast("int")
+                return F.element_at(bf, b + 1) + _sum(F.slice(lengths, b * block + 1, k - b * block + 1))
+
+            return F.transform(lengths, at)
+
+        return let(before, with_before)
+
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(let(blocks, body))
+
+
 def hit_spans(ghr: Column, make: Callable[[Column, Column, Column, Column], Column]) -> Column:
-    """Spans of all hits: ``make(hit, rewrite, start, end)`` -> span struct or null (dropped)."""
+    """Spans of all hits: ``make(hit, rewrite, start, end)`` -> span struct or null (dropped).
+
+    A running position is folded over (gap, hit) pairs.  The growing output array
+    is copied at each step, so the cost is quadratic in the hits *of one value*:
+    negligible for PII findings, and deliberately kept shallow (nesting depth
+    counts against the analyzer's iteration limit).  Long word lists use
+    :func:`word_offsets` instead.
+    """
     triples = F.zip_with(
         ghr["g"],
         F.zip_with(ghr["h"], ghr["r"], lambda h, r: F.struct(h.alias("h"), r.alias("r"))),
@@ -146,6 +186,29 @@ def hit_spans(ghr: Column, make: Callable[[Column, Column, Column, Column], Colu
     return F.aggregate(triples, init, step, lambda acc: acc["out"])
 
 
+def word_offsets(text: Column, pattern: str) -> Column:
+    """``array<struct<w, s, e>>`` of every hit with offsets, linear-ish in the number of hits.
+
+    Start of hit ``k`` = running sum of ``len(gap_j) + len(hit_j)`` for ``j < k``
+    plus ``len(gap_k)``, from :func:`prefix_sums`.
+    """
+    def body(gh):
+        pair_len = F.zip_with(gh["g"], gh["h"], lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+
+        def with_sums(ps):
+            def one(h, k):
+                before = F.when(k == 0, F.lit(0)).otherwise(F.element_at(ps, F.greatest(k, F.lit(1))))
+                start = before + F.length(F.element_at(gh["g"], k + 1))
+                return F.struct(h.alias("w"), start.alias("s"), (start + F.length(h)).alias("e"))
+
+            return F.transform(gh["h"], one)
+
+        return let(prefix_sums(pair_len), with_sums)
+
+    return F.when(text.isNull(), F.array().cast("array<struct<w:string,s:int,e:int>>")).otherwise(
+        let(scan(text, pattern), body))
+
+
 def rewrite_stage(
     text: Column,
     pattern: str,

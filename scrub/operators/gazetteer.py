@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrub.functions.text import empty_spans, hit_spans, let, scan, span, with_replacements
+from scrub.functions.text import empty_spans, span, word_offsets
+from scrub.session import spread
 
 WORD_RE = r"[\p{L}\p{N}_]+"
 GAZETTEER_STAGE = "scored"
@@ -30,11 +31,7 @@ DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 
 def _words(text):
     """``array<struct<w, s, e>>``: words with start/end offsets."""
-    spans = let(
-        with_replacements(scan(text, WORD_RE), lambda m: F.lit(None).cast("string")),
-        lambda ghr: hit_spans(ghr, lambda h, r, s, e: span("w", "w", s, e, None, h, None)),
-    )
-    return F.when(text.isNull(), empty_spans()).otherwise(spans)
+    return word_offsets(text, WORD_RE)
 
 
 def normalise(name_col):
@@ -53,21 +50,29 @@ def dictionary(terms: DataFrame, term_col: str) -> DataFrame:
     )
 
 
-def _fits_broadcast(d: DataFrame, limit: int) -> bool:
-    """Measure the dictionary (one small aggregate job) against the broadcast limit."""
-    row = d.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("gram") + 16).alias("bytes")).first()
-    return row is not None and (row["bytes"] or 0) <= limit
+def measure(d: DataFrame) -> tuple[list[int], int]:
+    """Word counts present in the dictionary and its size in bytes, from one small aggregate job.
+
+    Only one row per distinct word count reaches the driver.
+    """
+    rows = d.groupBy("n").agg(F.sum(F.length("gram") + 16).alias("bytes")).collect()
+    return sorted(r["n"] for r in rows), sum(r["bytes"] or 0 for r in rows)
 
 
 def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_col: str, entity_type: str,
                     score: float = 0.85, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """One row per dictionary hit: ``keys, entity_type, start_pos, end_pos, hit, score``."""
+    """One row per dictionary hit: ``keys, entity_type, start_pos, end_pos, term, score``.
+
+    ``term`` is the matched name in normalised form (lower-case words joined by
+    one space), not the raw text: candidates never carry the text itself.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     d = dictionary(terms, term_col)
-    sizes = sorted(r["n"] for r in d.select("n").distinct().collect())
+    sizes, nbytes = measure(d)
     if not sizes:
         return df.sparkSession.createDataFrame([], _schema(df, keys))
-    words = df.select(*keys, F.col(text_col).alias("_t"), _words(F.col(text_col)).alias("_w")).where(F.size("_w") > 0)
+    # Word extraction is CPU-bound per row: an under-split text side is spread (no-op at scale).
+    words = spread(df).select(*keys, _words(F.col(text_col)).alias("_w")).where(F.size("_w") > 0)
 
     def grams(w):
         cnt = F.size(w)
@@ -75,9 +80,9 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
         def run_of(n):
             # A one-argument lambda: F.transform would pass (x, index) to two.
             return lambda i: F.struct(
-                F.array_join(F.transform(F.slice(w, i, n), lambda x: F.lower(x["text"])), " ").alias("gram"),
-                F.element_at(w, i)["start"].alias("s"),
-                F.element_at(w, i + n - 1)["end"].alias("e"),
+                F.array_join(F.transform(F.slice(w, i, n), lambda x: F.lower(x["w"])), " ").alias("gram"),
+                F.element_at(w, i)["s"].alias("s"),
+                F.element_at(w, i + n - 1)["e"].alias("e"),
             )
 
         per_n = [
@@ -87,10 +92,11 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
         ]
         return F.flatten(F.array(*per_n))
 
-    cand = words.select(*keys, "_t", F.explode(grams(F.col("_w"))).alias("g")).select(
-        *keys, "_t", F.col("g.gram").alias("gram"), F.col("g.s").alias("s"), F.col("g.e").alias("e"))
+    # Candidate rows carry offsets and the normalised words only, never the text.
+    cand = words.select(*keys, F.explode(grams(F.col("_w"))).alias("g")).select(
+        *keys, F.col("g.gram").alias("gram"), F.col("g.s").alias("s"), F.col("g.e").alias("e"))
     right = d.select("gram")
-    if _fits_broadcast(d, broadcast_limit):
+    if nbytes <= broadcast_limit:
         right = F.broadcast(right)
     hits = cand.join(right, "gram", "inner")
     return hits.select(
@@ -98,7 +104,7 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
         F.lit(entity_type).alias("entity_type"),
         F.col("s").alias("start_pos"),
         F.col("e").alias("end_pos"),
-        F.col("_t").substr(F.col("s") + 1, F.col("e") - F.col("s")).alias("hit"),
+        F.col("gram").alias("term"),
         F.lit(float(score)).alias("score"),
     )
 
@@ -110,7 +116,7 @@ def _schema(df: DataFrame, keys):
         T.StructField("entity_type", T.StringType()),
         T.StructField("start_pos", T.IntegerType()),
         T.StructField("end_pos", T.IntegerType()),
-        T.StructField("hit", T.StringType()),
+        T.StructField("term", T.StringType()),
         T.StructField("score", T.DoubleType()),
     ]
     return T.StructType(fields)

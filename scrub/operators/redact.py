@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrub.functions import patterns as P
 from scrub.functions.mask import financial_mask
 from scrub.functions.rules import CUSTOM_STAGE, SCORED_STAGE, Rule, active_rules
 from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
@@ -93,10 +94,34 @@ def custom_stage(text, policy: Policy = DEFAULT_POLICY, with_spans: bool = True)
     return cur
 
 
+def may_change(t: Column, policy: Policy = DEFAULT_POLICY) -> Column:
+    """True when some stage could touch ``t``; false values skip the whole pipeline.
+
+    Financial masking needs a card or account hit (the account pass on masked
+    text can only find what the original held), every scored and custom rule
+    needs its own hit.  Checks are ordered cheap first and short-circuit.
+    """
+    fin = [P.CARD_RE, P.ACCOUNT_RE] + ([P.ROUTING_RE] if policy.financial.mask_routing else [])
+    any_fin = t.rlike(fin[0])
+    for p in fin[1:]:
+        any_fin = any_fin | t.rlike(p)
+    out = t.rlike("[0-9]") & any_fin
+    for r in active_rules(policy):
+        out = out | r.may_match(t)
+    for p in policy.custom_patterns:
+        out = out | t.rlike(p.regex)
+    return out
+
+
 @memo_column
 def redact(c, policy: Policy = DEFAULT_POLICY) -> Column:
     """Full pipeline on one string column: ``struct<redacted, entities, changed>``."""
     original = _col(c)
+    untouched = F.struct(original.alias("redacted"), empty_spans().alias("entities"), F.lit(False).alias("changed"))
+    return F.when(original.isNotNull() & ~may_change(original, policy), untouched).otherwise(_redact_all(original, policy))
+
+
+def _redact_all(original: Column, policy: Policy) -> Column:
 
     def after_fin(fin):
         def after_scored(sc):
@@ -117,9 +142,11 @@ def redact(c, policy: Policy = DEFAULT_POLICY) -> Column:
 @memo_column
 def redact_text(c, policy: Policy = DEFAULT_POLICY) -> Column:
     """Only the redacted string (no entity bookkeeping beyond what stage 2 needs)."""
-    fin = financial_mask(_col(c), policy.financial, False, False)
+    t = _col(c)
+    fin = financial_mask(t, policy.financial, False, False)
     sc = let(fin, lambda f: scored_stage(f["text"], policy))
-    return let(sc, lambda s: custom_stage(s["text"], policy, with_spans=False))["text"]
+    full = let(sc, lambda s: custom_stage(s["text"], policy, with_spans=False))["text"]
+    return F.when(t.isNotNull() & ~may_change(t, policy), t).otherwise(full)
 
 
 def redact_by_lang(c, lang, policies: dict, default: Policy = DEFAULT_POLICY) -> Column:

@@ -29,7 +29,7 @@ grams as (select {key}, txt, i, n,
     cast(coalesce(list_sum(list_transform(g[1:i + n - 1], lambda x: length(x))), 0)
        + coalesce(list_sum(list_transform(w[1:i + n - 1], lambda x: length(x))), 0) as integer) as e
   from pos, ns where i + n - 1 <= len(w))
-select {key}, '{entity_type}' as entity_type, s as start_pos, e as end_pos, substring(txt, s + 1, e - s) as hit,
+select {key}, '{entity_type}' as entity_type, s as start_pos, e as end_pos, gram as term,
        cast({score} as double) as score
 from grams join dict2 using (gram)
 """

@@ -105,3 +105,15 @@ def test_span_form_equals_chained_on_documents(spark):
         chained = F.regexp_replace(chained, r.pattern, f"[{r.entity_type}]")
     spans = scored_stage(F.col("text"), Policy(rules=tuple(r.entity_type for r in rules)))["text"]
     assert d.where(~spans.eqNullSafe(chained)).count() == 0
+
+
+def test_word_offsets_long_values_match_python(spark):
+    import re
+
+    from scrub.functions.text import word_offsets
+    from scrub.operators.gazetteer import WORD_RE
+
+    text = " ".join(f"w{i}é" + ("," if i % 7 == 0 else "") for i in range(1000)) + " \U0001F600 end"
+    got = one(spark, text, lambda c: word_offsets(c, WORD_RE))
+    want = [(m.group(0), m.start(), m.end()) for m in re.finditer(r"[^\W]+", text)]
+    assert [(w["w"], w["s"], w["e"]) for w in got] == want
