@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrub.operators.documents import (flatten_tables, page_text, pages_from_lines, preview_lines, redact_pages,
-                                       redaction_map_rows, render_md, render_txt)
+                                       redaction_map_rows, render_md, render_txt, write_renders)
 from scrub.plans import sqlgen as S
 from scrub.plans import sqlpipe as SP
-from scrub.plans.catalog import stmt, table
+from scrub.plans.catalog import scratch_dir, stmt, table
 from scrub.plans.registry import query
 from scrub.policy import DEFAULT_POLICY
 
@@ -40,14 +40,29 @@ def _conv_pages(spark, sf):
 CONV_PIPE, _ = SP.pipeline_ctes("conversations", "conv_id, turn", "text", DEFAULT_POLICY, name="c")
 
 
-@query("render_txt", f"""with {CONV_PIPE}
+_RENDER_TXT_SQL = f"""with {CONV_PIPE}
 select conv_id, string_agg('=== Page ' || cast(turn as varchar) || ' ===' || {NL} || coalesce(tf, '') || {NL} || {NL}, ''
                            order by turn) as txt
-from c group by conv_id""")
+from c group by conv_id"""
+
+
+@query("render_txt", _RENDER_TXT_SQL)
 def q_render_txt(spark, sf):
     return render_txt(_conv_pages(spark, sf), "conv_id", "page_number")
 
 
+@query("sink_renders", _RENDER_TXT_SQL)
+def q_sink_renders(spark, sf):
+    """Write the txt render with the skew-safe writer, read the files back, reassemble per document."""
+    out = scratch_dir(spark, "renders")
+    write_renders(_conv_pages(spark, sf), out, formats=("txt",), doc="conv_id", page="page_number")
+    back = spark.read.text(f"{out}/txt", wholetext=True).select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.struct(F.col("_metadata.file_name").alias("f"), F.col("value").alias("v")).alias("part"))
+    parts = F.array_sort(F.collect_list("part"))
+    return back.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias("txt"))
+
+
 _MD_NOTICE_SQL = S.lit("> **Note:** This document has been processed by scrub. All detected PII has been redacted.")
 
 
