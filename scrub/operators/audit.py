@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrub.functions.arrays import explode_kept
+
 FILE_RESULT_TYPE = T.StructType([
     T.StructField("input_path", T.StringType()),
     T.StructField("output_paths", T.ArrayType(T.StringType())),
@@ -45,7 +47,7 @@ REPORT_TYPE = T.StructType([
 def explode_entities(df: DataFrame, keys, entities: str = "entities") -> DataFrame:
     """One row per finding: keys plus the span fields."""
     keys = list(keys)
-    return df.select(*keys, F.explode(entities).alias("e")).select(
+    return explode_kept(df, keys, F.col(entities), "e").select(
         *keys,
         F.col("e.stage").alias("stage"),
         F.col("e.entity_type").alias("entity_type"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrub.functions.arrays import explode_kept
 from scrub.operators.redact import redact
 from scrub.policy import DEFAULT_POLICY, Policy
 
@@ -25,7 +26,7 @@ PREVIEW_CHARS = 200
 
 def pages_from_lines(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Page a text column by line: ``(doc, page_number, text)``, pages numbered from 1."""
-    return df.select(doc, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "text")).select(
+    return explode_kept(df, [doc], F.split(F.col(text), "\n", -1), "text", pos="pos").select(
         doc, (F.col("pos") + 1).cast("int").alias("page_number"), "text"
     )
 
@@ -107,7 +108,7 @@ def preview_lines(df: DataFrame, doc: str, before: str, after: str, n: int = 20)
     z = F.arrays_zip(F.slice(F.split(F.col(before), "\n", -1), 1, n).alias("b"),
                      F.slice(F.split(F.col(after), "\n", -1), 1, n).alias("a"))
     return (
-        df.select(doc, F.posexplode(z).alias("pos", "x"))
+        explode_kept(df, [doc], z, "x", pos="pos")
         .where(~F.col("x.b").eqNullSafe(F.col("x.a")))
         .select(doc, (F.col("pos") + 1).cast("int").alias("line_no"), F.col("x.b").alias("before"),
                 F.col("x.a").alias("after"))

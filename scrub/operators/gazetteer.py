@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrub.functions.arrays import explode_kept
 from scrub.functions.text import empty_spans, span, word_offsets
 from scrub.session import spread
 
@@ -72,7 +73,7 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
     if not sizes:
         return df.sparkSession.createDataFrame([], _schema(df, keys))
     # Word extraction is CPU-bound per row: an under-split text side is spread (no-op at scale).
-    words = spread(df).select(*keys, _words(F.col(text_col)).alias("_w")).where(F.size("_w") > 0)
+    words = spread(df).select(*keys, _words(F.col(text_col)).alias("_w"))
 
     def grams(w):
         cnt = F.size(w)
@@ -93,7 +94,7 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
         return F.flatten(F.array(*per_n))
 
     # Candidate rows carry offsets and the normalised words only, never the text.
-    cand = words.select(*keys, F.explode(grams(F.col("_w"))).alias("g")).select(
+    cand = explode_kept(words, keys, grams(F.col("_w")), "g").select(
         *keys, F.col("g.gram").alias("gram"), F.col("g.s").alias("s"), F.col("g.e").alias("e"))
     right = d.select("gram")
     if nbytes <= broadcast_limit:

@@ -21,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrub.functions.arrays import explode_kept
 from scrub.operators.audit import count_by, explode_entities, file_results, run_summary
 from scrub.operators.documents import redact_pages, write_renders
 from scrub.operators.tables import RESULT_PREFIX, _targets, cell_results, redact_column
@@ -64,11 +65,10 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
         res = res.persist(StorageLevel.DISK_ONLY)
     targets = _targets(src, ["source"])
     per_col = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(RESULT_PREFIX + n).alias("r")) for n in targets])
-    findings = (
-        res.select("source", F.explode(per_col).alias("cell")).where(F.col("cell.r.changed"))
-        .select("source", F.col("cell.column_name").alias("column_name"), F.explode("cell.r.entities").alias("e"))
-        .select("source", "column_name", F.col("e.entity_type").alias("entity_type"))
-    )
+    cells = explode_kept(res, ["source"], per_col, "cell").where(F.col("cell.r.changed")).select(
+        "source", F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
+    findings = explode_kept(cells, ["source", "column_name"], F.col("_e"), "e").select(
+        "source", "column_name", F.col("e.entity_type").alias("entity_type"))
     n_changed = sum((F.col(RESULT_PREFIX + n + ".changed").cast("long") for n in targets), F.lit(0).cast("long"))
     rows = res.select("source", n_changed.alias("_changed"))
     files = file_results(rows, "source", count_by(findings, "source", "entity_type"), "csv", changed=F.col("_changed"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrub.functions.arrays import explode_kept
 from scrub.functions.text import memo_column
 from scrub.operators.redact import redact
 from scrub.policy import DEFAULT_POLICY, FULL_COLUMN_REDACTION, REDACTED, Policy
@@ -95,12 +96,10 @@ def cell_findings(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=(), carry
     per_col = F.array(*[
         F.struct(F.lit(n).alias("column_name"), F.col(RESULT_PREFIX + n).alias("r")) for n in targets
     ])
-    cells = res.select(*carry, F.explode(per_col).alias("cell")).where(F.col("cell.r.changed"))
-    return cells.select(
-        *carry,
-        F.col("cell.column_name").alias("column_name"),
-        F.explode(F.col("cell.r.entities")).alias("e"),
-    ).select(*carry, "column_name", F.col("e.entity_type").alias("entity_type"))
+    cells = explode_kept(res, carry, per_col, "cell").where(F.col("cell.r.changed")) \
+        .select(*carry, F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
+    return explode_kept(cells, list(carry) + ["column_name"], F.col("_e"), "e") \
+        .select(*carry, "column_name", F.col("e.entity_type").alias("entity_type"))
 
 
 def changed_per_column(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> DataFrame:
@@ -127,7 +126,7 @@ def preview_cells(df: DataFrame, key: str, policy: Policy = DEFAULT_POLICY, n: i
         for c in targets
     ])
     return (
-        res.select(key, F.explode(cells).alias("x"))
+        explode_kept(res, [key], cells, "x")
         .where(F.col("x.r.changed"))
         .select(F.col("x.column_name").alias("column_name"), key, F.col("x.before").alias("before"),
                 F.col("x.r.redacted").alias("after"))

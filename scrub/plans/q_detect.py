@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrub.functions import rules as R
+from scrub.functions.arrays import explode_kept
 from scrub.functions.spans import rule_spans
 from scrub.plans import sqlgen as S
 from scrub.plans.catalog import stmt, table
@@ -21,7 +22,7 @@ def detect(df, key: str, text_col: str, rule: R.Rule):
     src = df.select(key, text_col)
     if rule.guard is not None:
         src = src.where(rule.guard(t))
-    return src.select(key, F.explode(spans).alias("s")).select(
+    return explode_kept(src, [key], spans, "s").select(
         key,
         F.col("s.entity_type").alias("entity_type"),
         F.col("s.start").alias("start_pos"),

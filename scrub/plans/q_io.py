@@ -6,12 +6,11 @@ under the session's checkpoint folder, then read it back.
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrub.functions import rules as R
+from scrub.functions.arrays import explode_kept
 from scrub.functions.detector import regex_detector
 from scrub.operators.audit import file_results, run_summary
 from scrub.operators.redact import redact
@@ -189,9 +188,8 @@ EMAIL_DETECTOR = regex_detector(R.EMAIL_RE, R.EMAIL_ADDRESS, 1.0)
                        f"({detect_sql('documents', 'doc_id', 'text', R.BUILTIN_BY_TYPE[R.EMAIL_ADDRESS])})")
 def q_udf_detector(spark, sf):
     d = table(spark, sf, "documents").where(F.col("text").contains("@"))
-    found = d.select("doc_id", F.explode(EMAIL_DETECTOR(F.col("text"))).alias("e"))
+    found = explode_kept(d, ["doc_id"], EMAIL_DETECTOR(F.col("text")), "e")
     return found.select("doc_id", F.col("e.entity_type").alias("entity_type"), F.col("e.start").alias("start_pos"),
                         F.col("e.end").alias("end_pos"), F.col("e.score").alias("score"))
 
 
-

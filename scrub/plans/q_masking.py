@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrub.functions import patterns as P
+from scrub.functions.arrays import explode_kept
 from scrub.functions.mask import ACCOUNT_NUMBER, CARD_NUMBER, financial_mask, mask_account, mask_card
 from scrub.plans import sqlgen as S
 from scrub.plans.catalog import stmt, table
@@ -106,8 +107,8 @@ def _scan(docs, pattern):
             F.regexp_extract_all("text", F.lit(pattern), 0).alias("hit"),
             offsets_of(F.col("text"), pattern).alias("pos"),
         ).alias("z"),
-    ).where(F.size("z") > 0)
-    return hits.select("doc_id", F.posexplode("z").alias("i0", "x")).select(
+    )
+    return explode_kept(hits, ["doc_id"], F.col("z"), "x", pos="i0").select(
         "doc_id",
         (F.col("i0") + 1).cast("int").alias("i"),
         F.col("x.hit").alias("hit"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrub.functions import rules as R
+from scrub.functions.arrays import explode_kept
 from scrub.operators.audit import count_by, explode_entities
 from scrub.operators.redact import redact, redact_by_lang, scored_stage
 from scrub.plans import sqlgen as S
@@ -117,7 +118,7 @@ union all select doc_id, 'CREDIT_CARD', start_pos, end_pos, cast(score as double
 def q_overlap_resolve(spark, sf):
     s = scored_stage(F.col("text"), OVERLAP)
     d = table(spark, sf, "documents").select("doc_id", s["spans"].alias("spans"))
-    return d.select("doc_id", F.explode("spans").alias("e")).select(
+    return explode_kept(d, ["doc_id"], F.col("spans"), "e").select(
         "doc_id", F.col("e.entity_type").alias("entity_type"), F.col("e.start").alias("start_pos"),
         F.col("e.end").alias("end_pos"), F.col("e.score").alias("score"))
 

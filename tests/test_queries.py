@@ -77,3 +77,11 @@ def test_scan_prunes_columns(spark):
     df = E.queries()["detect_email"](spark, SF_SMALL)
     p = _plan(df)
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
+
+
+def test_pipeline_is_evaluated_once(spark):
+    """No inferred size(...) > 0 filter may copy the pipeline below the spread or into the scan."""
+    for name in ("count_by_source_type", "entity_table", "detect_person", "preview_lines"):
+        p = _plan(E.queries()[name](spark, SF_SMALL))
+        scans = [line for line in p.split("\n") if "FileScan" in line or "Join" in line]
+        assert not any("RLIKE" in line or "regexp_extract_all" in line for line in scans), name
