@@ -36,16 +36,25 @@ def _words(text):
 
 
 def normalise(name_col):
-    """Name -> its words lower-cased, joined by one space."""
-    return F.array_join(F.transform(F.regexp_extract_all(name_col, F.lit(WORD_RE), 0), lambda w: F.lower(w)), " ")
+    """Name -> its words lower-cased, joined by one space (never null: a null name gives ``''``).
+
+    Being non-nullable lets Catalyst drop the ``isnotnull`` it would otherwise
+    infer from the join and push into the scan, normalising every name twice.
+    """
+    words = F.transform(F.regexp_extract_all(name_col, F.lit(WORD_RE), 0), lambda w: F.lower(w))
+    return F.coalesce(F.array_join(words, " "), F.lit(""))
 
 
 def dictionary(terms: DataFrame, term_col: str) -> DataFrame:
-    """Distinct normalised names with their word count."""
+    """Distinct normalised names with their word count.
+
+    A name without words normalises to ``''``, which no text n-gram equals; it
+    is left in rather than filtered (a filter would be pushed into the scan and
+    normalise every name twice).
+    """
     norm = normalise(F.col(term_col))
     return (
         terms.select(norm.alias("gram"))
-        .where(F.length("gram") > 0)
         .distinct()
         .select("gram", F.size(F.split("gram", " ")).alias("n"))
     )
@@ -56,7 +65,7 @@ def measure(d: DataFrame) -> tuple[list[int], int]:
 
     Only one row per distinct word count reaches the driver.
     """
-    rows = d.groupBy("n").agg(F.sum(F.length("gram") + 16).alias("bytes")).collect()
+    rows = d.where(F.col("gram") != "").groupBy("n").agg(F.sum(F.length("gram") + 16).alias("bytes")).collect()
     return sorted(r["n"] for r in rows), sum(r["bytes"] or 0 for r in rows)
 
 
