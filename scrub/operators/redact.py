@@ -66,7 +66,12 @@ def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None
 
         return let(allspans, finish)
 
-    return F.when(t0.isNull(), F.lit(None)).otherwise(let(t0, body))
+    # No rule can match: skip the span machinery (one find per rule, cheapest first).
+    any_hit = rules[0].may_match(t0)
+    for r in rules[1:]:
+        any_hit = any_hit | r.may_match(t0)
+    untouched = F.struct(t0.alias("text"), empty_spans().alias("spans"))
+    return F.when(t0.isNull(), F.lit(None)).when(~any_hit, untouched).otherwise(let(t0, body))
 
 
 def custom_pass(text: Column, p: CustomPattern, include_text: bool, with_spans: bool = True) -> Column:

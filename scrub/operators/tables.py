@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from scrub.functions.arrays import explode_kept
 from scrub.functions.text import memo_column
-from scrub.operators.redact import redact
+from scrub.operators.redact import redact, redact_text
 from scrub.policy import DEFAULT_POLICY, FULL_COLUMN_REDACTION, REDACTED, Policy
 
 RESULT_PREFIX = "__r_"
@@ -30,9 +30,13 @@ def _targets(df: DataFrame, keep) -> list[str]:
 
 
 @memo_column
-def _pipeline_over(names: tuple, policy: Policy) -> Column:
-    """One pipeline tree applied to an array of cells: plan size stays flat in the column count."""
-    return F.transform(F.array(*[F.col(n) for n in names]), lambda v: redact(v, policy))
+def _pipeline_over(names: tuple, policy: Policy, text_only: bool = False) -> Column:
+    """One pipeline tree applied to an array of cells: plan size stays flat in the column count.
+
+    ``text_only`` yields the redacted strings without entity bookkeeping.
+    """
+    fn = redact_text if text_only else redact
+    return F.transform(F.array(*[F.col(n) for n in names]), lambda v: fn(v, policy))
 
 
 def cell_results(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> DataFrame:
@@ -71,8 +75,7 @@ def redact_table(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
     sens = set(policy.sensitive_columns)
     targets = _targets(df, keep)
     plain = [n for n in targets if n not in sens]
-    staged = df.select("*", F.transform(_pipeline_over(tuple(plain), policy), lambda r: r["redacted"]).alias("__cells")) \
-        if plain else df
+    staged = df.select("*", _pipeline_over(tuple(plain), policy, True).alias("__cells")) if plain else df
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
