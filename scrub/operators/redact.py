@@ -100,7 +100,7 @@ def custom_stage(text, policy: Policy = DEFAULT_POLICY, with_spans: bool = True)
 
 
 def may_change(t: Column, policy: Policy = DEFAULT_POLICY) -> Column:
-    """True when some stage could touch ``t``; false values skip the whole pipeline.
+    """True when some stage could touch ``t`` (a cheap "may hold PII" filter).
 
     Financial masking needs a card or account hit (the account pass on masked
     text can only find what the original held), every scored and custom rule
@@ -120,10 +120,12 @@ def may_change(t: Column, policy: Policy = DEFAULT_POLICY) -> Column:
 
 @memo_column
 def redact(c, policy: Policy = DEFAULT_POLICY) -> Column:
-    """Full pipeline on one string column: ``struct<redacted, entities, changed>``."""
-    original = _col(c)
-    untouched = F.struct(original.alias("redacted"), empty_spans().alias("entities"), F.lit(False).alias("changed"))
-    return F.when(original.isNotNull() & ~may_change(original, policy), untouched).otherwise(_redact_all(original, policy))
+    """Full pipeline on one string column: ``struct<redacted, entities, changed>``.
+
+    Each stage short-circuits values it cannot touch (one find per rule), so no
+    whole-pipeline pre-check is added: it would repeat those finds.
+    """
+    return _redact_all(_col(c), policy)
 
 
 def _redact_all(original: Column, policy: Policy) -> Column:
@@ -150,8 +152,7 @@ def redact_text(c, policy: Policy = DEFAULT_POLICY) -> Column:
     t = _col(c)
     fin = financial_mask(t, policy.financial, False, False)
     sc = let(fin, lambda f: scored_stage(f["text"], policy))
-    full = let(sc, lambda s: custom_stage(s["text"], policy, with_spans=False))["text"]
-    return F.when(t.isNotNull() & ~may_change(t, policy), t).otherwise(full)
+    return let(sc, lambda s: custom_stage(s["text"], policy, with_spans=False))["text"]
 
 
 def redact_by_lang(c, lang, policies: dict, default: Policy = DEFAULT_POLICY) -> Column:
