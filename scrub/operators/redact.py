@@ -16,10 +16,11 @@ to the scan, no Python runs per row, no shuffle is introduced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrub.functions import patterns as P
+from scrub.functions.detector import DETECTION_TYPE
 from scrub.functions.mask import financial_mask
 from scrub.functions.rules import CUSTOM_STAGE, SCORED_STAGE, Rule, active_rules
 from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
@@ -37,11 +38,42 @@ def _guarded(rule: Rule, t: Column, value: Column) -> Column:
     return value if rule.guard is None else F.when(rule.guard(t), value).otherwise(empty_spans())
 
 
-def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None = None) -> Column:
-    """Stage 2: ``struct<text, spans>`` with detected spans replaced."""
+def _detected_spans(extra: Column, t: Column, policy: Policy) -> Column:
+    """Detector output (``array<struct<entity_type,start,end,score>>``) as policy-filtered spans."""
+    configured = {k: v for k, v in policy.entity_types.items()}
+    off = [k for k, v in configured.items() if not v.enabled]
+    thr = {k: policy.threshold(k) for k in configured}
+    rep = {k: policy.replacement(k) for k in configured}
+
+    def lookup(d: dict, key: Column, default: Column) -> Column:
+        if not d:
+            return default
+        m = F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+        return F.coalesce(F.element_at(m, key), default)
+
+    def keep(d):
+        ok = d["score"] >= lookup(thr, d["entity_type"], F.lit(policy.confidence_threshold))
+        return ok & ~d["entity_type"].isin(*off) if off else ok
+
+    def as_span(d):
+        text = t.substr(d["start"] + 1, d["end"] - d["start"]) if policy.include_text else None
+        masked = lookup(rep, d["entity_type"], F.concat(F.lit("["), d["entity_type"], F.lit("]")))
+        return span(SCORED_STAGE, d["entity_type"], d["start"], d["end"], d["score"], text, masked)
+
+    return F.transform(F.filter(F.coalesce(extra, F.array().cast(DETECTION_TYPE)), keep), as_span)
+
+
+def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None = None,
+                 extra: Column | None = None) -> Column:
+    """Stage 2: ``struct<text, spans>`` with detected spans replaced.
+
+    ``extra`` adds spans found outside the rules (a detector column computed on
+    the same text); they take part in threshold, enable switch and overlap
+    resolution like rule spans.
+    """
     rules = active_rules(policy) if rules is None else rules
     t0 = _col(text)
-    if not rules:
+    if not rules and extra is None:
         return F.struct(t0.alias("text"), empty_spans().alias("spans"))
 
     def body(t):
@@ -54,11 +86,13 @@ def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None
             )
             for r in rules
         ]
-        allspans = found[0] if len(found) == 1 else F.concat(*found)
         thresholds = {r.entity_type: policy.threshold(r.entity_type) for r in rules}
         if any(r.score is None for r in rules):
             tmap = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(v))])
-            allspans = F.filter(allspans, lambda s: s["score"] >= F.element_at(tmap, s["entity_type"]))
+            found = [F.filter(f, lambda s: s["score"] >= F.element_at(tmap, s["entity_type"])) for f in found]
+        if extra is not None:
+            found.append(_detected_spans(extra, t, policy))
+        allspans = found[0] if len(found) == 1 else F.concat(*found)
 
         def finish(spans):
             return let(resolve_overlaps(spans),
@@ -67,9 +101,11 @@ def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None
         return let(allspans, finish)
 
     # No rule can match: skip the span machinery (one find per rule, cheapest first).
-    any_hit = rules[0].may_match(t0)
+    any_hit = F.lit(False) if not rules else rules[0].may_match(t0)
     for r in rules[1:]:
         any_hit = any_hit | r.may_match(t0)
+    if extra is not None:
+        any_hit = any_hit | (F.coalesce(F.size(extra), F.lit(0)) > 0)
     untouched = F.struct(t0.alias("text"), empty_spans().alias("spans"))
     return F.when(t0.isNull(), F.lit(None)).when(~any_hit, untouched).otherwise(let(t0, body))
 
@@ -162,3 +198,37 @@ def redact_by_lang(c, lang, policies: dict, default: Policy = DEFAULT_POLICY) ->
     for code, pol in policies.items():
         expr = (F.when if expr is None else expr.when)(lang_c == F.lit(code), redact(c, pol))
     return redact(c, default) if expr is None else expr.otherwise(redact(c, default))
+
+
+def redact_frame(df: DataFrame, text_col: str, policy: Policy = DEFAULT_POLICY, detectors=(), alias: str = "r") -> DataFrame:
+    """``df`` plus ``alias`` = ``struct<redacted, entities, changed>``, with Python detectors merged in.
+
+    A pandas UDF cannot run inside a lambda, so the stages become projections:
+    financial masking first, then every detector as a top-level Arrow-batched
+    call on the masked text, then the scored stage, which merges the detector
+    spans with the rule spans before overlap resolution, then custom patterns.
+    """
+    cols = list(df.columns)
+    fin = financial_mask(F.col(text_col), policy.financial, True, policy.include_text)
+    staged = df.select(*cols, fin.alias("_fin"))
+    if detectors:
+        found = [d(F.col("_fin.text")) for d in detectors]
+        det = found[0] if len(found) == 1 else F.concat(*[F.coalesce(f, F.array().cast(DETECTION_TYPE)) for f in found])
+        staged = staged.select(*cols, "_fin", det.alias("_det"))
+        extra = F.col("_det")
+    else:
+        extra = None
+    sc = scored_stage(F.col("_fin.text"), policy, extra=extra)
+    original = F.col(text_col)
+
+    def after_scored(s):
+        def after_custom(cu):
+            return F.struct(
+                cu["text"].alias("redacted"),
+                F.concat(F.col("_fin.spans"), s["spans"], cu["spans"]).alias("entities"),
+                (~original.eqNullSafe(cu["text"])).alias("changed"),
+            )
+
+        return let(custom_stage(s["text"], policy), after_custom)
+
+    return staged.select(*cols, let(sc, after_scored).alias(alias))

@@ -150,3 +150,22 @@ def q_redact_by_lang(spark, sf):
     d = table(spark, sf, "documents")
     r = redact_by_lang(F.col("text"), F.col("lang"), LANG_POLICIES)
     return d.select("doc_id", "lang", r["redacted"].alias("redacted"))
+
+
+# H1 merged into A3: the e-mail rule is replaced by a Python detector (Arrow-batched,
+# Python ``re``); its spans join the rule spans before overlap resolution, so the
+# result must equal the flagship's.
+NO_NATIVE_EMAIL = Policy(rules=tuple(r.entity_type for r in R.BUILTIN_RULES if r.entity_type != R.EMAIL_ADDRESS))
+
+
+@query("udf_detector_merged", f"""with {DOC_PIPE}
+select doc_id, tf as redacted, n_entities, changed from p""")
+def q_udf_detector_merged(spark, sf):
+    from scrub.functions.detector import regex_detector
+    from scrub.operators.redact import redact_frame
+
+    email = regex_detector(R.EMAIL_RE, R.EMAIL_ADDRESS, 1.0)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    r = redact_frame(docs, "text", NO_NATIVE_EMAIL, detectors=(email,))
+    return r.select("doc_id", F.col("r.redacted").alias("redacted"), F.size("r.entities").cast("int").alias("n_entities"),
+                    F.col("r.changed").alias("changed"))

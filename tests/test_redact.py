@@ -117,3 +117,18 @@ def test_word_offsets_long_values_match_python(spark):
     got = one(spark, text, lambda c: word_offsets(c, WORD_RE))
     want = [(m.group(0), m.start(), m.end()) for m in re.finditer(r"[^\W]+", text)]
     assert [(w["w"], w["s"], w["e"]) for w in got] == want
+
+
+def test_detector_spans_merge_with_rules(spark):
+    from scrub.functions.detector import regex_detector
+    from scrub.operators.redact import redact_frame
+
+    df = spark.createDataFrame([(1, "mail a@b.io or EMP-12345, ip 10.0.0.1"), (2, None), (3, "plain")],
+                               "id int, text string")
+    emp = regex_detector(r"\bEMP-[0-9]{5}\b", "EMPLOYEE_ID", 0.95)
+    low = regex_detector(r"\bplain\b", "WORD", 0.2)  # below the threshold: dropped
+    got = {r.id: r.r for r in redact_frame(df, "text", Policy(), detectors=(emp, low)).collect()}
+    assert got[1]["redacted"] == "mail [EMAIL_ADDRESS] or [EMPLOYEE_ID], ip [IP_ADDRESS]"
+    assert [e["entity_type"] for e in got[1]["entities"]] == ["EMAIL_ADDRESS", "EMPLOYEE_ID", "IP_ADDRESS"]
+    assert got[2]["redacted"] is None
+    assert got[3]["redacted"] == "plain" and got[3]["changed"] is False
