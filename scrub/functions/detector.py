@@ -24,12 +24,24 @@ DETECTION_TYPE = T.ArrayType(T.StructType([
 
 
 def detector(fn: Callable[[str], list]) -> Callable[[Column], Column]:
-    """Wrap ``fn(text) -> [(entity_type, start, end, score), ...]`` as a pandas UDF."""
+    """Wrap ``fn(text) -> [(entity_type, start, end, score), ...]`` as a pandas UDF.
+
+    A value on which ``fn`` raises yields null (the task goes on); callers treat
+    a null result for a non-null text as a failed value, never as "no findings".
+    """
+
+    def one(t):
+        if t is None:
+            return None
+        try:
+            found = fn(t)
+        except Exception:  # noqa: BLE001 - reported per value as a failure
+            return None
+        return [{"entity_type": e, "start": int(s), "end": int(x), "score": float(sc)} for e, s, x, sc in found]
 
     @F.pandas_udf(DETECTION_TYPE)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [
-            {"entity_type": e, "start": int(s), "end": int(x), "score": float(sc)} for e, s, x, sc in fn(t)])
+        return texts.map(one)
 
     return run
 

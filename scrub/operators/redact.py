@@ -24,7 +24,7 @@ from scrub.functions.detector import DETECTION_TYPE
 from scrub.functions.mask import financial_mask
 from scrub.functions.rules import CUSTOM_STAGE, SCORED_STAGE, Rule, active_rules
 from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
-from scrub.functions.text import empty_spans, let, memo_column, rewrite_stage, span
+from scrub.functions.text import SPANS_TYPE, empty_spans, let, memo_column, rewrite_stage, span
 from scrub.policy import DEFAULT_POLICY, CustomPattern, Policy
 
 REDACTION_FIELDS = ("redacted", "entities", "changed")
@@ -201,22 +201,29 @@ def redact_by_lang(c, lang, policies: dict, default: Policy = DEFAULT_POLICY) ->
 
 
 def redact_frame(df: DataFrame, text_col: str, policy: Policy = DEFAULT_POLICY, detectors=(), alias: str = "r") -> DataFrame:
-    """``df`` plus ``alias`` = ``struct<redacted, entities, changed>``, with Python detectors merged in.
+    """``df`` plus ``alias`` = ``struct<redacted, entities, changed, status>``, with Python detectors merged in.
 
     A pandas UDF cannot run inside a lambda, so the stages become projections:
     financial masking first, then every detector as a top-level Arrow-batched
     call on the masked text, then the scored stage, which merges the detector
     spans with the rule spans before overlap resolution, then custom patterns.
+    A value some detector failed on is never passed through half-redacted:
+    ``status`` is ``failed`` and ``redacted``/``entities`` are null.
     """
     cols = list(df.columns)
     fin = financial_mask(F.col(text_col), policy.financial, True, policy.include_text)
     staged = df.select(*cols, fin.alias("_fin"))
     if detectors:
         found = [d(F.col("_fin.text")) for d in detectors]
+        failed = F.lit(False)
+        for f in found:
+            failed = failed | f.isNull()
+        failed = F.col(text_col).isNotNull() & failed
         det = found[0] if len(found) == 1 else F.concat(*[F.coalesce(f, F.array().cast(DETECTION_TYPE)) for f in found])
-        staged = staged.select(*cols, "_fin", det.alias("_det"))
+        staged = staged.select(*cols, "_fin", det.alias("_det"), failed.alias("_failed"))
         extra = F.col("_det")
     else:
+        staged = staged.select(*cols, "_fin", F.lit(False).alias("_failed"))
         extra = None
     sc = scored_stage(F.col("_fin.text"), policy, extra=extra)
     original = F.col(text_col)
@@ -227,8 +234,12 @@ def redact_frame(df: DataFrame, text_col: str, policy: Policy = DEFAULT_POLICY,
                 cu["text"].alias("redacted"),
                 F.concat(F.col("_fin.spans"), s["spans"], cu["spans"]).alias("entities"),
                 (~original.eqNullSafe(cu["text"])).alias("changed"),
+                F.lit("ok").alias("status"),
             )
 
         return let(custom_stage(s["text"], policy), after_custom)
 
-    return staged.select(*cols, let(sc, after_scored).alias(alias))
+    fail = F.struct(F.lit(None).cast("string").alias("redacted"), F.lit(None).cast(SPANS_TYPE).alias("entities"),
+                    F.lit(False).alias("changed"), F.lit("failed").alias("status"))
+    out = F.when(F.col("_failed"), fail).otherwise(let(sc, after_scored))
+    return staged.select(*cols, out.alias(alias))

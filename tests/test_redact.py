@@ -132,3 +132,18 @@ def test_detector_spans_merge_with_rules(spark):
     assert [e["entity_type"] for e in got[1]["entities"]] == ["EMAIL_ADDRESS", "EMPLOYEE_ID", "IP_ADDRESS"]
     assert got[2]["redacted"] is None
     assert got[3]["redacted"] == "plain" and got[3]["changed"] is False
+
+
+def test_detector_failure_is_never_silent(spark):
+    from scrub.functions.detector import detector
+    from scrub.operators.redact import redact_frame
+
+    def picky(text):
+        if "boom" in text:
+            raise ValueError("model error")
+        return []
+
+    df = spark.createDataFrame([(1, "boom a@b.io"), (2, "fine a@b.io")], "id int, text string")
+    got = {r.id: r.r for r in redact_frame(df, "text", Policy(), detectors=(detector(picky),)).collect()}
+    assert got[1]["status"] == "failed" and got[1]["redacted"] is None
+    assert got[2]["status"] == "ok" and got[2]["redacted"] == "fine [EMAIL_ADDRESS]"
