@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrub.functions import patterns as P
-from scrub.functions.text import empty_spans, let, memo_column, rewrite_stage, span
+from scrub.functions.text import empty_spans, entity_text, let, memo_column, rewrite_stage, span
 from scrub.policy import FinancialRules, NumberRule
 
 CARD_NUMBER = "CARD_NUMBER"
@@ -61,7 +61,7 @@ def mask_account(c, preserve_last_n: int = 4, mask_char: str = "X") -> Column:
     return _mask_value(_col(c), preserve_last_n, mask_char)
 
 
-def _number_pass(text: Column, pattern: str, entity_type: str, rule: NumberRule, keep, with_spans: bool, include_text: bool):
+def _number_pass(text: Column, pattern: str, entity_type: str, rule: NumberRule, keep, with_spans: bool, include_text):
     """Mask every ``pattern`` hit of ``text`` unless ``keep(hit)``; record changed hits."""
     n, ch = rule.preserve_last_n, rule.mask_char
 
@@ -72,14 +72,14 @@ def _number_pass(text: Column, pattern: str, entity_type: str, rule: NumberRule,
     def make(h, r, start, end):
         return F.when(
             h != r,
-            span(FINANCIAL_STAGE, entity_type, start, end, None, h if include_text else None, r),
+            span(FINANCIAL_STAGE, entity_type, start, end, None, entity_text(h, include_text), r),
         )
 
     return rewrite_stage(text, pattern, rewrite, make if with_spans else None)
 
 
 @memo_column
-def financial_mask(c, rules: FinancialRules | None = None, with_spans: bool = True, include_text: bool = False) -> Column:
+def financial_mask(c, rules: FinancialRules | None = None, with_spans: bool = True, include_text=False) -> Column:
     """Two-pass financial masking: cards first, then accounts on the result.
 
     Returns ``struct<text, spans>``.  Card offsets refer to the input text,

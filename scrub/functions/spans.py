@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrub.functions.text import empty_spans, hit_spans, let, scan, span, with_replacements
+from scrub.functions.text import entity_text, empty_spans, hit_spans, let, scan, span, with_replacements
 
 
 def rule_spans(text: Column, pattern: str, stage: str, entity_type: str, score_of, masked: Column | None,
-               include_text: bool) -> Column:
+               include_text) -> Column:
     """Every hit of one regex as a span (offsets in code points of ``text``)."""
 
     def body(ghr):
         return hit_spans(
             ghr,
-            lambda h, r, s, e: span(stage, entity_type, s, e, score_of(h), h if include_text else None, masked),
+            lambda h, r, s, e: span(stage, entity_type, s, e, score_of(h), entity_text(h, include_text), masked),
         )
 
     found = let(with_replacements(scan(text, pattern), lambda m: F.lit(None).cast("string")), body)

@@ -83,6 +83,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def entity_text(hit: Column, mode) -> Column | None:
+    """What a finding keeps of the text it matched.
+
+    ``False``: nothing (default, the audit must not leak what it redacts);
+    ``True``: the raw text; ``"sha256"``: its SHA-256 digest (joinable, not readable).
+    """
+    if mode == "sha256":
+        return F.sha2(F.encode(hit, "UTF-8"), 256)
+    if mode is True:
+        return hit
+    if mode in (False, None):
+        return None
+    raise ValueError(f"include_text must be False, True or 'sha256', not {mode!r}")
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
 

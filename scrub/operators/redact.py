@@ -24,7 +24,7 @@ from scrub.functions.detector import DETECTION_TYPE
 from scrub.functions.mask import financial_mask
 from scrub.functions.rules import CUSTOM_STAGE, SCORED_STAGE, Rule, active_rules
 from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
-from scrub.functions.text import SPANS_TYPE, empty_spans, let, memo_column, rewrite_stage, span
+from scrub.functions.text import SPANS_TYPE, empty_spans, entity_text, let, memo_column, rewrite_stage, span
 from scrub.policy import DEFAULT_POLICY, CustomPattern, Policy
 
 REDACTION_FIELDS = ("redacted", "entities", "changed")
@@ -56,7 +56,7 @@ def _detected_spans(extra: Column, t: Column, policy: Policy) -> Column:
         return ok & ~d["entity_type"].isin(*off) if off else ok
 
     def as_span(d):
-        text = t.substr(d["start"] + 1, d["end"] - d["start"]) if policy.include_text else None
+        text = entity_text(t.substr(d["start"] + 1, d["end"] - d["start"]), policy.include_text)
         masked = lookup(rep, d["entity_type"], F.concat(F.lit("["), d["entity_type"], F.lit("]")))
         return span(SCORED_STAGE, d["entity_type"], d["start"], d["end"], d["score"], text, masked)
 
@@ -110,7 +110,7 @@ def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None
     return F.when(t0.isNull(), F.lit(None)).when(~any_hit, untouched).otherwise(let(t0, body))
 
 
-def custom_pass(text: Column, p: CustomPattern, include_text: bool, with_spans: bool = True) -> Column:
+def custom_pass(text: Column, p: CustomPattern, include_text=False, with_spans: bool = True) -> Column:
     """One custom pattern: ``struct<text, spans>``; every hit is recorded, action decides the text."""
     out = p.output()
 
@@ -118,7 +118,7 @@ def custom_pass(text: Column, p: CustomPattern, include_text: bool, with_spans:
         return F.lit(out) if out is not None else F.lit(None).cast("string")
 
     def make(h, r, s, e):
-        return span(CUSTOM_STAGE, p.entity_type, s, e, None, h if include_text else None, r)
+        return span(CUSTOM_STAGE, p.entity_type, s, e, None, entity_text(h, include_text), r)
 
     return rewrite_stage(text, p.regex, rewrite, make if with_spans else None)
 

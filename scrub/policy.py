@@ -107,8 +107,9 @@ class Policy:
     exclude_globs: tuple[str, ...] = ()
     # Scored rules switched on; None = every built-in rule.
     rules: tuple[str, ...] | None = None
-    # Entities carry raw matched text only when asked: the audit itself can leak.
-    include_text: bool = False
+    # What findings keep of the matched text: False (nothing), True (raw text) or
+    # "sha256" (a digest).  Raw text only when asked: the audit itself can leak.
+    include_text: bool | str = False
     formats: tuple[str, ...] = ("txt", "md", "json")
 
     def __post_init__(self):
@@ -119,6 +120,8 @@ class Policy:
             if p.action not in CUSTOM_ACTIONS:
                 raise PolicyError(f"custom pattern {p.name!r}: action must be one of {CUSTOM_ACTIONS}")
             check_pattern(p.regex, p.name)
+        if self.include_text not in (False, True, "sha256"):
+            raise PolicyError("include_text must be False, True or 'sha256'")
         for f in self.formats:
             if f not in ("txt", "md", "json"):
                 raise PolicyError(f"unknown output format {f!r}")

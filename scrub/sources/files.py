@@ -21,12 +21,22 @@ class OverwriteError(ValueError):
 
 
 # ---------------------------------------------------------------- CSV
+# Tokens pandas reads as missing by default; pass them as ``null_tokens`` to
+# read CSV files the way a pandas-based tool would.  Fixed values.
+PANDAS_NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def read_csv_strings(spark: SparkSession, paths, multiline: bool = True, with_source: bool = False,
-                     schema=None, corrupt_column: str | None = None) -> DataFrame:
+                     schema=None, corrupt_column: str | None = None, null_tokens=()) -> DataFrame:
     """Header CSV with every column as a string (leading zeros survive; no inference).
 
     ``multiline`` allows quoted newlines in cells (each file is then one split);
-    turn it off for large files known to hold none, so they split.
+    turn it off for large files known to hold none, so they split.  Cells equal
+    to one of ``null_tokens`` become null (default: none; text such as ``NA``
+    is kept as text).
     """
     r = (
         spark.read.option("header", True)
@@ -40,6 +50,10 @@ def read_csv_strings(spark: SparkSession, paths, multiline: bool = True, with_so
     if corrupt_column:
         r = r.option("columnNameOfCorruptRecord", corrupt_column)
     df = r.csv(paths if isinstance(paths, (list, tuple)) else [paths])
+    tokens = [t for t in null_tokens if t != ""]
+    if tokens:
+        df = df.select(*[F.when(F.col(c).isin(*tokens), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
+                         if c != corrupt_column else F.col(c) for c in df.columns])
     if with_source:
         df = df.withColumn("source", F.col("_metadata.file_path"))
     return df
@@ -70,8 +84,12 @@ def is_supported(path: Column) -> Column:
     return extension(path).isin(*SUPPORTED_EXTENSIONS)
 
 
-def glob_regex(glob: str) -> str:
-    """Shell glob (``* ? [seq] [!seq]``) as an anchored regex, same in Java and RE2."""
+def glob_regex(glob: str, ignore_case: bool = False) -> str:
+    """Shell glob (``* ? [seq] [!seq]``) as an anchored regex, same in Java and RE2.
+
+    Case-sensitive by default, as file names on Linux; ``ignore_case`` matches
+    ``X.PDF`` with ``*.pdf``.
+    """
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
@@ -94,19 +112,21 @@ def glob_regex(glob: str) -> str:
         else:
             out.append("\\" + c)
         i += 1
-    return "(?s)^" + "".join(out) + "$"
+    return ("(?si)^" if ignore_case else "(?s)^") + "".join(out) + "$"
 
 
-def matches_any(name: Column, globs) -> Column:
+def matches_any(name: Column, globs, ignore_case: bool = False) -> Column:
     out = F.lit(False)
     for g in globs:
-        out = out | name.rlike(glob_regex(g))
+        out = out | name.rlike(glob_regex(g, ignore_case))
     return out
 
 
-def file_status(name: Column, path: Column, include_globs=DEFAULT_INCLUDE_GLOBS, exclude_globs=()) -> Column:
+def file_status(name: Column, path: Column, include_globs=DEFAULT_INCLUDE_GLOBS, exclude_globs=(),
+                ignore_case: bool = False) -> Column:
     """``supported`` when included, not excluded (exclusion wins) and of a supported type; else ``skipped``."""
-    ok = ~matches_any(name, exclude_globs) & matches_any(name, include_globs) & is_supported(path)
+    ok = ~matches_any(name, exclude_globs, ignore_case) & matches_any(name, include_globs, ignore_case) \
+        & is_supported(path)
     return F.when(ok, F.lit("supported")).otherwise(F.lit("skipped"))
 
 
@@ -123,7 +143,7 @@ def output_path(path: Column, input_base: str, output_base: str) -> Column:
 
 # ---------------------------------------------------------------- inventory
 def inventory(spark: SparkSession, folder: str, recursive: bool = False, include_globs=DEFAULT_INCLUDE_GLOBS,
-              exclude_globs=()) -> DataFrame:
+              exclude_globs=(), ignore_case: bool = False) -> DataFrame:
     """Every file under ``folder``: ``(path, rel_path, name, length, status)``, sorted by path.
 
     The listing reads no file content (``binaryFile`` without ``content``).
@@ -137,7 +157,7 @@ def inventory(spark: SparkSession, folder: str, recursive: bool = False, include
     files = files.select("path", rel.alias("rel_path"), base_name(F.col("path")).alias("name"), "length")
     if not recursive:
         files = files.where(~F.col("rel_path").contains("/"))
-    return files.select("*", file_status(F.col("name"), F.col("path"), include_globs, exclude_globs).alias("status")) \
+    return files.select("*", file_status(F.col("name"), F.col("path"), include_globs, exclude_globs, ignore_case).alias("status")) \
         .orderBy("path")
 
 

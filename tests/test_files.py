@@ -80,3 +80,18 @@ def test_stream_redacts_each_file_once(spark):
     redact_folder_stream(spark, src, out, ck, ["k", "card"], keep=["k"]).awaitTermination()
     rows = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert rows == [("1", "XXXXXXXXXXXX1234"), ("2", "XXXXXXXXXXXX4444")]
+
+
+def test_null_tokens_and_case_insensitive_globs(spark):
+    from scrub.sources.files import PANDAS_NULL_TOKENS
+
+    d = tempfile.mkdtemp(prefix="scrub-csv-")
+    with open(d + "/a.csv", "w") as f:
+        f.write("k,v\n1,NA\n2,null\n3,kept\n")
+    kept = [r.v for r in read_csv_strings(spark, d + "/a.csv").orderBy("k").collect()]
+    assert kept == ["NA", "null", "kept"]
+    pandas_like = [r.v for r in read_csv_strings(spark, d + "/a.csv", null_tokens=PANDAS_NULL_TOKENS).orderBy("k").collect()]
+    assert pandas_like == [None, None, "kept"]
+    root = _tree()
+    st = {r.name: r.status for r in inventory(spark, root, ignore_case=True).collect()}
+    assert st["X.PDF"] == "supported"

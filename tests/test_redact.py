@@ -147,3 +147,11 @@ def test_detector_failure_is_never_silent(spark):
     got = {r.id: r.r for r in redact_frame(df, "text", Policy(), detectors=(detector(picky),)).collect()}
     assert got[1]["status"] == "failed" and got[1]["redacted"] is None
     assert got[2]["status"] == "ok" and got[2]["redacted"] == "fine [EMAIL_ADDRESS]"
+
+
+def test_entity_text_modes(spark):
+    import hashlib
+
+    raw = one(spark, "mail a@b.io", lambda c: redact(c, Policy(include_text=True)))["entities"][0]["text"]
+    dig = one(spark, "mail a@b.io", lambda c: redact(c, Policy(include_text="sha256")))["entities"][0]["text"]
+    assert raw == "a@b.io" and dig == hashlib.sha256(b"a@b.io").hexdigest()
