@@ -66,7 +66,11 @@ def memo_column(fn):
         parts = [_key_part(a) for a in args] + [(k, _key_part(v)) for k, v in sorted(kw.items())]
         if any(p is None or (isinstance(p, tuple) and len(p) == 2 and p[1] is None) for p in parts):
             return fn(*args, **kw)
-        key = (id(SparkContext._active_spark_context), tuple(parts))
+        sc = SparkContext._active_spark_context
+        if sc is None:
+            return fn(*args, **kw)
+        # The application id changes with every new context (and JVM), unlike id(sc).
+        key = (sc.applicationId, sc.startTime, tuple(parts))
         hit = cache.get(key)
         if hit is None:
             hit = cache[key] = fn(*args, **kw)
