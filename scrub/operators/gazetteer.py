@@ -28,6 +28,7 @@ from scrub.session import spread
 WORD_RE = r"[\p{L}\p{N}_]+"
 GAZETTEER_STAGE = "scored"
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+DEFAULT_SALT_BUCKETS = 16
 
 
 def _words(text):
@@ -70,7 +71,8 @@ def measure(d: DataFrame) -> tuple[list[int], int]:
 
 
 def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_col: str, entity_type: str,
-                    score: float = 0.85, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+                    score: float = 0.85, broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+                    salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
     """One row per dictionary hit: ``keys, entity_type, start_pos, end_pos, term, score``.
 
     ``term`` is the matched name in normalised form (lower-case words joined by
@@ -107,8 +109,16 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
         *keys, F.col("g.gram").alias("gram"), F.col("g.s").alias("s"), F.col("g.e").alias("e"))
     right = d.select("gram")
     if nbytes <= broadcast_limit:
-        right = F.broadcast(right)
-    hits = cand.join(right, "gram", "inner")
+        hits = cand.join(F.broadcast(right), "gram", "inner")
+    else:
+        # Shuffle join: a common n-gram (say "the") could hold a third of all
+        # candidates and land in one task.  Salt it: every candidate gets a
+        # deterministic bucket from its own position, the dictionary is
+        # replicated once per bucket, and the join key is (gram, bucket).
+        salt = F.pmod(F.xxhash64(*keys, F.col("s")), F.lit(salt_buckets)).cast("int")
+        salted = cand.withColumn("_salt", salt)
+        buckets = right.select("gram", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("_salt"))
+        hits = salted.join(buckets, ["gram", "_salt"], "inner").drop("_salt")
     return hits.select(
         *keys,
         F.lit(entity_type).alias("entity_type"),

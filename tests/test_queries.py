@@ -85,3 +85,20 @@ def test_pipeline_is_evaluated_once(spark):
         p = _plan(E.queries()[name](spark, SF_SMALL))
         scans = [line for line in p.split("\n") if "FileScan" in line or "Join" in line]
         assert not any("RLIKE" in line or "regexp_extract_all" in line for line in scans), name
+
+
+def test_gazetteer_salted_shuffle_path_equals_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from scrub.operators.gazetteer import gazetteer_spans
+    from scrub.plans.catalog import table
+
+    c = table(spark, SF_SMALL, "customer")
+    txt = c.select("c_custkey", F.concat(F.lit("the the the "), F.col("c_name"), F.lit(" the end")).alias("txt"))
+    names = c.select(F.col("c_name").alias("name")).unionByName(spark.createDataFrame([("the",)], "name string"))
+    cols = ["c_custkey", "start_pos", "end_pos", "term"]
+    small = gazetteer_spans(txt, "c_custkey", "txt", names, "name", "PERSON")
+    big = gazetteer_spans(txt, "c_custkey", "txt", names, "name", "PERSON", broadcast_limit=0)
+    assert "_salt" in _plan(big)  # joined on (gram, bucket)
+    assert sorted(map(tuple, big.select(cols).collect())) == sorted(map(tuple, small.select(cols).collect()))
+    assert big.count() == c.count() * 5  # the name plus four "the"
