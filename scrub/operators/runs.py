@@ -8,7 +8,9 @@ run) everything is computed and counted, nothing is written.
 
 When applying, the redacted rows feed two outputs (the files and the audit);
 they are persisted on executor disks between the two jobs, so the redaction
-runs once, and a lost executor's blocks are recomputed from the input.
+runs once, and a lost executor's blocks are recomputed from the input.  With
+``durable=True`` they are checkpointed instead, into the shared folder named by
+``spark.checkpoint.dir``: nothing is recomputed after an executor loss.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from scrub.operators.audit import count_by, explode_entities, file_results, run_
 from scrub.operators.documents import redact_pages, write_renders
 from scrub.operators.tables import RESULT_PREFIX, _targets, cell_results, redact_column
 from scrub.policy import DEFAULT_POLICY, Policy
+from scrub.session import ensure_checkpoint_dir
 from scrub.sources.files import base_name, guard_output, read_csv_strings, save_report, write_csv
 
 
@@ -40,12 +43,21 @@ class RunResult:
     findings: DataFrame
 
 
+def _keep(df: DataFrame, durable: bool) -> DataFrame:
+    """Materialise rows that feed two jobs: reliable checkpoint, or executor-disk persist."""
+    if durable:
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def _now() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat()
 
 
 def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
-                     apply: bool = False, report_dir: str | None = None, force: bool = False) -> RunResult:
+                     apply: bool = False, report_dir: str | None = None, force: bool = False,
+                     durable: bool = False) -> RunResult:
     """Redact CSV files sharing one header.  Output: ``out_dir/file=<name>/part-*.csv``.
 
     Counting follows the table rules: findings of changed cells only, one
@@ -62,7 +74,7 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     cols = [c for c in src.columns if c != "source"]
     res = cell_results(src, policy, keep=["source"])
     if apply:
-        res = res.persist(StorageLevel.DISK_ONLY)
+        res = _keep(res, durable)
     targets = _targets(src, ["source"])
     per_col = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(RESULT_PREFIX + n).alias("r")) for n in targets])
     cells = explode_kept(res, ["source"], per_col, "cell").where(F.col("cell.r.changed")).select(
@@ -87,14 +99,14 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
 
 def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                          apply: bool = False, doc: str = "doc_id", page: str = "page_number",
-                         source_name: str | None = None) -> RunResult:
+                         source_name: str | None = None, durable: bool = False) -> RunResult:
     """Redact ``(doc, page, text)`` rows; with ``apply`` write the formats chosen in the policy."""
     started = _now()
     red = redact_pages(pages, policy)
     if apply:
         if out_dir is None:
             raise ValueError("apply=True needs out_dir")
-        red = red.persist(StorageLevel.DISK_ONLY)
+        red = _keep(red, durable)
         write_renders(red, out_dir, policy.formats, doc, page, source_name)
     findings = explode_entities(red, [doc], "entities")
     files = file_results(red.select(doc, "changed"), doc, count_by(findings, doc, "entity_type"), "pdf")

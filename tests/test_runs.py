@@ -33,7 +33,7 @@ def test_csv_apply_writes_redacted_file(spark):
     d = _csv_dir()
     out = d + "/out"
     redact_csv_files(spark, d + "/test.csv", out, Policy(sensitive_columns=("name",)), apply=True,
-                     report_dir=d + "/report")
+                     report_dir=d + "/report", durable=True)
     text = "".join(open(p).read() for p in glob.glob(out + "/file=test.csv/part-*.csv"))
     assert "4111111111111234" not in text and "XXXXXXXXXXXX1234" in text and "[REDACTED]" in text
     assert text.splitlines()[0] == "name,account_number,card_number,email,amount"
