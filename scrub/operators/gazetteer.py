@@ -84,6 +84,7 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
     if not sizes:
         return df.sparkSession.createDataFrame([], _schema(df, keys))
     # Word extraction is CPU-bound per row: an under-split text side is spread (no-op at scale).
+    # Round-robin: caller keys need not be unique, and a hot key must not pile up in one task.
     words = spread(df).select(*keys, _words(F.col(text_col)).alias("_w"))
 
     def grams(w):

@@ -54,14 +54,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, keys=(), min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy row-local work enough tasks.
 
     A scan already split into at least as many partitions as the cluster has
     cores is returned as it is (the normal case at scale: no shuffle).  Only an
-    under-split input (one small file, one row group) is spread round-robin.
+    under-split input (one small file, one row group) is spread: hashed on its
+    unique row ``keys`` when given (deterministic on retry, no sort), else
+    round-robin (which Spark sorts first to stay deterministic).
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return df.repartition(want, *keys) if keys else df.repartition(want)
