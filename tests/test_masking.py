@@ -143,3 +143,14 @@ def test_text_masking_invariants(spark, values):
         assert len(g) == len(v)  # one-character mask keeps lengths
         for a, b in zip(v, g):  # only digits change, and only into the mask character
             assert a == b or (a in "0123456789" and b == "X")
+
+
+def test_more_dialect_edges(spark):
+    out = many(spark, [
+        "٤١١١١١١١١١١١١٢٣٤",  # Arabic-Indic
+        "1111 2222 3333 4444 5555",  # five groups: the first sixteen digits form the card
+        "acct 1234567 and 12345678",  # seven digits are below the account length
+    ], fin_text)
+    assert out[0] == "٤١١١١١١١١١١١١٢٣٤"
+    assert out[1] == "XXXX XXXX XXXX 4444 5555"
+    assert out[2] == "acct 1234567 and XXXX5678"
