@@ -124,15 +124,33 @@ def custom_pass(text: Column, p: CustomPattern, include_text=False, with_spans:
 
 
 def custom_stage(text, policy: Policy = DEFAULT_POLICY, with_spans: bool = True) -> Column:
-    """Stage 3: custom patterns in policy order."""
-    cur = F.struct(_col(text).alias("text"), empty_spans().alias("spans"))
-    for p in policy.custom_patterns:
-        def step(c, p=p):
-            nxt = custom_pass(c["text"], p, policy.include_text, with_spans)
-            return let(nxt, lambda n: F.struct(n["text"].alias("text"), F.concat(c["spans"], n["spans"]).alias("spans")))
+    """Stage 3: custom patterns, one pass each, in policy order.
+
+    One pattern is one pass.  Several are folded with ``aggregate`` over their
+    indices, the step being a ``CASE`` whose branches are the passes: nesting
+    depth stays the same however many patterns there are (chained ``let``s
+    would deepen by one level per pattern and exhaust the analyzer's iteration
+    budget), and every branch keeps a literal, compiled-once pattern.
+    """
+    pats = policy.custom_patterns
+    t0 = _col(text)
+    if not pats:
+        return F.struct(t0.alias("text"), empty_spans().alias("spans"))
+    if len(pats) == 1:
+        return custom_pass(t0, pats[0], policy.include_text, with_spans)
+
+    def step(acc, i):
+        def joined(p):
+            return let(custom_pass(acc["text"], p, policy.include_text, with_spans),
+                       lambda n: F.struct(n["text"].alias("text"), F.concat(acc["spans"], n["spans"]).alias("spans")))
+
+        out = F.when(i == 0, joined(pats[0]))
+        for k, p in enumerate(pats[1:], start=1):
+            out = out.when(i == k, joined(p))
+        return out
 
-        cur = let(cur, step)
-    return cur
+    init = F.struct(t0.alias("text"), empty_spans().alias("spans"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(pats) - 1)), init, step)
 
 
 def may_change(t: Column, policy: Policy = DEFAULT_POLICY) -> Column:

@@ -155,3 +155,10 @@ def test_entity_text_modes(spark):
     raw = one(spark, "mail a@b.io", lambda c: redact(c, Policy(include_text=True)))["entities"][0]["text"]
     dig = one(spark, "mail a@b.io", lambda c: redact(c, Policy(include_text="sha256")))["entities"][0]["text"]
     assert raw == "a@b.io" and dig == hashlib.sha256(b"a@b.io").hexdigest()
+
+
+def test_many_custom_patterns_analyze_and_apply_in_order(spark):
+    pats = tuple(CustomPattern(f"p{i}", r"\bP" + str(i) + r"\b", "replace", f"<{i}>") for i in range(12))
+    chained = pats + (CustomPattern("again", r"<11>", "redact"),)  # sees the output of the passes before it
+    got = one(spark, "P0 P5 P11 P12", lambda c: redact_text(c, Policy(custom_patterns=chained)))
+    assert got == "<0> <5> [REDACTED] P12"
