@@ -9,6 +9,7 @@ choices; only the entity type names are fixed by the tool we mirror.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from typing import Callable
 
@@ -123,6 +124,9 @@ def _is_word(ch: str) -> bool:
     return ch.isalnum() or ch == "_"
 
 
+MAX_ALTERNATION_TERMS = 200
+
+
 def terms_pattern(terms) -> str | None:
     """Case-insensitive alternation, longest term first.
 
@@ -132,6 +136,12 @@ def terms_pattern(terms) -> str | None:
     uniq = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
     if not uniq:
         return None
+    if len(uniq) > MAX_ALTERNATION_TERMS:
+        warnings.warn(
+            f"{len(uniq)} names in one alternation: every value is tried against each of them; "
+            "use scrub.operators.gazetteer.gazetteer_spans (an n-gram join) for long lists",
+            stacklevel=3,
+        )
     alts = []
     for t in uniq:
         pre = r"\b" if _is_word(t[0]) else ""

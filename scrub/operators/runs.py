@@ -88,6 +88,12 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
         out = res.select(*[F.col(RESULT_PREFIX + c + ".redacted").alias(c) if c in targets else F.col(c) for c in cols],
                          base_name(F.col("source")).alias("file"))
         out.write.mode("errorifexists").partitionBy("file").option("header", True).option("escape", '"').csv(out_dir)
+    if apply:
+        # Per-file results are small (one row per file): materialise them, then
+        # release the redacted rows.  ``findings`` stays lazy (recomputed if used).
+        files = _keep(files, durable)
+        files.count()
+        res.unpersist()
     summary = run_summary(files)
     result = RunResult(uuid.uuid4().hex, started, _now(), not apply, files, summary, findings)
     if apply and report_dir:
@@ -110,6 +116,10 @@ def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: P
         write_renders(red, out_dir, policy.formats, doc, page, source_name)
     findings = explode_entities(red, [doc], "entities")
     files = file_results(red.select(doc, "changed"), doc, count_by(findings, doc, "entity_type"), "pdf")
+    if apply:
+        files = _keep(files, durable)
+        files.count()
+        red.unpersist()
     return RunResult(uuid.uuid4().hex, started, _now(), not apply, files, run_summary(files), findings)
 
 
