@@ -33,15 +33,6 @@ SUMMARY_TYPE = T.StructType([
     T.StructField("failed_files", T.LongType()),
     T.StructField("aggregate_entities", T.MapType(T.StringType(), T.LongType())),
 ])
-REPORT_TYPE = T.StructType([
-    T.StructField("run_id", T.StringType()),
-    T.StructField("started_at", T.StringType()),
-    T.StructField("completed_at", T.StringType()),
-    T.StructField("dry_run", T.BooleanType()),
-    T.StructField("config_path", T.StringType()),
-    T.StructField("files", T.ArrayType(FILE_RESULT_TYPE)),
-    T.StructField("summary", SUMMARY_TYPE),
-])
 
 
 def explode_entities(df: DataFrame, keys, entities: str = "entities") -> DataFrame:

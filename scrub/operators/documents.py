@@ -16,10 +16,7 @@ from scrub.operators.redact import redact
 from scrub.policy import DEFAULT_POLICY, Policy
 
 # Fixed layout values of the renders.
-TXT_PAGE_HEADER = "=== Page {n} ===\n"
-MD_TITLE = "# Sanitized: {name}\n\n"
 MD_NOTICE = "> **Note:** This document has been processed by scrub. All detected PII has been redacted.\n\n"
-MD_PAGE_HEADER = "## Page {n}\n\n"
 PAGE_END = "\n\n"
 PREVIEW_CHARS = 200
 

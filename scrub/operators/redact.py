@@ -27,9 +27,6 @@ from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
 from scrub.functions.text import SPANS_TYPE, empty_spans, entity_text, let, memo_column, rewrite_stage, span
 from scrub.policy import DEFAULT_POLICY, CustomPattern, Policy
 
-REDACTION_FIELDS = ("redacted", "entities", "changed")
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
