@@ -39,7 +39,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; create a scratch one only when unset."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext; the server owns the setting
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return current
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
@@ -63,8 +69,12 @@ def spread(df: DataFrame, keys=(), min_partitions: int | None = None) -> DataFra
     unique row ``keys`` when given (deterministic on retry, no sort), else
     round-robin (which Spark sorts first to stay deterministic).
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - Spark Connect: no RDD view; leave the scan as it is
+        return df
+    if have >= want:
         return df
     keys = [keys] if isinstance(keys, str) else list(keys)
     return df.repartition(want, *keys) if keys else df.repartition(want)
