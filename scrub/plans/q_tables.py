@@ -139,3 +139,14 @@ _CF_CTES, _CF_BODY = SP.cell_findings_sql(SENSITIVE)
 @query("dry_run_counts", f"with {_CF_CTES} select entity_type, count(*) as n from ({_CF_BODY}) group by entity_type")
 def q_dry_run_counts(spark, sf):
     return count_by(cell_findings(stmt(spark, sf), SENSITIVE, keep=[KEY]), "entity_type")
+
+
+# P2, long form: one pipeline over the unpivoted cells (the shape for very wide tables).
+@query("redact_long", f"""with {W}, {SP.STMT_LONG}
+select {KEY}, column_name, value,
+       case when column_name = 'ssn' then '[REDACTED]' else {SP.redact_expr('value', SENSITIVE)} end as redacted
+from stmt_long""")
+def q_redact_long(spark, sf):
+    from scrub.operators.tables import wide_redact
+
+    return wide_redact(stmt(spark, sf), KEY, SENSITIVE).where(F.col("value").isNotNull())
