@@ -50,3 +50,14 @@ def test_documents_run(spark):
     txt = "".join(open(p).read() for p in glob.glob(out + "/txt/doc_id=test.pdf/part-*"))
     assert "4111 1111 1111 9876" not in txt and "9876" in txt
     assert glob.glob(out + "/md/doc_id=test.pdf/part-*") and glob.glob(out + "/json/doc_id=test.pdf/part-*")
+
+
+def test_csv_run_over_several_files(spark):
+    d = _csv_dir()
+    with open(d + "/other.csv", "w") as f:
+        f.write("name,account_number,card_number,email,amount\nAl,,,,1.00\n")
+    r = redact_csv_files(spark, [d + "/test.csv", d + "/other.csv"])
+    got = {os.path.basename(x.input_path): (x.rows_or_pages, x.fields_changed) for x in r.files.collect()}
+    assert got == {"test.csv": (2, 6), "other.csv": (1, 0)}
+    s = r.summary.first()
+    assert (s.total_files, s.successful_files, s.rows_or_pages) == (2, 2, 3)
