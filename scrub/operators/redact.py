@@ -27,6 +27,7 @@ from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
 from scrub.functions.text import SPANS_TYPE, empty_spans, entity_text, let, memo_column, rewrite_stage, span
 from scrub.policy import DEFAULT_POLICY, CustomPattern, Policy
 
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -180,7 +181,6 @@ def redact(c, policy: Policy = DEFAULT_POLICY) -> Column:
 
 
 def _redact_all(original: Column, policy: Policy) -> Column:
-
     def after_fin(fin):
         def after_scored(sc):
             def after_custom(cu):
