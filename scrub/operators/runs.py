@@ -20,7 +20,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scrub.functions.arrays import explode_kept
@@ -41,6 +41,8 @@ class RunResult:
     files: DataFrame
     summary: DataFrame
     findings: DataFrame
+    # Run totals counted by the write itself (``Observation``); apply runs only.
+    observed: dict | None = None
 
 
 def _keep(df: DataFrame, durable: bool) -> DataFrame:
@@ -51,6 +53,36 @@ def _keep(df: DataFrame, durable: bool) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def entity_types_of(policy: Policy) -> list[str]:
+    """Every entity type a policy can report (fixed by the policy, so known before the run)."""
+    from scrub.functions.mask import ACCOUNT_NUMBER, CARD_NUMBER, ROUTING_NUMBER
+    from scrub.functions.rules import active_rules
+    from scrub.policy import FULL_COLUMN_REDACTION
+
+    types = [CARD_NUMBER, ACCOUNT_NUMBER] + ([ROUTING_NUMBER] if policy.financial.mask_routing else [])
+    types += [r.entity_type for r in active_rules(policy)]
+    types += [p.entity_type for p in policy.custom_patterns]
+    if policy.sensitive_columns:
+        types.append(FULL_COLUMN_REDACTION)
+    return list(dict.fromkeys(types))
+
+
+def _observed_totals(targets: list[str], policy: Policy) -> list:
+    """Aggregates for ``observe``: rows, changed cells and findings per type in changed cells."""
+    changed = [F.col(RESULT_PREFIX + c + ".changed") for c in targets]
+    exprs = [F.count(F.lit(1)).alias("rows"),
+             F.sum(sum((x.cast("long") for x in changed), F.lit(0).cast("long"))).alias("fields_changed")]
+    def of_type(et):
+        return lambda e: e["entity_type"] == et  # one argument: filter passes (x, index) to two
+
+    for et in entity_types_of(policy):
+        per_cell = [F.when(F.col(RESULT_PREFIX + c + ".changed"),
+                           F.size(F.filter(F.col(RESULT_PREFIX + c + ".entities"), of_type(et))))
+                    .otherwise(0) for c in targets]
+        exprs.append(F.sum(sum(per_cell, F.lit(0))).cast("long").alias(et))
+    return exprs
+
+
 def _now() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat()
 
@@ -84,10 +116,14 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     n_changed = sum((F.col(RESULT_PREFIX + n + ".changed").cast("long") for n in targets), F.lit(0).cast("long"))
     rows = res.select("source", n_changed.alias("_changed"))
     files = file_results(rows, "source", count_by(findings, "source", "entity_type"), "csv", changed=F.col("_changed"))
+    observed = None
     if apply:
-        out = res.select(*[F.col(RESULT_PREFIX + c + ".redacted").alias(c) if c in targets else F.col(c) for c in cols],
-                         base_name(F.col("source")).alias("file"))
+        obs = Observation("scrub_run")
+        out = res.observe(obs, *_observed_totals(targets, policy)).select(
+            *[F.col(RESULT_PREFIX + c + ".redacted").alias(c) if c in targets else F.col(c) for c in cols],
+            base_name(F.col("source")).alias("file"))
         out.write.mode("errorifexists").partitionBy("file").option("header", True).option("escape", '"').csv(out_dir)
+        observed = dict(obs.get)
     if apply:
         # Per-file results are small (one row per file): materialise them, then
         # release the redacted rows.  ``findings`` stays lazy (recomputed if used).
@@ -95,7 +131,7 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
         files.count()
         res.unpersist()
     summary = run_summary(files)
-    result = RunResult(uuid.uuid4().hex, started, _now(), not apply, files, summary, findings)
+    result = RunResult(uuid.uuid4().hex, started, _now(), not apply, files, summary, findings, observed)
     if apply and report_dir:
         save_report(files, summary.select("total_files", "successful_files", "failed_files",
                                           F.create_map().cast("map<string,bigint>").alias("aggregate_entities")),

@@ -61,3 +61,13 @@ def test_csv_run_over_several_files(spark):
     assert got == {"test.csv": (2, 6), "other.csv": (1, 0)}
     s = r.summary.first()
     assert (s.total_files, s.successful_files, s.rows_or_pages) == (2, 2, 3)
+
+
+def test_apply_counts_during_the_write(spark):
+    d = _csv_dir()
+    r = redact_csv_files(spark, d + "/test.csv", d + "/out", apply=True)
+    o = r.observed
+    assert (o["rows"], o["fields_changed"]) == (2, 6)
+    assert (o["CARD_NUMBER"], o["ACCOUNT_NUMBER"], o["EMAIL_ADDRESS"], o["PHONE_NUMBER"]) == (2, 2, 2, 0)
+    per_file = r.files.first().entities_by_type
+    assert all(o[k] == v for k, v in per_file.items())
