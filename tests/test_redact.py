@@ -197,3 +197,21 @@ def test_nothing_detectable_survives(spark, rows):
         for pat in leftovers:
             m = re.search(_python_pattern(pat), got)
             assert m is None, (src, got, pat, m)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(_TOKENS + ["é", "\U0001F600", "ñandú", "日本"]),
+                                   st.sampled_from([" ", "\n", ", ", " "])), min_size=1, max_size=8),
+                min_size=1, max_size=10))
+def test_offsets_point_at_the_text_of_their_stage(spark, rows):
+    from scrub.functions.mask import financial_mask
+
+    texts = ["".join(t + sep for t, sep in row) for row in rows]
+    pol = Policy(include_text=True)
+    got = many(spark, texts, lambda c: F.struct(redact(c, pol).alias("r"), financial_mask(c)["text"].alias("f")))
+    for src, g in zip(texts, got):
+        for e in g["r"]["entities"]:
+            base = src if e["stage"] == "financial" else g["f"]
+            if e["stage"] == "custom":
+                continue
+            assert base[e["start"]:e["end"]] == e["text"], (src, e)
