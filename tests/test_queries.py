@@ -4,6 +4,8 @@ import math
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
@@ -102,3 +104,42 @@ def test_gazetteer_salted_shuffle_path_equals_broadcast(spark):
     assert "_salt" in _plan(big)  # joined on (gram, bucket)
     assert sorted(map(tuple, big.select(cols).collect())) == sorted(map(tuple, small.select(cols).collect()))
     assert big.count() == c.count() * 5  # the name plus four "the"
+
+
+_VOCAB = ["Ann", "ann", "Lee", "lee", "New", "York", "city", "the", "é", "Ünïcode", "x1", "_"]
+
+
+def _brute_force(texts, names):
+    import re as _re
+
+    word = _re.compile(r"[^\W]+")
+    dict_grams = {" ".join(w.lower() for w in word.findall(n)) for n in names} - {""}
+    sizes = {len(g.split(" ")) for g in dict_grams}
+    out = set()
+    for key, t in texts:
+        ws = [(m.group(0), m.start(), m.end()) for m in word.finditer(t)]
+        for n in sizes:
+            for i in range(len(ws) - n + 1):
+                g = " ".join(w.lower() for w, _, _ in ws[i:i + n])
+                if g in dict_grams:
+                    out.add((key, ws[i][1], ws[i + n - 1][2], g))
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(
+    st.lists(st.lists(st.tuples(st.sampled_from(_VOCAB), st.sampled_from([" ", ", ", "-", "  ", "#"])),
+                      min_size=0, max_size=10), min_size=1, max_size=6),
+    st.lists(st.lists(st.sampled_from(_VOCAB), min_size=1, max_size=3), min_size=1, max_size=5),
+)
+def test_gazetteer_matches_brute_force(spark, rows, names):
+    from scrub.operators.gazetteer import gazetteer_spans
+
+    texts = [(i, "".join(w + s for w, s in row)) for i, row in enumerate(rows)]
+    name_rows = [(" ".join(n),) for n in names]
+    tdf = spark.createDataFrame(texts, "k int, t string")
+    ndf = spark.createDataFrame(name_rows, "name string")
+    want = _brute_force(texts, [n for (n,) in name_rows])
+    for limit in (64 * 1024 * 1024, 0):
+        got = gazetteer_spans(tdf, "k", "t", ndf, "name", "PERSON", broadcast_limit=limit)
+        assert {(r.k, r.start_pos, r.end_pos, r.term) for r in got.collect()} == want
