@@ -51,3 +51,33 @@ def test_plan_is_one_projection_without_python(spark):
     df = spark.createDataFrame(ROWS, COLS)
     plan = redact_table(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "ArrowEval" not in plan
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_CELLS = st.one_of(st.none(), st.sampled_from(["", "plain", "a@b.io", "4111111111111111", "123-45-6789",
+                                               "acct 000123456789", "NA", "x, y"]))
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(_CELLS, _CELLS, _CELLS), min_size=0, max_size=12), st.sampled_from(["a", "b", "c", "zz"]))
+def test_table_redaction_invariants(spark, rows, sensitive):
+    from pyspark.sql import functions as F
+
+    from scrub.operators.redact import redact_text
+
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    out = redact_table(df, Policy(sensitive_columns=(sensitive,))).collect()
+    assert len(out) == len(rows)
+    vals = sorted({v for r in rows for v in r if v is not None})
+    cell = {r.v: r.w for r in spark.createDataFrame([(v,) for v in vals], "v string")
+            .select("v", redact_text(F.col("v")).alias("w")).collect()} if vals else {}
+    for src, got in zip(rows, out):
+        for name, v, w in zip("abc", src, got):
+            if v is None:
+                assert w is None
+            elif name == sensitive:
+                assert w == "[REDACTED]"
+            else:
+                assert w == cell[v]
