@@ -29,7 +29,7 @@ from scrub.operators.documents import redact_pages, write_renders
 from scrub.operators.tables import RESULT_PREFIX, _targets, cell_results, redact_column
 from scrub.policy import DEFAULT_POLICY, Policy
 from scrub.session import ensure_checkpoint_dir
-from scrub.sources.files import base_name, guard_output, read_csv_strings, save_report, write_csv
+from scrub.sources.files import base_name, fingerprints, guard_output, read_csv_strings, save_report, write_csv
 
 
 @dataclass
@@ -89,11 +89,13 @@ def _now() -> str:
 
 def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                      apply: bool = False, report_dir: str | None = None, force: bool = False,
-                     durable: bool = False) -> RunResult:
+                     durable: bool = False, hashes: bool = False) -> RunResult:
     """Redact CSV files sharing one header.  Output: ``out_dir/file=<name>/part-*.csv``.
 
     Counting follows the table rules: findings of changed cells only, one
     ``FULL_COLUMN_REDACTION`` per non-null cell of a sensitive column.
+    ``hashes`` fills ``input_hash`` with each input file's SHA-256 (one more
+    read of every input byte, one row per file).
     """
     started = _now()
     paths = [inputs] if isinstance(inputs, str) else list(inputs)
@@ -116,6 +118,10 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     n_changed = sum((F.col(RESULT_PREFIX + n + ".changed").cast("long") for n in targets), F.lit(0).cast("long"))
     rows = res.select("source", n_changed.alias("_changed"))
     files = file_results(rows, "source", count_by(findings, "source", "entity_type"), "csv", changed=F.col("_changed"))
+    if hashes:
+        fp = fingerprints(spark, paths).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
+        bare = F.regexp_replace(F.col("input_path"), "^file:", "")
+        files = files.join(fp, bare == F.col("_p"), "left").drop("_p")
     observed = None
     if apply:
         obs = Observation("scrub_run")

@@ -71,3 +71,12 @@ def test_apply_counts_during_the_write(spark):
     assert (o["CARD_NUMBER"], o["ACCOUNT_NUMBER"], o["EMAIL_ADDRESS"], o["PHONE_NUMBER"]) == (2, 2, 2, 0)
     per_file = r.files.first().entities_by_type
     assert all(o[k] == v for k, v in per_file.items())
+
+
+def test_csv_run_hashes_inputs(spark):
+    import hashlib
+
+    d = _csv_dir()
+    r = redact_csv_files(spark, d + "/test.csv", hashes=True)
+    want = hashlib.sha256(open(d + "/test.csv", "rb").read()).hexdigest()
+    assert r.files.first().input_hash == want
