@@ -118,6 +118,9 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     n_changed = sum((F.col(RESULT_PREFIX + n + ".changed").cast("long") for n in targets), F.lit(0).cast("long"))
     rows = res.select("source", n_changed.alias("_changed"))
     files = file_results(rows, "source", count_by(findings, "source", "entity_type"), "csv", changed=F.col("_changed"))
+    if apply:
+        out_path = F.concat(F.lit(out_dir.rstrip("/") + "/file="), base_name(F.col("input_path")))
+        files = files.withColumn("output_paths", F.array(out_path))
     if hashes:
         fp = fingerprints(spark, paths).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
         bare = F.regexp_replace(F.col("input_path"), "^file:", "")

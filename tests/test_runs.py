@@ -67,6 +67,7 @@ def test_apply_counts_during_the_write(spark):
     d = _csv_dir()
     r = redact_csv_files(spark, d + "/test.csv", d + "/out", apply=True)
     o = r.observed
+    assert r.files.first().output_paths == [d + "/out/file=test.csv"]
     assert (o["rows"], o["fields_changed"]) == (2, 6)
     assert (o["CARD_NUMBER"], o["ACCOUNT_NUMBER"], o["EMAIL_ADDRESS"], o["PHONE_NUMBER"]) == (2, 2, 2, 0)
     per_file = r.files.first().entities_by_type
