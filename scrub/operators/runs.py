@@ -168,4 +168,23 @@ def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: P
     return RunResult(uuid.uuid4().hex, started, _now(), not apply, files, run_summary(files), findings)
 
 
-__all__ = ["RunResult", "redact_csv_files", "redact_documents_run", "redact_column", "write_csv"]
+def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
+                  recursive: bool = False, apply: bool = False, **kw) -> tuple[DataFrame, RunResult | None]:
+    """Inventory a folder with the policy's globs, then redact every supported CSV file in one run.
+
+    Returns the inventory (every file with ``supported``/``skipped``) and the run
+    (``None`` when no CSV file is supported).  Only file paths reach the driver,
+    as in any Spark file listing; the files themselves are read by one
+    multi-path read.  Files of one run share a header.
+    """
+    from scrub.sources.files import extension, inventory
+
+    inv = inventory(spark, folder, recursive, policy.include_globs, policy.exclude_globs)
+    csvs = [r.path for r in inv.where((F.col("status") == "supported") & (extension(F.col("path")) == ".csv"))
+            .select("path").collect()]
+    if not csvs:
+        return inv, None
+    return inv, redact_csv_files(spark, csvs, out_dir, policy, apply, **kw)
+
+
+__all__ = ["RunResult", "redact_csv_files", "redact_documents_run", "redact_folder", "redact_column", "write_csv"]

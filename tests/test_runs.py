@@ -81,3 +81,17 @@ def test_csv_run_hashes_inputs(spark):
     r = redact_csv_files(spark, d + "/test.csv", hashes=True)
     want = hashlib.sha256(open(d + "/test.csv", "rb").read()).hexdigest()
     assert r.files.first().input_hash == want
+
+
+def test_redact_folder(spark):
+    from scrub.operators.runs import redact_folder
+
+    d = _csv_dir()
+    with open(d + "/notes.txt", "w") as f:
+        f.write("a@b.io")
+    with open(d + "/archive_old.csv", "w") as f:
+        f.write("name\nx\n")
+    inv, run = redact_folder(spark, d, policy=Policy(exclude_globs=("archive_*",)))
+    status = {r.name: r.status for r in inv.collect()}
+    assert status == {"test.csv": "supported", "notes.txt": "skipped", "archive_old.csv": "skipped"}
+    assert [os.path.basename(r.input_path) for r in run.files.collect()] == ["test.csv"]
