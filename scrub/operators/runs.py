@@ -87,6 +87,11 @@ def _now() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat()
 
 
+CORRUPT = "_corrupt_record"
+# A comma outside double quotes separates two fields of a raw CSV line.
+_FIELD_SEP = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                      apply: bool = False, report_dir: str | None = None, force: bool = False,
                      durable: bool = False, hashes: bool = False) -> RunResult:
@@ -94,9 +99,14 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
 
     Counting follows the table rules: findings of changed cells only, one
     ``FULL_COLUMN_REDACTION`` per non-null cell of a sensitive column.
+    A file holding a row with more fields than its header fails (as with a
+    pandas reader): its result says so, nothing of it is written or counted,
+    and the run goes on.  Short rows are padded with nulls.
     ``hashes`` fills ``input_hash`` with each input file's SHA-256 (one more
     read of every input byte, one row per file).
     """
+    from pyspark.sql import types as T
+
     started = _now()
     paths = [inputs] if isinstance(inputs, str) else list(inputs)
     if apply:
@@ -104,41 +114,54 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
             raise ValueError("apply=True needs out_dir")
         for p in paths:
             guard_output(p, out_dir, force)
-    src = read_csv_strings(spark, paths, with_source=True)
-    cols = [c for c in src.columns if c != "source"]
-    res = cell_results(src, policy, keep=["source"])
+    header = spark.read.option("header", True).option("inferSchema", False).csv(paths).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in header] + [T.StructField(CORRUPT, T.StringType())])
+    src = read_csv_strings(spark, paths, with_source=True, schema=schema, corrupt_column=CORRUPT)
+    cols = [f.name for f in header]
+    res = cell_results(src, policy, keep=["source", CORRUPT])
     if apply:
         res = _keep(res, durable)
-    targets = _targets(src, ["source"])
+    targets = _targets(src, ["source", CORRUPT])
+    long_row = F.col(CORRUPT).isNotNull() & (F.regexp_count(F.col(CORRUPT), F.lit(_FIELD_SEP)) + 1 > len(cols))
     per_col = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(RESULT_PREFIX + n).alias("r")) for n in targets])
     cells = explode_kept(res, ["source"], per_col, "cell").where(F.col("cell.r.changed")).select(
         "source", F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
     findings = explode_kept(cells, ["source", "column_name"], F.col("_e"), "e").select(
         "source", "column_name", F.col("e.entity_type").alias("entity_type"))
     n_changed = sum((F.col(RESULT_PREFIX + n + ".changed").cast("long") for n in targets), F.lit(0).cast("long"))
-    rows = res.select("source", n_changed.alias("_changed"))
-    files = file_results(rows, "source", count_by(findings, "source", "entity_type"), "csv", changed=F.col("_changed"))
+    rows = res.select("source", n_changed.alias("_changed"), long_row.alias("_long"))
+    files = file_results(rows, "source", count_by(findings, "source", "entity_type"), "csv",
+                         failed=F.col("_long"), changed=F.col("_changed"))
+    ok = F.col("success")
+    files = files.select(
+        "input_path", "file_type", "success",
+        F.when(ok, F.col("rows_or_pages")).otherwise(F.lit(0).cast("long")).alias("rows_or_pages"),
+        F.when(ok, F.col("fields_changed")).otherwise(F.lit(0).cast("long")).alias("fields_changed"),
+        F.when(ok, F.col("entities_by_type")).otherwise(F.create_map().cast("map<string,bigint>")).alias("entities_by_type"),
+        F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("a row has more fields than the header")).alias("error"),
+    )
     if apply:
         out_path = F.concat(F.lit(out_dir.rstrip("/") + "/file="), base_name(F.col("input_path")))
-        files = files.withColumn("output_paths", F.array(out_path))
+        files = files.withColumn("output_paths", F.when(ok, F.array(out_path)).otherwise(F.array().cast("array<string>")))
     if hashes:
         fp = fingerprints(spark, paths).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
         bare = F.regexp_replace(F.col("input_path"), "^file:", "")
         files = files.join(fp, bare == F.col("_p"), "left").drop("_p")
     observed = None
     if apply:
+        # Per-file results are small (one row per file): materialise them first,
+        # so failed files can be left out of the write.
+        files = _keep(files, durable)
+        files.count()
+        failed = files.where(~F.col("success")).select(F.col("input_path").alias("source"))
+        good = res.join(failed, "source", "left_anti")
         obs = Observation("scrub_run")
-        out = res.observe(obs, *_observed_totals(targets, policy)).select(
+        out = good.observe(obs, *_observed_totals(targets, policy)).select(
             *[F.col(RESULT_PREFIX + c + ".redacted").alias(c) if c in targets else F.col(c) for c in cols],
             base_name(F.col("source")).alias("file"))
         out.write.mode("errorifexists").partitionBy("file").option("header", True).option("escape", '"').csv(out_dir)
         observed = dict(obs.get)
-    if apply:
-        # Per-file results are small (one row per file): materialise them, then
-        # release the redacted rows.  ``findings`` stays lazy (recomputed if used).
-        files = _keep(files, durable)
-        files.count()
-        res.unpersist()
+        res.unpersist()  # ``findings`` stays lazy (recomputed if used)
     summary = run_summary(files)
     result = RunResult(uuid.uuid4().hex, started, _now(), not apply, files, summary, findings, observed)
     if apply and report_dir:

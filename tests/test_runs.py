@@ -95,3 +95,19 @@ def test_redact_folder(spark):
     status = {r.name: r.status for r in inv.collect()}
     assert status == {"test.csv": "supported", "notes.txt": "skipped", "archive_old.csv": "skipped"}
     assert [os.path.basename(r.input_path) for r in run.files.collect()] == ["test.csv"]
+
+
+def test_file_with_surplus_fields_fails_and_the_run_goes_on(spark):
+    d = _csv_dir()
+    with open(d + "/bad.csv", "w") as f:
+        f.write("name,account_number,card_number,email,amount\nA,1,2,3,4,SURPLUS\nB,,,,\n")
+    with open(d + "/short.csv", "w") as f:
+        f.write("name,account_number,card_number,email,amount\nC,1234567890\n")
+    r = redact_csv_files(spark, [d + "/test.csv", d + "/bad.csv", d + "/short.csv"], d + "/out", apply=True)
+    got = {os.path.basename(x.input_path): (x.success, x.rows_or_pages, x.error) for x in r.files.collect()}
+    assert got["bad.csv"] == (False, 0, "a row has more fields than the header")
+    assert got["test.csv"][:2] == (True, 2) and got["short.csv"][:2] == (True, 1)
+    assert glob.glob(d + "/out/file=test.csv/*.csv") and glob.glob(d + "/out/file=short.csv/*.csv")
+    assert not glob.glob(d + "/out/file=bad.csv")
+    s = r.summary.first()
+    assert (s.total_files, s.successful_files, s.failed_files) == (3, 2, 1)
