@@ -94,7 +94,7 @@ _FIELD_SEP = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                      apply: bool = False, report_dir: str | None = None, force: bool = False,
-                     durable: bool = False, hashes: bool = False) -> RunResult:
+                     durable: bool = False, hashes: bool = False, write_mode: str = "errorifexists") -> RunResult:
     """Redact CSV files sharing one header.  Output: ``out_dir/file=<name>/part-*.csv``.
 
     Counting follows the table rules: findings of changed cells only, one
@@ -159,7 +159,7 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
         out = good.observe(obs, *_observed_totals(targets, policy)).select(
             *[F.col(RESULT_PREFIX + c + ".redacted").alias(c) if c in targets else F.col(c) for c in cols],
             base_name(F.col("source")).alias("file"))
-        out.write.mode("errorifexists").partitionBy("file").option("header", True).option("escape", '"').csv(out_dir)
+        out.write.mode(write_mode).partitionBy("file").option("header", True).option("escape", '"').csv(out_dir)
         observed = dict(obs.get)
         res.unpersist()  # ``findings`` stays lazy (recomputed if used)
     summary = run_summary(files)
@@ -191,14 +191,57 @@ def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: P
     return RunResult(uuid.uuid4().hex, started, _now(), not apply, files, run_summary(files), findings)
 
 
+def header_groups(spark: SparkSession, paths) -> dict:
+    """Files grouped by their header line: ``{header: [paths]}``.
+
+    One text scan keeps the first line of every file (the row with the lowest
+    id in the split that starts at byte 0); one row per file reaches the
+    driver, like the file listing itself.
+    """
+    import csv
+
+    lines = (
+        spark.read.text(list(paths))
+        .select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), "value",
+                F.monotonically_increasing_id().alias("i"))
+        .where(F.col("b") == 0)
+        .groupBy("p").agg(F.min_by("value", "i").alias("header"))
+        .collect()
+    )
+    groups: dict = {}
+    for r in lines:
+        key = tuple(next(csv.reader([r["header"] or ""]), []))
+        groups.setdefault(key, []).append(r["p"])
+    return groups
+
+
+def _merge(results: list) -> RunResult:
+    if len(results) == 1:
+        return results[0]
+    files = results[0].files
+    findings = results[0].findings
+    for r in results[1:]:
+        files = files.unionByName(r.files, allowMissingColumns=True)
+        findings = findings.unionByName(r.findings)
+    observed = None
+    if all(r.observed is not None for r in results):
+        observed = {}
+        for r in results:
+            for k, v in r.observed.items():
+                observed[k] = observed.get(k, 0) + (v or 0)
+    return RunResult(results[0].run_id, results[0].started_at, results[-1].completed_at, results[0].dry_run,
+                     files, run_summary(files), findings, observed)
+
+
 def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                   recursive: bool = False, apply: bool = False, **kw) -> tuple[DataFrame, RunResult | None]:
-    """Inventory a folder with the policy's globs, then redact every supported CSV file in one run.
+    """Inventory a folder with the policy's globs, then redact every supported CSV file.
 
     Returns the inventory (every file with ``supported``/``skipped``) and the run
-    (``None`` when no CSV file is supported).  Only file paths reach the driver,
-    as in any Spark file listing; the files themselves are read by one
-    multi-path read.  Files of one run share a header.
+    (``None`` when no CSV file is supported).  Files are grouped by header, and
+    each group is one multi-path run (a handful of groups, not one job per
+    file), all writing into ``out_dir``.  Only paths and header lines reach the
+    driver.
     """
     from scrub.sources.files import extension, inventory
 
@@ -207,7 +250,11 @@ def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None,
             .select("path").collect()]
     if not csvs:
         return inv, None
-    return inv, redact_csv_files(spark, csvs, out_dir, policy, apply, **kw)
+    results = []
+    for k, (_, group) in enumerate(sorted(header_groups(spark, csvs).items())):
+        mode = "errorifexists" if k == 0 else "append"
+        results.append(redact_csv_files(spark, sorted(group), out_dir, policy, apply, write_mode=mode, **kw))
+    return inv, _merge(results)
 
 
 __all__ = ["RunResult", "redact_csv_files", "redact_documents_run", "redact_folder", "redact_column", "write_csv"]

@@ -111,3 +111,18 @@ def test_file_with_surplus_fields_fails_and_the_run_goes_on(spark):
     assert not glob.glob(d + "/out/file=bad.csv")
     s = r.summary.first()
     assert (s.total_files, s.successful_files, s.failed_files) == (3, 2, 1)
+
+
+def test_folder_with_mixed_headers(spark):
+    from scrub.operators.runs import redact_folder
+
+    d = _csv_dir()
+    with open(d + "/people.csv", "w") as f:
+        f.write("email,name\nx@y.io,Zed\n")
+    inv, run = redact_folder(spark, d, d + "/out", apply=True)
+    got = {os.path.basename(r.input_path): (r.rows_or_pages, r.entities_by_type) for r in run.files.collect()}
+    assert got["people.csv"] == (1, {"EMAIL_ADDRESS": 1})
+    assert got["test.csv"][0] == 2
+    text = "".join(open(p).read() for p in glob.glob(d + "/out/file=people.csv/*.csv"))
+    assert text.splitlines() == ["email,name", "[EMAIL_ADDRESS],Zed"]
+    assert run.observed["rows"] == 3
