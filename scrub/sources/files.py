@@ -183,3 +183,24 @@ def load_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     files = spark.read.schema(FILE_RESULT_TYPE).json(f"{path}/files")
     summary = spark.read.schema(SUMMARY_TYPE).json(f"{path}/summary")
     return files, summary
+
+
+# ---------------------------------------------------------------- page text
+def read_text_pages(spark: SparkSession, paths, page_break: str = "\f") -> DataFrame:
+    """Text files as documents: ``(doc, page_number, text)``, pages split at ``page_break``.
+
+    Extracted PDF text marks page ends with a form feed.  Each file is one
+    row while it is split (a document is read by one task; files in parallel).
+    """
+    from scrub.functions.arrays import explode_kept
+
+    whole = spark.read.text(paths if isinstance(paths, (list, tuple)) else [paths], wholetext=True).select(
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("doc"),
+        F.split(F.col("value"), _regex_literal(page_break), -1).alias("pages"),
+    )
+    pages = explode_kept(whole, ["doc"], F.col("pages"), "text", pos="pos")
+    return pages.select("doc", (F.col("pos") + 1).cast("int").alias("page_number"), "text")
+
+
+def _regex_literal(s: str) -> str:
+    return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in s)

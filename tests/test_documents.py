@@ -63,3 +63,19 @@ def test_write_renders_is_ordered_per_document(spark):
     assert a_txt == "=== Page 1 ===\none XXXXXXXXXXXX1234\n\n=== Page 2 ===\ntwo\n\n"
     a_md = "".join(open(f).read() for f in sorted(glob.glob(out + "/md/doc_id=a/part-*")))
     assert a_md.startswith("# Sanitized: a\n\n> **Note:**") and a_md.endswith("## Page 2\n\ntwo\n\n")
+
+
+def test_text_files_as_paged_documents(spark):
+    from scrub.operators.runs import redact_documents_run
+    from scrub.sources.files import read_text_pages
+
+    d = tempfile.mkdtemp(prefix="scrub-pages-")
+    with open(d + "/a.txt", "w") as f:
+        f.write("page one a@b.io\fpage two 4111111111111234")
+    with open(d + "/b.txt", "w") as f:
+        f.write("single page")
+    pages = read_text_pages(spark, d)
+    got = sorted((os.path.basename(r.doc), r.page_number, r.text) for r in pages.collect())
+    assert got == [("a.txt", 1, "page one a@b.io"), ("a.txt", 2, "page two 4111111111111234"), ("b.txt", 1, "single page")]
+    run = redact_documents_run(pages, doc="doc")
+    assert {os.path.basename(r.input_path): r.rows_or_pages for r in run.files.collect()} == {"a.txt": 2, "b.txt": 1}
