@@ -142,6 +142,53 @@ class Policy:
     def with_(self, **kw) -> "Policy":
         return replace(self, **kw)
 
+    @classmethod
+    def from_config(cls, cfg: dict | None) -> "Policy":
+        """A policy from a config mapping with the mirrored tool's keys (as loaded from its YAML files).
+
+        Keys nothing reads there (``dry_run``, ``retain_*``, ``output_dir``,
+        ``csv.preserve_headers``, ``csv.chunk_size``, ``pdf.extract_tables``,
+        ``pdf.output_formats.pdf``) are accepted and ignored.
+        """
+        cfg = cfg or {}
+
+        def rule(d):
+            d = d or {}
+            return NumberRule(int(d.get("preserve_last_n", DEFAULT_PRESERVE_LAST_N)), d.get("mask_char", DEFAULT_MASK_CHAR))
+
+        fin = cfg.get("financial_rules") or {}
+        entity_types = {
+            name: EntityConfig(bool(v.get("enabled", True)), v.get("replacement", DEFAULT_REPLACEMENT_TEMPLATE),
+                               v.get("confidence_threshold"))
+            for name, v in (cfg.get("entity_types") or {}).items()
+        }
+        fmts = ((cfg.get("pdf") or {}).get("output_formats") or {})
+        formats = tuple(f for f, key in (("txt", "txt"), ("md", "md"), ("json", "json_report")) if fmts.get(key, True))
+        return cls(
+            confidence_threshold=float(cfg.get("confidence_threshold", DEFAULT_THRESHOLD)),
+            entity_types=entity_types,
+            financial=FinancialRules(rule(fin.get("card_number")), rule(fin.get("account_number")),
+                                     rule(fin.get("routing_number"))),
+            identities=tuple(cfg.get("identities") or ()),
+            aliases=tuple(cfg.get("aliases") or ()),
+            custom_patterns=tuple(CustomPattern(p["name"], p["regex"], p.get("action", "replace"),
+                                                p.get("replacement", REDACTED)) for p in cfg.get("custom_patterns") or ()),
+            sensitive_columns=tuple((cfg.get("csv") or {}).get("sensitive_columns") or ()),
+            include_globs=tuple(cfg.get("include_globs") or DEFAULT_INCLUDE_GLOBS),
+            exclude_globs=tuple(cfg.get("exclude_globs") or ()),
+            formats=formats,
+        )
+
+
+def load_policy(path: str | None) -> Policy:
+    """Read a YAML config file (the mirrored tool's format) into a :class:`Policy`; defaults when ``None``."""
+    if path is None:
+        return Policy()
+    import yaml
+
+    with open(path) as f:
+        return Policy.from_config(yaml.safe_load(f) or {})
+
 
 def check_pattern(regex: str, name: str = "pattern") -> None:
     """Reject patterns Spark's (Java) regex engine would read differently or not at all."""
