@@ -117,6 +117,20 @@ def _txt_piece(page: str, text: str) -> Column:
                     F.lit(PAGE_END))
 
 
+def preview_pages(pages: DataFrame, policy: Policy = DEFAULT_POLICY, doc: str = "doc_id", page: str = "page_number",
+                  text: str = "text", n_pages: int = 3, n_lines: int = 20) -> DataFrame:
+    """Document preview: the first ``n_pages`` pages, their differing lines among the first ``n_lines``.
+
+    ``(doc, page, line_no, before, after)``; the page limit is the feature (a
+    preview), each previewed page is redacted whole.
+    """
+    head = pages.where(F.col(page) <= n_pages)
+    red = redact_pages(head.select(doc, page, text), policy, text)
+    diff = preview_lines(red.withColumn("_key", F.struct(F.col(doc).alias("d"), F.col(page).alias("p"))),
+                         "_key", text, "redacted", n_lines)
+    return diff.select(F.col("_key.d").alias(doc), F.col("_key.p").alias(page), "line_no", "before", "after")
+
+
 def write_renders(pages: DataFrame, out_dir: str, formats=("txt", "md", "json"), doc: str = "doc_id",
                   page: str = "page_number", source_name: str | None = None, mode: str = "errorifexists") -> list[str]:
     """Write the chosen renders, one folder per document and format, without gathering pages.

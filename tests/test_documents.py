@@ -79,3 +79,12 @@ def test_text_files_as_paged_documents(spark):
     assert got == [("a.txt", 1, "page one a@b.io"), ("a.txt", 2, "page two 4111111111111234"), ("b.txt", 1, "single page")]
     run = redact_documents_run(pages, doc="doc")
     assert {os.path.basename(r.input_path): r.rows_or_pages for r in run.files.collect()} == {"a.txt": 2, "b.txt": 1}
+
+
+def test_preview_pages_limits_pages_not_redaction(spark):
+    from scrub.operators.documents import preview_pages
+
+    rows = [("d", p, f"page {p}\nmail a{p}@b.io") for p in range(1, 6)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
+    got = sorted((r.page_number, r.line_no, r.after) for r in preview_pages(pages).collect())
+    assert got == [(1, 2, "mail [EMAIL_ADDRESS]"), (2, 2, "mail [EMAIL_ADDRESS]"), (3, 2, "mail [EMAIL_ADDRESS]")]
