@@ -98,15 +98,24 @@ def glob_regex(glob: str, ignore_case: bool = False) -> str:
         elif c == "?":
             out.append(".")
         elif c == "[":
-            j = glob.find("]", i + 2 if i + 1 < len(glob) and glob[i + 1] in "!]" else i + 1)
-            if j < 0:
+            # Bracket rules of fnmatch: "!" negates, a "]" right after "[" or "[!" is literal.
+            j = i + 1
+            if j < len(glob) and glob[j] == "!":
+                j += 1
+            if j < len(glob) and glob[j] == "]":
+                j += 1
+            k = glob.find("]", j)
+            if k < 0:
                 out.append(r"\[")
             else:
-                body = glob[i + 1:j]
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                out.append("[" + body.replace("\\", "\\\\") + "]")
-                i = j
+                body = glob[i + 1:k]
+                neg = body.startswith("!")
+                if neg:
+                    body = body[1:]
+                # Escape what Java reads specially inside a class: nested "[", "&&", "^", "]", "\".
+                body = "".join("\\" + ch if ch in "\\[]^&" else ch for ch in body)
+                out.append("[" + ("^" if neg else "") + body + "]")
+                i = k
         elif c.isalnum() or c == "_":
             out.append(c)
         else:

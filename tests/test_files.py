@@ -95,3 +95,33 @@ def test_null_tokens_and_case_insensitive_globs(spark):
     root = _tree()
     st = {r.name: r.status for r in inventory(spark, root, ignore_case=True).collect()}
     assert st["X.PDF"] == "supported"
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from(list("ab.*?[]!-")), min_size=1, max_size=8),
+       st.text(st.sampled_from(list("ab.-!")), min_size=0, max_size=8))
+def test_glob_translation_matches_fnmatch(glob_, name):
+    import fnmatch
+    import re
+
+    try:
+        want = fnmatch.fnmatchcase(name, glob_)
+    except re.error:
+        return
+    assert bool(re.match(glob_regex(glob_), name)) == want, (glob_, name, glob_regex(glob_))
+
+
+def test_tricky_globs_on_spark_match_fnmatch(spark):
+    import fnmatch
+
+    globs = ["[]a]*", "[!]]x", "a[-b]", "*[!.]", "[!a-b]*", "a[", "[[]a", "x[!-]y", "[^a]", "[a&&b]", "[\\]", "[]"]
+    names = ["]x", "a", "-", "b", ".", "]", "ax", "x-y", "xay", "[a", "^", "&", "\\", "[]", "file.csv"]
+    rows = [(g, n) for g in globs for n in names]
+    df = spark.createDataFrame(rows, "g string, n string")
+    checks = [F.when(F.col("g") == g, F.col("n").rlike(glob_regex(g))) for g in globs]
+    got = df.select("g", "n", F.coalesce(*checks).alias("m")).collect()
+    assert [r.m for r in got] == [fnmatch.fnmatchcase(r.n, r.g) for r in got]
