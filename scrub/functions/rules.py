@@ -147,7 +147,8 @@ def terms_pattern(terms) -> str | None:
         pre = r"\b" if _is_word(t[0]) else ""
         post = r"\b" if _is_word(t[-1]) else ""
         alts.append(pre + escape_term(t) + post)
-    return "(?i)(?:" + "|".join(alts) + ")"
+    # (?u): Unicode case folding, as Python's re.IGNORECASE on str (Java folds ASCII only otherwise).
+    return "(?iu)(?:" + "|".join(alts) + ")"
 
 
 def identity_rule(policy: Policy) -> Rule | None:

@@ -215,3 +215,8 @@ def test_offsets_point_at_the_text_of_their_stage(spark, rows):
             if e["stage"] == "custom":
                 continue
             assert base[e["start"]:e["end"]] == e["text"], (src, e)
+
+
+def test_identity_case_folding_is_unicode(spark):
+    p = Policy(identities=("Jörg Müller",))
+    assert one(spark, "met JÖRG MÜLLER today", lambda c: redact_text(c, p)) == "met [CONFIGURED_IDENTITY] today"
