@@ -162,7 +162,7 @@ def gazetteer_rule(g: Gazetteer) -> Rule | None:
 
 
 def custom_rule(p: CustomPattern) -> Rule:
-    return Rule(p.entity_type, p.regex, CUSTOM_SCORE)
+    return Rule(p.entity_type, p.java_regex, CUSTOM_SCORE)
 
 
 def active_rules(policy: Policy) -> list[Rule]:

@@ -118,7 +118,7 @@ def custom_pass(text: Column, p: CustomPattern, include_text=False, with_spans:
     def make(h, r, s, e):
         return span(CUSTOM_STAGE, p.entity_type, s, e, None, entity_text(h, include_text), r)
 
-    return rewrite_stage(text, p.regex, rewrite, make if with_spans else None)
+    return rewrite_stage(text, p.java_regex, rewrite, make if with_spans else None)
 
 
 def custom_stage(text, policy: Policy = DEFAULT_POLICY, with_spans: bool = True) -> Column:
@@ -166,7 +166,7 @@ def may_change(t: Column, policy: Policy = DEFAULT_POLICY) -> Column:
     for r in active_rules(policy):
         out = out | r.may_match(t)
     for p in policy.custom_patterns:
-        out = out | t.rlike(p.regex)
+        out = out | t.rlike(p.java_regex)
     return out
 
 

@@ -37,7 +37,7 @@ def _sql(table_sql: str, key: str, text: str, rule: R.Rule, score_sql: str | Non
     return f"""
 select {key}, '{rule.entity_type}' as entity_type, start_pos, cast(start_pos + length(hit) as integer) as end_pos,
        hit, cast({score.replace("HIT", "hit")} as double) as score
-from {S.hit_rows(table_sql, key, text, rule.pattern.replace("(?iu)", "(?i)"))}"""
+from {S.hit_rows(table_sql, key, text, S.re2(rule.pattern))}"""
 
 
 B = R.BUILTIN_BY_TYPE

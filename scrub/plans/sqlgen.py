@@ -33,6 +33,11 @@ def stmt_cte() -> str:
     return "stmt as (" + STMT_SQL.format(S="varchar") + ")"
 
 
+def re2(pattern: str) -> str:
+    """A Spark-side pattern as RE2 takes it: Java-only flags removed (RE2's classes stay ASCII/Unicode as they are)."""
+    return pattern.replace("(?iu)", "(?i)").replace("(?U)", "")
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

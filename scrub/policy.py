@@ -63,6 +63,12 @@ class CustomPattern:
     def entity_type(self) -> str:
         return self.name.upper()
 
+    @property
+    def java_regex(self) -> str:
+        """The pattern as Spark (Java) runs it: ``(?U)`` gives ``\\d \\w \\s \\b`` the Unicode
+        meaning they have in Python ``re`` on str, the syntax the pattern was written in."""
+        return "(?U)" + self.regex
+
     def output(self) -> str | None:
         """Literal text put in place of a hit; ``None`` keeps the hit."""
         if self.action == "replace":
@@ -208,7 +214,7 @@ def validate_on(spark, policy: Policy) -> None:
 
     if not policy.custom_patterns:
         return
-    probes = [F.lit("").rlike(p.regex).alias(f"p{i}") for i, p in enumerate(policy.custom_patterns)]
+    probes = [F.lit("").rlike(p.java_regex).alias(f"p{i}") for i, p in enumerate(policy.custom_patterns)]
     spark.range(1).select(*probes).collect()
 
 

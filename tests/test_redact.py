@@ -220,3 +220,13 @@ def test_offsets_point_at_the_text_of_their_stage(spark, rows):
 def test_identity_case_folding_is_unicode(spark):
     p = Policy(identities=("Jörg Müller",))
     assert one(spark, "met JÖRG MÜLLER today", lambda c: redact_text(c, p)) == "met [CONFIGURED_IDENTITY] today"
+
+
+def test_custom_patterns_keep_their_python_meaning(spark):
+    import re as _re
+
+    pat = r"\b\d{3}\b"
+    p = Policy(custom_patterns=(CustomPattern("code", pat, "redact"),))
+    text = "code ٤٥٦ and 123"
+    assert _re.sub(pat, "[REDACTED]", text) == "code [REDACTED] and [REDACTED]"
+    assert one(spark, text, lambda c: redact_text(c, p)) == "code [REDACTED] and [REDACTED]"
