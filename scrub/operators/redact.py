@@ -180,21 +180,24 @@ def redact(c, policy: Policy = DEFAULT_POLICY) -> Column:
     return _redact_all(_col(c), policy)
 
 
-def _redact_all(original: Column, policy: Policy) -> Column:
-    def after_fin(fin):
-        def after_scored(sc):
-            def after_custom(cu):
-                return F.struct(
-                    cu["text"].alias("redacted"),
-                    F.concat(fin["spans"], sc["spans"], cu["spans"]).alias("entities"),
-                    (~original.eqNullSafe(cu["text"])).alias("changed"),
-                )
+def _after_financial(original: Column, fin: Column, policy: Policy) -> Column:
+    """Stages 2 and 3 on a financial result ``fin``, assembled into the redaction struct."""
+    def after_scored(sc):
+        def after_custom(cu):
+            return F.struct(
+                cu["text"].alias("redacted"),
+                F.concat(fin["spans"], sc["spans"], cu["spans"]).alias("entities"),
+                (~original.eqNullSafe(cu["text"])).alias("changed"),
+            )
+
+        return let(custom_stage(sc["text"], policy), after_custom)
 
-            return let(custom_stage(sc["text"], policy), after_custom)
+    return let(scored_stage(fin["text"], policy), after_scored)
 
-        return let(scored_stage(fin["text"], policy), after_scored)
 
-    return let(financial_mask(original, policy.financial, True, policy.include_text), after_fin)
+def _redact_all(original: Column, policy: Policy) -> Column:
+    fin = financial_mask(original, policy.financial, True, policy.include_text)
+    return let(fin, lambda f: _after_financial(original, f, policy))
 
 
 @memo_column
@@ -207,12 +210,26 @@ def redact_text(c, policy: Policy = DEFAULT_POLICY) -> Column:
 
 
 def redact_by_lang(c, lang, policies: dict, default: Policy = DEFAULT_POLICY) -> Column:
-    """Pick the rule set by a language column; unknown languages use ``default``."""
+    """Pick the rule set by a language column; unknown languages use ``default``.
+
+    When every rule set masks numbers the same way, financial masking runs once
+    and only the later stages branch by language.
+    """
     lang_c = _col(lang)
-    expr = None
-    for code, pol in policies.items():
-        expr = (F.when if expr is None else expr.when)(lang_c == F.lit(code), redact(c, pol))
-    return redact(c, default) if expr is None else expr.otherwise(redact(c, default))
+    original = _col(c)
+    shared = all(p.financial == default.financial and p.include_text == default.include_text
+                 for p in policies.values())
+
+    def choose(make):
+        expr = None
+        for code, pol in policies.items():
+            expr = (F.when if expr is None else expr.when)(lang_c == F.lit(code), make(pol))
+        return make(default) if expr is None else expr.otherwise(make(default))
+
+    if not shared:
+        return choose(lambda pol: redact(c, pol))
+    fin = financial_mask(original, default.financial, True, default.include_text)
+    return let(fin, lambda f: choose(lambda pol: _after_financial(original, f, pol)))
 
 
 def redact_frame(df: DataFrame, text_col: str, policy: Policy = DEFAULT_POLICY, detectors=(), alias: str = "r") -> DataFrame:
