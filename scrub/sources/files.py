@@ -112,9 +112,7 @@ def glob_regex(glob: str, ignore_case: bool = False) -> str:
                 neg = body.startswith("!")
                 if neg:
                     body = body[1:]
-                # Escape what Java reads specially inside a class: nested "[", "&&", "^", "]", "\".
-                body = "".join("\\" + ch if ch in "\\[]^&" else ch for ch in body)
-                out.append("[" + ("^" if neg else "") + body + "]")
+                out.append(_bracket(body, neg))
                 i = k
         elif c.isalnum() or c == "_":
             out.append(c)
@@ -124,6 +122,32 @@ def glob_regex(glob: str, ignore_case: bool = False) -> str:
     return ("(?si)^" if ignore_case else "(?s)^") + "".join(out) + "$"
 
 
+def _bracket(body: str, neg: bool) -> str:
+    """A glob bracket body as a class, with fnmatch's meaning.
+
+    ``x-y`` is a range and a reversed one matches nothing; ``-`` first or last
+    is literal; characters Java reads specially inside a class (nested ``[``,
+    ``&&``, ``^``, ``]``, ``\\``, ``-``) are escaped.
+    """
+
+    def esc(ch):
+        return "\\" + ch if ch in "\\[]^&-" else ch
+
+    items, j = [], 0
+    while j < len(body):
+        if j + 2 < len(body) and body[j + 1] == "-":
+            lo, hi = body[j], body[j + 2]
+            if lo <= hi:
+                items.append(esc(lo) + "-" + esc(hi))
+            j += 3
+        else:
+            items.append(esc(body[j]))
+            j += 1
+    if not items:  # only reversed ranges: nothing (negated: any character); no look-around, so RE2 reads it too
+        return r"[\s\S]" if neg else r"[^\s\S]"
+    return "[" + ("^" if neg else "") + "".join(items) + "]"
+
+
 def matches_any(name: Column, globs, ignore_case: bool = False) -> Column:
     out = F.lit(False)
     for g in globs:
