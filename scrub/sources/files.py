@@ -8,6 +8,7 @@ multi-path load (files become splits, ``source`` comes from
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,7 +187,9 @@ def inventory(spark: SparkSession, folder: str, recursive: bool = False, include
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         .select(F.regexp_replace("path", "^file:", "").alias("path"), "length")
     )
-    rel = F.expr(f"substring(path, {len(root) + 2})")
+    # Paths come back without "file:"; measure the prefix on the same form.
+    bare_root = re.sub(r"^file:/*", "/", root)
+    rel = F.expr(f"substring(path, {len(bare_root) + 2})")
     files = files.select("path", rel.alias("rel_path"), base_name(F.col("path")).alias("name"), "length")
     if not recursive:
         files = files.where(~F.col("rel_path").contains("/"))

@@ -125,3 +125,10 @@ def test_tricky_globs_on_spark_match_fnmatch(spark):
     checks = [F.when(F.col("g") == g, F.col("n").rlike(glob_regex(g))) for g in globs]
     got = df.select("g", "n", F.coalesce(*checks).alias("m")).collect()
     assert [r.m for r in got] == [fnmatch.fnmatchcase(r.n, r.g) for r in got]
+
+
+def test_inventory_accepts_file_uris(spark):
+    root = _tree()
+    a = sorted((r.rel_path, r.status) for r in inventory(spark, root).collect())
+    b = sorted((r.rel_path, r.status) for r in inventory(spark, "file://" + root).collect())
+    assert a == b and ("a.csv", "supported") in a
