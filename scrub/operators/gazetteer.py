@@ -9,11 +9,12 @@ grow with the data, so they are never collected into a regex on the driver.
 * Dictionary side: each name normalised the same way.
 * One equi-join on the normalised n-gram.  The dictionary is broadcast only
   when a measured size bound says it fits (``broadcast_limit``); beyond that the
-  join is a shuffle join, where AQE splits skewed keys.
+  join is a shuffle join on ``(gram, salt)`` with the dictionary replicated per
+  salt bucket, so a common n-gram is spread over many tasks.
 
 A match therefore means: the same words in the same order, letter case and the
-characters between the words ignored.  The set of word counts is the only
-thing brought to the driver (a handful of small integers).
+characters between the words ignored.  Only the word counts and the dictionary's
+byte size reach the driver (one row per distinct word count).
 """
 
 from __future__ import annotations
