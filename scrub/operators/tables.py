@@ -1,8 +1,9 @@
 """Whole-table redaction: every cell through the pipeline, shape unchanged.
 
-One ``select`` with one redaction expression per column: row count, column set
-and column order are kept, nulls stay null, and Catalyst fuses the whole thing
-into the scan's stage (no shuffle).  Columns named in
+One pipeline tree applied to an array of the string cells, then one ``select``
+that puts every column back in place: row count, column set and column order
+are kept, nulls stay null, the plan does not grow with the column count, and it
+all runs in the scan's stage (no shuffle).  Columns named in
 ``policy.sensitive_columns`` are replaced wholesale by ``[REDACTED]``.
 """
 
