@@ -78,9 +78,11 @@ def q_audit_cells_changed(spark, sf):
 
 
 def _head_sql(policy):
-    return (f"with {W}, h as (select * from stmt order by {KEY} limit 20) " + " union all ".join(
-        f"select '{c}' as column_name, {KEY}, {c} as before, {SP.cell_sql(c, policy)} as after from h "
-        f"where {c} is distinct from {SP.cell_sql(c, policy)}" for c in COLS))
+    redacted = ", ".join(f"{SP.cell_sql(c, policy)} as r_{c}" for c in COLS)
+    return (f"with {W}, h as (select * from stmt order by {KEY} limit 20), "
+            f"r as (select *, {redacted} from h) " + " union all ".join(
+                f"select '{c}' as column_name, {KEY}, {c} as before, r_{c} as after from r "
+                f"where {c} is distinct from r_{c}" for c in COLS))
 
 
 @query("preview_cells", _head_sql(SENSITIVE))
