@@ -147,5 +147,5 @@ def wide_redact(df: DataFrame, key: str, policy: Policy = DEFAULT_POLICY) -> Dat
     long = df.select(key, *targets).unpivot([key], targets, "column_name", "value")
     sens = set(policy.sensitive_columns)
     r = F.when(F.col("column_name").isin(list(sens)) if sens else F.lit(False), redact_column(F.col("value"))) \
-        .otherwise(redact(F.col("value"), policy)["redacted"])
+        .otherwise(redact_text(F.col("value"), policy))
     return long.select(key, "column_name", "value", r.alias("redacted"))
