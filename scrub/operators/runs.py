@@ -250,11 +250,17 @@ def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None,
             .select("path").collect()]
     if not csvs:
         return inv, None
+    report_dir = kw.pop("report_dir", None)
     results = []
     for k, (_, group) in enumerate(sorted(header_groups(spark, csvs).items())):
         mode = "errorifexists" if k == 0 else "append"
         results.append(redact_csv_files(spark, sorted(group), out_dir, policy, apply, write_mode=mode, **kw))
-    return inv, _merge(results)
+    merged = _merge(results)
+    if apply and report_dir:  # one report for the whole folder
+        save_report(merged.files, merged.summary.select(
+            "total_files", "successful_files", "failed_files",
+            F.create_map().cast("map<string,bigint>").alias("aggregate_entities")), report_dir)
+    return inv, merged
 
 
 __all__ = ["RunResult", "redact_csv_files", "redact_documents_run", "redact_folder", "redact_column", "write_csv"]

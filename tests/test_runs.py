@@ -119,7 +119,11 @@ def test_folder_with_mixed_headers(spark):
     d = _csv_dir()
     with open(d + "/people.csv", "w") as f:
         f.write("email,name\nx@y.io,Zed\n")
-    inv, run = redact_folder(spark, d, d + "/out", apply=True)
+    inv, run = redact_folder(spark, d, d + "/out", apply=True, report_dir=d + "/report")
+    from scrub.sources.files import load_report
+
+    files, summary = load_report(spark, d + "/report")
+    assert files.count() == 2 and summary.first().total_files == 2
     got = {os.path.basename(r.input_path): (r.rows_or_pages, r.entities_by_type) for r in run.files.collect()}
     assert got["people.csv"] == (1, {"EMAIL_ADDRESS": 1})
     assert got["test.csv"][0] == 2
