@@ -217,7 +217,9 @@ def header_groups(spark: SparkSession, paths) -> dict:
 
 def _merge(results: list) -> RunResult:
     if len(results) == 1:
-        return results[0]
+        r = results[0]
+        return RunResult(r.run_id, r.started_at, r.completed_at, r.dry_run, r.files, run_summary(r.files),
+                         r.findings, r.observed)
     files = results[0].files
     findings = results[0].findings
     for r in results[1:]:
@@ -251,10 +253,29 @@ def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None,
     if not csvs:
         return inv, None
     report_dir = kw.pop("report_dir", None)
+    groups = header_groups(spark, csvs)
+
+    def bare(x):
+        return x[len("file:"):] if x.startswith("file:") else x
+
+    seen = {bare(p) for g in groups.values() for p in g}
+    empty = [p for p in csvs if bare(p) not in seen]  # no header line: fails, as an empty file does with pandas
     results = []
-    for k, (_, group) in enumerate(sorted(header_groups(spark, csvs).items())):
+    for k, (_, group) in enumerate(sorted(groups.items())):
         mode = "errorifexists" if k == 0 else "append"
         results.append(redact_csv_files(spark, sorted(group), out_dir, policy, apply, write_mode=mode, **kw))
+    if empty:
+        failed = spark.createDataFrame(
+            [(p, "csv", False, 0, 0, {}, "no header line (empty file)") for p in empty],
+            "input_path string, file_type string, success boolean, rows_or_pages long, fields_changed long, "
+            "entities_by_type map<string,bigint>, error string")
+        if results:
+            results[0] = RunResult(results[0].run_id, results[0].started_at, results[0].completed_at,
+                                   results[0].dry_run, results[0].files.unionByName(failed, allowMissingColumns=True),
+                                   results[0].summary, results[0].findings, results[0].observed)
+        else:
+            return inv, RunResult(uuid.uuid4().hex, _now(), _now(), not apply, failed, run_summary(failed),
+                                  spark.createDataFrame([], "source string, column_name string, entity_type string"))
     merged = _merge(results)
     if apply and report_dir:  # one report for the whole folder
         save_report(merged.files, merged.summary.select(

@@ -183,10 +183,17 @@ def inventory(spark: SparkSession, folder: str, recursive: bool = False, include
     The listing reads no file content (``binaryFile`` without ``content``).
     """
     root = folder.rstrip("/")
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select(F.regexp_replace("path", "^file:", "").alias("path"), "length")
-    )
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+    def bare(c):  # "file:/x", "file:///x" -> "/x"
+        return F.regexp_replace(c, "^file:/+", "/")
+
+    scanned = listing.select(bare(F.col("path")).alias("path"), "length")
+    # The scan skips zero-length files; the file index (already held on the
+    # driver, one path per file) still lists them: add those with length 0.
+    listed = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string").select(bare(F.col("path")).alias("path"))
+    empty = listed.join(scanned.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
+    files = scanned.unionByName(empty)
     # Paths come back without "file:"; measure the prefix on the same form.
     bare_root = re.sub(r"^file:/*", "/", root)
     rel = F.expr(f"substring(path, {len(bare_root) + 2})")

@@ -132,3 +132,10 @@ def test_inventory_accepts_file_uris(spark):
     a = sorted((r.rel_path, r.status) for r in inventory(spark, root).collect())
     b = sorted((r.rel_path, r.status) for r in inventory(spark, "file://" + root).collect())
     assert a == b and ("a.csv", "supported") in a
+
+
+def test_inventory_lists_empty_files(spark):
+    root = _tree()
+    open(os.path.join(root, "zero.csv"), "w").close()
+    got = {r.name: (r.length, r.status) for r in inventory(spark, root).collect()}
+    assert got["zero.csv"] == (0, "supported") and got["a.csv"][1] == "supported"

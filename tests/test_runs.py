@@ -117,15 +117,19 @@ def test_folder_with_mixed_headers(spark):
     from scrub.operators.runs import redact_folder
 
     d = _csv_dir()
+    open(d + "/empty.csv", "w").close()
     with open(d + "/people.csv", "w") as f:
         f.write("email,name\nx@y.io,Zed\n")
     inv, run = redact_folder(spark, d, d + "/out", apply=True, report_dir=d + "/report")
     from scrub.sources.files import load_report
 
     files, summary = load_report(spark, d + "/report")
-    assert files.count() == 2 and summary.first().total_files == 2
+    assert files.count() == 3 and summary.first().total_files == 3
     got = {os.path.basename(r.input_path): (r.rows_or_pages, r.entities_by_type) for r in run.files.collect()}
     assert got["people.csv"] == (1, {"EMAIL_ADDRESS": 1})
+    failed = {os.path.basename(r.input_path): r.error for r in run.files.where("not success").collect()}
+    assert failed == {"empty.csv": "no header line (empty file)"}
+    assert run.summary.first().failed_files == 1
     assert got["test.csv"][0] == 2
     text = "".join(open(p).read() for p in glob.glob(d + "/out/file=people.csv/*.csv"))
     assert text.splitlines() == ["email,name", "[EMAIL_ADDRESS],Zed"]
