@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrub.llm import bpe, exact_dedup, mixing, sharding
+from scrub.llm import bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, substring
 from scrub.session import read_table
 
 #: Place of the public tokenizer's vocabulary file; None asks the public_tokenizers package.
@@ -24,11 +24,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(read_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -37,7 +53,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sharding, op7_bpe, op8_mixing)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_links(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_secret_scan, op5_minhash_near_dedup, op6_pii, op7_bpe, op8_mixing,
+        op9_substring_dedup, op10_embedding_near_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -45,4 +75,27 @@ ORACLE_SQL = {
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
                row_number() over (partition by text_sha256 order by doc_id nulls last) = 1 as kept, text_sha256
         from d window w as (partition by text_sha256)""",
+    # Every pair of sets that share a shingle, then the closure of the links.
+    "op5_minhash_near_dedup": r"""
+        with recursive w as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+                   else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as sh from w),
+        e as (select doc_id, unnest(sh) as g from s),
+        c as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as (select a, b from c join s x on x.doc_id = a join s y on y.doc_id = b where 100 * n >= 80 * (len(x.sh) + len(y.sh) - n)),
+        u as (select a, b from l union select b, a from l),
+        r as (select doc_id as id, doc_id as o from s union select u.b, r.o from r join u on u.a = r.id),
+        m as (select id, min(o) as component_id from r group by id)
+        select doc_id, len(sh)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join m on id = doc_id""",
+    "op10_embedding_near_dedup": r"""
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+        l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+              where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r as (select vec_id as id, vec_id as o from v union select l.b, r.o from r join l on l.a = r.id),
+        m as (select id, min(o) as component_id from r group by id),
+        n as (select a, count(*) as n from l group by a)
+        select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+        from v join m on id = vec_id left join n on a = vec_id""",
 }
