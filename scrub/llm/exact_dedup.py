@@ -26,10 +26,14 @@ def text_digest(name: str):
     return F.sha2(F.regexp_replace(text_of(name), f"[{SPACE}]+", " "), 256)
 
 
-def heavy_digests(rows: DataFrame) -> DataFrame:
+def heavy_digests(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified winners of `rows` (id, digest): (digest, keep_id, group_size), at most WINNERS rows, each of 2 rows or more."""
     parts = rows.groupBy((F.spark_partition_id() % MERGES).alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {TRACKED})").alias("s"))
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {WINNERS})").alias("t"))
+    parts = scratch.save(parts)
+    if parts.isEmpty():
+        return rows.select("digest", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size")).limit(0)
+    # The last merge reads the MERGES written summaries in one task: Spark can't combine an empty partition.
+    top = parts.coalesce(1).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {WINNERS})").alias("t"))
     named = top.select(F.explode("t.item").alias("digest"))
     exact = rows.join(F.broadcast(named), "digest").groupBy("digest")
     return exact.agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
@@ -44,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "exact")
     rows = scratch.save(docs.select(col(id_col).alias("id"), text_digest(text_col).alias("digest")))
-    heavy = scratch.save(heavy_digests(rows))
+    heavy = scratch.save(heavy_digests(rows, scratch))
     met = rows.join(F.broadcast(heavy), "digest", "left")
     lost = F.col("group_size").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))
     same = Window.partitionBy("digest")
@@ -67,7 +71,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scratch = Scratch(docs.sparkSession, "drop")
     rows = scratch.save(docs.select(col(id_col).alias("id"), text_digest(text_col).alias("digest")))
-    heavy = scratch.save(heavy_digests(rows))
+    heavy = scratch.save(heavy_digests(rows, scratch))
     scratch.drop(rows)
     key, win, n, nth = (fresh(docs, x) for x in ("_digest", "_keep", "_size", "_nth"))
     winners = heavy.select(F.col("digest").alias(key), F.col("keep_id").alias(win), F.col("group_size").alias(n))
