@@ -20,7 +20,7 @@ TRICKY = [
 
 def same(text):
     ids = LIBRARY.encode(text, add_special_tokens=False).ids
-    assert BPE.encode(text) == ids
+    assert BPE.encode(text).tolist() == ids
     assert BPE.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
