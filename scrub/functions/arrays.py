@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrub.names import col
+
 
 def explode_kept(df: DataFrame, keep, arr: Column, alias: str, pos: str | None = None) -> DataFrame:
     """``df.select(*keep, explode(arr))`` without the inferred, duplicated filter.
@@ -21,7 +23,7 @@ def explode_kept(df: DataFrame, keep, arr: Column, alias: str, pos: str | None =
     are themselves null are kept then.  Without it, null elements are dropped
     (no array built here holds any).
     """
-    keep = list(keep)
+    keep = [col(k) if isinstance(k, str) else k for k in keep]
     if pos is None:
         return df.select(*keep, F.explode_outer(arr).alias(alias)).where(F.col(alias).isNotNull())
     return df.select(*keep, F.posexplode_outer(arr).alias(pos, alias)).where(F.col(pos).isNotNull())

@@ -12,7 +12,6 @@ chained stages re-run upstream regexes 2^k times.
 
 from __future__ import annotations
 
-import re
 from typing import Callable
 
 from pyspark.sql import Column
@@ -33,22 +32,27 @@ SPAN_TYPE = T.StructType(
 SPANS_TYPE = T.ArrayType(SPAN_TYPE)
 
 
-_UNRESOLVED = re.compile(r"UnresolvedAttribute\(List\(([^)]*)\),None,")
-
-
 def _key_part(a):
     """Cache key of one argument; ``None`` when it cannot be shared safely.
 
-    Only plain by-name columns (``F.col("text")``) are shared: a column taken
-    from a DataFrame (``df["text"]``) is bound to that DataFrame's plan.
+    Only plain by-name columns (``F.col("text")``) are shared, by their exact
+    name parts; a column taken from a DataFrame (``df["text"]``) is bound to
+    that DataFrame's plan.
     """
     if not isinstance(a, Column):
         return repr(a)
     try:
-        m = _UNRESOLVED.match(a._jc.node().toString())
+        node = a._jc.node()
+        if node.getClass().getSimpleName() != "UnresolvedAttribute" or node.planId().isDefined():
+            return None
+        parts = node.nameParts()
+        return ("col", tuple(parts.apply(i) for i in range(parts.size())))
     except Exception:  # noqa: BLE001 - other Column implementations: no caching
         return None
-    return ("col", m.group(1)) if m else None
+
+
+# Trees kept per builder: the oldest leaves first.
+_CACHE_SIZE = 256
 
 
 def memo_column(fn):
@@ -73,6 +77,8 @@ def memo_column(fn):
         key = (sc.applicationId, sc.startTime, tuple(parts))
         hit = cache.get(key)
         if hit is None:
+            if len(cache) >= _CACHE_SIZE:
+                del cache[next(iter(cache))]
             hit = cache[key] = fn(*args, **kw)
         return hit
 

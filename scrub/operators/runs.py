@@ -16,20 +16,23 @@ runs once, and a lost executor's blocks are recomputed from the input.  With
 from __future__ import annotations
 
 import datetime as _dt
+import re
 import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrub.functions.arrays import explode_kept
 from scrub.operators.audit import count_by, explode_entities, file_results, run_summary
 from scrub.operators.documents import redact_pages, write_renders
-from scrub.operators.tables import RESULT_PREFIX, _targets, cell_results, redact_column
+from scrub.names import col, unique_names
+from scrub.operators.tables import RESULT_PREFIX, cell_results
 from scrub.policy import DEFAULT_POLICY, Policy
 from scrub.session import ensure_checkpoint_dir
-from scrub.sources.files import base_name, fingerprints, guard_output, read_csv_strings, save_report, write_csv
+from scrub.sources.files import base_name, csv_writer, fingerprints, guard_output, local_path, partition_folder, plain_path, save_report
 
 
 @dataclass
@@ -69,15 +72,15 @@ def entity_types_of(policy: Policy) -> list[str]:
 
 def _observed_totals(targets: list[str], policy: Policy) -> list:
     """Aggregates for ``observe``: rows, changed cells and findings per type in changed cells."""
-    changed = [F.col(RESULT_PREFIX + c + ".changed") for c in targets]
+    changed = [col(RESULT_PREFIX + c)["changed"] for c in targets]
     exprs = [F.count(F.lit(1)).alias("rows"),
              F.sum(sum((x.cast("long") for x in changed), F.lit(0).cast("long"))).alias("fields_changed")]
     def of_type(et):
         return lambda e: e["entity_type"] == et  # one argument: filter passes (x, index) to two
 
     for et in entity_types_of(policy):
-        per_cell = [F.when(F.col(RESULT_PREFIX + c + ".changed"),
-                           F.size(F.filter(F.col(RESULT_PREFIX + c + ".entities"), of_type(et))))
+        per_cell = [F.when(col(RESULT_PREFIX + c)["changed"],
+                           F.size(F.filter(col(RESULT_PREFIX + c)["entities"], of_type(et))))
                     .otherwise(0) for c in targets]
         exprs.append(F.sum(sum(per_cell, F.lit(0))).cast("long").alias(et))
     return exprs
@@ -87,90 +90,213 @@ def _now() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat()
 
 
-CORRUPT = "_corrupt_record"
-# A comma outside double quotes separates two fields of a raw CSV line.
-_FIELD_SEP = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+CORRUPT, SOURCE = "_corrupt_record", "_source"
+FINDINGS = "source string, column_name string, entity_type string"
+
+
+def _fields(record):
+    """Number of fields of a raw CSV record, in linear time: separators outside double quotes, plus one."""
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _listed(spark: SparkSession, paths) -> DataFrame:
+    """``(input_path, length)`` of every input file.  No content is read; files of no bytes come from the file index."""
+    listing = spark.read.format("binaryFile").load(list(paths))
+    sized = listing.select(local_path(F.col("path")).alias("input_path"), "length")
+    index = spark.createDataFrame([(p,) for p in listing.inputFiles()], "p string").select(plain_path(F.col("p")).alias("input_path"))
+    return sized.unionByName(index.join(sized, "input_path", "left_anti").withColumn("length", F.lit(0).cast("long")))
+
+
+def _relative(path, base: str):
+    """The path below ``base``; the bare name of a file elsewhere."""
+    base = base.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(base_name(path))
+
+
+def _base_of(paths) -> str:
+    """The deepest folder that holds all inputs; an input that is no file of its own counts as a folder."""
+    import os
+
+    plain = [re.sub(r"^file:/*", "/", p) for p in paths]
+    tops = [os.path.dirname(p) if os.path.splitext(p)[1] else p for p in plain]
+    return os.path.commonpath(tops) if all(t.startswith("/") for t in tops) else os.path.commonprefix(tops).rsplit("/", 1)[0]
+
+
+def _group_results(spark: SparkSession, header: tuple, paths, policy: Policy, null_tokens, multiline: bool) -> tuple[DataFrame, list[str], list[str]]:
+    """Cell results of files with one header, their columns named by place: ``(results, places, names)``.
+
+    Headers can be any text, so they name columns only where a file is written and a finding reported.
+    """
+    names = unique_names(header)
+    places = [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*places, CORRUPT]])
+    reader = (
+        spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("escape", '"')
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    )
+    src = reader.csv(list(paths))
+    tokens = [t for t in null_tokens if t != ""]
+    cells = [(F.when(~F.col(c).isin(*tokens), F.col(c)) if tokens else F.col(c)).alias(c) for c in places]
+    src = src.select(*cells, (F.col(CORRUPT).isNotNull() & (_fields(F.col(CORRUPT)) > len(places))).alias("_long"),
+                     plain_path(F.col("_metadata.file_path")).alias(SOURCE))
+    hidden = [c for c, n in zip(places, names) if n in set(policy.sensitive_columns)]
+    return cell_results(src, policy.with_(sensitive_columns=tuple(hidden)), keep=[SOURCE]), places, names
+
+
+def _tallies(res: DataFrame, places: list[str]) -> DataFrame:
+    """``(source, key, n)`` of every row in one array: rows, changed cells, surplus rows and findings by type.
+
+    One partial and final aggregate counts all of them, so the redaction is evaluated once.
+    """
+    cell = [col(RESULT_PREFIX + c) for c in places]
+    changed = sum((r["changed"].cast("long") for r in cell), F.lit(0).cast("long"))
+    types = F.flatten(F.array(*[F.when(r["changed"], F.transform(r["entities"], lambda e: e["entity_type"])).otherwise(F.array().cast("array<string>")) for r in cell]))
+    pair = lambda k, n: F.struct(k.alias("key"), n.cast("long").alias("n"))
+    fixed = F.array(pair(F.lit("#rows"), F.lit(1)), pair(F.lit("#changed"), changed), pair(F.lit("#long"), F.col("_long").cast("int")))
+    each = F.concat(fixed, F.transform(types, lambda t: pair(t, F.lit(1))))
+    return res.select(SOURCE, F.explode(each).alias("e")).groupBy(SOURCE, F.col("e.key").alias("key")).agg(F.sum("e.n").alias("n"))
+
+
+def _file_rows(listed: DataFrame, tallies: DataFrame | None) -> DataFrame:
+    """One result for every listed file, whatever it holds: (path, kind, header) with its tallies."""
+    none = F.create_map().cast("map<string,bigint>")
+    if tallies is None:
+        tallies = listed.sparkSession.createDataFrame([], f"{SOURCE} string, key string, n long")
+    maps = tallies.groupBy(SOURCE).agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("m"))
+    got = listed.join(maps, listed["input_path"] == maps[SOURCE], "left")
+    long_row = F.coalesce(F.col("m")["#long"], F.lit(0)) > 0
+    error = (
+        F.when(F.col("kind") != "csv", F.lit("only extracted page text is processed: pass it to redact_documents_run"))
+        .when(~F.col("has_header"), F.lit("no header line (empty file)"))
+        .when(long_row, F.lit("a row has more fields than the header"))
+    )
+    ok = error.isNull()
+    number = lambda k: F.when(ok, F.coalesce(F.col("m")[k], F.lit(0))).otherwise(0).cast("long")
+    types = F.map_filter("m", lambda k, n: ~k.startswith("#"))
+    return got.select(
+        "input_path", F.col("kind").alias("file_type"), ok.alias("success"), number("#rows").alias("rows_or_pages"), number("#changed").alias("fields_changed"),
+        F.when(ok, F.coalesce(types, none)).otherwise(none).alias("entities_by_type"), error.alias("error"),
+    )
 
 
 def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                      apply: bool = False, report_dir: str | None = None, force: bool = False,
-                     durable: bool = False, hashes: bool = False, write_mode: str = "errorifexists") -> RunResult:
-    """Redact CSV files sharing one header.  Output: ``out_dir/file=<name>/part-*.csv``.
-
-    Counting follows the table rules: findings of changed cells only, one
-    ``FULL_COLUMN_REDACTION`` per non-null cell of a sensitive column.
-    A file holding a row with more fields than its header fails (as with a
-    pandas reader): its result says so, nothing of it is written or counted,
-    and the run goes on.  Short rows are padded with nulls.
-    ``hashes`` fills ``input_hash`` with each input file's SHA-256 (one more
-    read of every input byte, one row per file).
+                     durable: bool = True, hashes: bool = False, write_mode: str = "errorifexists",
+                     null_tokens=(), multiline: bool = True, input_base: str | None = None, others: DataFrame | None = None) -> RunResult:
+    """Redact CSV files.  Output: ``out_dir/file=<path below input_base>/part-*.csv``.
+
+    Files are grouped by header and each group is one multi-path read by its own
+    header, so columns are never taken by another file's order.  Every input
+    has a result: rows and changes; a file of a header alone succeeds with no
+    rows; an empty file, or one holding a row with more fields than its header,
+    fails (as with a pandas reader), nothing of it is written or counted, and the
+    run goes on.  Short rows are padded with nulls.  Findings are those of
+    changed cells, one ``FULL_COLUMN_REDACTION`` per non-null cell of a sensitive
+    column.  Headers may hold any characters; blank and repeated ones are renamed
+    as a pandas reader does.
+    ``input_base`` (default: the deepest folder of all inputs) is where outputs'
+    relative paths start, so equal names in two folders stay two outputs.
+    ``hashes`` fills ``input_hash`` and, when applying, ``output_hash`` with SHA-256
+    (of the part's bytes; of the parts' hashes in order if there are several).
+    ``null_tokens`` are read as missing cells.  ``multiline=False`` lets large files
+    without quoted line ends be split.  ``others`` (input_path, kind) are listed
+    files of other kinds, reported as failed.
     """
-    from pyspark.sql import types as T
-
-    started = _now()
+    started, run_id = _now(), uuid.uuid4().hex
     paths = [inputs] if isinstance(inputs, str) else list(inputs)
     if apply:
         if out_dir is None:
             raise ValueError("apply=True needs out_dir")
         for p in paths:
             guard_output(p, out_dir, force)
-    header = spark.read.option("header", True).option("inferSchema", False).csv(paths).schema
-    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in header] + [T.StructField(CORRUPT, T.StringType())])
-    src = read_csv_strings(spark, paths, with_source=True, schema=schema, corrupt_column=CORRUPT)
-    cols = [f.name for f in header]
-    res = cell_results(src, policy, keep=["source", CORRUPT])
-    if apply:
-        res = _keep(res, durable)
-    targets = _targets(src, ["source", CORRUPT])
-    long_row = F.col(CORRUPT).isNotNull() & (F.regexp_count(F.col(CORRUPT), F.lit(_FIELD_SEP)) + 1 > len(cols))
-    per_col = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(RESULT_PREFIX + n).alias("r")) for n in targets])
-    cells = explode_kept(res, ["source"], per_col, "cell").where(F.col("cell.r.changed")).select(
-        "source", F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
-    findings = explode_kept(cells, ["source", "column_name"], F.col("_e"), "e").select(
-        "source", "column_name", F.col("e.entity_type").alias("entity_type"))
-    n_changed = sum((F.col(RESULT_PREFIX + n + ".changed").cast("long") for n in targets), F.lit(0).cast("long"))
-    rows = res.select("source", n_changed.alias("_changed"), long_row.alias("_long"))
-    files = file_results(rows, "source", count_by(findings, "source", "entity_type"), "csv",
-                         failed=F.col("_long"), changed=F.col("_changed"))
-    ok = F.col("success")
-    files = files.select(
-        "input_path", "file_type", "success",
-        F.when(ok, F.col("rows_or_pages")).otherwise(F.lit(0).cast("long")).alias("rows_or_pages"),
-        F.when(ok, F.col("fields_changed")).otherwise(F.lit(0).cast("long")).alias("fields_changed"),
-        F.when(ok, F.col("entities_by_type")).otherwise(F.create_map().cast("map<string,bigint>")).alias("entities_by_type"),
-        F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("a row has more fields than the header")).alias("error"),
-    )
-    if apply:
-        out_path = F.concat(F.lit(out_dir.rstrip("/") + "/file="), base_name(F.col("input_path")))
-        files = files.withColumn("output_paths", F.when(ok, F.array(out_path)).otherwise(F.array().cast("array<string>")))
-    if hashes:
-        fp = fingerprints(spark, paths).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
-        bare = F.regexp_replace(F.col("input_path"), "^file:", "")
-        files = files.join(fp, bare == F.col("_p"), "left").drop("_p")
+    base = re.sub(r"^file:/*", "/", input_base) if input_base else _base_of(paths)
+    groups = header_groups(spark, paths) if paths else {}
+    headed = spark.createDataFrame([(p,) for g in groups.values() for p in g], "p string")
+    kinds = "input_path string, kind string, has_header boolean"
+    if paths:
+        listed = _listed(spark, paths)
+        listed = listed.join(headed, listed["input_path"] == headed["p"], "left").select("input_path", F.lit("csv").alias("kind"), F.col("p").isNotNull().alias("has_header"))
+    else:
+        listed = spark.createDataFrame([], kinds)
+    if others is not None:
+        listed = listed.unionByName(others.select("input_path", "kind", F.lit(True).alias("has_header")))
+
+    done, tallies, findings = [], None, spark.createDataFrame([], FINDINGS)
+    for header, group in sorted(groups.items()):
+        res, places, names = _group_results(spark, header, group, policy, null_tokens, multiline)
+        if apply:
+            res = _keep(res, durable)
+        done.append((res, places, names))
+        counted = _tallies(res, places)
+        tallies = counted if tallies is None else tallies.unionByName(counted)
+        per_cell = F.array(*[F.struct(F.lit(n).alias("column_name"), col(RESULT_PREFIX + c).alias("r")) for c, n in zip(places, names)])
+        cells = explode_kept(res, [SOURCE], per_cell, "cell").where(F.col("cell.r.changed"))
+        cells = cells.select(SOURCE, F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
+        findings = findings.unionByName(explode_kept(cells, [SOURCE, "column_name"], F.col("_e"), "e").select(
+            F.col(SOURCE).alias("source"), "column_name", F.col("e.entity_type").alias("entity_type")))
+    files = _file_rows(listed, tallies)
     observed = None
     if apply:
-        # Per-file results are small (one row per file): materialise them first,
-        # so failed files can be left out of the write.
+        # One row per file: materialised first, so failed files can be left out of the write.
+        out_path = F.concat(F.lit(out_dir.rstrip("/") + "/file="), partition_folder(_relative(F.col("input_path"), base)))
+        files = files.withColumn("output_paths", F.when(F.col("success") & (F.col("rows_or_pages") > 0), F.array(out_path)).otherwise(F.array().cast("array<string>")))
         files = _keep(files, durable)
-        files.count()
-        failed = files.where(~F.col("success")).select(F.col("input_path").alias("source"))
-        good = res.join(failed, "source", "left_anti")
-        obs = Observation("scrub_run")
-        out = good.observe(obs, *_observed_totals(targets, policy)).select(
-            *[F.col(RESULT_PREFIX + c + ".redacted").alias(c) if c in targets else F.col(c) for c in cols],
-            base_name(F.col("source")).alias("file"))
-        out.write.mode(write_mode).partitionBy("file").option("header", True).option("escape", '"').csv(out_dir)
-        observed = dict(obs.get)
-        res.unpersist()  # ``findings`` stays lazy (recomputed if used)
+        failed = files.where(~F.col("success")).select(F.col("input_path").alias(SOURCE))
+        observed = {}
+        for k, (res, places, names) in enumerate(done):
+            obs = Observation(f"scrub_run_{k}")
+            good = res.join(failed, SOURCE, "left_anti").observe(obs, *_observed_totals(places, policy))
+            part = "file" if "file" not in {n.lower() for n in names} else "file_" + run_id[:6]
+            out = good.select(*[col(RESULT_PREFIX + c)["redacted"].alias(n) for c, n in zip(places, names)], _relative(F.col(SOURCE), base).alias(part))
+            where = out_dir if part == "file" else f"{out_dir.rstrip('/')}/_{part}"
+            csv_writer(out, write_mode if k == 0 else "append").partitionBy(part).csv(where)
+            if part != "file":
+                _rename_partitions(spark, where, part, out_dir)
+            for key, n in obs.get.items():
+                observed[key] = observed.get(key, 0) + (n or 0)
+    if hashes:
+        files = _with_hashes(spark, files, paths, out_dir if apply else None)
     summary = run_summary(files)
-    result = RunResult(uuid.uuid4().hex, started, _now(), not apply, files, summary, findings, observed)
-    if apply and report_dir:
-        save_report(files, summary.select("total_files", "successful_files", "failed_files",
-                                          F.create_map().cast("map<string,bigint>").alias("aggregate_entities")),
-                    report_dir)
+    result = RunResult(run_id, started, _now(), not apply, files, summary, findings, observed)
+    if apply and report_dir and policy.create_audit_report:
+        save_report(files, report_summary(result), report_dir)
     return result
 
 
+def _rename_partitions(spark: SparkSession, where: str, part: str, out_dir: str) -> None:
+    """Move ``where/<part>=x`` to ``out_dir/file=x``: a data column already has the partition's name."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(where)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(top):
+        name = f.getPath().getName()
+        if name.startswith(part + "="):
+            fs.rename(f.getPath(), hadoop.Path(out_dir, "file=" + name[len(part) + 1:]))
+    fs.delete(top, True)
+
+
+def _with_hashes(spark: SparkSession, files: DataFrame, paths, out_dir: str | None) -> DataFrame:
+    if paths:
+        read = fingerprints(spark, list(paths)).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
+        files = files.join(read, files["input_path"] == read["_p"], "left").drop("_p")
+    if out_dir:
+        written = fingerprints(spark, f"{out_dir.rstrip('/')}/file=*/part-*")
+        folder = F.regexp_replace("path", "/[^/]*$", "")
+        by_folder = written.groupBy(folder.alias("_o")).agg(F.sort_array(F.collect_list(F.struct("path", "sha256")))["sha256"].alias("h"))
+        by_folder = by_folder.select("_o", F.when(F.size("h") == 1, F.col("h")[0]).otherwise(F.sha2(F.array_join("h", ""), 256)).alias("output_hash"))
+        files = files.join(by_folder, local_path(F.get("output_paths", F.lit(0))) == by_folder["_o"], "left").drop("_o")
+    return files
+
+
+def report_summary(run: RunResult) -> DataFrame:
+    """The saved summary: totals, findings by type over all files, and the run's id, times and mode."""
+    types = run.files.select(F.explode("entities_by_type").alias("t", "n")).groupBy("t").agg(F.sum("n").alias("n"))
+    total = types.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", "n")))).alias("aggregate_entities"))
+    told = [F.lit(run.run_id).alias("run_id"), F.lit(run.started_at).alias("started_at"), F.lit(run.completed_at).alias("completed_at"), F.lit(run.dry_run).alias("dry_run")]
+    return run.summary.select("total_files", "successful_files", "failed_files").join(F.broadcast(total)).select("*", *told)
+
+
 def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                          apply: bool = False, doc: str = "doc_id", page: str = "page_number",
                          source_name: str | None = None, durable: bool = False) -> RunResult:
@@ -192,7 +318,7 @@ def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: P
 
 
 def header_groups(spark: SparkSession, paths) -> dict:
-    """Files grouped by their header line: ``{header: [paths]}``.
+    """Files grouped by their header line: ``{header: [paths]}``; files without one are in no group.
 
     One text scan keeps the first line of every file (the row with the lowest
     id in the split that starts at byte 0); one row per file reaches the
@@ -202,7 +328,7 @@ def header_groups(spark: SparkSession, paths) -> dict:
 
     lines = (
         spark.read.text(list(paths))
-        .select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), "value",
+        .select(plain_path(F.col("_metadata.file_path")).alias("p"), F.col("_metadata.file_block_start").alias("b"), "value",
                 F.monotonically_increasing_id().alias("i"))
         .where(F.col("b") == 0)
         .groupBy("p").agg(F.min_by("value", "i").alias("header"))
@@ -210,78 +336,30 @@ def header_groups(spark: SparkSession, paths) -> dict:
     )
     groups: dict = {}
     for r in lines:
-        key = tuple(next(csv.reader([r["header"] or ""]), []))
-        groups.setdefault(key, []).append(r["p"])
+        key = tuple(next(csv.reader([(r["header"] or "").removeprefix("\ufeff")]), []))
+        if key:
+            groups.setdefault(key, []).append(r["p"])
     return groups
 
 
-def _merge(results: list) -> RunResult:
-    if len(results) == 1:
-        r = results[0]
-        return RunResult(r.run_id, r.started_at, r.completed_at, r.dry_run, r.files, run_summary(r.files),
-                         r.findings, r.observed)
-    files = results[0].files
-    findings = results[0].findings
-    for r in results[1:]:
-        files = files.unionByName(r.files, allowMissingColumns=True)
-        findings = findings.unionByName(r.findings)
-    observed = None
-    if all(r.observed is not None for r in results):
-        observed = {}
-        for r in results:
-            for k, v in r.observed.items():
-                observed[k] = observed.get(k, 0) + (v or 0)
-    return RunResult(results[0].run_id, results[0].started_at, results[-1].completed_at, results[0].dry_run,
-                     files, run_summary(files), findings, observed)
-
-
 def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                   recursive: bool = False, apply: bool = False, **kw) -> tuple[DataFrame, RunResult | None]:
     """Inventory a folder with the policy's globs, then redact every supported CSV file.
 
     Returns the inventory (every file with ``supported``/``skipped``) and the run
-    (``None`` when no CSV file is supported).  Files are grouped by header, and
-    each group is one multi-path run (a handful of groups, not one job per
-    file), all writing into ``out_dir``.  Only paths and header lines reach the
-    driver.
+    (``None`` when no file is supported), whose results hold every supported file:
+    PDF files fail with the reason, as only extracted page text is processed.
+    Outputs mirror the folder: ``out_dir/file=<path below folder>``.  Other options
+    are those of ``redact_csv_files``.
     """
     from scrub.sources.files import extension, inventory
 
     inv = inventory(spark, folder, recursive, policy.include_globs, policy.exclude_globs)
-    csvs = [r.path for r in inv.where((F.col("status") == "supported") & (extension(F.col("path")) == ".csv"))
-            .select("path").collect()]
-    if not csvs:
+    if apply and out_dir is not None:
+        guard_output(folder, out_dir, kw.get("force", False))
+    supported = inv.where(F.col("status") == "supported").select(F.col("path").alias("input_path"), F.substr(extension(F.col("path")), F.lit(2)).alias("kind"))
+    csvs = [r.input_path for r in supported.where(F.col("kind") == "csv").collect()]
+    others = supported.where(F.col("kind") != "csv")
+    if not csvs and others.isEmpty():
         return inv, None
-    report_dir = kw.pop("report_dir", None)
-    groups = header_groups(spark, csvs)
-
-    def bare(x):
-        return x[len("file:"):] if x.startswith("file:") else x
-
-    seen = {bare(p) for g in groups.values() for p in g}
-    empty = [p for p in csvs if bare(p) not in seen]  # no header line: fails, as an empty file does with pandas
-    results = []
-    for k, (_, group) in enumerate(sorted(groups.items())):
-        mode = "errorifexists" if k == 0 else "append"
-        results.append(redact_csv_files(spark, sorted(group), out_dir, policy, apply, write_mode=mode, **kw))
-    if empty:
-        failed = spark.createDataFrame(
-            [(p, "csv", False, 0, 0, {}, "no header line (empty file)") for p in empty],
-            "input_path string, file_type string, success boolean, rows_or_pages long, fields_changed long, "
-            "entities_by_type map<string,bigint>, error string")
-        if results:
-            results[0] = RunResult(results[0].run_id, results[0].started_at, results[0].completed_at,
-                                   results[0].dry_run, results[0].files.unionByName(failed, allowMissingColumns=True),
-                                   results[0].summary, results[0].findings, results[0].observed)
-        else:
-            return inv, RunResult(uuid.uuid4().hex, _now(), _now(), not apply, failed, run_summary(failed),
-                                  spark.createDataFrame([], "source string, column_name string, entity_type string"))
-    merged = _merge(results)
-    if apply and report_dir:  # one report for the whole folder
-        save_report(merged.files, merged.summary.select(
-            "total_files", "successful_files", "failed_files",
-            F.create_map().cast("map<string,bigint>").alias("aggregate_entities")), report_dir)
-    return inv, merged
-
-
-__all__ = ["RunResult", "redact_csv_files", "redact_documents_run", "redact_folder", "redact_column", "write_csv"]
+    return inv, redact_csv_files(spark, csvs, out_dir, policy, apply, input_base=folder, others=others, **kw)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from scrub.functions.arrays import explode_kept
 from scrub.functions.text import memo_column
+from scrub.names import col
 from scrub.operators.redact import redact, redact_text
 from scrub.policy import DEFAULT_POLICY, FULL_COLUMN_REDACTION, REDACTED, Policy
 
@@ -37,7 +38,7 @@ def _pipeline_over(names: tuple, policy: Policy, text_only: bool = False) -> Col
     ``text_only`` yields the redacted strings without entity bookkeeping.
     """
     fn = redact_text if text_only else redact
-    return F.transform(F.array(*[F.col(n) for n in names]), lambda v: fn(v, policy))
+    return F.transform(F.array(*[col(n) for n in names]), lambda v: fn(v, policy))
 
 
 def cell_results(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> DataFrame:
@@ -48,11 +49,11 @@ def cell_results(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
     sens = set(policy.sensitive_columns)
     targets = _targets(df, keep)
     plain = [n for n in targets if n not in sens]
-    base = list(df.columns)
+    base = [col(n) for n in df.columns]
     staged = df.select(*base, _pipeline_over(tuple(plain), policy).alias("__cells")) if plain else df
     extra = []
     for name in targets:
-        c = F.col(name)
+        c = col(name)
         if name in sens:
             r = F.struct(
                 redact_column(c).alias("redacted"),
@@ -79,7 +80,7 @@ def redact_table(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
     staged = df.select("*", _pipeline_over(tuple(plain), policy, True).alias("__cells")) if plain else df
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = col(f.name)
         if f.name not in targets:
             out.append(c)
         elif f.name in sens:
@@ -96,25 +97,25 @@ def cell_findings(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=(), carry
     one ``FULL_COLUMN_REDACTION`` per non-null cell.
     """
     targets = _targets(df, list(keep) + list(carry))
-    res = cell_results(df.select(*carry, *targets), policy, keep=carry)
+    res = cell_results(df.select(*map(col, [*carry, *targets])), policy, keep=carry)
     per_col = F.array(*[
-        F.struct(F.lit(n).alias("column_name"), F.col(RESULT_PREFIX + n).alias("r")) for n in targets
+        F.struct(F.lit(n).alias("column_name"), col(RESULT_PREFIX + n).alias("r")) for n in targets
     ])
     cells = explode_kept(res, carry, per_col, "cell").where(F.col("cell.r.changed")) \
-        .select(*carry, F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
+        .select(*map(col, carry), F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
     return explode_kept(cells, list(carry) + ["column_name"], F.col("_e"), "e") \
-        .select(*carry, "column_name", F.col("e.entity_type").alias("entity_type"))
+        .select(*map(col, carry), "column_name", F.col("e.entity_type").alias("entity_type"))
 
 
 def changed_per_column(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> DataFrame:
     """``(column_name, cells_changed)`` with one partial+final aggregate over the table."""
     targets = _targets(df, keep)
-    res = cell_results(df.select(*targets), policy)
-    sums = res.agg(*[F.sum(F.col(RESULT_PREFIX + n + ".changed").cast("long")).alias(n) for n in targets])
-    stack = ", ".join(f"'{n}', `{n}`" for n in targets)
-    return sums.selectExpr(f"stack({len(targets)}, {stack}) as (column_name, cells_changed)").select(
-        "column_name", F.coalesce(F.col("cells_changed"), F.lit(0)).cast("long").alias("cells_changed")
-    )
+    res = cell_results(df.select(*map(col, targets)), policy)
+    # Aliases by place: a header can be any text.
+    sums = res.agg(*[F.sum(col(RESULT_PREFIX + n)["changed"].cast("long")).alias(f"n{i}") for i, n in enumerate(targets)])
+    each = F.array(*[F.struct(F.lit(n).alias("column_name"), F.coalesce(F.col(f"n{i}"), F.lit(0).cast("long")).alias("cells_changed"))
+                     for i, n in enumerate(targets)])
+    return sums.select(F.explode(each).alias("c")).select("c.column_name", "c.cells_changed")
 
 
 def preview_cells(df: DataFrame, key: str, policy: Policy = DEFAULT_POLICY, n: int = 20) -> DataFrame:
@@ -122,17 +123,17 @@ def preview_cells(df: DataFrame, key: str, policy: Policy = DEFAULT_POLICY, n: i
 
     Sensitive columns are included, so the preview equals what applying writes.
     """
-    head = df.orderBy(key).limit(n)
+    head = df.orderBy(col(key)).limit(n)
     targets = _targets(df, [key])
-    res = cell_results(head.select(key, *targets), policy, keep=[key])
+    res = cell_results(head.select(col(key), *map(col, targets)), policy, keep=[key])
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("before"), F.col(RESULT_PREFIX + c).alias("r"))
+        F.struct(F.lit(c).alias("column_name"), col(c).alias("before"), col(RESULT_PREFIX + c).alias("r"))
         for c in targets
     ])
     return (
         explode_kept(res, [key], cells, "x")
         .where(F.col("x.r.changed"))
-        .select(F.col("x.column_name").alias("column_name"), key, F.col("x.before").alias("before"),
+        .select(F.col("x.column_name").alias("column_name"), col(key), F.col("x.before").alias("before"),
                 F.col("x.r.redacted").alias("after"))
     )
 
@@ -144,8 +145,8 @@ def wide_redact(df: DataFrame, key: str, policy: Policy = DEFAULT_POLICY) -> Dat
     needs the wide shape (that costs a shuffle on ``key``).
     """
     targets = _targets(df, [key])
-    long = df.select(key, *targets).unpivot([key], targets, "column_name", "value")
+    long = df.select(col(key), *map(col, targets)).unpivot([col(key)], [col(t) for t in targets], "column_name", "value")
     sens = set(policy.sensitive_columns)
     r = F.when(F.col("column_name").isin(list(sens)) if sens else F.lit(False), redact_column(F.col("value"))) \
         .otherwise(redact_text(F.col("value"), policy))
-    return long.select(key, "column_name", "value", r.alias("redacted"))
+    return long.select(col(key), "column_name", "value", r.alias("redacted"))

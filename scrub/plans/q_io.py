@@ -14,6 +14,7 @@ from scrub.functions.arrays import explode_kept
 from scrub.functions.detector import regex_detector
 from scrub.operators.audit import file_results, run_summary
 from scrub.operators.redact import redact
+from scrub.operators.runs import redact_folder
 from scrub.operators.tables import redact_table
 from scrub.plans import sqlgen as S
 from scrub.plans import sqlpipe as SP
@@ -62,7 +63,7 @@ def q_stream_redact(spark, sf):
     out, ckpt = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ckpt")
     q = redact_folder_stream(spark, src, out, ckpt, COLS, DEFAULT_POLICY, keep=[KEY], max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 @query("row_fingerprint", "select doc_id, sha256(text) as sha256 from documents")
@@ -156,6 +157,61 @@ def file_results_schema():
     return FILE_RESULT_TYPE.fields
 
 
+def _put_csv(df, path):
+    """One CSV file of exactly this path."""
+    spark = df.sparkSession
+    tmp = path + ".parts"
+    write_csv(df.coalesce(1), tmp)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(tmp)) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, hadoop.Path(path))
+    fs.delete(hadoop.Path(tmp), True)
+
+
+RUN_POLICY = DEFAULT_POLICY.with_(sensitive_columns=("source",))
+_RUN_CELLS = {c: SP.cell_sql(c, RUN_POLICY) for c in ("o_orderkey", "acct", "email", "source")}
+
+
+@query("run_csv_folder", f"""with {W},
+  given as (select case when o_orderkey % 2 = 0 then 'a/x.csv' else 'b/x.csv' end as file, cast(o_orderkey as varchar) as o_orderkey,
+                   account_number as acct, email, '  ' || name || ' ' as source from stmt),
+  done as (select file, {", ".join(f"{c} as before_{c}, {sql} as {c}" for c, sql in _RUN_CELLS.items())} from given),
+  files as (select file, count(*) as rows_or_pages, sum({" + ".join(f"(before_{c} is distinct from {c})::int" for c in _RUN_CELLS)})::bigint as fields_changed
+            from done group by file)
+select file, o_orderkey, acct, email, source, null::boolean as success, null::bigint as rows_or_pages, null::bigint as fields_changed from done
+union all select file, null, null, null, null, true, rows_or_pages, fields_changed from files
+union all select * from (values ('c/head.csv', null, null, null, null, true, 0, 0), ('c/surplus.csv', null, null, null, null, false, 0, 0),
+                                ('c/scan.pdf', null, null, null, null, false, 0, 0))""")
+def q_run_csv_folder(spark, sf):
+    """A folder run end to end: two column orders, equal names in two folders, odd headers, padded cells, a header alone, a surplus field, a PDF."""
+    root, out = scratch_dir(spark, "run-in"), scratch_dir(spark, "run-out")
+    s = stmt(spark, sf).select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("account_number").alias("Acct. No."), "email",
+                               F.concat(F.lit("  "), F.col("name"), F.lit(" ")).alias("source"))
+    even = F.col("o_orderkey").cast("long") % 2 == 0
+    _put_csv(s.where(even), f"{root}/a/x.csv")
+    _put_csv(s.where(~even).select("source", "email", "`Acct. No.`", "o_orderkey"), f"{root}/b/x.csv")
+    _put_csv(s.limit(0), f"{root}/c/head.csv")
+    line = table(spark, sf, "region").select(F.concat(F.lit("email,source\n"), F.concat_ws(",", "r_name", "r_name", "r_name")))
+    line.coalesce(1).write.text(f"{root}/c.parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(f"{root}/c.parts")) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, hadoop.Path(f"{root}/c/surplus.csv"))
+    fs.create(hadoop.Path(f"{root}/c/scan.pdf")).close()
+    fs.delete(hadoop.Path(f"{root}/c.parts"), True)
+    _, run = redact_folder(spark, root, out, RUN_POLICY, recursive=True, apply=True)
+    name = F.regexp_extract("input_path", "([^/]+/[^/]+)$", 1)
+    results = run.files.select(name.alias("file"), "success", "rows_or_pages", "fields_changed")
+    cells = None
+    for f in ("a/x.csv", "b/x.csv"):
+        back = read_csv_strings(spark, f"{out}/file={f.replace('/', '%2F')}")
+        back = back.select(F.lit(f).alias("file"), "o_orderkey", F.col("`Acct. No.`").alias("acct"), "email", "source")
+        cells = back if cells is None else cells.unionByName(back)
+    every = cells.unionByName(results, allowMissingColumns=True)
+    return every.select("file", "o_orderkey", "acct", "email", "source", "success", "rows_or_pages", "fields_changed")
+
+
 @query("bad_records", "select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice, "
                       "(o_orderkey % 7 = 0) as is_corrupt from orders")
 def q_bad_records(spark, sf):
@@ -187,7 +243,7 @@ EMAIL_DETECTOR = regex_detector(R.EMAIL_RE, R.EMAIL_ADDRESS, 1.0)
 @query("udf_detector", f"select doc_id, entity_type, start_pos, end_pos, score from "
                        f"({detect_sql('documents', 'doc_id', 'text', R.BUILTIN_BY_TYPE[R.EMAIL_ADDRESS])})")
 def q_udf_detector(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("text").contains("@"))
+    d = table(spark, sf, "documents")
     found = explode_kept(d, ["doc_id"], EMAIL_DETECTOR(F.col("text")), "e")
     return found.select("doc_id", F.col("e.entity_type").alias("entity_type"), F.col("e.start").alias("start_pos"),
                         F.col("e.end").alias("end_pos"), F.col("e.score").alias("score"))

@@ -117,6 +117,8 @@ class Policy:
     # "sha256" (a digest).  Raw text only when asked: the audit itself can leak.
     include_text: bool | str = False
     formats: tuple[str, ...] = ("txt", "md", "json")
+    # Whether applying runs that are given a report folder save their report.
+    create_audit_report: bool = True
 
     def __post_init__(self):
         self.financial.card_number.check("financial.card_number")
@@ -183,6 +185,7 @@ class Policy:
             include_globs=tuple(cfg.get("include_globs") or DEFAULT_INCLUDE_GLOBS),
             exclude_globs=tuple(cfg.get("exclude_globs") or ()),
             formats=formats,
+            create_audit_report=bool(cfg.get("create_audit_report", True)),
         )
 
 

@@ -8,11 +8,13 @@ multi-path load (files become splits, ``source`` comes from
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrub.names import col, fresh
 from scrub.operators.audit import FILE_RESULT_TYPE, SUMMARY_TYPE
 from scrub.policy import DEFAULT_INCLUDE_GLOBS, SUPPORTED_EXTENSIONS
 
@@ -53,25 +55,51 @@ def read_csv_strings(spark: SparkSession, paths, multiline: bool = True, with_so
     df = r.csv(paths if isinstance(paths, (list, tuple)) else [paths])
     tokens = [t for t in null_tokens if t != ""]
     if tokens:
-        df = df.select(*[F.when(F.col(c).isin(*tokens), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-                         if c != corrupt_column else F.col(c) for c in df.columns])
+        clean = [F.when(col(c).isin(*tokens), F.lit(None).cast("string")).otherwise(col(c)).alias(c)
+                 if c != corrupt_column else col(c) for c in df.columns]
+    else:
+        clean = [col(c) for c in df.columns]
     if with_source:
-        df = df.withColumn("source", F.col("_metadata.file_path"))
-    return df
+        clean.append(plain_path(F.col("_metadata.file_path")).alias(fresh(df, "source")))
+    return df.select(*clean)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header kept, no index column; quotes doubled inside quoted cells (RFC 4180)."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Header kept, no index column; quotes doubled inside quoted cells (RFC 4180); cells untrimmed."""
+    csv_writer(df, mode).csv(path)
+
+
+def csv_writer(df: DataFrame, mode: str = "errorifexists"):
+    return (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
+
+
+def _normal(path: str) -> str:
+    """A path or URI without its local scheme, ``.``, ``..``, links (local paths) and trailing slashes."""
+    m = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*:)(//[^/]*)?(/.*|$)", path)
+    if m and m[1].lower() != "file:":
+        return m[1].lower() + (m[2] or "") + posixpath.normpath(m[3] or "/")
+    return os.path.realpath(m[3] if m else path)
 
 
 def guard_output(input_path: str, output_path: str, force: bool = False) -> None:
-    """Refuse to write over the input unless forced (resolved paths compared)."""
-    if not force and os.path.realpath(input_path) == os.path.realpath(output_path):
-        raise OverwriteError(f"output {output_path} is the input; pass force=True to overwrite")
+    """Refuse an output that is the input or a folder above it, unless forced (normalised paths compared)."""
+    given, out = _normal(input_path), _normal(output_path)
+    if not force and (given == out or given.startswith(out.rstrip("/") + "/")):
+        raise OverwriteError(f"output {output_path} is or holds the input {input_path}; pass force=True to overwrite")
 
 
 # ---------------------------------------------------------------- paths
+def plain_path(c: Column) -> Column:
+    """A file column of a scan as a path: percent escapes decoded, ``file:`` dropped, other schemes kept."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
 def extension(path: Column) -> Column:
     """Lower-cased suffix of the base name (``''`` when none)."""
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
@@ -175,6 +203,22 @@ def output_path(path: Column, input_base: str, output_base: str) -> Column:
         F.concat(F.lit(ob + "/"), base_name(path)))
 
 
+# Characters that Spark escapes in the folder names of partitions: fixed values.
+_ESCAPED = "%\"#'*/:=?\\{[]^"
+
+
+def partition_folder(value: Column) -> Column:
+    """A partition value as its folder's name has it."""
+    for ch in _ESCAPED:
+        value = F.replace(value, F.lit(ch), F.lit(f"%{ord(ch):02X}"))
+    return value
+
+
+def local_path(c: Column) -> Column:
+    """A listed path (never escaped) without ``file:``."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
 # ---------------------------------------------------------------- inventory
 def inventory(spark: SparkSession, folder: str, recursive: bool = False, include_globs=DEFAULT_INCLUDE_GLOBS,
               exclude_globs=(), ignore_case: bool = False) -> DataFrame:
@@ -185,13 +229,10 @@ def inventory(spark: SparkSession, folder: str, recursive: bool = False, include
     root = folder.rstrip("/")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
-    def bare(c):  # "file:/x", "file:///x" -> "/x"
-        return F.regexp_replace(c, "^file:/+", "/")
-
-    scanned = listing.select(bare(F.col("path")).alias("path"), "length")
+    scanned = listing.select(local_path(F.col("path")).alias("path"), "length")
     # The scan skips zero-length files; the file index (already held on the
     # driver, one path per file) still lists them: add those with length 0.
-    listed = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string").select(bare(F.col("path")).alias("path"))
+    listed = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string").select(plain_path(F.col("path")).alias("path"))
     empty = listed.join(scanned.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
     files = scanned.unionByName(empty)
     # Paths come back without "file:"; measure the prefix on the same form.
@@ -207,7 +248,7 @@ def inventory(spark: SparkSession, folder: str, recursive: bool = False, include
 def fingerprints(spark: SparkSession, paths) -> DataFrame:
     """SHA-256 of each file's bytes: ``(path, length, sha256)``; one file per row, files in parallel."""
     df = spark.read.format("binaryFile").load(paths)
-    return df.select(F.regexp_replace("path", "^file:", "").alias("path"), "length",
+    return df.select(local_path(F.col("path")).alias("path"), "length",
                      F.sha2("content", 256).alias("sha256"))
 
 

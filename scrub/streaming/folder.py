@@ -1,19 +1,23 @@
 """Incremental redaction of files arriving in a folder (Structured Streaming).
 
 Each new CSV file is redacted exactly once: the file source remembers what it
-has read in the checkpoint, the sink commits per micro-batch, so a restarted
+has read in the checkpoint, a micro-batch overwrites its own output folder, so a restarted
 query (or a lost executor) resumes without re-emitting or skipping files.  The
 work is stateless (a projection), so no watermark or state store is involved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from scrub.names import col, unique_names
+from scrub.operators.runs import header_groups
 from scrub.operators.tables import redact_table
 from scrub.policy import DEFAULT_POLICY, Policy
+from scrub.sources.files import local_path, read_csv_strings
 
 
 def string_schema(columns) -> T.StructType:
@@ -22,18 +26,31 @@ def string_schema(columns) -> T.StructType:
 
 def redact_folder_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, columns,
                          policy: Policy = DEFAULT_POLICY, keep=(), available_now: bool = True,
-                         max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the stream; ``available_now`` drains what is there and stops (batch-like runs)."""
-    reader = (
-        spark.readStream.schema(string_schema(columns))
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-    )
+                         max_files_per_trigger: int | None = None, null_tokens=(), multiline: bool = True) -> StreamingQuery:
+    """Start the stream; ``available_now`` drains what is there and stops (batch-like runs).
+
+    The stream carries paths; a micro-batch reads its files by their own
+    headers, so a file with another column order or set gives the same
+    ``columns`` by name (missing ones null, further ones left out).  Output is Parquet in
+    ``out_dir/batch=<n>``, overwritten when a micro-batch is repeated.
+    """
+    names = list(columns)
+
+    def redact_batch(df: DataFrame, batch: int) -> None:
+        paths = [r.path for r in df.select(local_path(df["path"]).alias("path")).collect()]
+        rows = None
+        for header, group in sorted(header_groups(spark, paths).items()) if paths else ():
+            have = unique_names(header)
+            read = read_csv_strings(spark, group, multiline, schema=string_schema(have), null_tokens=null_tokens)
+            part = read.select(*[(col(n) if n in have else F.lit(None).cast("string")).alias(n) for n in names])
+            rows = part if rows is None else rows.unionByName(part)
+        if rows is not None:
+            redact_table(rows, policy, keep=keep).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch}")
+
+    # Only paths are selected, so the source reads no content.
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.csv(in_dir)
-    out = redact_table(src, policy, keep=keep)
-    w = out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
+    w = reader.load(in_dir).select("path").writeStream.foreachBatch(redact_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
