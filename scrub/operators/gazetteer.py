@@ -23,8 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrub.functions.arrays import explode_kept
-from scrub.functions.text import empty_spans, span, word_offsets
-from scrub.session import spread
+from scrub.functions.detector import DETECTION_TYPE
+from scrub.functions.mask import financial_mask
+from scrub.functions.text import word_offsets
+from scrub.names import col, fresh
+from scrub.operators.redact import redact_frame
+from scrub.policy import DEFAULT_POLICY, Policy
 
 WORD_RE = r"[\p{L}\p{N}_]+"
 GAZETTEER_STAGE = "scored"
@@ -84,9 +88,7 @@ def gazetteer_spans(df: DataFrame, keys, text_col: str, terms: DataFrame, term_c
     sizes, nbytes = measure(d)
     if not sizes:
         return df.sparkSession.createDataFrame([], _schema(df, keys))
-    # Word extraction is CPU-bound per row: an under-split text side is spread (no-op at scale).
-    # Round-robin: caller keys need not be unique, and a hot key must not pile up in one task.
-    words = spread(df).select(*keys, _words(F.col(text_col)).alias("_w"))
+    words = df.select(*keys, _words(F.col(text_col)).alias("_w"))
 
     def grams(w):
         cnt = F.size(w)
@@ -144,11 +146,26 @@ def _schema(df: DataFrame, keys):
     return T.StructType(fields)
 
 
-def with_gazetteer_entities(red: DataFrame, keys, hits: DataFrame, entities: str = "entities") -> DataFrame:
-    """Attach gazetteer hits to already-redacted rows as extra entities (one shuffle on ``keys``)."""
+def redact_gazetteers(df: DataFrame, keys, text_col: str, gazetteers, policy: Policy = DEFAULT_POLICY, alias: str = "r",
+                      broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """``df`` plus ``alias``, as ``redact_frame`` gives it, with dictionary hits redacted in the same pass.
+
+    ``gazetteers`` are ``(terms, term_col, entity_type, score)`` with ``terms`` a
+    DataFrame of any size.  Names are found on the text that the scored stage sees
+    (after number masking) and join its spans before overlap resolution, so
+    threshold, switch, replacement template and scores hold for them too.
+    ``keys`` name each row uniquely; the hits of a row, no more than its words,
+    meet it in one shuffle on them.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    grouped = hits.groupBy(*keys).agg(
-        F.collect_list(span(GAZETTEER_STAGE, F.col("entity_type"), F.col("start_pos"), F.col("end_pos"),
-                            F.col("score"), None, None)).alias("_g"))
-    j = red.join(grouped, keys, "left")
-    return j.withColumn(entities, F.concat(F.col(entities), F.coalesce(F.col("_g"), empty_spans()))).drop("_g")
+    masked = df.select(*map(col, keys), financial_mask(col(text_col), policy.financial, False)["text"].alias("_t"))
+    hits = None
+    for terms, term_col, entity_type, score in gazetteers:
+        found = gazetteer_spans(masked, keys, "_t", terms, term_col, entity_type, score, broadcast_limit)
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return redact_frame(df, text_col, policy, alias=alias)
+    found = fresh(df, "_names")
+    hit = F.struct("entity_type", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "score")
+    per_row = hits.groupBy(*map(col, keys)).agg(F.collect_list(hit).cast(DETECTION_TYPE).alias(found))
+    return redact_frame(df.join(per_row, keys, "left"), text_col, policy, alias=alias, found=found).drop(found)

@@ -232,7 +232,8 @@ def redact_by_lang(c, lang, policies: dict, default: Policy = DEFAULT_POLICY) ->
     return let(fin, lambda f: choose(lambda pol: _after_financial(original, f, pol)))
 
 
-def redact_frame(df: DataFrame, text_col: str, policy: Policy = DEFAULT_POLICY, detectors=(), alias: str = "r") -> DataFrame:
+def redact_frame(df: DataFrame, text_col: str, policy: Policy = DEFAULT_POLICY, detectors=(), alias: str = "r",
+                 found: str | None = None) -> DataFrame:
     """``df`` plus ``alias`` = ``struct<redacted, entities, changed, status>``, with Python detectors merged in.
 
     A pandas UDF cannot run inside a lambda, so the stages become projections:
@@ -240,23 +241,27 @@ def redact_frame(df: DataFrame, text_col: str, policy: Policy = DEFAULT_POLICY,
     call on the masked text, then the scored stage, which merges the detector
     spans with the rule spans before overlap resolution, then custom patterns.
     A value some detector failed on is never passed through half-redacted:
-    ``status`` is ``failed`` and ``redacted``/``entities`` are null.
+    ``status`` is ``failed`` and ``redacted``/``entities`` are null.  ``found`` names a
+    column of spans on the masked text that were found otherwise (dictionary hits).
     """
     cols = list(df.columns)
     fin = financial_mask(F.col(text_col), policy.financial, True, policy.include_text)
     staged = df.select(*cols, fin.alias("_fin"))
     if detectors:
-        found = [d(F.col("_fin.text")) for d in detectors]
+        calls = [d(F.col("_fin.text")) for d in detectors]
         failed = F.lit(False)
-        for f in found:
+        for f in calls:
             failed = failed | f.isNull()
         failed = F.col(text_col).isNotNull() & failed
-        det = found[0] if len(found) == 1 else F.concat(*[F.coalesce(f, F.array().cast(DETECTION_TYPE)) for f in found])
+        det = calls[0] if len(calls) == 1 else F.concat(*[F.coalesce(f, F.array().cast(DETECTION_TYPE)) for f in calls])
         staged = staged.select(*cols, "_fin", det.alias("_det"), failed.alias("_failed"))
         extra = F.col("_det")
     else:
         staged = staged.select(*cols, "_fin", F.lit(False).alias("_failed"))
         extra = None
+    if found:
+        names = F.coalesce(F.col(found), F.array().cast(DETECTION_TYPE))
+        extra = names if extra is None else F.concat(F.coalesce(extra, F.array().cast(DETECTION_TYPE)), names)
     sc = scored_stage(F.col("_fin.text"), policy, extra=extra)
     original = F.col(text_col)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrub.functions import rules as R
-from scrub.operators.gazetteer import WORD_RE, gazetteer_spans
+from scrub.operators.gazetteer import WORD_RE, gazetteer_spans, redact_gazetteers
 from scrub.plans import sqlgen as S
+from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import table
 from scrub.plans.registry import query
+from scrub.policy import DEFAULT_POLICY
 
 
 def _gaz_sql(derived: str, key: str, terms: str, entity_type: str, score: float = 0.85) -> str:
@@ -75,3 +77,50 @@ def q_detect_nrp(spark, sf):
     txt = s.join(n, s.s_nationkey == n.n_nationkey).select(
         "s_suppkey", F.concat(F.col("s_name"), F.lit(" is a "), F.col("n_name"), F.lit(" supplier")).alias("txt"))
     return gazetteer_spans(txt, "s_suppkey", "txt", n.select(F.col("n_name").alias("name")), "name", R.NRP)
+
+
+def _redacted_sql(derived: str, key: str, name: str, entity_type: str) -> str:
+    """The rules' redaction, then the one name each text holds (no rule touches it)."""
+    return (f"with d as ({derived}) select {key}, replace({SP.cell_sql('txt', DEFAULT_POLICY)}, name, '[{entity_type}]') as redacted from d")
+
+
+def _redacted(texts, key, names, entity_type):
+    terms = names.select("name").distinct()
+    out = redact_gazetteers(texts, key, "txt", [(terms, "name", entity_type, 0.85)])
+    return out.select(key, F.col("r.redacted").alias("redacted"))
+
+
+_MR_TEXT = ("select s_suppkey, 'Mr ' || n_name as name, concat(s_name, ' employs mr ', lower(n_name), ' and Mr ', n_name, '; call +1 555 010 ', "
+            "cast(1000 + s_suppkey % 9000 as varchar)) as txt0 from supplier join nation on s_nationkey = n_nationkey")
+
+
+@query("redact_person", f"with d as (select s_suppkey, name, replace(txt0, 'mr ' || lower(name[4:]), name) as txt from ({_MR_TEXT})) "
+                        f"select s_suppkey, replace({SP.cell_sql('txt', DEFAULT_POLICY)}, name, '[{R.PERSON}]') as redacted from d")
+def q_redact_person(spark, sf):
+    """Names in either case, beside a masked number and a phone number of the rules."""
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    txt = s.join(n, s.s_nationkey == n.n_nationkey).select(
+        "s_suppkey", F.concat(F.lit("Mr "), "n_name").alias("name"),
+        F.concat("s_name", F.lit(" employs mr "), F.lower("n_name"), F.lit(" and Mr "), "n_name", F.lit("; call +1 555 010 "),
+                 (F.lit(1000) + F.col("s_suppkey") % 9000).cast("string")).alias("txt"))
+    return _redacted(txt, "s_suppkey", n.select(F.concat(F.lit("Mr "), "n_name").alias("name")), R.PERSON)
+
+
+@query("redact_location", _redacted_sql(
+    "select c_custkey, r_name as name, concat(c_name, ' ships to ', n_name, ', ', r_name) as txt "
+    "from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey", "c_custkey", "r_name", R.LOCATION))
+def q_redact_location(spark, sf):
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    txt = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
+        "c_custkey", F.concat(F.col("c_name"), F.lit(" ships to "), F.col("n_name"), F.lit(", "), F.col("r_name")).alias("txt"))
+    return _redacted(txt, "c_custkey", r.select(F.col("r_name").alias("name")), R.LOCATION)
+
+
+@query("redact_identity_long", _redacted_sql(
+    "select p_partkey, p_name || ' of lot ' || p_partkey as name, concat('item ', p_name, ' of lot ', p_partkey, ' in stock') as txt from part", "p_partkey", "p_name", R.CONFIGURED_IDENTITY))
+def q_redact_identity_long(spark, sf):
+    """A list that grows with the data, far over what a regex of names could hold."""
+    p = table(spark, sf, "part")
+    name = F.concat("p_name", F.lit(" of lot "), F.col("p_partkey").cast("string"))
+    txt = p.select("p_partkey", F.concat(F.lit("item "), name, F.lit(" in stock")).alias("txt"))
+    return _redacted(txt, "p_partkey", p.select(name.alias("name")), R.CONFIGURED_IDENTITY)

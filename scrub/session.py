@@ -38,7 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; create a scratch one only when unset."""
+    """Return the cluster's shared checkpoint folder; create a scratch one only in a local session without one."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext; the server owns the setting
@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not _is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="scrub-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -60,21 +62,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """One process only, as in tests and the bench."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def spread(df: DataFrame, keys=(), min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy row-local work enough tasks.
+    """Give CPU-heavy row-local work over a few small files enough tasks, in a local session only.
 
-    A scan already split into at least as many partitions as the cluster has
-    cores is returned as it is (the normal case at scale: no shuffle).  Only an
-    under-split input (one small file, one row group) is spread: hashed on its
-    unique row ``keys`` when given (deterministic on retry, no sort), else
-    round-robin (which Spark sorts first to stay deterministic).
+    The test tables are single files of one row group, which a scan can't
+    split.  They are hashed on their unique row ``keys`` (deterministic on
+    retry), else dealt round-robin.  On a cluster the scan is left as it is:
+    no shuffle of texts.  Only the file index is looked at, nothing is run.
     """
     try:
+        if not _is_local(df.sparkSession):
+            return df
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - Spark Connect: no RDD view; leave the scan as it is
+    except Exception:  # noqa: BLE001 - Spark Connect: leave the scan as it is
         return df
-    if have >= want:
+    if len(df.inputFiles()) >= want:
         return df
     keys = [keys] if isinstance(keys, str) else list(keys)
     return df.repartition(want, *keys) if keys else df.repartition(want)
