@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scrub.session import ensure_checkpoint_dir
 
@@ -131,3 +136,35 @@ def ordered_index(df: DataFrame, order: list[Column], name: str, scratch: Scratc
 def cell_rows(total: int) -> int:
     """Rows that one cell of a two-level running total or numbering holds: the square root of the table, 256 at least."""
     return max(256, int(total**0.5))
+
+
+#: Rows that Python holds at a time; an Arrow batch, up to 64 MB of text, is worked off in slices.
+SLICE = 256
+
+
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], ddl: str) -> DataFrame:
+    """`df` mapped by the function that `make` returns in each task, SLICE rows at a time, to rows of `ddl`."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield pa.RecordBatch.from_pandas(work(batch.slice(at, SLICE).to_pandas()), schema=schema, preserve_index=False)
+
+    return df.mapInArrow(run, ddl)
+
+
+#: Hashes that `only_ids` broadcasts at most.
+ID_HASHES = 1 << 20
+
+
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id is in `ids` (id, distinct): a semi-join that first drops most other rows map-side.
+
+    The ids' hashes, ID_HASHES different ones at most, are broadcast; a row whose hash isn't among them is not in `ids`,
+    so its text need not be shuffled.  The exact join follows; the more ids, the less the first step saves.
+    """
+    hashed = F.pmod(F.xxhash64(F.lit(71), F.col("id")), F.lit(ID_HASHES))
+    hashes = ids.select(hashed.alias("_hash")).distinct()
+    return docs.join(F.broadcast(hashes), hashed == F.col("_hash"), "left_semi").join(ids, "id", "left_semi")

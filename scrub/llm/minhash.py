@@ -8,14 +8,12 @@ hashes or one for each shingle in all, whichever is more, and estimates concentr
 Documents with equal shingle sets are one class.  Class representatives meet in band buckets: all pairs of a small
 bucket, or a star around the smallest id of a large one, are candidates.  Sketches in one byte a coordinate discard
 candidates that are far below the threshold, and the others are confirmed on full shingle sets.  Large buckets that
-links do not join into one component are then compared in blocks, members of different components only, so a
-link that a star misses is found.  No bucket is ever gathered and none is capped.
+links do not join into one component are then compared in blocks of full sets, the members outside the largest component
+with all others, so a link that a star misses is found.  No bucket is ever gathered and none is capped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -23,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
-from scrub.llm.common import Scratch, attach, col, components, fresh, text_of
-from scrub.llm.words import U, Words, mix64, shingle_set
+from scrub.llm.common import Scratch, attach, col, components, fresh, map_slices, only_ids, text_of
+from scrub.llm.words import U, mix64, shingle_set, word_hashes
 
 BANDS, ROWS = 42, 6
 T = BANDS * ROWS
 #: Buckets up to this many members give all their pairs at once.
 SMALL = 6
-#: Members of a block of a large bucket.
-BLOCK = 64
+#: Bytes of shingles in a block of a large bucket.
+BLOCK = 1 << 20
 
 _SEEDS = mix64(np.arange(1, 2 * T + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _LOW, _OPEN = U(0xFFFFFFFF), U(0xFFFFFFFFFFFFFFFF)
@@ -70,20 +68,21 @@ def agreement_cut(percent: int) -> int:
 
 
 def _sketched(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
+    def make():
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
             rows = []
             for i, text in zip(batch["id"], batch["text"]):
-                s = shingle_set(words(text), k)
+                s = shingle_set(word_hashes(text), k)
                 if len(s):
                     c = sketch(s)
                     rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), (mix64(c) & U(255)).astype(np.uint8).tobytes(), band_keys(c)))
                 else:
                     rows.append((i, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "sig", "bands"]).astype({"id": batch["id"].dtype})
+            return pd.DataFrame(rows, columns=["id", "n", "digest", "sig", "bands"])
+
+        return run
 
-    return run
+    return make
 
 
 @F.pandas_udf(types.IntegerType())
@@ -108,12 +107,10 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 def _sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """Full shingle sets, sorted, as bytes, of the documents in `ids`."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(words(t), k).tobytes() for t in batch["text"]]})
+    def make():
+        return lambda batch: pd.DataFrame({"id": batch["id"], "set": [shingle_set(word_hashes(t), k).tobytes() for t in batch["text"]]})
 
-    return scratch.save(docs.join(ids, "id", "left_semi").mapInPandas(run, "id long, set binary"))
+    return scratch.save(map_slices(only_ids(docs, ids), make, "id long, set binary"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -133,44 +130,69 @@ def _bucket_pairs(rows: DataFrame) -> DataFrame:
     return star.unionByName(small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")).distinct()
 
 
-def _block_pairs(rows: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Candidates of the large buckets whose members are in several components: pairs across components, by sketch."""
-    large = rows.filter(F.col("members") > SMALL).select("id", "key", "members")
-    placed = scratch.save(large.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"))
-    live = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
-    live = scratch.save(live)
-    if live.isEmpty():
-        return rows.sparkSession.createDataFrame([], "a long, b long")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    member = F.struct("id", "comp", "n", "sig").alias("m")
-    packed = (
-        attach(placed, live, ["key"], "size", placed.count())
-        .join(sigs, "id")
-        .select("key", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), member)
-        .groupBy("key", "block", "blocks")
-        .agg(F.collect_list("m").alias("ms"))
+def _odd_ones(rows: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of large buckets that links haven't made one component: (key, id, comp, odd).
+
+    Those outside the bucket's largest component are odd.
+    """
+    large = rows.filter(F.col("members") > SMALL).select("id", "key")
+    placed = scratch.save(large.join(comp, "id", "left").select("id", "key", F.coalesce("component_id", "id").alias("comp")))
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    live = parts.groupBy("key").agg(F.max_by("comp", "n").alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    live = scratch.save(live.drop("comps"))
+    return scratch.save(attach(placed, live, ["key"], "size", placed.count()).select("key", "id", "comp", (F.col("comp") != F.col("top")).alias("odd")))
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the odd members with members of other components in their bucket, from full sets.
+
+    A bucket's odd members and all its members are packed into blocks of about BLOCK bytes of shingles, and every
+    block of the former meets every block of the latter in a row of its own.  A pair of blocks returns a forest of its links.
+    """
+    held = members.join(sets, "id")
+    size = held.groupBy("key").agg(
+        F.ceil(F.sum(F.octet_length("set")) / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("odd"), F.octet_length("set"))) / BLOCK).cast("int").alias("odd_blocks")
     )
-    packed = scratch.save(packed)
-    left = packed.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("ms").alias("x"))
-    right = packed.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("ms").alias("y"))
-    cut = agreement_cut(percent)
+    held = held.join(scratch.save(size), "key")
+    member = F.collect_list(F.struct("id", "comp", "set"))
+
+    def packed(these: DataFrame, blocks: str, block: str, ms: str) -> DataFrame:
+        return these.groupBy("key", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int").alias(block), "all_blocks", "odd_blocks").agg(member.alias(ms))
+
+    odd = packed(held.filter("odd"), "odd_blocks", "i", "x").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
+    every = packed(held, "all_blocks", "j", "y").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)))
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def compare(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    def make():
         def table(ms):
-            return [np.array([m[f] for m in ms]) for f in ("id", "comp", "n")] + [np.frombuffer(b"".join(m["sig"] for m in ms), np.uint8).reshape(len(ms), T)]
+            sets = [np.frombuffer(m["set"], U) for m in ms]
+            return [m["id"] for m in ms], np.array([m["comp"] for m in ms]), np.array([len(s) for s in sets]), sets
 
-        out = []
-        for xm, ym in zip(xs, ys):
+        def forest(xm, ym):
             (ia, ca, na, sa), (ib, cb, nb, sb) = table(xm), table(ym)
-            near = (ca[:, None] != cb[None, :]) & (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb))
-            at = np.argwhere(near)
-            at = at[(sa[at[:, 0]] == sb[at[:, 1]]).sum(axis=1) >= cut] if len(at) else at
-            out.append([{"a": int(min(ia[p], ib[q])), "b": int(max(ia[p], ib[q]))} for p, q in at])
-        return pd.Series(out)
+            codes = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)[1]
+            xs, ys = np.split(codes[: na.sum()], na.cumsum()[:-1]), codes[na.sum() :]
+            starts, mark = np.concatenate([[0], nb.cumsum()[:-1]]), np.zeros(len(codes), np.int32)
+            root: dict[int, int] = {}
+
+            def find(v):
+                while (p := root.setdefault(v, v)) != v:
+                    v = p
+                return v
+
+            for i, own in enumerate(xs):
+                mark[own] = 1
+                common = np.add.reduceat(mark[ys], starts)
+                mark[own] = 0
+                for j in np.flatnonzero((100 * common >= percent * (na[i] + nb - common)) & (cb != ca[i])):
+                    p, q = find(int(ca[i])), find(int(cb[j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        yield min(ia[i], ib[j]), max(ia[i], ib[j])
+
+        return lambda batch: pd.DataFrame([e for x, y in zip(batch["x"], batch["y"]) for e in forest(x, y)], columns=["a", "b"])
 
-    found = left.join(right, ["key", "i", "j"]).select(F.explode(compare("x", "y")).alias("p"))
-    return scratch.save(found.select("p.a", "p.b").distinct())
+    met = odd.select("key", "i", "j", "x").join(every.select("key", "i", "j", "y"), ["key", "i", "j"]).select("x", "y")
+    return scratch.save(map_slices(met, make, "a long, b long"))
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +208,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     given = texts.select(F.coalesce("id", F.lit(0)).alias("id"), "text", F.col("id").isNull().alias("no_id"))
-    wide = scratch.save(given.filter("not no_id").select("id", "text").mapInPandas(_sketched(k), "id long, n int, digest binary, sig binary, bands array<long>"))
+    wide = scratch.save(map_slices(given.filter("not no_id").select("id", "text"), _sketched(k), "id long, n int, digest binary, sig binary, bands array<long>"))
     total = wide.count()
     classes = scratch.save(wide.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
     members = scratch.save(attach(wide.filter("n > 0").select("id", "n", "digest"), classes, ["digest"], "size", total).select("id", "n", "rep"))
@@ -216,18 +238,17 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = scratch.save(links.union(_confirmed(rest, sets, percent, scratch)))
     comp = scratch.save(components(links, scratch))
     scratch.drop(sets)
-    more = _block_pairs(rows, comp, sigs, percent, scratch)
-    more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"))
+    odd = _odd_ones(rows, comp, scratch)
+    more = _block_links(odd, _sets(plain, odd.select("id").distinct(), k, scratch), percent, scratch)
     if not more.isEmpty():
-        links = links.union(_confirmed(more, _sets(plain, ids(more), k, scratch), percent, scratch))
-        comp = scratch.save(components(links, scratch))
+        comp = scratch.save(components(links.union(more), scratch))
 
     out = members.join(comp.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("id", "n", F.coalesce("component_id", "rep").alias("component_id"))
     # Rows that share an id have shared links: the least component of any.
     linked = scratch.save(out)
     least = linked.groupBy("id").agg(F.min("component_id").alias("component_id"))
     again = linked.select("id", "n").join(least, "id")
-    bare = given.filter("no_id").select(F.lit(None).cast("long").alias("id"), "text").mapInPandas(_sizes(k), "id long, n int")
+    bare = map_slices(given.filter("no_id").select("text"), _sizes(k), "id long, n int")
     none = bare.select("id", "n", F.lit(None).cast("long").alias("component_id"))
     empty = wordless.join(least, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
     every = again.unionByName(none).unionByName(empty)
@@ -235,12 +256,10 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def _sizes(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            yield pd.DataFrame({"id": pd.array([None] * len(batch), "Int64"), "n": [len(shingle_set(words(t), k)) for t in batch["text"]]})
+    def make():
+        return lambda batch: pd.DataFrame({"id": pd.array([None] * len(batch), "Int64"), "n": [len(shingle_set(word_hashes(t), k)) for t in batch["text"]]})
 
-    return run
+    return make
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:

@@ -8,18 +8,6 @@ import xxhash
 U = np.uint64
 
 
-class _Memo(dict):
-    """Hash of a word, remembered for up to LIMIT words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), elementwise."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -27,15 +15,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Words:
-    """Word hashes of whole texts: A-Z lower-cased, words are runs of characters that are no ASCII white space."""
-
-    def __init__(self):
-        self.memo = _Memo()
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8").lower().split()
-        return np.fromiter(map(self.memo.__getitem__, words), U, len(words))
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of a whole text's words: A-Z lower-cased, runs of characters that are no ASCII white space."""
+    words = text.encode("utf-8").lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
 
 
 #: Odd multipliers, one for each place in a shingle.
