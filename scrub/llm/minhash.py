@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
-from scrub.llm.common import Scratch, attach, col, components, fresh, map_slices, only_ids, text_of
+from scrub.llm.common import SLICE, Scratch, attach, col, components, fresh, map_slices, only_ids, text_of
 from scrub.llm.words import U, mix64, shingle_set, word_hashes
 
 BANDS, ROWS = 42, 6
@@ -85,23 +86,30 @@ def _sketched(k: int):
     return make
 
 
-@F.pandas_udf(types.IntegerType())
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), T) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+@F.arrow_udf(types.IntegerType())
+def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Coordinates in which two sketches agree."""
 
+    def count(at: int) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(s.slice(at, SLICE).to_pylist()), np.uint8).reshape(-1, T) for s in (a, b))
+        return (x == y).sum(axis=1, dtype=np.int32)
 
-@F.pandas_udf(types.LongType())
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    def count(x, y):
-        x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+    return pa.array(np.concatenate([count(at) for at in range(0, len(a), SLICE)] or [np.empty(0, np.int32)]))
+
+
+@F.arrow_udf(types.LongType())
+def _common(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Shingles that two sorted sets share."""
+
+    def count(x, y) -> int:
+        x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
         at[at == len(y)] = 0
         return int((y[at] == x).sum())
 
-    return pd.Series([count(x, y) for x, y in zip(a, b)], dtype="int64")
+    return pa.array([count(x, y) for x, y in zip(a, b)], pa.int64())
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
