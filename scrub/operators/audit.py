@@ -102,6 +102,39 @@ def file_results(rows: DataFrame, source: str, counts: DataFrame | None, file_ty
     )
 
 
+def tallies(rows: DataFrame, source: str, types: Column, changed: Column, failed: Column) -> DataFrame:
+    """``(source, key, n)``: units, changes, failed units and findings by type, from one array a row.
+
+    One partial and final aggregate counts everything, so what ``types`` costs
+    (the redaction) is paid once.
+    """
+    def pair(k, n):
+        return F.struct(k.alias("key"), n.cast("long").alias("n"))
+
+    fixed = F.array(pair(F.lit("#units"), F.lit(1)), pair(F.lit("#changed"), changed), pair(F.lit("#failed"), failed.cast("int")))
+    each = F.concat(fixed, F.transform(F.coalesce(types, F.array().cast("array<string>")), lambda t: pair(t, F.lit(1))))
+    return explode_kept(rows, [source], each, "e").groupBy(source, F.col("e.key").alias("key")).agg(F.sum("e.n").alias("n"))
+
+
+def tally_maps(counted: DataFrame, source: str) -> DataFrame:
+    """One row per source: its tallies as a map ``m``.  A map has one entry per entity type at most."""
+    return counted.groupBy(source).agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("m"))
+
+
+def types_in(m: Column) -> Column:
+    """The findings by type in a map of tallies."""
+    return F.map_filter(m, lambda k, n: ~k.startswith("#"))
+
+
+def unit_results(rows: DataFrame, source: str, types: Column, file_type: str, failed: Column, changed: Column) -> DataFrame:
+    """``file_results`` from one pass over the units: ``types`` holds a unit's entity types."""
+    maps = tally_maps(tallies(rows, source, types, changed, failed), source)
+    return maps.select(
+        F.col(source).alias("input_path"), F.lit(file_type).alias("file_type"), (F.col("m")["#failed"] == 0).alias("success"),
+        F.col("m")["#units"].alias("rows_or_pages"), F.col("m")["#changed"].alias("fields_changed"), types_in(F.col("m")).alias("entities_by_type"),
+    )
+
+
 def run_summary(files: DataFrame) -> DataFrame:
     """One row: files total / succeeded / failed, units, fields changed, findings."""
     return files.agg(

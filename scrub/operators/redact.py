@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scrub.functions import patterns as P
 from scrub.functions.detector import DETECTION_TYPE
-from scrub.functions.mask import financial_mask
+from scrub.functions.mask import financial_mask, financial_types
 from scrub.functions.rules import CUSTOM_STAGE, SCORED_STAGE, Rule, active_rules
 from scrub.functions.spans import replace_spans, resolve_overlaps, rule_spans
 from scrub.functions.text import SPANS_TYPE, empty_spans, entity_text, let, memo_column, rewrite_stage, span
@@ -108,6 +108,47 @@ def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None
     return F.when(t0.isNull(), F.lit(None)).when(~any_hit, untouched).otherwise(let(t0, body))
 
 
+def _literal_replacement(text: str) -> str:
+    """A replacement string that Java's regex takes literally."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def scored_light(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None = None) -> Column:
+    """Stage 2 without offsets: ``struct<text, types>``, the replaced text and one entity type per finding.
+
+    Hits of one rule never overlap each other, so a value that only one rule of
+    constant score can touch is one ``regexp_replace`` and one count.  Only
+    values that several rules hit, or one scored per hit, need spans.
+    """
+    rules = active_rules(policy) if rules is None else rules
+    t0 = _col(text)
+    no_types = F.array().cast("array<string>")
+    if not rules:
+        return F.struct(t0.alias("text"), no_types.alias("types"))
+
+    def body(t):
+        def choose(hits):
+            out = None
+            sole = F.size(F.filter(hits, lambda x: x)) == 1
+            for i, r in enumerate(rules):
+                if r.score is None:
+                    continue
+                done = F.struct(
+                    F.regexp_replace(t, r.pattern, _literal_replacement(policy.replacement(r.entity_type))).alias("text"),
+                    F.array_repeat(F.lit(r.entity_type), F.regexp_count(t, F.lit(r.pattern))).alias("types"),
+                )
+                out = (F.when if out is None else out.when)(sole & hits[i], done)
+            full = let(scored_stage(t, policy, rules),
+                       lambda s: F.struct(s["text"].alias("text"), F.transform(s["spans"], lambda x: x["entity_type"]).alias("types")))
+            none = F.struct(t.alias("text"), no_types.alias("types"))
+            empty = F.size(F.filter(hits, lambda x: x)) == 0
+            return F.when(empty, none).otherwise(full if out is None else out.otherwise(full))
+
+        return let(F.array(*[F.coalesce(r.may_match(t), F.lit(False)) for r in rules]), choose)
+
+    return F.when(t0.isNull(), F.lit(None)).otherwise(let(t0, body))
+
+
 def custom_pass(text: Column, p: CustomPattern, include_text=False, with_spans: bool = True) -> Column:
     """One custom pattern: ``struct<text, spans>``; every hit is recorded, action decides the text."""
     out = p.output()
@@ -205,10 +246,27 @@ def redact_text(c, policy: Policy = DEFAULT_POLICY) -> Column:
     """Only the redacted string (no entity bookkeeping beyond what stage 2 needs)."""
     t = _col(c)
     fin = financial_mask(t, policy.financial, False, False)
-    sc = let(fin, lambda f: scored_stage(f["text"], policy))
+    sc = let(fin, lambda f: scored_light(f["text"], policy))
     return let(sc, lambda s: custom_stage(s["text"], policy, with_spans=False))["text"]
 
 
+@memo_column
+def redact_types(c, policy: Policy = DEFAULT_POLICY) -> Column:
+    """``redact`` for audits: ``struct<redacted, entities, changed>`` with only the type of each finding."""
+    t = _col(c)
+
+    def all_types(f, s, cu):
+        types = F.concat(f["types"], s["types"], F.transform(cu["spans"], lambda x: x["entity_type"]))
+        return F.struct(
+            cu["text"].alias("redacted"),
+            F.transform(types, lambda x: F.struct(x.alias("entity_type"))).alias("entities"),
+            (~t.eqNullSafe(cu["text"])).alias("changed"),
+        )
+
+    return let(financial_types(t, policy.financial),
+               lambda f: let(scored_light(f["text"], policy), lambda s: let(custom_stage(s["text"], policy), lambda cu: all_types(f, s, cu))))
+
+
 def redact_by_lang(c, lang, policies: dict, default: Policy = DEFAULT_POLICY) -> Column:
     """Pick the rule set by a language column; unknown languages use ``default``.
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrub.functions.arrays import explode_kept
-from scrub.operators.audit import count_by, explode_entities, file_results, run_summary
+from scrub.operators.audit import count_by, explode_entities, file_results, run_summary, tallies, tally_maps, types_in
 from scrub.operators.documents import redact_pages, write_renders
 from scrub.names import col, unique_names
 from scrub.operators.tables import RESULT_PREFIX, cell_results
@@ -86,7 +86,7 @@ def _observed_totals(targets: list[str], policy: Policy) -> list:
     return exprs
 
 
-def _now() -> str:
+def now_text() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat()
 
 
@@ -145,27 +145,20 @@ def _group_results(spark: SparkSession, header: tuple, paths, policy: Policy, nu
 
 
 def _tallies(res: DataFrame, places: list[str]) -> DataFrame:
-    """``(source, key, n)`` of every row in one array: rows, changed cells, surplus rows and findings by type.
-
-    One partial and final aggregate counts all of them, so the redaction is evaluated once.
-    """
     cell = [col(RESULT_PREFIX + c) for c in places]
     changed = sum((r["changed"].cast("long") for r in cell), F.lit(0).cast("long"))
     types = F.flatten(F.array(*[F.when(r["changed"], F.transform(r["entities"], lambda e: e["entity_type"])).otherwise(F.array().cast("array<string>")) for r in cell]))
-    pair = lambda k, n: F.struct(k.alias("key"), n.cast("long").alias("n"))
-    fixed = F.array(pair(F.lit("#rows"), F.lit(1)), pair(F.lit("#changed"), changed), pair(F.lit("#long"), F.col("_long").cast("int")))
-    each = F.concat(fixed, F.transform(types, lambda t: pair(t, F.lit(1))))
-    return res.select(SOURCE, F.explode(each).alias("e")).groupBy(SOURCE, F.col("e.key").alias("key")).agg(F.sum("e.n").alias("n"))
+    return tallies(res, SOURCE, types, changed, F.col("_long"))
 
 
-def _file_rows(listed: DataFrame, tallies: DataFrame | None) -> DataFrame:
+def _file_rows(listed: DataFrame, counted: DataFrame | None) -> DataFrame:
     """One result for every listed file, whatever it holds: (path, kind, header) with its tallies."""
     none = F.create_map().cast("map<string,bigint>")
-    if tallies is None:
-        tallies = listed.sparkSession.createDataFrame([], f"{SOURCE} string, key string, n long")
-    maps = tallies.groupBy(SOURCE).agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("m"))
+    if counted is None:
+        counted = listed.sparkSession.createDataFrame([], f"{SOURCE} string, key string, n long")
+    maps = tally_maps(counted, SOURCE)
     got = listed.join(maps, listed["input_path"] == maps[SOURCE], "left")
-    long_row = F.coalesce(F.col("m")["#long"], F.lit(0)) > 0
+    long_row = F.coalesce(F.col("m")["#failed"], F.lit(0)) > 0
     error = (
         F.when(F.col("kind") != "csv", F.lit("only extracted page text is processed: pass it to redact_documents_run"))
         .when(~F.col("has_header"), F.lit("no header line (empty file)"))
@@ -173,9 +166,9 @@ def _file_rows(listed: DataFrame, tallies: DataFrame | None) -> DataFrame:
     )
     ok = error.isNull()
     number = lambda k: F.when(ok, F.coalesce(F.col("m")[k], F.lit(0))).otherwise(0).cast("long")
-    types = F.map_filter("m", lambda k, n: ~k.startswith("#"))
+    types = types_in(F.col("m"))
     return got.select(
-        "input_path", F.col("kind").alias("file_type"), ok.alias("success"), number("#rows").alias("rows_or_pages"), number("#changed").alias("fields_changed"),
+        "input_path", F.col("kind").alias("file_type"), ok.alias("success"), number("#units").alias("rows_or_pages"), number("#changed").alias("fields_changed"),
         F.when(ok, F.coalesce(types, none)).otherwise(none).alias("entities_by_type"), error.alias("error"),
     )
 
@@ -203,7 +196,7 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     without quoted line ends be split.  ``others`` (input_path, kind) are listed
     files of other kinds, reported as failed.
     """
-    started, run_id = _now(), uuid.uuid4().hex
+    started, run_id = now_text(), uuid.uuid4().hex
     paths = [inputs] if isinstance(inputs, str) else list(inputs)
     if apply:
         if out_dir is None:
@@ -222,20 +215,20 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     if others is not None:
         listed = listed.unionByName(others.select("input_path", "kind", F.lit(True).alias("has_header")))
 
-    done, tallies, findings = [], None, spark.createDataFrame([], FINDINGS)
+    done, counted, findings = [], None, spark.createDataFrame([], FINDINGS)
     for header, group in sorted(groups.items()):
         res, places, names = _group_results(spark, header, group, policy, null_tokens, multiline)
         if apply:
             res = _keep(res, durable)
         done.append((res, places, names))
-        counted = _tallies(res, places)
-        tallies = counted if tallies is None else tallies.unionByName(counted)
+        here = _tallies(res, places)
+        counted = here if counted is None else counted.unionByName(here)
         per_cell = F.array(*[F.struct(F.lit(n).alias("column_name"), col(RESULT_PREFIX + c).alias("r")) for c, n in zip(places, names)])
         cells = explode_kept(res, [SOURCE], per_cell, "cell").where(F.col("cell.r.changed"))
         cells = cells.select(SOURCE, F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
         findings = findings.unionByName(explode_kept(cells, [SOURCE, "column_name"], F.col("_e"), "e").select(
             F.col(SOURCE).alias("source"), "column_name", F.col("e.entity_type").alias("entity_type")))
-    files = _file_rows(listed, tallies)
+    files = _file_rows(listed, counted)
     observed = None
     if apply:
         # One row per file: materialised first, so failed files can be left out of the write.
@@ -258,7 +251,7 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     if hashes:
         files = _with_hashes(spark, files, paths, out_dir if apply else None)
     summary = run_summary(files)
-    result = RunResult(run_id, started, _now(), not apply, files, summary, findings, observed)
+    result = RunResult(run_id, started, now_text(), not apply, files, summary, findings, observed)
     if apply and report_dir and policy.create_audit_report:
         save_report(files, report_summary(result), report_dir)
     return result
@@ -301,7 +294,7 @@ def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: P
                          apply: bool = False, doc: str = "doc_id", page: str = "page_number",
                          source_name: str | None = None, durable: bool = False) -> RunResult:
     """Redact ``(doc, page, text)`` rows; with ``apply`` write the formats chosen in the policy."""
-    started = _now()
+    started = now_text()
     red = redact_pages(pages, policy)
     if apply:
         if out_dir is None:
@@ -314,7 +307,7 @@ def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: P
         files = _keep(files, durable)
         files.count()
         red.unpersist()
-    return RunResult(uuid.uuid4().hex, started, _now(), not apply, files, run_summary(files), findings)
+    return RunResult(uuid.uuid4().hex, started, now_text(), not apply, files, run_summary(files), findings)
 
 
 def header_groups(spark: SparkSession, paths) -> dict:

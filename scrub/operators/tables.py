@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from scrub.functions.arrays import explode_kept
 from scrub.functions.text import memo_column
 from scrub.names import col
-from scrub.operators.redact import redact, redact_text
+from scrub.operators.redact import redact_text, redact_types
 from scrub.policy import DEFAULT_POLICY, FULL_COLUMN_REDACTION, REDACTED, Policy
 
 RESULT_PREFIX = "__r_"
@@ -35,9 +35,9 @@ def _targets(df: DataFrame, keep) -> list[str]:
 def _pipeline_over(names: tuple, policy: Policy, text_only: bool = False) -> Column:
     """One pipeline tree applied to an array of cells: plan size stays flat in the column count.
 
-    ``text_only`` yields the redacted strings without entity bookkeeping.
+    ``text_only`` yields the redacted strings alone; else findings come as their types.
     """
-    fn = redact_text if text_only else redact
+    fn = redact_text if text_only else redact_types
     return F.transform(F.array(*[col(n) for n in names]), lambda v: fn(v, policy))
 
 
@@ -65,7 +65,7 @@ def cell_results(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> Dat
             full = F.col("__cells")[plain.index(name)]
             r = F.struct(
                 full["redacted"].alias("redacted"),
-                F.transform(full["entities"], lambda s: F.struct(s["entity_type"].alias("entity_type"))).alias("entities"),
+                full["entities"].alias("entities"),
                 full["changed"].alias("changed"),
             )
         extra.append(r.alias(RESULT_PREFIX + name))
@@ -98,13 +98,16 @@ def cell_findings(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=(), carry
     """
     targets = _targets(df, list(keep) + list(carry))
     res = cell_results(df.select(*map(col, [*carry, *targets])), policy, keep=carry)
-    per_col = F.array(*[
-        F.struct(F.lit(n).alias("column_name"), col(RESULT_PREFIX + n).alias("r")) for n in targets
-    ])
-    cells = explode_kept(res, carry, per_col, "cell").where(F.col("cell.r.changed")) \
-        .select(*map(col, carry), F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
-    return explode_kept(cells, list(carry) + ["column_name"], F.col("_e"), "e") \
-        .select(*map(col, carry), "column_name", F.col("e.entity_type").alias("entity_type"))
+    # All findings of a row in one array, so one generator makes the rows.
+    of_cell = [F.when(col(RESULT_PREFIX + n)["changed"], F.transform(
+        col(RESULT_PREFIX + n)["entities"], _named(n))).otherwise(F.array().cast("array<struct<column_name:string,entity_type:string>>"))
+        for n in targets]
+    found = explode_kept(res, carry, F.flatten(F.array(*of_cell)), "e")
+    return found.select(*map(col, carry), F.col("e.column_name").alias("column_name"), F.col("e.entity_type").alias("entity_type"))
+
+
+def _named(name: str):
+    return lambda e: F.struct(F.lit(name).alias("column_name"), e["entity_type"].alias("entity_type"))
 
 
 def changed_per_column(df: DataFrame, policy: Policy = DEFAULT_POLICY, keep=()) -> DataFrame:

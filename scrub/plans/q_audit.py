@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrub.operators.audit import count_by, explode_entities, file_results, map_total, ranked, run_summary, totals
+from scrub.operators.audit import count_by, explode_entities, map_total, ranked, run_summary, totals, unit_results
 from scrub.operators.redact import redact
 from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import table
@@ -35,7 +35,8 @@ def _counts(red):
 
 
 def _files(red):
-    return file_results(red, "source", _counts(red), "pdf", failed=F.col("text").isNull(), changed=F.col("r.changed"))
+    return unit_results(red, "source", F.transform("r.entities", lambda e: e["entity_type"]), "pdf", F.col("text").isNull(),
+                        F.coalesce(F.col("r.changed"), F.lit(False)).cast("long"))
 
 
 @query("audit_rows", f"""with {PIPE}, {FILES}

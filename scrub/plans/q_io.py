@@ -12,14 +12,13 @@ from pyspark.sql import types as T
 from scrub.functions import rules as R
 from scrub.functions.arrays import explode_kept
 from scrub.functions.detector import regex_detector
-from scrub.operators.audit import file_results, run_summary
-from scrub.operators.redact import redact
-from scrub.operators.runs import redact_folder
+from scrub.operators.audit import run_summary
+from scrub.operators.runs import RunResult, now_text, redact_folder, report_summary
 from scrub.operators.tables import redact_table
 from scrub.plans import sqlgen as S
 from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import scratch_dir, stmt, table
-from scrub.plans.q_audit import FILES, PIPE
+from scrub.plans.q_audit import COUNTS, FILES, PIPE, _files, _redacted
 from scrub.plans.q_detect import _sql as detect_sql
 from scrub.plans.registry import query
 from scrub.policy import DEFAULT_POLICY
@@ -71,10 +70,16 @@ def q_row_fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", row_fingerprint(F.col("text")).alias("sha256"))
 
 
-@query("file_fingerprint")
+@query("file_fingerprint", """select source, strlen(body)::bigint as length, sha256(body) as sha256
+from (select source, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as body from documents group by source)""")
 def q_file_fingerprint(spark, sf):
-    fp = fingerprints(spark, f"{sf.rstrip('/')}/*.parquet")
-    return fp.select(base_name(F.col("path")).alias("name"), "length", "sha256")
+    """One text file for each source, its documents in order; the hashes of the files' bytes."""
+    path = scratch_dir(spark, "fingerprint")
+    d = table(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.repartition("source").sortWithinPartitions("source", "doc_id")
+    d.select("source", "text").write.partitionBy("source").text(path)
+    fp = fingerprints(spark, f"{path}/source=*/part-*")
+    return fp.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "length", "sha256")
 
 
 # Derived file names: one per document, the extension chosen by language.
@@ -124,31 +129,54 @@ def q_output_paths(spark, sf):
     return d.select("doc_id", p.alias("input_path"), output_path(p, "/data/in", "/data/out").alias("output_path"))
 
 
-@query("src_folder_inventory")
+_TOP = ("nation", "region", "customer", "supplier")
+
+
+@query("src_folder_inventory", """with t as (select unnest(['nation', 'region', 'customer', 'supplier']) as t),
+  f as (select t || '.csv' as rel_path from t union all select 'deep/' || t || '.csv' from t union all select 'deep/er/' || t || '_old.csv' from t
+        union all select 'x.PDF' union all select 'y.pdf' union all select 'notes.txt')
+select rel_path, regexp_extract(rel_path, '([^/]*)$', 1) as name, rel_path = 'x.PDF' or rel_path = 'y.pdf' or rel_path = 'notes.txt' as is_empty,
+       case when rel_path like '%_old.csv' or rel_path in ('x.PDF', 'notes.txt') then 'skipped' else 'supported' end as status from f""")
 def q_src_folder_inventory(spark, sf):
+    """Files of known names in three folders, some without a byte; upper-case suffixes and excluded names are skipped."""
     root = scratch_dir(spark, "inventory")
-    s = stmt(spark, sf)
-    write_csv(s.repartition(3), f"{root}/statements")
-    write_csv(s.where(F.col("card_number").isNull()).repartition(2), f"{root}/statements/nested")
-    table(spark, sf, "documents").select("text").repartition(2).write.text(f"{root}/notes")
-    return inventory(spark, root, recursive=True, exclude_globs=("_*", ".*"))
+    for t in _TOP:
+        df = table(spark, sf, t)
+        for path in (f"{t}.csv", f"deep/{t}.csv", f"deep/er/{t}_old.csv"):
+            _put_csv(df, f"{root}/{path}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in ("x.PDF", "y.pdf", "notes.txt"):
+        fs.create(hadoop.Path(f"{root}/{name}")).close()
+    found = inventory(spark, root, recursive=True, exclude_globs=("*_old.csv",))
+    return found.select("rel_path", "name", (F.col("length") == 0).alias("is_empty"), "status")
 
 
-@query("report_roundtrip", f"""with {PIPE}, {FILES}
-select source as input_path, success, cast(rows_or_pages as bigint) as rows_or_pages, fields_changed from files""")
+@query("report_roundtrip", f"""with {PIPE}, {FILES}, {COUNTS}
+select source as input_path, success, cast(rows_or_pages as bigint) as rows_or_pages, fields_changed, null as entity_type, null::bigint as n from files
+union all select source, null, null, null, entity_type, n from counts
+union all select null, null, null, null, entity_type, sum(n)::bigint from counts group by entity_type
+union all select null, null, count(*), null, 'total_files', count_if(success) from files""")
 def q_report_roundtrip(spark, sf):
-    d = table(spark, sf, "documents")
-    red = d.select("doc_id", "source", "text", redact(F.col("text"), DEFAULT_POLICY).alias("r"))
-    files = file_results(red, "source", None, "pdf", failed=F.col("text").isNull(), changed=F.col("r.changed"))
-    files = files.select(*[F.col(f.name) if f.name in files.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                           for f in file_results_schema()])
-    summary = run_summary(files).select(
-        "total_files", "successful_files", "failed_files",
-        F.create_map().cast("map<string,bigint>").alias("aggregate_entities"))
+    """A report saved and loaded: file results, their counts by type, the counts of the whole run, its file totals."""
+    files = _files(_redacted(spark, sf))
+    now = now_text()
+    run = RunResult("run", now, now, False, files, run_summary(files), files)
+    full = files.select(*[F.col(f.name) if f.name in files.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                          for f in file_results_schema()])
     path = scratch_dir(spark, "report")
-    save_report(files, summary, path)
-    back, _ = load_report(spark, path)
-    return back.select("input_path", "success", "rows_or_pages", "fields_changed")
+    save_report(full, report_summary(run), path)
+    back, summary = load_report(spark, path)
+    parts = [
+        back.select("input_path", "success", "rows_or_pages", "fields_changed"),
+        back.select("input_path", F.explode("entities_by_type").alias("entity_type", "n")),
+        summary.select(F.explode("aggregate_entities").alias("entity_type", "n")),
+        summary.select(F.col("total_files").alias("rows_or_pages"), F.lit("total_files").alias("entity_type"), F.col("successful_files").alias("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def file_results_schema():
