@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -142,15 +142,22 @@ def cell_rows(total: int) -> int:
 SLICE = 256
 
 
+def slices(batches: Iterable, take: Callable) -> Iterator:
+    """What `take` makes of SLICE rows at a time; a batch is given back before the next one is read."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield take(batch.slice(at, SLICE))
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], ddl: str) -> DataFrame:
     """`df` mapped by the function that `make` returns in each task, SLICE rows at a time, to rows of `ddl`."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield pa.RecordBatch.from_pandas(work(batch.slice(at, SLICE).to_pandas()), schema=schema, preserve_index=False)
+        return slices(batches, lambda part: pa.RecordBatch.from_pandas(work(part.to_pandas()), schema=schema, preserve_index=False))
 
     return df.mapInArrow(run, ddl)
 
