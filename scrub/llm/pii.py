@@ -4,7 +4,7 @@ The field tags the words of a line as other, email, ip, card or phone.  A word's
 capitals, letters and digits, the latter with their length) and what it holds; its neighbours' classes count too.  It is
 trained on a small labelled table of templates and made-up values, by gradient ascent on the exact conditional
 likelihood (forward-backward), and decoded by Viterbi, in numpy, over a batch of lines at once.  It adds what the
-patterns miss, such as numbers without a country code or addresses spelt in words.
+patterns miss, such as phone numbers without a country code or card numbers in uncommon groups.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrub.llm.common import col, text_of
+from scrub.llm.common import col, map_slices, text_of
 from scrub.llm.spans import SPAN, count_of, listed, untouched
 
 KINDS = ("email", "ip", "card", "phone")
@@ -89,7 +89,7 @@ def _value(kind: str, r: random.Random) -> str:
     if kind == "phone":
         return r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)} {d(3)} {d(4)}"])
     if kind == "email":
-        return r.choice([f"{w()}.{d(2)}@{w()}{d(1)}.{w()}.com", f"{w()}@{w()}.org", f"{w()}_{w()}@{w()}.{w(2, 3)}", f"<{w()}@{w()}.net>", f"{w()} at {w()} dot com", f"{w()}@{w()}"])
+        return r.choice([f"{w()}.{d(2)}@{w()}{d(1)}.{w()}.com", f"{w()}@{w()}.org", f"{w()}_{w()}@{w()}.{w(2, 3)}", f"<{w()}@{w()}.net>", f"{w()}@{w()}"])
     if kind == "ip":
         ip = ".".join(str(r.randint(0, 255)) for _ in range(4))
         return r.choice([ip, f"{ip}:{d(4)}", f"[{ip}]", f"{ip}/{d(2)}"])
@@ -142,12 +142,12 @@ def word_features(word: str) -> list[str]:
     """Features of a word.  Words without a digit and an @ have only those of PLAIN, whatever they are."""
     kind = CLASSES[word_class(word)]
     if kind == "plain":
-        return ["plain", *(["capital"] if word[:1].isupper() else []), *(["joins"] if word in ("at", "dot") else [])]
+        return ["plain", "capital"] if word[:1].isupper() else ["plain"]
     n = sum("0" <= c <= "9" for c in word)
     return [f"class {kind}", f"shape {shape(word.strip('.,;:!?#$%&*<>[]'))}", f"digits {min(n, 12)}", f"dots {min(word.count('.'), 4)}", f"dashes {min(word.count('-'), 4)}"]
 
 
-PLAIN = ("plain", "capital", "joins")
+PLAIN = ("plain", "capital")
 
 
 @dataclass
@@ -237,14 +237,21 @@ def train(table: list[tuple[list[str], list[int]]], rounds: int = 150, rate: flo
 def _all_other(model: Field) -> bool:
     """Whether a line of plain words is tagged other throughout, for every such line.
 
-    Swapping any tagged word of it for other must win more than the two moves beside it can lose.
+    Compares the best that any stretch of other tags could win over a line of other: the heaviest walk among these tags,
+    each word counted with its most favourable features, from one end of the stretch to the other.
     """
-    gain = lambda v: v[0] - v[1:].max()
-    o = model.own
-    worst = min(gain(o["plain"] + a * o["capital"] + b * o["joins"]) for a in (0, 1) for b in (0, 1))
-    ends = (CLASSES.index("plain"), CLASSES.index("end"))
-    worst += min(gain(model.before[c]) for c in ends) + min(gain(model.after[c]) for c in ends)
-    return bool(worst > 2 * (model.moves.max() - model.moves[0, 0]))
+    words = [model.own["plain"], model.own["plain"] + model.own["capital"]]
+    ends = [CLASSES.index("plain"), CLASSES.index("end")]
+    win = np.max([w + model.before[p] + model.after[q] for w in words for p in ends for q in ends] - np.array([[w[0] + model.before[p][0] + model.after[q][0]] for w in words for p in ends for q in ends]), axis=0)[1:]
+    moves = model.moves - model.moves[0, 0]
+    walk = moves[1:, 1:] + win
+    for k in range(len(win)):
+        walk = np.maximum(walk, walk[:, k : k + 1] + walk[k : k + 1, :])
+    if walk.diagonal().max() >= 0:
+        return False
+    np.fill_diagonal(walk, 0)
+    enter, leave = win + np.maximum(0, moves[0, 1:]), np.maximum(0, moves[1:, 0])
+    return bool((enter[:, None] + walk + leave).max() < 0)
 
 
 def viterbi(e: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -370,17 +377,20 @@ def scan_personal(docs: DataFrame, model: Field | None = None, id_col: str = "do
     kind = dict(slim.dtypes)["doc_id"]
     name = ("start", "rank", "end", "kind")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         tagger = Tagger(field)
-        for batch in batches:
+
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
             base = [base_spans(t) for t in batch["text"]]
             added = []
             for own, marks in zip(base, tagger.tag(batch["text"].tolist())):
                 free = untouched(own)
                 added.append([dict(zip(name, (s, len(KINDS) + KINDS.index(k), e, f"crf_{k}"))) for s, e, k in marks if free(s, e)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": [[dict(zip(name, s)) for s in b] for b in base], "added": added})
+            return pd.DataFrame({"doc_id": batch["doc_id"], "base": [[dict(zip(name, s)) for s in b] for b in base], "added": added})
+
+        return run
 
-    return slim.mapInPandas(run, f"doc_id {kind}, base {SPAN}, added {SPAN}")
+    return map_slices(slim, make, f"doc_id {kind}, base {SPAN}, added {SPAN}")
 
 
 def personal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

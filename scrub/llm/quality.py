@@ -9,15 +9,16 @@ batch.  The model is a few kB; it is fitted on a bounded sample of labelled rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrub.llm.common import Scratch, col, fresh, text_of
+from scrub.llm.common import Scratch, col, fresh, map_slices, slices, text_of
 
 #: Most labelled rows that the model is fitted on, those of least hash.
 FIT_ROWS = 20_000
@@ -58,8 +59,8 @@ def features(text: str) -> list[float]:
     ]
 
 
-def feature_matrix(texts: pd.Series) -> np.ndarray:
-    return np.array([features(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
+def feature_matrix(texts: Iterable[str]) -> np.ndarray:
+    return np.array([features(t) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
 
 
 def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int) -> np.ndarray:
@@ -193,15 +194,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = min(1.0, 1.2 * rows / max(1, known.count()))
     chosen = scratch.save(known.filter(draw / 2.0**64 + 0.5 <= rate).orderBy(draw, key).limit(rows))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame(feature_matrix(b["text"]), columns=FEATURES)
-            out["y"], out["key"] = b["y"].to_numpy(), b["key"].to_numpy()
-            yield out
+    def make():
+        def run(b: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(feature_matrix(b["text"]), columns=FEATURES).assign(y=b["y"].to_numpy(), key=b["key"].to_numpy())
+
+        return run
 
     texts = docs.select(col(id_col).alias("_id"), text_of(text_col).alias("text"))
     met = texts.join(F.broadcast(chosen), texts["_id"] == chosen["_key"]).select("text", F.col("_y").alias("y"), chosen["_key"].cast("string").alias("key"))
-    seen = met.mapInPandas(run, ", ".join(f"{f} double" for f in FEATURES) + ", y int, key string")
+    seen = map_slices(met, make, ", ".join(f"{f} double" for f in FEATURES) + ", y int, key string")
     got = seen.groupBy("key", "y").agg(*[F.min(f).alias(f) for f in FEATURES]).orderBy("key").toPandas()
     return fit(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
 
@@ -209,9 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Gam, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with `score_col` (0 to 1) of the whole text; null and empty texts are scored as empty. One pass, no shuffle."""
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(feature_matrix(texts)))
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return slices(batches, lambda some: pa.array(model.score(feature_matrix(some.to_pylist()))))
 
     return docs.withColumn(score_col, run(text_of(text_col)))
 

@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrub.llm.common import Scratch, col, text_of
+from scrub.llm.common import Scratch, col, map_slices, text_of
 from scrub.llm.spans import SPAN, count_of, listed, untouched
 
 KINDS = ("assign", "access", "hex")
@@ -153,12 +152,14 @@ def dismissal_bars(counts: list[tuple[int, int, int]], q: float = Q) -> dict[int
     return bars
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def _scan():
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
         base = [base_spans(t) for t in batch["text"]]
         found = [candidates(t, b) for t, b in zip(batch["text"], base)]
         rows = [[dict(zip(("start", "rank", "end", "kind"), s)) for s in b] for b in base]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "base": rows, "found": found})
+        return pd.DataFrame({"doc_id": batch["doc_id"], "base": rows, "found": found})
+
+    return run
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q) -> DataFrame:
@@ -170,7 +171,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "secrets")
     slim = docs.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
-    rows = scratch.save(slim.mapInPandas(_scan, f"doc_id {kind}, base {SPAN}, found array<struct<start:int,end:int,stratum:int,g:int>>"))
+    rows = scratch.save(map_slices(slim, _scan, f"doc_id {kind}, base {SPAN}, found array<struct<start:int,end:int,stratum:int,g:int>>"))
     steps = rows.select(F.explode("found").alias("c")).groupBy("c.stratum", "c.g").count()
     # At most (strata) x (grid steps) rows.
     bars = dismissal_bars([tuple(r) for r in steps.collect()], q)
