@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in a shuffled order that a seeded hash of the document fixes.  A document's
+Every source is a queue of its documents in a shuffled order that a seeded MD5 of id and text fixes.  A document's
 virtual finish time is the words its source has sent up to and including it, over the source's target; the second
 pass over a source goes on where the first ended.  All documents of all sources, sorted by finish time, are one
 stream, cut where its total reaches the budget.  So the sources are interleaved in their proportions all along, and each
@@ -63,7 +63,7 @@ def mix(
     cap: int = CAP,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row per row of `docs`: (doc_id, text_crc32, size, source_size, target, copies, taken).
+    """One row per row of `docs`: (doc_id, text_md5, size, source_size, target, copies, taken).
 
     Sources, ordered by code point with null last, get `weights` in turn, and targets that sum up to `share` of all
     words, none above `cap` times its source.  `copies` (0 to `cap`) is how often the mix takes the document, `taken`
@@ -77,7 +77,7 @@ def mix(
             col(id_col).alias("id"),
             F.coalesce(F.concat(F.lit("s"), col(source_col).cast("string")), F.lit("z")).alias("source"),
             words(text_col).alias("size"),
-            F.crc32(text_of(text_col).cast("binary")).alias("crc"),
+            F.md5(text_of(text_col).cast("binary")).alias("md5"),
         )
     )
     # "s..." sorts before "z", so null comes last.
@@ -90,20 +90,21 @@ def mix(
     sources = scratch.save(source_targets(sources, budget, cap))
 
     step = cell_rows(count)
-    draw = F.xxhash64(F.lit(seed), F.col("id"), F.col("crc"))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("md5")).cast("binary"))
+    share_of = F.conv(F.substr("draw", F.lit(1), F.lit(13)), 16, 10).cast("double") / 2.0**52
     cells = F.ceil(F.col("n") / step).cast("long")
     queued = scratch.save(
         attach(rows, sources, ["source"], "n", count)
         .withColumn("draw", draw)
-        .withColumn("cell", F.least(cells - 1, F.floor((F.col("draw") / 2.0**64 + 0.5) * cells)).cast("long"))
+        .withColumn("cell", F.least(cells - 1, F.floor(share_of * cells)).cast("long"))
     )
     scratch.drop(rows)
     by_source = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     ahead = queued.groupBy("source", "cell").agg(F.sum("size").alias("sum")).select("source", "cell", F.coalesce(F.sum("sum").over(by_source), F.lit(0)).alias("ahead"))
-    in_cell = Window.partitionBy("source", "cell").orderBy("draw", "id", "crc").rowsBetween(Window.unboundedPreceding, 0)
+    in_cell = Window.partitionBy("source", "cell").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
     sent = queued.withColumn("sent", F.sum("size").over(in_cell)).join(ahead, ["source", "cell"])
     passes = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: (k * F.col("source_size") + F.col("ahead") + F.col("sent")) / F.greatest("target", F.lit(1e-300)))
-    timed = scratch.save(sent.select("id", "crc", "size", "source_size", "target", F.when(F.col("size") > 0, passes).otherwise(F.array().cast("array<double>")).alias("finish")))
+    timed = scratch.save(sent.select("id", "md5", "size", "source_size", "target", F.when(F.col("size") > 0, passes).otherwise(F.array().cast("array<double>")).alias("finish")))
     scratch.drop(queued)
 
     # Finish times beyond the last that can matter share the grid's last step.
@@ -120,7 +121,7 @@ def mix(
         cut = part.filter(F.col("total") + base <= budget).agg(F.max("f")).first()[0]
         takes = F.size(F.filter("finish", lambda f: (at(f) < last) | ((at(f) == last) & (f <= F.lit(-1.0 if cut is None else cut)))))
     return timed.select(
-        F.col("id").alias("doc_id"), F.col("crc").alias("text_crc32"), "size", "source_size", "target", takes.alias("copies"), (takes * F.col("size")).alias("taken")
+        F.col("id").alias("doc_id"), F.col("md5").alias("text_md5"), "size", "source_size", "target", takes.alias("copies"), (takes * F.col("size")).alias("taken")
     )
 
 
@@ -130,8 +131,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows that repeat an id and text share one decision, the largest of theirs.  The texts are shuffled once, by id.
     """
     plan = mix(docs, id_col, text_col, source_col, **how)
-    i, c, n, k = (fresh(docs, x) for x in ("_id", "_crc", "_copies", "_nth"))
-    plan = plan.filter("copies > 0").groupBy(F.col("doc_id").alias(i), F.col("text_crc32").alias(c)).agg(F.max("copies").alias(n))
-    same = col(id_col).eqNullSafe(col(i)) & (F.crc32(text_of(text_col).cast("binary")) == col(c))
+    i, c, n, k = (fresh(docs, x) for x in ("_id", "_md5", "_copies", "_nth"))
+    plan = plan.filter("copies > 0").groupBy(F.col("doc_id").alias(i), F.col("text_md5").alias(c)).agg(F.max("copies").alias(n))
+    same = col(id_col).eqNullSafe(col(i)) & (F.md5(text_of(text_col).cast("binary")) == col(c))
     out = docs.join(plan, same).withColumn(k, F.explode(F.sequence(F.lit(1), col(n))))
     return out.select(*[col(x) for x in docs.columns])

@@ -89,6 +89,25 @@ ORACLE_SQL = {
         r as (select doc_id as id, doc_id as o from s union select u.b, r.o from r join u on u.a = r.id),
         m as (select id, min(o) as component_id from r group by id)
         select doc_id, len(sh)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join m on id = doc_id""",
+    # Each source's queue in MD5 order, the water level of the targets, and one stream by finish time.
+    "op8_mixing": r"""
+        with d as (select row_number() over () as rid, doc_id, coalesce('s' || source, 'z') as source,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                          md5('20240817:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as draw from documents),
+        s as (select source, sum(size) as source_size, [3, 1, 2][((row_number() over (order by source)) - 1) % 3 + 1] as weight from d group by source),
+        b as (select 1.5::double * sum(size) as budget from d),
+        r as (select *, 2 * source_size / weight::double as ratio from s),
+        l as (select *, coalesce(sum(2 * source_size) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0) as capped,
+                     sum(weight) over (order by ratio, source rows between current row and unbounded following) as open_weight from r),
+        v as (select arg_min((budget - capped::double) / open_weight, capped) as level from l, b
+              where (budget - capped::double) / open_weight <= ratio),
+        t as (select source, source_size, least(source_size * 2.0::double, weight * coalesce(level, 1e300)) as target from s, v),
+        q as (select d.*, source_size, target, sum(size) over (partition by d.source order by draw, rid rows unbounded preceding) as sent from d join t using (source)),
+        i as (select rid, size, (k * source_size + sent)::double / greatest(target, 1e-300) as f from q, (values (0), (1)) as p(k) where size > 0),
+        c as (select rid, sum(size) over (order by f range unbounded preceding) as total from i),
+        n as (select rid, count(*) as copies from c, b where total <= budget group by rid)
+        select doc_id, size::bigint as size, source_size::bigint as source_size, target, (size * coalesce(copies, 0))::bigint as taken
+        from q left join n using (rid)""",
     "op10_embedding_near_dedup": r"""
         with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
         l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
