@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrub.llm.common import col, fresh, slices, text_of
+from scrub.llm.common import col, fresh, slices, small_batches, text_of
 
 # Fixed value: the published pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,7 +30,7 @@ _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f",
 LATIN_TOKEN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 #: Pre-tokens of this many characters or fewer are remembered, MEMO of them in a generation.
-MEMO_CHARS, MEMO = 32, 300_000
+MEMO_CHARS, MEMO = 32, 200_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -160,6 +160,7 @@ def encode(docs: DataFrame, tables, text_col: str = "text", ids_col: str = "ids"
     """
 
     key = tables.value["key"]
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

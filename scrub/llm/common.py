@@ -49,6 +49,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scrub-llm-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
@@ -138,10 +139,21 @@ def cell_rows(total: int) -> int:
     return max(256, int(total**0.5))
 
 
-#: Rows that Python holds at a time; an Arrow batch, up to 64 MB of text, is worked off in slices.
+#: Rows that Python holds at a time; an Arrow batch is worked off in slices.
 SLICE = 256
 
 
+#: Rows of an Arrow batch on its way to Python. Texts of some kB each make the default, 10,000 rows, tens of MB a task and side.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold ARROW_ROWS rows at most, unless it asks for fewer already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def slices(batches: Iterable, take: Callable) -> Iterator:
     """What `take` makes of SLICE rows at a time; a batch is given back before the next one is read."""
     for batch in batches:
@@ -154,6 +166,7 @@ def slices(batches: Iterable, take: Callable) -> Iterator:
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], ddl: str) -> DataFrame:
     """`df` mapped by the function that `make` returns in each task, SLICE rows at a time, to rows of `ddl`."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrub.llm.common import Scratch, col, fresh, map_slices, slices, text_of
+from scrub.llm.common import Scratch, col, fresh, map_slices, slices, small_batches, text_of
 
 #: Most labelled rows that the model is fitted on, those of least hash.
 FIT_ROWS = 20_000
@@ -210,6 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Gam, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with `score_col` (0 to 1) of the whole text; null and empty texts are scored as empty. One pass, no shuffle."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return slices(batches, lambda some: pa.array(model.score(feature_matrix(some.to_pylist()))))
