@@ -9,7 +9,7 @@ from scrub.operators.documents import (flatten_tables, page_text, pages_from_lin
 from scrub.plans import sqlgen as S
 from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import scratch_dir, stmt, table
-from scrub.plans.registry import query
+from scrub.plans.registry import ORACLE_SQL, query
 from scrub.policy import DEFAULT_POLICY
 
 W = S.stmt_cte()
@@ -56,11 +56,7 @@ def q_sink_renders(spark, sf):
     """Write the txt render with the skew-safe writer, read the files back, reassemble per document."""
     out = scratch_dir(spark, "renders")
     write_renders(_conv_pages(spark, sf), out, formats=("txt",), doc="conv_id", page="page_number")
-    back = spark.read.text(f"{out}/txt", wholetext=True).select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.struct(F.col("_metadata.file_name").alias("f"), F.col("value").alias("v")).alias("part"))
-    parts = F.array_sort(F.collect_list("part"))
-    return back.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias("txt"))
+    return _reassembled(spark, f"{out}/txt", "txt")
 
 
 _MD_NOTICE_SQL = S.lit("> **Note:** This document has been processed by scrub. All detected PII has been redacted.")
@@ -104,3 +100,22 @@ def q_audit_pages(spark, sf):
 
 
 __all__ = ["flatten_tables"]
+
+
+@query("sink_renders_md", ORACLE_SQL["render_md"])
+def q_sink_renders_md(spark, sf):
+    """The md render written with the skew-safe writer, read back and reassembled."""
+    pages = _conv_pages(spark, sf).withColumn(
+        "source_name", F.concat(F.lit("conversation-"), F.col("conv_id").cast("string"), F.lit(".pdf")))
+    out = scratch_dir(spark, "renders-md")
+    write_renders(pages, out, formats=("md",), doc="conv_id", page="page_number", source_name="source_name")
+    return _reassembled(spark, f"{out}/md", "md")
+
+
+def _reassembled(spark, path, name):
+    """Each document's part files in part order, as one text."""
+    back = spark.read.text(path, wholetext=True).select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.struct(F.col("_metadata.file_name").alias("f"), F.col("value").alias("v")).alias("part"))
+    parts = F.array_sort(F.collect_list("part"))
+    return back.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias(name))
