@@ -3,20 +3,21 @@
 Groups of equal texts are packed whole, largest first, each into the bin with the least room that still holds it; the
 bins' remaining capacities are in a balanced tree, so one placement costs O(log bins).  Millions of groups far smaller
 than a bin need not be placed one by one: they are first dealt by hash into lots of about a thousandth of a bin,
-and lots and large groups together, a number bounded by ITEMS, are the items that the driver packs.  Item to
-shard is a bounded table, broadcast; no group's rows are ever gathered.
+and lots and large groups together, a number bounded by ITEMS, are the items that the driver packs.  A fixed capacity that
+needs more items than that has them packed in Spark tasks, a share of them in each.
 """
 
 from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrub.llm.common import Scratch, cell_rows, col, text_of
 
-#: Lots of small groups; also the most groups that can be larger than a lot. Twice as many items reach the driver.
+#: Lots of small groups; also the most groups that can be larger than a lot. Three times as many items reach the driver at most.
 ITEMS = 8192
 
 
@@ -106,6 +107,24 @@ def tightest_packing(items: list[tuple[int, object]], bins: int) -> dict:
     return found
 
 
+def _packed_in_tasks(sizes: DataFrame, capacity: int, parts: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(item, shard), written, and the number of shards: items dealt by hash into `parts`, each packed by best fit in a task."""
+
+    def pack(items: pd.DataFrame) -> pd.DataFrame:
+        place = best_fit_decreasing(list(zip(items["b"].tolist(), items["item"])), capacity)
+        if place is None:
+            raise ValueError(f"a lot of small groups is larger than the capacity of {capacity} bytes")
+        return pd.DataFrame({"item": list(place), "part": items["part"].iloc[0], "bin": list(place.values())})
+
+    dealt = sizes.withColumn("part", F.pmod(F.xxhash64(F.lit(13), F.col("item")), F.lit(parts)))
+    put = scratch.save(dealt.groupBy("part").applyInPandas(pack, "item string, part long, bin int"))
+    bins = put.groupBy("part").agg((F.max("bin") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = bins.select("part", "n", before.alias("before"))
+    total = bins.agg(F.sum("n")).first()[0]
+    return scratch.save(put.join(F.broadcast(offsets), "part").select("item", (F.col("bin") + F.col("before")).cast("int").alias("shard"))), total
+
+
 def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (doc_id, size, text_crc32, shard, slot).
 
@@ -130,32 +149,47 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     count, total = groups.agg(F.sum("n"), F.sum("bytes")).first()
     count, total = count or 0, total or 0
     room = max(1, capacity or -(-total // shards))
-    unit = max(1, -(-total // ITEMS))
-    if capacity and unit > capacity:
-        raise ValueError(f"a capacity of {capacity} bytes needs more than {ITEMS} shards for {total} bytes")
+    # Lots of a fixed capacity hold a 32nd of it on average, so that none comes near it.
+    unit = max(1, capacity // 16 if capacity else -(-total // ITEMS))
+    lots = max(1, -(-2 * total // unit)) if capacity else ITEMS
 
     # Rows larger than a bin would not fit even alone; a fixed capacity can't hold them.
     if capacity and (rows.agg(F.max("size")).first()[0] or 0) > capacity:
         raise ValueError(f"a row is larger than the capacity of {capacity} bytes")
     large = groups.filter(F.col("bytes") > unit).select("key", F.when(F.col("bytes") > room, F.ceil(F.col("bytes") / unit)).otherwise(F.lit(0)).cast("long").alias("pieces"))
-    met = rows.join(F.broadcast(large), "key", "left")
+    met = rows.join(F.broadcast(large) if not capacity or large.count() <= ITEMS else large, "key", "left")
     item = (
-        F.when(F.col("pieces").isNull(), F.concat(F.lit("l"), F.pmod(F.xxhash64(F.lit(5), F.col("key")), F.lit(ITEMS))))
+        F.when(F.col("pieces").isNull(), F.concat(F.lit("l"), F.pmod(F.xxhash64(F.lit(5), F.col("key")), F.lit(lots))))
         .when(F.col("pieces") == 0, F.concat(F.lit("g"), F.col("key")))
         .otherwise(F.concat(F.lit("p"), F.col("key"), F.lit("."), F.pmod(F.xxhash64(F.lit(9), F.col("id"), F.col("crc")), F.col("pieces"))))
     )
     dealt = scratch.save(met.select("id", "size", "crc", item.alias("item")))
     scratch.drop(rows)
-    items = [(r["b"], r["item"]) for r in dealt.groupBy("item").agg(F.sum("size").alias("b")).collect()]
-    place = best_fit_decreasing(items, capacity) if capacity else tightest_packing(items, shards)
-    if place is None:
-        raise ValueError(f"rows of one id and text are larger than the capacity of {capacity} bytes")
-    shard_of = docs.sparkSession.createDataFrame(sorted(place.items()), "item string, shard int")
+    sizes = dealt.groupBy("item").agg(F.sum("size").alias("b"))
+    if capacity:
+        # Rows of a piece have one size; what the hash dealt too full is dealt on by count.
+        sizes = scratch.save(sizes)
+        over = sizes.filter((F.col("b") > capacity) & F.col("item").startswith("p")).select("item")
+        if not over.isEmpty():
+            nth = F.row_number().over(Window.partitionBy("item").orderBy("id")) - 1
+            part = F.concat("item", F.lit("."), F.floor(nth / F.floor(F.lit(capacity) / F.col("size"))))
+            dealt = scratch.save(dealt.join(over, "item", "left_anti").unionByName(dealt.join(over, "item").withColumn("item", part)))
+            sizes = scratch.save(dealt.groupBy("item").agg(F.sum("size").alias("b")))
+    many = sizes.count() if capacity else 0
+    if many > 3 * ITEMS:
+        shard_of, bins = _packed_in_tasks(sizes, capacity, -(-many // ITEMS), scratch)
+    else:
+        items = [(r["b"], r["item"]) for r in sizes.collect()]
+        place = best_fit_decreasing(items, capacity) if capacity else tightest_packing(items, shards)
+        if place is None:
+            raise ValueError(f"a lot of small groups is larger than the capacity of {capacity} bytes")
+        shard_of = F.broadcast(docs.sparkSession.createDataFrame(sorted(place.items()), "item string, shard int"))
+        bins = len(set(place.values()))
 
     # Slots: cells of rows by a hash of the id inside each shard, numbered from the cells' running counts.
-    cells = max(1, -(-count // (max(1, shards or len(set(place.values()))) * cell_rows(count))))
+    cells = max(1, -(-count // (max(1, shards or bins) * cell_rows(count))))
     cell = F.pmod(F.xxhash64(F.lit(11), F.col("id"), F.col("crc")), F.lit(cells))
-    put = scratch.save(dealt.join(F.broadcast(shard_of), "item").select("id", "size", "crc", "shard", cell.alias("cell")))
+    put = scratch.save(dealt.join(shard_of, "item").select("id", "size", "crc", "shard", cell.alias("cell")))
     scratch.drop(dealt)
     run = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     ahead = put.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("ahead"))

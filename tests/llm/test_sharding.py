@@ -98,3 +98,12 @@ def test_same_on_another_layout(spark):
 
 def test_empty_table(spark):
     assert shard_documents(spark.createDataFrame([], SCHEMA), 16).count() == 0
+
+
+def test_small_capacity_needs_no_cap_on_shards(spark):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "concat('text ', id, repeat('x', cast(id % 90 AS int))) AS text")
+    got = shard_documents(rows, shards=None, capacity=200).groupBy("shard").agg({"size": "sum", "slot": "max", "doc_id": "count"}).collect()
+    assert sum(r["count(doc_id)"] for r in got) == 30_000 and all(r["sum(size)"] <= 200 and r["max(slot)"] == r["count(doc_id)"] - 1 for r in got)
+    assert sorted(r["shard"] for r in got) == list(range(len(got))) and len(got) > 8192
+    total = sum(r["sum(size)"] for r in got)
+    assert len(got) <= 1.2 * total / 200
