@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrub.llm import bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, substring
+from scrub.llm import alignment, bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, substring
 from scrub.session import read_table
 
-#: Place of the public tokenizer's vocabulary file; None asks the public_tokenizers package.
+#: Places of the public tokenizers' files; None asks the public_tokenizers package.
 VOCABULARY: str | None = None
+PIECES: str | None = None
 
 
-def vocabulary_path() -> str:
-    if VOCABULARY:
-        return VOCABULARY
+def public_file(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def vocabulary_path() -> str:
+    return VOCABULARY or public_file("byte_bpe_50k.json")
+
+
+def pieces_path() -> str:
+    return PIECES or public_file("piece_bpe_32k.model")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +68,15 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(read_table(spark, sf_dir, "documents"), vocabulary_path(), pieces_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_secret_scan, op5_minhash_near_dedup, op6_pii, op7_bpe, op8_mixing,
-        op9_substring_dedup, op10_embedding_near_dedup,
+        op9_substring_dedup, op10_embedding_near_dedup, op12_alignment,
     )
 }
 
