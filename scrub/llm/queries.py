@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrub.llm import alignment, bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, substring
+from scrub.llm import alignment, bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, substring, token_file
 from scrub.session import read_table
 
 #: Places of the public tokenizers' files; None asks the public_tokenizers package.
@@ -72,11 +72,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read_table(spark, sf_dir, "documents"), vocabulary_path(), pieces_path())
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_digests(read_table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_secret_scan, op5_minhash_near_dedup, op6_pii, op7_bpe, op8_mixing,
-        op9_substring_dedup, op10_embedding_near_dedup, op12_alignment,
+        op9_substring_dedup, op10_embedding_near_dedup, op12_alignment, op13_token_files,
     )
 }
 
