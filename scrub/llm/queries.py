@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrub.llm import alignment, bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, secrets, sharding, substring, token_file
+from scrub.llm import alignment, bpe, embeddings, exact_dedup, minhash, mixing, pii, quality, search, secrets, sharding, substring, token_file
 from scrub.session import read_table
 
 #: Places of the public tokenizers' files; None asks the public_tokenizers package.
@@ -68,6 +68,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+    return out.select("item_id", "rank", "doc_id", "score")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read_table(spark, sf_dir, "documents"), vocabulary_path(), pieces_path())
 
@@ -80,7 +85,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_secret_scan, op5_minhash_near_dedup, op6_pii, op7_bpe, op8_mixing,
-        op9_substring_dedup, op10_embedding_near_dedup, op12_alignment, op13_token_files,
+        op9_substring_dedup, op10_embedding_near_dedup, op11_ranked_search, op12_alignment, op13_token_files,
     )
 }
 
@@ -132,4 +137,18 @@ ORACLE_SQL = {
         n as (select a, count(*) as n from l group by a)
         select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
         from v join m on id = vec_id left join n on a = vec_id""",
+    # Every document's score for every item that shares a term with it.
+    "op11_ranked_search": r"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+        c as (select doc_id, len(ts)::bigint as n, unnest(ts) as t from d where len(ts) > 0),
+        g as (select count(*)::bigint as docs, sum(len(ts))::bigint as terms from d where len(ts) > 0),
+        f as (select doc_id, any_value(n) as n, t, count(*)::bigint as tf from c group by doc_id, t),
+        q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+        w as (select t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, g group by t),
+        s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::bigint as score
+              from q join f using (t) join w using (t), g group by item_id, doc_id),
+        r as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from s where score > 0)
+        select item_id, rank, doc_id, score from r where rank <= 10""",
 }
