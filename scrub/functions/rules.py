@@ -1,7 +1,8 @@
 """Scored detection rules, all native Column expressions.
 
 Each rule is a regex in the subset Java, Python and RE2 read the same way (no
-look-around, no back-references), an entity type, a score (a constant, or a
+look-around, no back-references), where Java needs it the same matches written so
+that it finds them in linear time and bounded stack, an entity type, a score (a constant, or a
 Column over the hit for card numbers), and a cheap necessary condition that
 lets a row skip the regex entirely.  The regexes and scores are our own
 choices; only the entity type names are fixed by the tool we mirror.
@@ -40,12 +41,20 @@ _MONTHS = (
 )
 
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# Java tries every place of a run before an "@" that never comes, which is quadratic; a match can only start where the
+# run does, or where the match before it ended. What ends a run can't be part of it, so nothing is given back.
+_LOCAL = "A-Za-z0-9._%+-"
+EMAIL_JAVA_RE = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 PHONE_RE = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b"
 IP_RE = rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
 URL_RE = (
     r"\b(?:https?://|www\.)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?"
     r"(?:[/?#][A-Za-z0-9._~:/?#@!$&*+,;=%-]*[A-Za-z0-9_~/=#&-])?"
 )
+# Java recurses once a label, and ends the JVM on some 10,000 of them, unless labels are never given back. They needn't
+# be: all that follows them is optional.
+_LABELS = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+URL_JAVA_RE = URL_RE.replace(_LABELS, r"[A-Za-z0-9-]++\.[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
 SSN_RE = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 BANK_RE = r"\b[0-9]{8,17}\b"
 DATE_RE = (
@@ -68,13 +77,18 @@ class Rule:
     guard: Callable[[Column], Column] | None = None
     score_fn: Callable[[Column], Column] | None = None
     max_score: float = 1.0
+    java: str | None = None  # the same matches, as Java finds them fastest
+
+    @property
+    def spark_pattern(self) -> str:
+        return self.java or self.pattern
 
     def score_of(self, hit: Column) -> Column:
         return F.lit(self.score) if self.score_fn is None else self.score_fn(hit)
 
     def may_match(self, t: Column) -> Column:
         """Cheap necessary condition, then one regex find."""
-        found = t.rlike(self.pattern)
+        found = t.rlike(self.spark_pattern)
         return found if self.guard is None else self.guard(t) & found
 
     def can_pass(self, threshold: float) -> bool:
@@ -101,10 +115,10 @@ def card_score(hit: Column) -> Column:
 
 
 BUILTIN_RULES: tuple[Rule, ...] = (
-    Rule(EMAIL_ADDRESS, EMAIL_RE, 1.0, lambda t: t.contains("@")),
+    Rule(EMAIL_ADDRESS, EMAIL_RE, 1.0, lambda t: t.contains("@"), java=EMAIL_JAVA_RE),
     Rule(PHONE_NUMBER, PHONE_RE, 0.6, _has_digit),
     Rule(IP_ADDRESS, IP_RE, 0.6, _has_digit),
-    Rule(URL, URL_RE, 0.6, lambda t: t.contains("://") | t.contains("www.")),
+    Rule(URL, URL_RE, 0.6, lambda t: t.contains("://") | t.contains("www."), java=URL_JAVA_RE),
     Rule(US_SSN, SSN_RE, 0.85, _has_digit),
     Rule(CREDIT_CARD, P.CARD_RE, None, _has_digit, card_score, 1.0),
     Rule(US_BANK_NUMBER, BANK_RE, 0.4, _has_digit),

@@ -79,7 +79,7 @@ def scored_stage(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None
             _guarded(
                 r,
                 t,
-                rule_spans(t, r.pattern, SCORED_STAGE, r.entity_type, r.score_of,
+                rule_spans(t, r.spark_pattern, SCORED_STAGE, r.entity_type, r.score_of,
                            F.lit(policy.replacement(r.entity_type)), policy.include_text),
             )
             for r in rules
@@ -134,8 +134,8 @@ def scored_light(text, policy: Policy = DEFAULT_POLICY, rules: list[Rule] | None
                 if r.score is None:
                     continue
                 done = F.struct(
-                    F.regexp_replace(t, r.pattern, _literal_replacement(policy.replacement(r.entity_type))).alias("text"),
-                    F.array_repeat(F.lit(r.entity_type), F.regexp_count(t, F.lit(r.pattern))).alias("types"),
+                    F.regexp_replace(t, r.spark_pattern, _literal_replacement(policy.replacement(r.entity_type))).alias("text"),
+                    F.array_repeat(F.lit(r.entity_type), F.regexp_count(t, F.lit(r.spark_pattern))).alias("types"),
                 )
                 out = (F.when if out is None else out.when)(sole & hits[i], done)
             full = let(scored_stage(t, policy, rules),

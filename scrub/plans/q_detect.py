@@ -18,7 +18,7 @@ W = S.stmt_cte()
 def detect(df, key: str, text_col: str, rule: R.Rule):
     """One row per hit of ``rule``: ``(key, entity_type, start_pos, end_pos, hit, score)``."""
     t = F.col(text_col)
-    spans = rule_spans(t, rule.pattern, R.SCORED_STAGE, rule.entity_type, rule.score_of, None, True)
+    spans = rule_spans(t, rule.spark_pattern, R.SCORED_STAGE, rule.entity_type, rule.score_of, None, True)
     src = df.select(key, text_col)
     if rule.guard is not None:
         src = src.where(rule.guard(t))

@@ -11,6 +11,7 @@ from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import table
 from scrub.plans.registry import query
 from scrub.policy import DEFAULT_POLICY
+from scrub.session import spread
 
 
 def _gaz_sql(derived: str, key: str, terms: str, entity_type: str, score: float = 0.85) -> str:
@@ -43,7 +44,7 @@ _PERSON_TEXT = ("select o_orderkey, concat('Order ', cast(o_orderkey as varchar)
 
 @query("detect_person", _gaz_sql(_PERSON_TEXT, "o_orderkey", "select c_name as name from customer", R.PERSON))
 def q_detect_person(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     c = table(spark, sf, "customer")
     txt = o.join(c, o.o_custkey == c.c_custkey).select(
         "o_orderkey",
@@ -86,7 +87,7 @@ def _redacted_sql(derived: str, key: str, name: str, entity_type: str) -> str:
 
 def _redacted(texts, key, names, entity_type):
     terms = names.select("name").distinct()
-    out = redact_gazetteers(texts, key, "txt", [(terms, "name", entity_type, 0.85)])
+    out = redact_gazetteers(texts, "txt", [(terms, "name", entity_type, 0.85)])
     return out.select(key, F.col("r.redacted").alias("redacted"))
 
 
@@ -116,6 +117,30 @@ def q_redact_location(spark, sf):
     return _redacted(txt, "c_custkey", r.select(F.col("r_name").alias("name")), R.LOCATION)
 
 
+@query("redact_nrp", _redacted_sql(
+    "select s_suppkey, n_name as name, concat(s_name, ' is a ', n_name, ' supplier') as txt "
+    "from supplier join nation on s_nationkey = n_nationkey", "s_suppkey", "name", R.NRP))
+def q_redact_nrp(spark, sf):
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    txt = s.join(n, s.s_nationkey == n.n_nationkey).select(
+        "s_suppkey", F.concat("s_name", F.lit(" is a "), "n_name", F.lit(" supplier")).alias("txt"))
+    return _redacted(txt, "s_suppkey", n.select(F.col("n_name").alias("name")), R.NRP)
+
+
+_KEYLESS = ("select case when o_orderkey % 3 = 0 then null else o_orderkey % 5 end as k, c_name as name, "
+            "concat('Order of ', c_name, ', ', c_mktsegment) as txt from orders join customer on o_custkey = c_custkey")
+
+
+@query("redact_person_keyless", _redacted_sql(_KEYLESS, "k", "name", R.PERSON))
+def q_redact_person_keyless(spark, sf):
+    """Rows without any key: most share a number with thousands of others, a third have none."""
+    o, c = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"), table(spark, sf, "customer")
+    txt = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 5).alias("k"),
+        F.concat(F.lit("Order of "), "c_name", F.lit(", "), "c_mktsegment").alias("txt"))
+    return _redacted(txt, "k", c.select(F.col("c_name").alias("name")), R.PERSON)
+
+
 @query("redact_identity_long", _redacted_sql(
     "select p_partkey, p_name || ' of lot ' || p_partkey as name, concat('item ', p_name, ' of lot ', p_partkey, ' in stock') as txt from part", "p_partkey", "p_name", R.CONFIGURED_IDENTITY))
 def q_redact_identity_long(spark, sf):

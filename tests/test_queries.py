@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 from scrub.session import TABLES
 
 NAMES = sorted(E.queries())
@@ -143,3 +144,36 @@ def test_gazetteer_matches_brute_force(spark, rows, names):
     for limit in (64 * 1024 * 1024, 0):
         got = gazetteer_spans(tdf, "k", "t", ndf, "name", "PERSON", broadcast_limit=limit)
         assert {(r.k, r.start_pos, r.end_pos, r.term) for r in got.collect()} == want
+
+
+def test_dictionary_hits_in_rows_without_keys(spark):
+    from scrub.operators.gazetteer import redact_gazetteers
+
+    rows = [(None, "Anna Smith was here"), (None, "nobody"), (1, "ANNA  SMITH, Bo"), (1, "nothing at all to see here"), (1, None), (2, "card 4111111111111234 of bo")]
+    rows += [(3, "Anna Smith was here")] * 3
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "k int, t string, _row string")
+    people = spark.createDataFrame([("Anna Smith",), (None,), ("!!",)], "name string")
+    more = spark.createDataFrame([("bo",)], "name string")
+    want = sorted(((k, t.replace("Anna Smith", "[PERSON]").replace("ANNA  SMITH", "[PERSON]").replace("Bo", "[NRP]").replace("of bo", "of [NRP]").replace("411111111111", "X" * 12) if t else t) for k, t in rows), key=str)
+    for limit in (1 << 20, 0):
+        out = redact_gazetteers(df, "t", [(people, "name", "PERSON", 0.9), (more, "name", "NRP", 0.9)], broadcast_limit=limit)
+        assert out.columns == ["k", "t", "_row", "r"]
+        assert sorted(((x.k, x.r.redacted) for x in out.collect()), key=str) == want
+    empty = spark.createDataFrame([], "name string")
+    assert sorted(((x.k, x.r.redacted is None) for x in redact_gazetteers(df, "t", [(empty, "name", "PERSON", 0.9)]).collect()), key=str) == sorted(((k, t is None) for k, t in rows), key=str)
+
+
+def test_few_runs_of_words_leave_the_row(spark):
+    """Of prose, the filter lets little more than the names pass, whatever the dictionary's size."""
+    import random
+
+    from scrub.operators.gazetteer import candidates, dictionary, measure
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    names = [f"{word()} {word()}" for _ in range(20_000)]
+    texts = [" ".join([word() for _ in range(300)] + [r.choice(names).upper()]) for _ in range(200)]
+    known = measure(dictionary(spark.createDataFrame([(n,) for n in names], "name string"), "name"))
+    assert known.sizes == [2] and known.nbytes == sum(len(n) + 16 for n in set(names))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(candidates(F.col("t"), known)).alias("n")).collect()
+    assert min(x.n for x in got) >= 1 and sum(x.n for x in got) <= 2 * len(texts)
