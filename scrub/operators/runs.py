@@ -7,10 +7,10 @@ Nothing is looped over on the driver.  With ``apply=False`` (the default, a dry
 run) everything is computed and counted, nothing is written.
 
 When applying, the redacted rows feed two outputs (the files and the audit);
-they are persisted on executor disks between the two jobs, so the redaction
-runs once, and a lost executor's blocks are recomputed from the input.  With
-``durable=True`` they are checkpointed instead, into the shared folder named by
-``spark.checkpoint.dir``: nothing is recomputed after an executor loss.
+they are checkpointed between the two jobs, into the shared folder named by
+``spark.checkpoint.dir``: the redaction runs once, and nothing is recomputed after
+an executor loss.  With ``durable=False`` they are persisted on executor disks
+instead, and a lost executor's blocks are recomputed from the input.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ class RunResult:
     observed: dict | None = None
 
 
-def _keep(df: DataFrame, durable: bool) -> DataFrame:
+def kept_rows(df: DataFrame, durable: bool) -> DataFrame:
     """Materialise rows that feed two jobs: reliable checkpoint, or executor-disk persist."""
     if durable:
         ensure_checkpoint_dir(df.sparkSession)
@@ -123,10 +123,11 @@ def _base_of(paths) -> str:
     return os.path.commonpath(tops) if all(t.startswith("/") for t in tops) else os.path.commonprefix(tops).rsplit("/", 1)[0]
 
 
-def _group_results(spark: SparkSession, header: tuple, paths, policy: Policy, null_tokens, multiline: bool) -> tuple[DataFrame, list[str], list[str]]:
+def group_results(spark: SparkSession, header: tuple, paths, policy: Policy, null_tokens, multiline: bool, keep=()) -> tuple[DataFrame, list[str], list[str]]:
     """Cell results of files with one header, their columns named by place: ``(results, places, names)``.
 
-    Headers can be any text, so they name columns only where a file is written and a finding reported.
+    Headers can be any text, so they name columns only where a file is written and a finding reported.  Columns
+    named in ``keep`` have their cells as they are, under their places.
     """
     names = unique_names(header)
     places = [f"c{i}" for i in range(len(names))]
@@ -141,18 +142,22 @@ def _group_results(spark: SparkSession, header: tuple, paths, policy: Policy, nu
     src = src.select(*cells, (F.col(CORRUPT).isNotNull() & (_fields(F.col(CORRUPT)) > len(places))).alias("_long"),
                      plain_path(F.col("_metadata.file_path")).alias(SOURCE))
     hidden = [c for c, n in zip(places, names) if n in set(policy.sensitive_columns)]
-    return cell_results(src, policy.with_(sensitive_columns=tuple(hidden)), keep=[SOURCE]), places, names
+    kept = [c for c, n in zip(places, names) if n in set(keep)]
+    return cell_results(src, policy.with_(sensitive_columns=tuple(hidden)), keep=[SOURCE, *kept]), places, names
 
 
-def _tallies(res: DataFrame, places: list[str]) -> DataFrame:
+def cell_tallies(res: DataFrame, places: list[str]) -> DataFrame:
     cell = [col(RESULT_PREFIX + c) for c in places]
     changed = sum((r["changed"].cast("long") for r in cell), F.lit(0).cast("long"))
     types = F.flatten(F.array(*[F.when(r["changed"], F.transform(r["entities"], lambda e: e["entity_type"])).otherwise(F.array().cast("array<string>")) for r in cell]))
     return tallies(res, SOURCE, types, changed, F.col("_long"))
 
 
-def _file_rows(listed: DataFrame, counted: DataFrame | None) -> DataFrame:
-    """One result for every listed file, whatever it holds: (path, kind, header) with its tallies."""
+def file_rows(listed: DataFrame, counted: DataFrame | None) -> DataFrame:
+    """One result for every listed file, whatever it holds: (path, kind, header, refused) with its tallies.
+
+    ``refused``, where it is given, says why a file was not read.
+    """
     none = F.create_map().cast("map<string,bigint>")
     if counted is None:
         counted = listed.sparkSession.createDataFrame([], f"{SOURCE} string, key string, n long")
@@ -164,6 +169,8 @@ def _file_rows(listed: DataFrame, counted: DataFrame | None) -> DataFrame:
         .when(~F.col("has_header"), F.lit("no header line (empty file)"))
         .when(long_row, F.lit("a row has more fields than the header"))
     )
+    if "refused" in listed.columns:
+        error = F.coalesce(F.col("refused"), error)
     ok = error.isNull()
     number = lambda k: F.when(ok, F.coalesce(F.col("m")[k], F.lit(0))).otherwise(0).cast("long")
     types = types_in(F.col("m"))
@@ -217,24 +224,24 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
 
     done, counted, findings = [], None, spark.createDataFrame([], FINDINGS)
     for header, group in sorted(groups.items()):
-        res, places, names = _group_results(spark, header, group, policy, null_tokens, multiline)
+        res, places, names = group_results(spark, header, group, policy, null_tokens, multiline)
         if apply:
-            res = _keep(res, durable)
+            res = kept_rows(res, durable)
         done.append((res, places, names))
-        here = _tallies(res, places)
+        here = cell_tallies(res, places)
         counted = here if counted is None else counted.unionByName(here)
         per_cell = F.array(*[F.struct(F.lit(n).alias("column_name"), col(RESULT_PREFIX + c).alias("r")) for c, n in zip(places, names)])
         cells = explode_kept(res, [SOURCE], per_cell, "cell").where(F.col("cell.r.changed"))
         cells = cells.select(SOURCE, F.col("cell.column_name").alias("column_name"), F.col("cell.r.entities").alias("_e"))
         findings = findings.unionByName(explode_kept(cells, [SOURCE, "column_name"], F.col("_e"), "e").select(
             F.col(SOURCE).alias("source"), "column_name", F.col("e.entity_type").alias("entity_type")))
-    files = _file_rows(listed, counted)
+    files = file_rows(listed, counted)
     observed = None
     if apply:
         # One row per file: materialised first, so failed files can be left out of the write.
         out_path = F.concat(F.lit(out_dir.rstrip("/") + "/file="), partition_folder(_relative(F.col("input_path"), base)))
         files = files.withColumn("output_paths", F.when(F.col("success") & (F.col("rows_or_pages") > 0), F.array(out_path)).otherwise(F.array().cast("array<string>")))
-        files = _keep(files, durable)
+        files = kept_rows(files, durable)
         failed = files.where(~F.col("success")).select(F.col("input_path").alias(SOURCE))
         observed = {}
         for k, (res, places, names) in enumerate(done):
@@ -292,19 +299,19 @@ def report_summary(run: RunResult) -> DataFrame:
 
 def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: Policy = DEFAULT_POLICY,
                          apply: bool = False, doc: str = "doc_id", page: str = "page_number",
-                         source_name: str | None = None, durable: bool = False) -> RunResult:
+                         source_name: str | None = None, durable: bool = True) -> RunResult:
     """Redact ``(doc, page, text)`` rows; with ``apply`` write the formats chosen in the policy."""
     started = now_text()
     red = redact_pages(pages, policy)
     if apply:
         if out_dir is None:
             raise ValueError("apply=True needs out_dir")
-        red = _keep(red, durable)
+        red = kept_rows(red, durable)
         write_renders(red, out_dir, policy.formats, doc, page, source_name)
     findings = explode_entities(red, [doc], "entities")
     files = file_results(red.select(doc, "changed"), doc, count_by(findings, doc, "entity_type"), "pdf")
     if apply:
-        files = _keep(files, durable)
+        files = kept_rows(files, durable)
         files.count()
         red.unpersist()
     return RunResult(uuid.uuid4().hex, started, now_text(), not apply, files, run_summary(files), findings)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scrub.functions import rules as R
 from scrub.functions.arrays import explode_kept
 from scrub.functions.spans import rule_spans
+from scrub.operators.redact import scored_stage
 from scrub.plans import sqlgen as S
 from scrub.plans.catalog import stmt, table
 from scrub.plans.registry import query
@@ -89,8 +90,12 @@ def q_detect_bank(spark, sf):
 @query("threshold_filter", f"""
 select * from ({_sql("documents", "doc_id", "text", B[R.CREDIT_CARD], _LUHN_SCORE)}) where score >= 0.5""")
 def q_threshold_filter(spark, sf):
-    rows = detect(table(spark, sf, "documents"), "doc_id", "text", B[R.CREDIT_CARD])
-    return rows.where(F.col("score") >= Policy().threshold(R.CREDIT_CARD))
+    """The scored stage itself drops what is below the threshold: numbers that fail the checksum have 0.3."""
+    stage = scored_stage(F.col("text"), Policy(rules=(R.CREDIT_CARD,), include_text=True))
+    d = table(spark, sf, "documents")
+    return explode_kept(d, ["doc_id"], stage["spans"], "s").select(
+        "doc_id", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"),
+        F.col("s.text").alias("hit"), F.col("s.score").alias("score"))
 
 
 # Configured identities (policy values) looked up in a table-derived text.

@@ -13,7 +13,7 @@ from scrub.functions import rules as R
 from scrub.functions.arrays import explode_kept
 from scrub.functions.detector import regex_detector
 from scrub.operators.audit import run_summary
-from scrub.operators.runs import RunResult, now_text, redact_folder, report_summary
+from scrub.operators.runs import RunResult, now_text, redact_csv_files, redact_folder, report_summary
 from scrub.operators.tables import redact_table
 from scrub.plans import sqlgen as S
 from scrub.plans import sqlpipe as SP
@@ -24,7 +24,7 @@ from scrub.plans.registry import query
 from scrub.policy import DEFAULT_POLICY
 from scrub.sources.files import (base_name, file_status, fingerprints, inventory, is_supported, load_report,
                                  output_path, read_csv_strings, row_fingerprint, save_report, write_csv)
-from scrub.streaming.folder import redact_folder_stream
+from scrub.streaming.folder import redact_folder_stream, stream_files
 
 W = S.stmt_cte()
 KEY = "o_orderkey"
@@ -240,29 +240,74 @@ def q_run_csv_folder(spark, sf):
     return every.select("file", "o_orderkey", "acct", "email", "source", "success", "rows_or_pages", "fields_changed")
 
 
-@query("bad_records", "select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice, "
-                      "(o_orderkey % 7 = 0) as is_corrupt from orders")
+def _write_lines(lines, path):
+    """One text file of exactly this path holding the lines of a small table."""
+    spark = lines.sparkSession
+    lines.coalesce(1).write.text(path + ".parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(path + ".parts")) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, hadoop.Path(path))
+    fs.delete(hadoop.Path(path + ".parts"), True)
+
+
+# Orders as lines of three kinds by their key: sound ones, some with a field too many (two files of ten), short ones.
+_LINE_FILE = "'f' || cast(o_orderkey % 10 as varchar) || '.csv'"
+
+
+@query("bad_records", f"""
+with d as (select {_LINE_FILE} as file, o_orderkey, 'o' || o_orderkey || '@shop.test' as email,
+                  o_orderkey % 10 in (3, 7) and o_orderkey % 70 in (3, 7) as surplus, o_orderkey % 10 = 5 as short from orders),
+  f as (select file, not bool_or(surplus) as success, count(*) as n, count(*) filter (not short) as changed from d group by file)
+select file, success, case when success then n else 0 end as rows_or_pages, case when success then changed else 0 end::bigint as fields_changed,
+       case when not success then 'a row has more fields than the header' end as error from f""")
 def q_bad_records(spark, sf):
-    """Every seventh line carries a price that is not a number: flagged, the others parse.
-
-    The CSV reader parses only referenced columns, so a malformed field is
-    detected only when its column is selected: the price is part of the output.
-    """
-    o = table(spark, sf, "orders")
-    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
-    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), price)
+    """Ten files, two of which hold lines with a field too many: these fail, the others, short lines included, are redacted."""
     path = scratch_dir(spark, "bad-records")
-    o.select(line.alias("value")).repartition(3).write.text(path)
-    schema = T.StructType([
-        T.StructField("o_orderkey", T.LongType()),
-        T.StructField("o_orderstatus", T.StringType()),
-        T.StructField("o_totalprice", T.DoubleType()),
-        T.StructField("_corrupt_record", T.StringType()),
-    ])
-    back = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    key = F.coalesce(F.col("o_orderkey"), F.split(F.col("_corrupt_record"), ",")[0].cast("long"))
-    return back.select(key.alias("o_orderkey"), "o_totalprice", F.col("_corrupt_record").isNotNull().alias("is_corrupt"))
+    key = F.col("o_orderkey")
+    ten = (key % 10).cast("string")
+    email = F.concat(F.lit("o"), key.cast("string"), F.lit("@shop.test"))
+    line = (
+        F.when((key % 70).isin(3, 7), F.concat_ws(",", key.cast("string"), email, F.col("o_orderstatus"), F.lit("surplus")))
+        .when(key % 10 == 5, key.cast("string"))
+        .otherwise(F.concat_ws(",", key.cast("string"), email, F.col("o_orderstatus")))
+    )
+    o = table(spark, sf, "orders").select(F.concat(F.lit("f"), ten, F.lit(".csv")).alias("name"), line.alias("value"))
+    head = spark.createDataFrame([("o_orderkey,email,o_orderstatus",)], "value string")
+    for r in o.select("name").distinct().collect():  # ten names, whatever the table's size
+        _write_lines(head.union(o.where(F.col("name") == r.name).select("value")), f"{path}/{r.name}")
+    run = redact_csv_files(spark, f"{path}/*.csv", policy=DEFAULT_POLICY)
+    return run.files.select(base_name(F.col("input_path")).alias("file"), "success", "rows_or_pages", "fields_changed", "error")
+
+
+_STREAM_CELLS = {c: SP.cell_sql(c, DEFAULT_POLICY) for c in ("email", "account_number")}
+
+
+@query("stream_ledger", f"""
+with {W}, d as (select case when o_orderkey % 3 = 0 then 'a.csv' else 'b.csv' end as file, email, account_number, {", ".join(f"{sql} as r_{c}" for c, sql in _STREAM_CELLS.items())} from stmt)
+select file, true as success, count(*) as rows_or_pages,
+       sum((email is distinct from r_email)::int + (account_number is distinct from r_account_number)::int)::bigint as fields_changed, null as error from d group by file
+union all select * from (values ('surplus.csv', false, 0, 0, 'a row has more fields than the header'),
+                                ('other.csv', false, 0, 0, 'the header has none of the wanted columns'),
+                                ('empty.csv', false, 0, 0, 'no header line (empty file)'))""")
+def q_stream_ledger(spark, sf):
+    """Files that come in two goes, the stream ended between: each has one result, whichever micro-batch read it."""
+    root, out, ckpt = (scratch_dir(spark, x) for x in ("ledger-in", "ledger-out", "ledger-ckpt"))
+    s = stmt(spark, sf).select("o_orderkey", "email", "account_number")
+    third = F.col("o_orderkey") % 3 == 0
+    region = table(spark, sf, "region")
+
+    def go():
+        redact_folder_stream(spark, root, out, ckpt, ["email", "account_number"], DEFAULT_POLICY, max_files_per_trigger=2, pattern="*.csv").awaitTermination()
+
+    _put_csv(s.where(third).drop("o_orderkey"), f"{root}/a.csv")
+    _write_lines(region.select(F.concat(F.lit("email,account_number\n"), F.concat_ws(",", "r_name", "r_name", "r_name"))), f"{root}/surplus.csv")
+    go()
+    _put_csv(s.where(~third).select("account_number", "o_orderkey", "email"), f"{root}/b.csv")
+    _write_lines(region.select(F.concat(F.lit("r_name,r_comment\n"), F.concat_ws(",", "r_name", "r_name"))), f"{root}/other.csv")
+    _write_lines(region.agg(F.lit("").alias("value")), f"{root}/empty.csv")
+    go()
+    return stream_files(spark, out).select(base_name(F.col("input_path")).alias("file"), "success", "rows_or_pages", "fields_changed", "error")
 
 
 EMAIL_DETECTOR = regex_detector(R.EMAIL_RE, R.EMAIL_ADDRESS, 1.0)

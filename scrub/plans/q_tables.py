@@ -51,14 +51,19 @@ def q_redact_nulls(spark, sf):
     return agg.selectExpr(f"stack({len(COLS)}, {stack}) as (column_name, nulls_before, nulls_after)")
 
 
+_VALUES = "(" + " + ".join(f"count({c})" for c in COLS) + ")::bigint"
+
+
 @query("shape_preserved", f"""with {W}, r as ({_table_sql(DEFAULT_POLICY)})
-select 'input' as side, (select count(*) from stmt) as n_rows, '{",".join((KEY,) + COLS)}' as columns
-union all select 'output', (select count(*) from r), '{",".join((KEY,) + COLS)}'""")
+select 'input' as side, count(*) as n_rows, {_VALUES} as n_values, '{",".join((KEY,) + COLS)}' as columns from stmt
+union all select 'output', count(*), {_VALUES}, '{",".join((KEY,) + COLS)}' from r""")
 def q_shape_preserved(spark, sf):
     s = stmt(spark, sf)
     red = redact_table(s, DEFAULT_POLICY, keep=[KEY])
-    side = lambda df, name: df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(name).alias("side"), "n_rows", F.lit(",".join(df.columns)).alias("columns"))
+    # Counting values needs every redacted cell; counting rows alone would let the redaction be pruned away.
+    values = sum((F.count(c) for c in COLS), F.lit(0).cast("long"))
+    side = lambda df, name: df.agg(F.count(F.lit(1)).alias("n_rows"), values.alias("n_values")).select(
+        F.lit(name).alias("side"), "n_rows", "n_values", F.lit(",".join(df.columns)).alias("columns"))
     return side(s, "input").unionByName(side(red, "output"))
 
 

@@ -8,12 +8,15 @@ from scrub.operators.runs import redact_csv_files, redact_documents_run
 from scrub.policy import Policy
 
 
+HEADER = "branch,ref,paid from,reply to,remark\n"
+
+
 def _csv_dir():
+    """A file with quoted commas, quotes and line ends, empty cells, blanks at a cell's end and two numbers in one cell."""
     d = tempfile.mkdtemp(prefix="scrub-run-")
     with open(d + "/test.csv", "w") as f:
-        f.write("name,account_number,card_number,email,amount\n"
-                "Ada Quill,2044518890,4000123412341234,ada@mail.test,31.50\n"
-                "Bo Tarn,7719046652,5100987654325678,bo@mail.test,8.25\n")
+        f.write(HEADER + '"Quay, North",x7,2044518890 4000123412341234,till@shop.test,"says ""ok""\n at 9"\n'
+                ",,7719046652 5100987654325678,,write to desk@shop.test \n")
     return d
 
 
@@ -23,7 +26,7 @@ def test_csv_dry_run_counts_without_writing(spark):
     r = redact_csv_files(spark, d + "/test.csv", out, apply=False)
     assert r.dry_run and not os.path.exists(out)
     f = r.files.first()
-    assert f.rows_or_pages == 2 and f.fields_changed == 6 and f.success
+    assert f.rows_or_pages == 2 and f.fields_changed == 4 and f.success
     assert f.entities_by_type == {"CARD_NUMBER": 2, "ACCOUNT_NUMBER": 2, "EMAIL_ADDRESS": 2}
     s = r.summary.first()
     assert (s.total_files, s.successful_files, s.failed_files, s.total_entities) == (1, 1, 0, 6)
@@ -32,11 +35,11 @@ def test_csv_dry_run_counts_without_writing(spark):
 def test_csv_apply_writes_redacted_file(spark):
     d = _csv_dir()
     out = d + "/out"
-    redact_csv_files(spark, d + "/test.csv", out, Policy(sensitive_columns=("name",)), apply=True,
+    redact_csv_files(spark, d + "/test.csv", out, Policy(sensitive_columns=("branch",)), apply=True,
                      report_dir=d + "/report", durable=True)
     text = "".join(open(p).read() for p in glob.glob(out + "/file=test.csv/part-*.csv"))
     assert "4000123412341234" not in text and "XXXXXXXXXXXX1234" in text and "[REDACTED]" in text
-    assert text.splitlines()[0] == "name,account_number,card_number,email,amount"
+    assert text.startswith(HEADER) and '"says ""ok""\n at 9"' in text and "write to [EMAIL_ADDRESS] \n" in text
     assert os.path.isdir(d + "/report/files") and os.path.isdir(d + "/report/summary")
 
 
@@ -55,10 +58,10 @@ def test_documents_run(spark):
 def test_csv_run_over_several_files(spark):
     d = _csv_dir()
     with open(d + "/other.csv", "w") as f:
-        f.write("name,account_number,card_number,email,amount\nAl,,,,1.00\n")
+        f.write(HEADER + "Al,,,,1.00\n")
     r = redact_csv_files(spark, [d + "/test.csv", d + "/other.csv"])
     got = {os.path.basename(x.input_path): (x.rows_or_pages, x.fields_changed) for x in r.files.collect()}
-    assert got == {"test.csv": (2, 6), "other.csv": (1, 0)}
+    assert got == {"test.csv": (2, 4), "other.csv": (1, 0)}
     s = r.summary.first()
     assert (s.total_files, s.successful_files, s.rows_or_pages) == (2, 2, 3)
 
@@ -68,7 +71,7 @@ def test_apply_counts_during_the_write(spark):
     r = redact_csv_files(spark, d + "/test.csv", d + "/out", apply=True)
     o = r.observed
     assert r.files.first().output_paths == [d + "/out/file=test.csv"]
-    assert (o["rows"], o["fields_changed"]) == (2, 6)
+    assert (o["rows"], o["fields_changed"]) == (2, 4)
     assert (o["CARD_NUMBER"], o["ACCOUNT_NUMBER"], o["EMAIL_ADDRESS"], o["PHONE_NUMBER"]) == (2, 2, 2, 0)
     per_file = r.files.first().entities_by_type
     assert all(o[k] == v for k, v in per_file.items())
@@ -100,9 +103,9 @@ def test_redact_folder(spark):
 def test_file_with_surplus_fields_fails_and_the_run_goes_on(spark):
     d = _csv_dir()
     with open(d + "/bad.csv", "w") as f:
-        f.write("name,account_number,card_number,email,amount\nA,1,2,3,4,SURPLUS\nB,,,,\n")
+        f.write(HEADER + "A,1,2,3,4,SURPLUS\nB,,,,\n")
     with open(d + "/short.csv", "w") as f:
-        f.write("name,account_number,card_number,email,amount\nC,1234567890\n")
+        f.write(HEADER + "C,1234567890\n")
     r = redact_csv_files(spark, [d + "/test.csv", d + "/bad.csv", d + "/short.csv"], d + "/out", apply=True)
     got = {os.path.basename(x.input_path): (x.success, x.rows_or_pages, x.error) for x in r.files.collect()}
     assert got["bad.csv"] == (False, 0, "a row has more fields than the header")
@@ -249,3 +252,32 @@ def test_cached_trees_are_kept_apart(spark):
     df = spark.createDataFrame([("x@y.io", ("plain",))], "`a, b` string, a struct<b:string>")
     r = df.select(redact_text(F.col("a.b"), Policy()).alias("s"), redact_text(F.col("`a, b`"), Policy()).alias("t")).first()
     assert (r.s, r.t) == ("plain", "[EMAIL_ADDRESS]")
+
+
+def test_stream_has_a_result_for_every_file_across_a_restart(spark):
+    from scrub.streaming.folder import redact_folder_stream, stream_files
+
+    d = tempfile.mkdtemp(prefix="scrub-run-")
+    how = Policy(sensitive_columns=("ssn",))
+    go = lambda: redact_folder_stream(spark, d + "/in", d + "/out", d + "/ckpt", ["name", "ssn", "id"], how, keep=["id"], max_files_per_trigger=1).awaitTermination()
+    _write(d + "/in/a.csv", "id,name,ssn\n8888888888,x@y.io,123-45-6789\n")
+    _write(d + "/in/surplus.csv", "name,ssn\nA,1\nB,c@d.com,EXTRA\n")
+    go()
+    first = {(os.path.basename(r.input_path), r.batch) for r in stream_files(spark, d + "/out").collect()}
+    _write(d + "/in/other.csv", "colour,shape\nred,round\n")
+    _write(d + "/in/empty.csv", "\n")
+    _write(d + "/in/b.csv", "ssn,more,name\n,m,Bo\n")
+    go()
+    go()
+    files = stream_files(spark, d + "/out").collect()
+    got = {os.path.basename(r.input_path): (r.success, r.rows_or_pages, r.fields_changed, r.entities_by_type, r.error) for r in files}
+    assert len(files) == 5 and first <= {(os.path.basename(r.input_path), r.batch) for r in files}
+    assert got["a.csv"] == (True, 1, 2, {"EMAIL_ADDRESS": 1, "FULL_COLUMN_REDACTION": 1}, None) and got["b.csv"] == (True, 1, 0, {}, None)
+    assert got["surplus.csv"] == (False, 0, 0, {}, "a row has more fields than the header")
+    assert got["other.csv"][4] == "the header has none of the wanted columns" and got["empty.csv"][4] == "no header line (empty file)"
+    rows = spark.read.parquet(d + "/out").select("name", "ssn", "id").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("[EMAIL_ADDRESS]", "[REDACTED]", "8888888888"), ("Bo", None, None)], key=str)
+    batch = redact_csv_files(spark, [d + f"/in/{n}.csv" for n in ("a", "surplus", "b")], policy=how).files
+    for r in batch.collect():
+        n = os.path.basename(r.input_path)
+        assert got[n][0] == r.success and got[n][4] == r.error and got[n][1] == r.rows_or_pages
