@@ -104,19 +104,20 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
     lanes = 1 << min(LANES.bit_length() - 1, max(3, (n // STEPS).bit_length()))
     place = table.places(ids)
     freq, start = table.wide[place], table.starts[place]
-    bits, room = np.uint64(table.bits), np.uint64(63 - table.bits)
+    bits, most = np.uint64(table.bits), freq << np.uint64(63 - table.bits)
     state = np.full(lanes, LOW)
     steps = -(-n // lanes)
     words: list[np.ndarray] = []
     marks: list[np.ndarray] = []
     for step in range(steps - 1, -1, -1):
-        f, c = freq[step * lanes : (step + 1) * lanes], start[step * lanes : (step + 1) * lanes]
-        x = state[: len(f)]
-        full = x >= f << room
-        words.append(x[full].astype(np.uint32))
-        x = np.where(full, x >> WORD, x)
-        q = x // f
-        state[: len(f)] = (q << bits) + (x - q * f) + c
+        a, b = step * lanes, min(n, (step + 1) * lanes)
+        f, x = freq[a:b], state[: b - a]
+        full = np.flatnonzero(x >= most[a:b])
+        over = x[full]
+        words.append(over.astype(np.uint32))
+        x[full] = over >> WORD
+        q, rest = np.divmod(x, f)
+        state[: b - a] = (q << bits) + rest + start[a:b]
         if step % STEPS == 0:
             marks.append(state.copy())
     words.reverse()

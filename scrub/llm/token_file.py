@@ -1,7 +1,7 @@
 """Token ids in a compact binary file format, as a Spark data source.
 
-`df.write.format("token_ans")` takes rows (id, ids: array<int>) in their order and writes one file a task; `read` gives
-them back, with the place of each document's first id in the whole.  A file is a run of sections and a directory:
+`df.write.format("token_ans")` takes rows (id, ids: array<int>, or little-endian unsigned 32-bit integers as binary) in
+their order and writes one file a task; `read` gives them back, with the place of each document's first id in the whole.  A file is a run of sections and a directory:
 
     section   documents (Arrow: doc_id, n_tokens), the frequency table, blocks (see `rans`)
     directory per section where its parts lie, its documents, ids and checksum, as JSON; its length, checksum and "RANS1"
@@ -170,6 +170,17 @@ class _Piece(InputPartition):
     start: int
 
 
+def _in_a_row(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each row has, and all of them."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        ends = column.offsets.to_numpy()
+        return np.diff(ends), column.values.to_numpy()[ends[0] : ends[-1]]
+    large = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.diff(ends) // 4, np.frombuffer(data or b"", "<u4", (ends[-1] - ends[0]) // 4, int(ends[0]))
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.tokens = options["path"], int(options.get("section", SECTION))
@@ -188,9 +199,7 @@ class _Writer(DataSourceArrowWriter):
                     system.create_dir(at, recursive=True)
                     out = system.open_output_stream(f"{at}/{name}")
                     sections = _Sections(out, batch.schema[0].type, self.tokens)
-                lists = batch.column(1)
-                ends = lists.offsets.to_numpy()
-                sections.add(batch.column(0), np.diff(ends), lists.values.to_numpy()[ends[0] : ends[-1]])
+                sections.add(batch.column(0), *_in_a_row(batch.column(1)))
             if sections is None:
                 return Written(context.partitionId(), "", 0, 0)
             docs, ids = sections.close()
@@ -279,29 +288,28 @@ def register(spark: SparkSession) -> None:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) in ascending order of the id: the library's ids of each whole text, with `end_id` after them.
+    """(doc_id, ids binary) in ascending order of the id: the library's ids of each whole text, with `end_id` after them.
 
-    Null ids come last; rows that repeat an id are ordered by the MD5 of their texts.  Null texts are empty.
+    Null ids come last; rows that repeat an id are ordered by the hash of their texts.  Null texts are empty.
     """
     spark = docs.sparkSession
     shared = share(spark, vocabulary)
-    tail = np.array([] if end_id is None else [end_id], np.int32)
+    tail = b"" if end_id is None else end_id.to_bytes(4, "little")
 
-    @F.arrow_udf("array<int>")
+    # Binary, since Spark copies arrays one by one.
+    @F.arrow_udf("binary")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = shared.encoder(LibraryBpe)
 
         def part(some: pa.Array) -> pa.Array:
-            ids = [x for t in some.to_pylist() for x in (bpe.encode(t), tail)]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)[::2]
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            return pa.array([bpe.encode(t).astype("<u4").tobytes() + tail for t in some.to_pylist()], pa.binary())
 
         return slices(texts, part)
 
     small_batches(spark)
     slim = docs.select(col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     # The texts are shuffled, not their ids, which take more room. Equal rows, however many, are split by their place.
-    order = [F.col("doc_id").asc_nulls_last(), F.md5(F.col("text").cast("binary")), F.monotonically_increasing_id()]
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id()]
     return slim.orderBy(*order).select("doc_id", run("text").alias("ids"))
 
 

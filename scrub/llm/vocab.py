@@ -8,7 +8,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from dataclasses import dataclass
+from operator import attrgetter
 
 import numpy as np
 import regex
@@ -20,6 +22,9 @@ from tokenizers import Tokenizer
 from scrub.llm.bpe import LATIN_TOKEN, PRE_TOKEN, _Memo, byte_symbols
 
 
+_ID = attrgetter("id")
+
+
 class LibraryBpe:
     """Ids as the tokenizers library gives them for a byte-level BPE file with add_special_tokens=False.
 
@@ -44,6 +49,7 @@ class LibraryBpe:
         self.split, self.split_latin = regex.compile(PRE_TOKEN).findall, re.compile(LATIN_TOKEN).findall
         self.wide = re.compile("[^\x00-ɏ]").search
         self.symbols = dict(byte_symbols())
+        self.space = self.symbols[0x20]
         self.merge = self.library.model.tokenize
         self.memo = _Memo(self.ids_of)
         to_byte = {s: b for b, s in self.symbols.items()}
@@ -56,8 +62,14 @@ class LibraryBpe:
         for s, i in self.added.items():
             self.strings[i] = s.encode()
 
-    def ids_of(self, token: str) -> list[int]:
-        return [t.id for t in self.merge(token.encode("utf-8").decode("latin-1").translate(self.symbols))]
+    def ids_of(self, token: str) -> array:
+        # Letters and digits of ASCII stand for themselves, and a space before them has one symbol.
+        word = token[1:] if token[0] == " " else token
+        if word.isascii() and word.isalnum():
+            said = word if word is token else self.space + word
+        else:
+            said = token.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return array("i", map(_ID, self.merge(said)))
 
     def ordinary(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, (self.split if self.wide(text) else self.split_latin)(text)))
