@@ -33,6 +33,7 @@ from scrub.operators.tables import RESULT_PREFIX, cell_results
 from scrub.policy import DEFAULT_POLICY, Policy
 from scrub.session import ensure_checkpoint_dir
 from scrub.sources.files import base_name, csv_writer, fingerprints, guard_output, local_path, partition_folder, plain_path, save_report
+from scrub.sources.listing import file_hashes, file_headers, walk
 
 
 @dataclass
@@ -100,14 +101,6 @@ def _fields(record):
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def _listed(spark: SparkSession, paths) -> DataFrame:
-    """``(input_path, length)`` of every input file.  No content is read; files of no bytes come from the file index."""
-    listing = spark.read.format("binaryFile").load(list(paths))
-    sized = listing.select(local_path(F.col("path")).alias("input_path"), "length")
-    index = spark.createDataFrame([(p,) for p in listing.inputFiles()], "p string").select(plain_path(F.col("p")).alias("input_path"))
-    return sized.unionByName(index.join(sized, "input_path", "left_anti").withColumn("length", F.lit(0).cast("long")))
-
-
 def _relative(path, base: str):
     """The path below ``base``; the bare name of a file elsewhere."""
     base = base.rstrip("/") + "/"
@@ -211,14 +204,12 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
         for p in paths:
             guard_output(p, out_dir, force)
     base = re.sub(r"^file:/*", "/", input_base) if input_base else _base_of(paths)
-    groups = header_groups(spark, paths) if paths else {}
-    headed = spark.createDataFrame([(p,) for g in groups.values() for p in g], "p string")
-    kinds = "input_path string, kind string, has_header boolean"
+    groups: dict = {}
+    listed = spark.createDataFrame([], "input_path string, kind string, has_header boolean")
     if paths:
-        listed = _listed(spark, paths)
-        listed = listed.join(headed, listed["input_path"] == headed["p"], "left").select("input_path", F.lit("csv").alias("kind"), F.col("p").isNotNull().alias("has_header"))
-    else:
-        listed = spark.createDataFrame([], kinds)
+        heads = file_headers(walk(spark, paths, recursive=False).select("path")).checkpoint()
+        groups = header_groups(heads)
+        listed = heads.select(F.col("path").alias("input_path"), F.lit("csv").alias("kind"), F.col("header").isNotNull().alias("has_header"))
     if others is not None:
         listed = listed.unionByName(others.select("input_path", "kind", F.lit(True).alias("has_header")))
 
@@ -256,7 +247,7 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
             for key, n in obs.get.items():
                 observed[key] = observed.get(key, 0) + (n or 0)
     if hashes:
-        files = _with_hashes(spark, files, paths, out_dir if apply else None)
+        files = _with_hashes(spark, files, out_dir if apply else None)
     summary = run_summary(files)
     result = RunResult(run_id, started, now_text(), not apply, files, summary, findings, observed)
     if apply and report_dir and policy.create_audit_report:
@@ -276,10 +267,9 @@ def _rename_partitions(spark: SparkSession, where: str, part: str, out_dir: str)
     fs.delete(top, True)
 
 
-def _with_hashes(spark: SparkSession, files: DataFrame, paths, out_dir: str | None) -> DataFrame:
-    if paths:
-        read = fingerprints(spark, list(paths)).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
-        files = files.join(read, files["input_path"] == read["_p"], "left").drop("_p")
+def _with_hashes(spark: SparkSession, files: DataFrame, out_dir: str | None) -> DataFrame:
+    read = file_hashes(files.select("input_path")).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
+    files = files.join(read, files["input_path"] == read["_p"], "left").drop("_p")
     if out_dir:
         written = fingerprints(spark, f"{out_dir.rstrip('/')}/file=*/part-*")
         folder = F.regexp_replace("path", "/[^/]*$", "")
@@ -317,28 +307,14 @@ def redact_documents_run(pages: DataFrame, out_dir: str | None = None, policy: P
     return RunResult(uuid.uuid4().hex, started, now_text(), not apply, files, run_summary(files), findings)
 
 
-def header_groups(spark: SparkSession, paths) -> dict:
-    """Files grouped by their header line: ``{header: [paths]}``; files without one are in no group.
+def header_groups(heads: DataFrame) -> dict:
+    """Files of ``file_headers`` grouped by their header: ``{header: [paths]}``; files without one are in no group.
 
-    One text scan keeps the first line of every file (the row with the lowest
-    id in the split that starts at byte 0); one row per file reaches the
-    driver, like the file listing itself.
+    The paths reach the driver, since the CSV reader takes them from there.
     """
-    import csv
-
-    lines = (
-        spark.read.text(list(paths))
-        .select(plain_path(F.col("_metadata.file_path")).alias("p"), F.col("_metadata.file_block_start").alias("b"), "value",
-                F.monotonically_increasing_id().alias("i"))
-        .where(F.col("b") == 0)
-        .groupBy("p").agg(F.min_by("value", "i").alias("header"))
-        .collect()
-    )
     groups: dict = {}
-    for r in lines:
-        key = tuple(next(csv.reader([(r["header"] or "").removeprefix("\ufeff")]), []))
-        if key:
-            groups.setdefault(key, []).append(r["p"])
+    for r in heads.where("header is not null").toLocalIterator():
+        groups.setdefault(tuple(r["header"]), []).append(r["path"])
     return groups
 
 

@@ -70,16 +70,33 @@ def q_row_fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", row_fingerprint(F.col("text")).alias("sha256"))
 
 
-@query("file_fingerprint", """select source, strlen(body)::bigint as length, sha256(body) as sha256
-from (select source, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as body from documents group by source)""")
+#: Documents of one file in the fingerprint query, by doc_id.
+FILE_DOCS = 10_000
+
+
+@query("file_fingerprint", f"""select source, lot, strlen(body)::bigint as length, sha256(body) as sha256
+from (select source, doc_id // {FILE_DOCS} as lot, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as body
+      from documents group by source, doc_id // {FILE_DOCS})""")
 def q_file_fingerprint(spark, sf):
-    """One text file for each source, its documents in order; the hashes of the files' bytes."""
+    """Text files of a source's documents with neighbouring ids, in their order; the hashes of the files' bytes."""
     path = scratch_dir(spark, "fingerprint")
-    d = table(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.repartition("source").sortWithinPartitions("source", "doc_id")
-    d.select("source", "text").write.partitionBy("source").text(path)
-    fp = fingerprints(spark, f"{path}/source=*/part-*")
-    return fp.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "length", "sha256")
+    d = table(spark, sf, "documents").select("source", F.expr(f"doc_id div {FILE_DOCS}").alias("lot"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.repartition("source", "lot").sortWithinPartitions("source", "lot", "doc_id")
+    d.select("source", "lot", "text").write.partitionBy("source", "lot").text(path)
+    fp = fingerprints(spark, f"{path}/source=*/lot=*/part-*")
+    return fp.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.regexp_extract("path", "lot=([0-9]+)/", 1).cast("long").alias("lot"), "length", "sha256")
+
+
+@query("folder_sizes", """select lang, source, sum(strlen(coalesce(text, '')) + 1)::bigint as bytes from documents group by lang, source""")
+def q_folder_sizes(spark, sf):
+    """A tree of text files two folders deep, several files a folder, listed by tasks; the bytes below each folder."""
+    path = scratch_dir(spark, "folder-sizes")
+    d = table(spark, sf, "documents").select("lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    d.write.partitionBy("lang", "source").option("maxRecordsPerFile", FILE_DOCS).text(path)
+    parts = F.split("rel_path", "/")
+    listed = inventory(spark, path, recursive=True, include_globs=("part-*",)).select(
+        F.substr(parts[0], F.lit(6)).alias("lang"), F.substr(parts[1], F.lit(8)).alias("source"), "length")
+    return listed.groupBy("lang", "source").agg(F.sum("length").alias("bytes"))
 
 
 # Derived file names: one per document, the extension chosen by language.

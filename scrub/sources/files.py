@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from scrub.names import col, fresh
 from scrub.operators.audit import FILE_RESULT_TYPE, SUMMARY_TYPE
 from scrub.policy import DEFAULT_INCLUDE_GLOBS, SUPPORTED_EXTENSIONS
+from scrub.sources.listing import file_hashes, qualified, walk
 
 
 class OverwriteError(ValueError):
@@ -224,32 +225,22 @@ def inventory(spark: SparkSession, folder: str, recursive: bool = False, include
               exclude_globs=(), ignore_case: bool = False) -> DataFrame:
     """Every file under ``folder``: ``(path, rel_path, name, length, status)``, sorted by path.
 
-    The listing reads no file content (``binaryFile`` without ``content``).
+    Folders are listed by tasks (``listing.walk``); no file is opened.
     """
-    root = folder.rstrip("/")
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-
-    scanned = listing.select(local_path(F.col("path")).alias("path"), "length")
-    # The scan skips zero-length files; the file index (already held on the
-    # driver, one path per file) still lists them: add those with length 0.
-    listed = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string").select(plain_path(F.col("path")).alias("path"))
-    empty = listed.join(scanned.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
-    files = scanned.unionByName(empty)
-    # Paths come back without "file:"; measure the prefix on the same form.
-    bare_root = re.sub(r"^file:/*", "/", root)
-    rel = F.expr(f"substring(path, {len(bare_root) + 2})")
+    root = qualified(spark, folder)
+    files = walk(spark, root, recursive)
+    rel = F.substr("path", F.lit(len(root.rstrip("/")) + 2))
     files = files.select("path", rel.alias("rel_path"), base_name(F.col("path")).alias("name"), "length")
-    if not recursive:
-        files = files.where(~F.col("rel_path").contains("/"))
     return files.select("*", file_status(F.col("name"), F.col("path"), include_globs, exclude_globs, ignore_case).alias("status")) \
         .orderBy("path")
 
 
 def fingerprints(spark: SparkSession, paths) -> DataFrame:
-    """SHA-256 of each file's bytes: ``(path, length, sha256)``; one file per row, files in parallel."""
-    df = spark.read.format("binaryFile").load(paths)
-    return df.select(local_path(F.col("path")).alias("path"), "length",
-                     F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of each file's bytes: ``(path, length, sha256)``; files of any length, read in pieces, in parallel.
+
+    ``paths`` is a path or several, folders (with all below them) and globs too.
+    """
+    return file_hashes(walk(spark, paths).select("path"))
 
 
 def row_fingerprint(c: Column) -> Column:

@@ -18,6 +18,7 @@ from scrub.operators.runs import SOURCE, cell_tallies, file_rows, group_results,
 from scrub.operators.tables import RESULT_PREFIX
 from scrub.policy import DEFAULT_POLICY, Policy
 from scrub.sources.files import local_path
+from scrub.sources.listing import file_headers
 
 #: Folder of the file results below the output; readers of the output skip names that start so.
 LEDGER = "_files"
@@ -43,8 +44,9 @@ def redact_folder_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpo
 
     def redact_batch(df: DataFrame, batch: int) -> None:
         listed = df.select(local_path(df["path"]).alias("input_path"))
-        paths = [r.input_path for r in listed.collect()]
-        groups = header_groups(spark, paths) if paths else {}
+        # Read once: the groups and the ledger must agree.
+        heads = kept_rows(file_headers(listed), True)
+        groups = header_groups(heads)
         headed = [(p, None if set(names) & set(unique_names(h)) else "the header has none of the wanted columns") for h, g in groups.items() for p in g]
         known = spark.createDataFrame(headed, "p string, refused string")
         listed = listed.join(known, listed["input_path"] == known["p"], "left").select(

@@ -141,13 +141,14 @@ def test_folder_with_mixed_headers(spark):
 
 def test_header_groups(spark):
     from scrub.operators.runs import header_groups
+    from scrub.sources.listing import file_headers, walk
 
     d = tempfile.mkdtemp(prefix="scrub-hdr-")
     for name, body in [("a.csv", "x,y\n1,2\n"), ("b.csv", "x,y\n3,4\n"), ("c.csv", 'y,"x, quoted"\n5,6\n'),
                        ("empty.csv", "x,y\n")]:
         with open(f"{d}/{name}", "w") as f:
             f.write(body)
-    groups = header_groups(spark, [f"{d}/{n}" for n in ("a.csv", "b.csv", "c.csv", "empty.csv")])
+    groups = header_groups(file_headers(walk(spark, d + "/*.csv").select("path")))
     named = {k: sorted(os.path.basename(p) for p in v) for k, v in groups.items()}
     assert named == {("x", "y"): ["a.csv", "b.csv", "empty.csv"], ("y", "x, quoted"): ["c.csv"]}
 
