@@ -15,7 +15,9 @@ instead, and a lost executor's blocks are recomputed from the input.
 
 from __future__ import annotations
 
+import csv
 import datetime as _dt
+import io
 import re
 import uuid
 from dataclasses import dataclass
@@ -32,8 +34,9 @@ from scrub.names import col, unique_names
 from scrub.operators.tables import RESULT_PREFIX, cell_results
 from scrub.policy import DEFAULT_POLICY, Policy
 from scrub.session import ensure_checkpoint_dir
-from scrub.sources.files import base_name, csv_writer, fingerprints, guard_output, local_path, partition_folder, plain_path, save_report
-from scrub.sources.listing import file_hashes, file_headers, walk
+from scrub.sources.files import base_name, guard_output, plain_path, save_report
+from scrub.sources.listing import file_hashes, file_headers, qualified, walk
+from scrub.sources.mirrored import write_mirrored
 
 
 @dataclass
@@ -71,20 +74,39 @@ def entity_types_of(policy: Policy) -> list[str]:
     return list(dict.fromkeys(types))
 
 
-def _observed_totals(targets: list[str], policy: Policy) -> list:
-    """Aggregates for ``observe``: rows, changed cells and findings per type in changed cells."""
-    changed = [col(RESULT_PREFIX + c)["changed"] for c in targets]
-    exprs = [F.count(F.lit(1)).alias("rows"),
-             F.sum(sum((x.cast("long") for x in changed), F.lit(0).cast("long"))).alias("fields_changed")]
+def _observed_totals(policy: Policy) -> list:
+    """Aggregates for ``observe``: rows, changed cells and findings per type in changed cells (of ``_output_lines``)."""
+
     def of_type(et):
-        return lambda e: e["entity_type"] == et  # one argument: filter passes (x, index) to two
+        return lambda t: t == et  # one argument: filter passes (x, index) to two
+
+    found = [F.sum(F.size(F.filter("types", of_type(et)))).cast("long").alias(et) for et in entity_types_of(policy)]
+    return [F.count(F.when(F.col("row") >= 0, 1)).alias("rows"), F.sum("changed").alias("fields_changed"), *found]
+
+
+def _changes(places: list[str]) -> tuple:
+    """Number of changed cells of a row, and the types found in them."""
+    cell = [col(RESULT_PREFIX + c) for c in places]
+    changed = sum((r["changed"].cast("long") for r in cell), F.lit(0).cast("long"))
+    types = F.flatten(F.array(*[F.when(r["changed"], F.transform(r["entities"], lambda e: e["entity_type"])).otherwise(F.array().cast("array<string>")) for r in cell]))
+    return changed, types
+
 
-    for et in entity_types_of(policy):
-        per_cell = [F.when(col(RESULT_PREFIX + c)["changed"],
-                           F.size(F.filter(col(RESULT_PREFIX + c)["entities"], of_type(et))))
-                    .otherwise(0) for c in targets]
-        exprs.append(F.sum(sum(per_cell, F.lit(0))).cast("long").alias(et))
-    return exprs
+def _output_lines(res: DataFrame, places: list[str], file, *more) -> DataFrame:
+    """A line of the output for each row: (file, block, row, line, changed, types); quotes doubled, cells untrimmed."""
+    changed, types = _changes(places)
+    cells = F.struct(*[col(RESULT_PREFIX + c)["redacted"].alias(c) for c in places])
+    line = F.to_csv(cells, {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    if len(places) == 1:
+        # A single missing cell must not become a blank line, which readers skip (and ``to_csv`` gives null for it).
+        line = F.when(col(RESULT_PREFIX + places[0])["redacted"].isNull(), F.lit('""')).otherwise(line)
+    return res.select(file.alias("file"), F.col(BLOCK).alias("block"), F.col(ROW).alias("row"), line.alias("line"), changed.alias("changed"), types.alias("types"), *more)
+
+
+def _header_line(names: list[str]) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="").writerow(names)
+    return out.getvalue()
 
 
 def now_text() -> str:
@@ -92,6 +114,8 @@ def now_text() -> str:
 
 
 CORRUPT, SOURCE = "_corrupt_record", "_source"
+#: A row's place in its file: the split's first byte, and the rows of a split counted up.
+BLOCK, ROW = "_block", "_row"
 FINDINGS = "source string, column_name string, entity_type string"
 
 
@@ -133,16 +157,15 @@ def group_results(spark: SparkSession, header: tuple, paths, policy: Policy, nul
     tokens = [t for t in null_tokens if t != ""]
     cells = [(F.when(~F.col(c).isin(*tokens), F.col(c)) if tokens else F.col(c)).alias(c) for c in places]
     src = src.select(*cells, (F.col(CORRUPT).isNotNull() & (_fields(F.col(CORRUPT)) > len(places))).alias("_long"),
-                     plain_path(F.col("_metadata.file_path")).alias(SOURCE))
+                     plain_path(F.col("_metadata.file_path")).alias(SOURCE), F.col("_metadata.file_block_start").alias(BLOCK),
+                     F.monotonically_increasing_id().alias(ROW))
     hidden = [c for c, n in zip(places, names) if n in set(policy.sensitive_columns)]
     kept = [c for c, n in zip(places, names) if n in set(keep)]
     return cell_results(src, policy.with_(sensitive_columns=tuple(hidden)), keep=[SOURCE, *kept]), places, names
 
 
 def cell_tallies(res: DataFrame, places: list[str]) -> DataFrame:
-    cell = [col(RESULT_PREFIX + c) for c in places]
-    changed = sum((r["changed"].cast("long") for r in cell), F.lit(0).cast("long"))
-    types = F.flatten(F.array(*[F.when(r["changed"], F.transform(r["entities"], lambda e: e["entity_type"])).otherwise(F.array().cast("array<string>")) for r in cell]))
+    changed, types = _changes(places)
     return tallies(res, SOURCE, types, changed, F.col("_long"))
 
 
@@ -177,7 +200,7 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
                      apply: bool = False, report_dir: str | None = None, force: bool = False,
                      durable: bool = True, hashes: bool = False, write_mode: str = "errorifexists",
                      null_tokens=(), multiline: bool = True, input_base: str | None = None, others: DataFrame | None = None) -> RunResult:
-    """Redact CSV files.  Output: ``out_dir/file=<path below input_base>/part-*.csv``.
+    """Redact CSV files.  Output: ``out_dir/<path below input_base>``, one file for each, rows in their order.
 
     Files are grouped by header and each group is one multi-path read by its own
     header, so columns are never taken by another file's order.  Every input
@@ -190,8 +213,8 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     as a pandas reader does.
     ``input_base`` (default: the deepest folder of all inputs) is where outputs'
     relative paths start, so equal names in two folders stay two outputs.
-    ``hashes`` fills ``input_hash`` and, when applying, ``output_hash`` with SHA-256
-    (of the part's bytes; of the parts' hashes in order if there are several).
+    A file of a header alone is written as such.  ``hashes`` fills ``input_hash`` and, when applying, ``output_hash`` with
+    the SHA-256 of the files' bytes.
     ``null_tokens`` are read as missing cells.  ``multiline=False`` lets large files
     without quoted line ends be split.  ``others`` (input_path, kind) are listed
     files of other kinds, reported as failed.
@@ -230,24 +253,24 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     observed = None
     if apply:
         # One row per file: materialised first, so failed files can be left out of the write.
-        out_path = F.concat(F.lit(out_dir.rstrip("/") + "/file="), partition_folder(_relative(F.col("input_path"), base)))
-        files = files.withColumn("output_paths", F.when(F.col("success") & (F.col("rows_or_pages") > 0), F.array(out_path)).otherwise(F.array().cast("array<string>")))
+        root = qualified(spark, out_dir).rstrip("/")
+        out_path = F.concat(F.lit(root + "/"), _relative(F.col("input_path"), base))
+        files = files.withColumn("output_paths", F.when(F.col("success"), F.array(out_path)).otherwise(F.array().cast("array<string>")))
         files = kept_rows(files, durable)
+        twice = files.where(F.size("output_paths") > 0).groupBy("output_paths").count().where("count > 1").first()
+        if twice:
+            raise ValueError(f"{twice['count']} inputs would be written to {twice['output_paths'][0]}: pass an input_base above them")
         failed = files.where(~F.col("success")).select(F.col("input_path").alias(SOURCE))
-        observed = {}
-        for k, (res, places, names) in enumerate(done):
-            obs = Observation(f"scrub_run_{k}")
-            good = res.join(failed, SOURCE, "left_anti").observe(obs, *_observed_totals(places, policy))
-            part = "file" if "file" not in {n.lower() for n in names} else "file_" + run_id[:6]
-            out = good.select(*[col(RESULT_PREFIX + c)["redacted"].alias(n) for c, n in zip(places, names)], _relative(F.col(SOURCE), base).alias(part))
-            where = out_dir if part == "file" else f"{out_dir.rstrip('/')}/_{part}"
-            csv_writer(out, write_mode if k == 0 else "append").partitionBy(part).csv(where)
-            if part != "file":
-                _rename_partitions(spark, where, part, out_dir)
-            for key, n in obs.get.items():
-                observed[key] = observed.get(key, 0) + (n or 0)
+        heads = spark.createDataFrame([(p, _header_line(unique_names(h))) for h, g in groups.items() for p in g], f"{SOURCE} string, line string")
+        lines = heads.select(_relative(F.col(SOURCE), base).alias("file"), F.lit(-1).cast("long").alias("block"), F.lit(-1).cast("long").alias("row"), "line",
+                             F.lit(0).cast("long").alias("changed"), F.array().cast("array<string>").alias("types"), SOURCE)
+        for res, places, _ in done:
+            lines = lines.unionByName(_output_lines(res, places, _relative(F.col(SOURCE), base), SOURCE))
+        totals = Observation(f"scrub_run_{run_id}")
+        write_mirrored(lines.join(failed, SOURCE, "left_anti"), out_dir, write_mode, (totals, _observed_totals(policy)))
+        observed = {k: n or 0 for k, n in totals.get.items()}
     if hashes:
-        files = _with_hashes(spark, files, out_dir if apply else None)
+        files = _with_hashes(files, apply)
     summary = run_summary(files)
     result = RunResult(run_id, started, now_text(), not apply, files, summary, findings, observed)
     if apply and report_dir and policy.create_audit_report:
@@ -255,27 +278,13 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     return result
 
 
-def _rename_partitions(spark: SparkSession, where: str, part: str, out_dir: str) -> None:
-    """Move ``where/<part>=x`` to ``out_dir/file=x``: a data column already has the partition's name."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(where)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in fs.listStatus(top):
-        name = f.getPath().getName()
-        if name.startswith(part + "="):
-            fs.rename(f.getPath(), hadoop.Path(out_dir, "file=" + name[len(part) + 1:]))
-    fs.delete(top, True)
-
-
-def _with_hashes(spark: SparkSession, files: DataFrame, out_dir: str | None) -> DataFrame:
+def _with_hashes(files: DataFrame, written: bool) -> DataFrame:
     read = file_hashes(files.select("input_path")).select(F.col("path").alias("_p"), F.col("sha256").alias("input_hash"))
     files = files.join(read, files["input_path"] == read["_p"], "left").drop("_p")
-    if out_dir:
-        written = fingerprints(spark, f"{out_dir.rstrip('/')}/file=*/part-*")
-        folder = F.regexp_replace("path", "/[^/]*$", "")
-        by_folder = written.groupBy(folder.alias("_o")).agg(F.sort_array(F.collect_list(F.struct("path", "sha256")))["sha256"].alias("h"))
-        by_folder = by_folder.select("_o", F.when(F.size("h") == 1, F.col("h")[0]).otherwise(F.sha2(F.array_join("h", ""), 256)).alias("output_hash"))
-        files = files.join(by_folder, local_path(F.get("output_paths", F.lit(0))) == by_folder["_o"], "left").drop("_o")
+    if written:
+        out = F.get("output_paths", F.lit(0))
+        made = file_hashes(files.where(out.isNotNull()).select(out.alias("path"))).select(F.col("path").alias("_o"), F.col("sha256").alias("output_hash"))
+        files = files.join(made, out == made["_o"], "left").drop("_o")
     return files
 
 
@@ -325,7 +334,7 @@ def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None,
     Returns the inventory (every file with ``supported``/``skipped``) and the run
     (``None`` when no file is supported), whose results hold every supported file:
     PDF files fail with the reason, as only extracted page text is processed.
-    Outputs mirror the folder: ``out_dir/file=<path below folder>``.  Other options
+    Outputs mirror the folder: ``out_dir/<path below folder>``.  Other options
     are those of ``redact_csv_files``.
     """
     from scrub.sources.files import extension, inventory

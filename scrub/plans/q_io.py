@@ -71,7 +71,7 @@ def q_row_fingerprint(spark, sf):
 
 
 #: Documents of one file in the fingerprint query, by doc_id.
-FILE_DOCS = 10_000
+FILE_DOCS = 1_000
 
 
 @query("file_fingerprint", f"""select source, lot, strlen(body)::bigint as length, sha256(body) as sha256
@@ -250,7 +250,7 @@ def q_run_csv_folder(spark, sf):
     results = run.files.select(name.alias("file"), "success", "rows_or_pages", "fields_changed")
     cells = None
     for f in ("a/x.csv", "b/x.csv"):
-        back = read_csv_strings(spark, f"{out}/file={f.replace('/', '%2F')}")
+        back = read_csv_strings(spark, f"{out}/{f}")
         back = back.select(F.lit(f).alias("file"), "o_orderkey", F.col("`Acct. No.`").alias("acct"), "email", "source")
         cells = back if cells is None else cells.unionByName(back)
     every = cells.unionByName(results, allowMissingColumns=True)

@@ -204,17 +204,6 @@ def output_path(path: Column, input_base: str, output_base: str) -> Column:
         F.concat(F.lit(ob + "/"), base_name(path)))
 
 
-# Characters that Spark escapes in the folder names of partitions: fixed values.
-_ESCAPED = "%\"#'*/:=?\\{[]^"
-
-
-def partition_folder(value: Column) -> Column:
-    """A partition value as its folder's name has it."""
-    for ch in _ESCAPED:
-        value = F.replace(value, F.lit(ch), F.lit(f"%{ord(ch):02X}"))
-    return value
-
-
 def local_path(c: Column) -> Column:
     """A listed path (never escaped) without ``file:``."""
     return F.regexp_replace(c, "^file:/+", "/")

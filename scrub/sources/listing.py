@@ -107,10 +107,10 @@ def _over_paths(paths: DataFrame, rows_of: Callable[[str], Iterator[tuple]], sch
     return paths.mapInArrow(run, ddl)
 
 
-def _dealt(paths: DataFrame) -> DataFrame:
-    """Paths over as many tasks as there are paths, up to four a core; few bytes, but each stands for a folder or file."""
-    n = paths.count()
-    return paths.repartition(max(1, min(n, 4 * paths.sparkSession.sparkContext.defaultParallelism)))
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as there are rows, up to four a core: few bytes, but each stands for a folder or file."""
+    n = rows.count()
+    return rows.repartition(max(1, min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism)))
 
 
 _ENTRY = pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())])
@@ -152,7 +152,7 @@ def walk(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
     for globs, roots in cuts.items():
         level, depth = spark.createDataFrame([(r,) for r in roots], "path string"), 0
         while not level.isEmpty():
-            entries = _over_paths(_dealt(level), _entries, _ENTRY, "path string, length long, folder boolean")
+            entries = _over_paths(dealt(level), _entries, _ENTRY, "path string, length long, folder boolean")
             if depth < len(globs):
                 entries = entries.where(F.substring_index("path", "/", -1).rlike(glob_regex(globs[depth])))
             entries = entries.checkpoint()
@@ -181,7 +181,7 @@ _HASH = pa.schema([("path", pa.string()), ("length", pa.int64()), ("sha256", pa.
 
 def file_hashes(paths: DataFrame) -> DataFrame:
     """(path, length, sha256) of the files in the one column of `paths`, read in pieces; any length of file."""
-    return _over_paths(_dealt(paths), _digest, _HASH, "path string, length long, sha256 string")
+    return _over_paths(dealt(paths), _digest, _HASH, "path string, length long, sha256 string")
 
 
 def first_record(lines: Iterator[str]) -> list[str] | None:
@@ -204,4 +204,4 @@ _HEAD = pa.schema([("path", pa.string()), ("header", pa.list_(pa.string()))])
 
 def file_headers(paths: DataFrame) -> DataFrame:
     """(path, header) of CSV files: the cells of the first record that isn't blank, null without one.  Only the head is read."""
-    return _over_paths(_dealt(paths), _header, _HEAD, "path string, header array<string>")
+    return _over_paths(dealt(paths), _header, _HEAD, "path string, header array<string>")

@@ -37,7 +37,7 @@ def test_csv_apply_writes_redacted_file(spark):
     out = d + "/out"
     redact_csv_files(spark, d + "/test.csv", out, Policy(sensitive_columns=("branch",)), apply=True,
                      report_dir=d + "/report", durable=True)
-    text = "".join(open(p).read() for p in glob.glob(out + "/file=test.csv/part-*.csv"))
+    text = "".join(open(p).read() for p in glob.glob(out + "/test.csv"))
     assert "4000123412341234" not in text and "XXXXXXXXXXXX1234" in text and "[REDACTED]" in text
     assert text.startswith(HEADER) and '"says ""ok""\n at 9"' in text and "write to [EMAIL_ADDRESS] \n" in text
     assert os.path.isdir(d + "/report/files") and os.path.isdir(d + "/report/summary")
@@ -70,7 +70,7 @@ def test_apply_counts_during_the_write(spark):
     d = _csv_dir()
     r = redact_csv_files(spark, d + "/test.csv", d + "/out", apply=True)
     o = r.observed
-    assert r.files.first().output_paths == [d + "/out/file=test.csv"]
+    assert r.files.first().output_paths == [d + "/out/test.csv"]
     assert (o["rows"], o["fields_changed"]) == (2, 4)
     assert (o["CARD_NUMBER"], o["ACCOUNT_NUMBER"], o["EMAIL_ADDRESS"], o["PHONE_NUMBER"]) == (2, 2, 2, 0)
     per_file = r.files.first().entities_by_type
@@ -110,8 +110,8 @@ def test_file_with_surplus_fields_fails_and_the_run_goes_on(spark):
     got = {os.path.basename(x.input_path): (x.success, x.rows_or_pages, x.error) for x in r.files.collect()}
     assert got["bad.csv"] == (False, 0, "a row has more fields than the header")
     assert got["test.csv"][:2] == (True, 2) and got["short.csv"][:2] == (True, 1)
-    assert glob.glob(d + "/out/file=test.csv/*.csv") and glob.glob(d + "/out/file=short.csv/*.csv")
-    assert not glob.glob(d + "/out/file=bad.csv")
+    assert glob.glob(d + "/out/test.csv") and glob.glob(d + "/out/short.csv")
+    assert not glob.glob(d + "/out/bad.csv")
     s = r.summary.first()
     assert (s.total_files, s.successful_files, s.failed_files) == (3, 2, 1)
 
@@ -134,7 +134,7 @@ def test_folder_with_mixed_headers(spark):
     assert failed == {"empty.csv": "no header line (empty file)"}
     assert run.summary.first().failed_files == 1
     assert got["test.csv"][0] == 2
-    text = "".join(open(p).read() for p in glob.glob(d + "/out/file=people.csv/*.csv"))
+    text = "".join(open(p).read() for p in glob.glob(d + "/out/people.csv"))
     assert text.splitlines() == ["email,name", "[EMAIL_ADDRESS],Zed"]
     assert run.observed["rows"] == 3
 
@@ -168,8 +168,8 @@ def test_files_are_read_by_their_own_header(spark):
     _write(d + "/in/a.csv", "name,ssn\nAda,123-45-6789\n")
     _write(d + "/in/b.csv", "ssn,name\n987-65-4321,Bo\n")
     redact_csv_files(spark, [d + "/in/a.csv", d + "/in/b.csv"], d + "/out", Policy(sensitive_columns=("ssn",)), apply=True)
-    assert _out(d + "/out/file=a.csv/*.csv") == ["name,ssn", "Ada,[REDACTED]"]
-    assert _out(d + "/out/file=b.csv/*.csv") == ["ssn,name", "[REDACTED],Bo"]
+    assert _out(d + "/out/a.csv") == ["name,ssn", "Ada,[REDACTED]"]
+    assert _out(d + "/out/b.csv") == ["ssn,name", "[REDACTED],Bo"]
 
 
 def test_any_header_and_cells_as_they_were(spark):
@@ -180,9 +180,9 @@ def test_any_header_and_cells_as_they_were(spark):
     from scrub.operators.tables import changed_per_column
 
     _, run = redact_folder(spark, d + "/in", d + "/out", recursive=True, apply=True, null_tokens=("NA",))
-    assert _out(d + "/out/file=p%2Fx.csv/*.csv") == ["source,file,Acct. No.,Payee's,_source", '  padded  ,f1,`a.b`,[EMAIL_ADDRESS],']
-    assert _out(d + "/out/file=q%2Fx.csv/*.csv") == ["id,id.1,Unnamed: 2", "1,2,[EMAIL_ADDRESS]"]
-    assert sorted(r.output_paths[0] for r in run.files.collect()) == [d + "/out/file=p%2Fx.csv", d + "/out/file=q%2Fx.csv"]
+    assert _out(d + "/out/p/x.csv") == ["source,file,Acct. No.,Payee's,_source", '  padded  ,f1,`a.b`,[EMAIL_ADDRESS],']
+    assert _out(d + "/out/q/x.csv") == ["id,id.1,Unnamed: 2", "1,2,[EMAIL_ADDRESS]"]
+    assert sorted(r.output_paths[0] for r in run.files.collect()) == [d + "/out/p/x.csv", d + "/out/q/x.csv"]
     assert {(os.path.basename(r.source), r.column_name) for r in run.findings.collect()} == {("x.csv", "Payee's"), ("x.csv", "Unnamed: 2")}
     df = spark.createDataFrame([("x@y.io", "b@c.de", None)], "`Payee's` string, `a.b` string, `c,d` string")
     assert {tuple(r) for r in changed_per_column(df).collect()} == {("Payee's", 1), ("a.b", 1), ("c,d", 0)}
@@ -202,14 +202,15 @@ def test_every_listed_file_has_a_result(spark):
     got = {os.path.basename(r.input_path): (r.success, r.rows_or_pages, r.error and r.error[:12]) for r in run.files.collect()}
     assert got == {"only_header.csv": (True, 0, None), "nothing.csv": (False, 0, "no header li"), "scan.pdf": (False, 0, "only extract"),
                    "sur plus+1.csv": (False, 0, "a row has mo"), "good.csv": (True, 1, None)}
-    assert _out(d + "/out/file=good.csv/*.csv") == ["a,b", '"x,""y",[EMAIL_ADDRESS]']
+    assert _out(d + "/out/good.csv") == ["a,b", '"x,""y",[EMAIL_ADDRESS]']
     files, summary = load_report(spark, d + "/report")
     s = summary.first()
     assert (s.total_files, s.successful_files, s.failed_files, s.aggregate_entities) == (5, 2, 3, {"EMAIL_ADDRESS": 1})
     assert s.run_id == run.run_id and s.dry_run is False and s.started_at <= s.completed_at
     import hashlib
 
-    part, = glob.glob(d + "/out/file=good.csv/part-*")
+    part = d + "/out/good.csv"
+    assert _out(d + "/out/only_header.csv") == ["a,b"]
     good = files.where("input_path like '%good.csv'").first()
     assert good.output_hash == hashlib.sha256(open(part, "rb").read()).hexdigest() and good.input_hash
 
