@@ -211,7 +211,8 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     changed cells, one ``FULL_COLUMN_REDACTION`` per non-null cell of a sensitive
     column.  Headers may hold any characters; blank and repeated ones are renamed
     as a pandas reader does.
-    ``input_base`` (default: the deepest folder of all inputs) is where outputs'
+    ``inputs`` is a path or several (globs too), or a DataFrame whose one column holds the files' paths.
+    ``input_base`` (default: the deepest folder of all inputs; needed with a DataFrame) is where outputs'
     relative paths start, so equal names in two folders stay two outputs.
     A file of a header alone is written as such.  ``hashes`` fills ``input_hash`` and, when applying, ``output_hash`` with
     the SHA-256 of the files' bytes.
@@ -220,21 +221,30 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     files of other kinds, reported as failed.
     """
     started, run_id = now_text(), uuid.uuid4().hex
-    paths = [inputs] if isinstance(inputs, str) else list(inputs)
+    found = inputs if isinstance(inputs, DataFrame) else None
+    paths = [] if found is not None else [inputs] if isinstance(inputs, str) else list(inputs)
+    if found is not None and not input_base:
+        raise ValueError("listed inputs need an input_base")
     if apply:
         if out_dir is None:
             raise ValueError("apply=True needs out_dir")
-        for p in paths:
+        for p in paths or [input_base or ""]:
             guard_output(p, out_dir, force)
     base = re.sub(r"^file:/*", "/", input_base) if input_base else _base_of(paths)
     groups: dict = {}
-    listed = spark.createDataFrame([], "input_path string, kind string, has_header boolean")
+    listed = None
     if paths:
-        heads = file_headers(walk(spark, paths, recursive=False).select("path")).checkpoint()
+        found = walk(spark, paths, recursive=False).select("path")
+    if found is not None:
+        ensure_checkpoint_dir(spark)
+        heads = file_headers(found).checkpoint()
         groups = header_groups(heads)
         listed = heads.select(F.col("path").alias("input_path"), F.lit("csv").alias("kind"), F.col("header").isNotNull().alias("has_header"))
     if others is not None:
-        listed = listed.unionByName(others.select("input_path", "kind", F.lit(True).alias("has_header")))
+        more = others.select("input_path", "kind", F.lit(True).alias("has_header"))
+        listed = more if listed is None else listed.unionByName(more)
+    if listed is None:
+        listed = spark.createDataFrame([], "input_path string, kind string, has_header boolean")
 
     done, counted, findings = [], None, spark.createDataFrame([], FINDINGS)
     for header, group in sorted(groups.items()):
@@ -343,8 +353,8 @@ def redact_folder(spark: SparkSession, folder: str, out_dir: str | None = None,
     if apply and out_dir is not None:
         guard_output(folder, out_dir, kw.get("force", False))
     supported = inv.where(F.col("status") == "supported").select(F.col("path").alias("input_path"), F.substr(extension(F.col("path")), F.lit(2)).alias("kind"))
-    csvs = [r.input_path for r in supported.where(F.col("kind") == "csv").collect()]
-    others = supported.where(F.col("kind") != "csv")
-    if not csvs and others.isEmpty():
+    supported = kept_rows(supported, True)
+    if supported.isEmpty():
         return inv, None
+    csvs, others = supported.where(F.col("kind") == "csv").select("input_path"), supported.where(F.col("kind") != "csv")
     return inv, redact_csv_files(spark, csvs, out_dir, policy, apply, input_base=folder, others=others, **kw)
