@@ -188,27 +188,27 @@ def prefix_sums(lengths: Column, block: int = PREFIX_BLOCK) -> Column:
 def hit_spans(ghr: Column, make: Callable[[Column, Column, Column, Column], Column]) -> Column:
     """Spans of all hits: ``make(hit, rewrite, start, end)`` -> span struct or null (dropped).
 
-    A running position is folded over (gap, hit) pairs.  The growing output array
-    is copied at each step, so the cost is quadratic in the hits *of one value*:
-    negligible for PII findings, and deliberately kept shallow (nesting depth
-    counts against the analyzer's iteration limit).  Long word lists use
-    :func:`word_offsets` instead.
+    A running position is folded over (gap, hit) pairs.  ``aggregate`` copies its whole state at every step, so the
+    pairs are folded in blocks of PREFIX_BLOCK, each from the length of what is before it.
     """
-    triples = F.zip_with(
-        ghr["g"],
-        F.zip_with(ghr["h"], ghr["r"], lambda h, r: F.struct(h.alias("h"), r.alias("r"))),
-        lambda g, hr: F.struct(g.alias("g"), hr["h"].alias("h"), hr["r"].alias("r")),
-    )
-    init = F.struct(F.lit(0).alias("pos"), empty_spans().alias("out"))
+    def one_block(b):
+        skip = b * PREFIX_BLOCK
+        before = F.length(F.concat(*[F.array_join(F.slice(ghr[k], 1, skip), "") for k in "gh"]))
+        # Fields "0", "1", "2": gap, hit, rewrite.
+        triples = F.arrays_zip(*[F.slice(ghr[k], skip + 1, PREFIX_BLOCK) for k in "ghr"])
+        init = F.struct(before.alias("pos"), empty_spans().alias("out"))
+
+        def step(acc, x):
+            start = acc["pos"] + F.length(x["0"])
+            end = start + F.coalesce(F.length(x["1"]), F.lit(0))
+            s = make(x["1"], x["2"], start, end)
+            out = F.when(x["1"].isNull() | s.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(s)))
+            return F.struct(end.alias("pos"), out.alias("out"))
 
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["h"]), F.lit(0))
-        s = make(x["h"], x["r"], start, end)
-        out = F.when(x["h"].isNull() | s.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(s)))
-        return F.struct(end.alias("pos"), out.alias("out"))
+        return F.aggregate(triples, init, step, lambda acc: acc["out"])
 
-    return F.aggregate(triples, init, step, lambda acc: acc["out"])
+    last = F.floor(F.greatest(F.size(ghr["h"]) - 1, F.lit(0)) / PREFIX_BLOCK).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), one_block))
 
 
 def word_offsets(text: Column, pattern: str) -> Column:
@@ -251,7 +251,3 @@ def rewrite_stage(
     return F.when(text.rlike(pattern), let(with_replacements(scan(text, pattern), rewrite), body)).otherwise(
         F.struct(text.alias("text"), empty_spans().alias("spans"))
     )
-
-
-def count_hits(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
