@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrub.operators.documents import (flatten_tables, page_text, pages_from_lines, preview_lines, redact_pages,
-                                       redaction_map_rows, render_md, render_txt, write_renders)
+from scrub.functions.arrays import explode_kept
+from scrub.operators.documents import (flatten_tables, page_text, pages_from_lines, preview_lines, preview_pages, redact_pages,
+                                       redaction_map_json, redaction_map_rows, render_md, render_txt, write_renders)
 from scrub.plans import sqlgen as S
 from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import scratch_dir, stmt, table
@@ -119,3 +120,51 @@ def _reassembled(spark, path, name):
         F.struct(F.col("_metadata.file_name").alias("f"), F.col("value").alias("v")).alias("part"))
     parts = F.array_sort(F.collect_list("part"))
     return back.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias(name))
+
+
+def _volumes(spark, sf):
+    """Volumes of five documents, a page each."""
+    return table(spark, sf, "documents").select(
+        F.expr("doc_id div 5").alias("volume"), (F.col("doc_id") % 5 + 1).alias("page_number"), "text")
+
+
+@query("preview_pages", f"""with {DOC_PIPE},
+z as (select volume, page_number, unnest(range(1, len(b) + 1)) as i, unnest(b) as before, unnest(a) as after
+      from (select doc_id // 5 as volume, doc_id % 5 + 1 as page_number, string_split(t0, {NL})[1:20] as b,
+                   string_split(tf, {NL})[1:20] as a from d where doc_id % 5 < 3))
+select volume, page_number, cast(i as integer) as line_no, before, after from z where before is distinct from after""")
+def q_preview_pages(spark, sf):
+    """Differing lines among the first 20 of a volume's first 3 pages."""
+    return preview_pages(_volumes(spark, sf), DEFAULT_POLICY, "volume", "page_number")
+
+
+_MAP_ENTITIES_SQL = f"""with {DOC_PIPE}
+select doc_id // 5 as volume, doc_id % 5 + 1 as page_number, stage, entity_type, start_pos, end_pos, masked, score
+from ({SP.entity_rows_sql('d', 'doc_id', DEFAULT_POLICY)})"""
+_MAP_PAGE = ("page_number:bigint,redacted_text_preview:string,"
+             "entities_detected:array<struct<stage:string,entity_type:string,start:int,`end`:int,score:double,masked:string>>")
+
+
+def _map_entities(pages):
+    """One row for each entity of (volume, p), p a page of the redaction map."""
+    return explode_kept(pages, ["volume", F.col("p.page_number").alias("page_number")], F.col("p.entities_detected"), "e").select(
+        "volume", "page_number", "e.stage", "e.entity_type", F.col("e.start").alias("start_pos"), F.col("e.end").alias("end_pos"),
+        "e.masked", "e.score")
+
+
+@query("redaction_map_json", _MAP_ENTITIES_SQL)
+def q_redaction_map_json(spark, sf):
+    """The nested map of every document as JSON, its entities read back from that JSON."""
+    maps = redaction_map_json(redact_pages(_volumes(spark, sf), DEFAULT_POLICY), "volume", "page_number")
+    nested = F.from_json("json", f"struct<source:string,pages:array<struct<{_MAP_PAGE}>>>")
+    pages = explode_kept(maps, ["volume"], nested["pages"], "p")
+    return _map_entities(pages)
+
+
+@query("sink_renders_json", _MAP_ENTITIES_SQL)
+def q_sink_renders_json(spark, sf):
+    """The map as written by the skew-safe writer, a line of JSON a page, its entities read back."""
+    out = scratch_dir(spark, "renders-json")
+    write_renders(redact_pages(_volumes(spark, sf), DEFAULT_POLICY), out, formats=("json",), doc="volume", page="page_number")
+    lines = spark.read.text(f"{out}/json")
+    return _map_entities(lines.select(F.col("volume").cast("long").alias("volume"), F.from_json("value", f"struct<{_MAP_PAGE}>").alias("p")))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from scrub.functions import rules as R
 from scrub.functions.arrays import explode_kept
-from scrub.functions.detector import regex_detector
+from scrub.functions.detector import model_detector, regex_detector
 from scrub.operators.audit import run_summary
 from scrub.operators.runs import RunResult, now_text, redact_csv_files, redact_folder, report_summary
 from scrub.operators.tables import redact_table
@@ -20,7 +20,7 @@ from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import scratch_dir, stmt, table
 from scrub.plans.q_audit import COUNTS, FILES, PIPE, _files, _redacted
 from scrub.plans.q_detect import _sql as detect_sql
-from scrub.plans.registry import query
+from scrub.plans.registry import ORACLE_SQL, query
 from scrub.policy import DEFAULT_POLICY
 from scrub.sources.files import (base_name, file_status, fingerprints, inventory, is_supported, load_report,
                                  output_path, read_csv_strings, row_fingerprint, save_report, write_csv)
@@ -339,3 +339,22 @@ def q_udf_detector(spark, sf):
                         F.col("e.end").alias("end_pos"), F.col("e.score").alias("score"))
 
 
+def _load_email():
+    import re
+
+    return re.compile(R.EMAIL_RE)
+
+
+def _emails(model, texts):
+    return [[(R.EMAIL_ADDRESS, m.start(), m.end(), 1.0) for m in model.finditer(t)] for t in texts]
+
+
+EMAIL_MODEL = model_detector(_load_email, _emails)
+
+
+@query("udf_model_detector", ORACLE_SQL["udf_detector"])
+def q_udf_model_detector(spark, sf):
+    """The hook for models: set up once a worker process, asked in batches of texts."""
+    found = explode_kept(table(spark, sf, "documents"), ["doc_id"], EMAIL_MODEL(F.col("text")), "e")
+    return found.select("doc_id", F.col("e.entity_type").alias("entity_type"), F.col("e.start").alias("start_pos"),
+                        F.col("e.end").alias("end_pos"), F.col("e.score").alias("score"))

@@ -1,5 +1,6 @@
 """Pipeline semantics: stages, scored rules, thresholds, overlaps, custom patterns, languages."""
 
+import os
 import re
 
 from hypothesis import given, settings
@@ -154,6 +155,33 @@ def test_detector_failure_is_never_silent(spark):
     assert got[2]["status"] == "ok" and got[2]["redacted"] == "fine [EMAIL_ADDRESS]"
 
 
+def test_model_is_set_up_once_a_worker_and_asked_in_batches(spark, tmp_path):
+    from scrub.functions.detector import model_detector
+    from scrub.operators.redact import redact_frame
+
+    log = str(tmp_path / "setups")
+
+    def setup():
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return {"name": "Berta"}
+
+    def predict(model, texts):
+        assert 0 < len(texts) <= 8 and None not in texts
+        if any("boom" in t for t in texts):
+            raise ValueError("model error")
+        return [[("PERSON", t.index(model["name"]), t.index(model["name"]) + 5, 0.9)] if model["name"] in t else [] for t in texts]
+
+    rows = [(i, None if i % 10 == 3 else "boom" if i % 10 == 4 else f"{i} met Berta") for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(32)
+    got = {r.id: r.r for r in redact_frame(df, "text", Policy(), detectors=(model_detector(setup, predict, 8),)).collect()}
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids)) < 32
+    for i, t in rows:
+        want = None if t is None or t == "boom" else f"{i} met [PERSON]"
+        assert (got[i]["redacted"], got[i]["status"]) == (want, "failed" if t == "boom" else "ok")
+
+
 def test_entity_text_modes(spark):
     import hashlib
 
