@@ -79,6 +79,43 @@ def _number_pass(text: Column, pattern: str, entity_type: str, rule: NumberRule,
     return rewrite_stage(text, pattern, rewrite, make if with_spans else None)
 
 
+def _cards_at_once(t: Column, rule: NumberRule, types: bool) -> Column:
+    """The card pass on a text whose cards all have 16 digits, as one replacement by groups."""
+    left, regex, put, groups = 16 - rule.preserve_last_n, r"\b", "", 0
+    for block in range(4):
+        if block:
+            groups += 1
+            regex, put = regex + f"({P.SEPARATOR_RE}?)", put + f"${groups}"
+        masked = min(4, max(0, left - 4 * block))
+        if masked:
+            regex, put = regex + f"[0-9]{{{masked}}}", put + P.java_replacement(rule.mask_char) * masked
+        if masked < 4:
+            groups += 1
+            regex, put = regex + f"([0-9]{{{4 - masked}}})", put + f"${groups}"
+    found = F.regexp_count(t, F.lit(P.CARD16_RE)) if left > 0 else F.lit(0)
+    return _light(F.regexp_replace(t, regex + r"\b", put), F.array_repeat(F.lit(CARD_NUMBER), found) if types else None)
+
+
+def _accounts_at_once(t: Column, rule: NumberRule, types: bool) -> Column:
+    """The account pass as one replacement: digit after digit from where a number of a masked length starts."""
+    n = rule.preserve_last_n
+    digit = rf"(?:\G(?!^)|\b(?=(?:[0-9]{{8}}|[0-9]{{10,17}})\b))[0-9](?=[0-9]{{{n}}})"
+    # Only numbers longer than what stays are changed.
+    lengths = [k for k in (8, *range(10, 18)) if k > n]
+    counted = F.regexp_count(t, F.lit(r"\b(?:" + "|".join(f"[0-9]{{{k}}}" for k in lengths) + r")\b")) if lengths else F.lit(0)
+    return _light(F.regexp_replace(t, digit, P.java_replacement(rule.mask_char)), F.array_repeat(F.lit(ACCOUNT_NUMBER), counted) if types else None)
+
+
+def _light(text: Column, types: Column | None) -> Column:
+    return F.struct(text.alias("text"), (F.array().cast("array<string>") if types is None else types).alias("types"))
+
+
+def _masked_only(text: Column, rules: FinancialRules) -> Column:
+    """``financial_mask`` without spans."""
+    return let(financial_types(text, rules, False), lambda f: F.when(text.isNull(), F.lit(None)).otherwise(
+        F.struct(f["text"].alias("text"), empty_spans().alias("spans"))))
+
+
 @memo_column
 def financial_mask(c, rules: FinancialRules | None = None, with_spans: bool = True, include_text=False) -> Column:
     """Two-pass financial masking: cards first, then accounts on the result.
@@ -88,12 +125,15 @@ def financial_mask(c, rules: FinancialRules | None = None, with_spans: bool = Tr
     both equal offsets in the input).  Nine-digit numbers are exempt from the
     account pass (routing numbers); a match holding the mask character is left
     alone.  With ``rules.mask_routing`` a third pass masks nine-digit numbers.
-    Text without any ASCII digit skips all regex work.
+    Text without two groups of four ASCII digits, which every number holds, skips all other regex work.
     """
     rules = rules or FinancialRules()
     text = _col(c)
     acct_ch = rules.account_number.mask_char
 
+    if not with_spans and not rules.mask_routing:
+        return _masked_only(text, rules)
+
     def stages(t):
         card = _number_pass(t, P.CARD_RE, CARD_NUMBER, rules.card_number, None, with_spans, include_text)
 
@@ -122,43 +162,44 @@ def financial_mask(c, rules: FinancialRules | None = None, with_spans: bool = Tr
         return let(card, after_card)
 
     return F.when(text.isNull(), F.lit(None)).when(
-        ~text.rlike("[0-9]"), F.struct(text.alias("text"), empty_spans().alias("spans"))
+        ~text.rlike(P.NUMBER_NEEDS), F.struct(text.alias("text"), empty_spans().alias("spans"))
     ).otherwise(let(text, stages))
 
 
 @memo_column
-def financial_types(c, rules: FinancialRules | None = None) -> Column:
-    """``financial_mask`` without offsets: ``struct<text, types>``, one entity type per changed hit."""
+def financial_types(c, rules: FinancialRules | None = None, types: bool = True) -> Column:
+    """``financial_mask`` without offsets: ``struct<text, types>``, one entity type per changed hit (none without ``types``).
+
+    Without offsets a pass is one replacement, but for texts that hold cards of 15 digits.
+    """
     rules = rules or FinancialRules()
     text = _col(c)
-    acct_ch = rules.account_number.mask_char
-    no_types = F.array().cast("array<string>")
-
-    def one_pass(t, pattern, entity_type, rule, keep):
-        def rewrite(m):
-            masked = mask_keep_last(m, rule.preserve_last_n, rule.mask_char)
-            return masked if keep is None else F.when(keep(m), m).otherwise(masked)
 
+    def one_pass(t, pattern, entity_type, rule):
         def body(ghr):
             changed = F.size(F.filter(F.zip_with(ghr["h"], ghr["r"], lambda h, r: h != r), lambda x: x))
-            return F.struct(rebuild(ghr).alias("text"), F.array_repeat(F.lit(entity_type), changed).alias("types"))
+            return _light(rebuild(ghr), F.array_repeat(F.lit(entity_type), changed) if types else None)
 
-        return F.when(t.rlike(pattern), let(with_replacements(scan(t, pattern), rewrite), body)).otherwise(
-            F.struct(t.alias("text"), no_types.alias("types")))
+        return let(with_replacements(scan(t, pattern), lambda m: mask_keep_last(m, rule.preserve_last_n, rule.mask_char)), body)
 
-    passes = [(P.CARD_RE, CARD_NUMBER, rules.card_number, None),
-              (P.ACCOUNT_RE, ACCOUNT_NUMBER, rules.account_number, lambda m: (F.length(m) == 9) | m.contains(acct_ch))]
+    def cards(t):
+        # The cheapest test first: most values hold no card.
+        return (F.when(~(t.rlike(P.CARD_NEEDS) & t.rlike(P.CARD_RE)), _light(t, None))
+                .when(~t.rlike(P.CARD15_RE), _cards_at_once(t, rules.card_number, types))
+                .otherwise(one_pass(t, P.CARD_RE, CARD_NUMBER, rules.card_number)))
+
+    passes = [lambda t: F.when(t.rlike(P.ACCOUNT_NEEDS), _accounts_at_once(t, rules.account_number, types)).otherwise(_light(t, None))]
     if rules.mask_routing:
-        passes.append((P.ROUTING_RE, ROUTING_NUMBER, rules.routing_number, None))
+        passes.append(lambda t: F.when(t.rlike(P.ROUTING_RE), one_pass(t, P.ROUTING_RE, ROUTING_NUMBER, rules.routing_number)).otherwise(_light(t, None)))
 
     def chain(done, left):
         if not left:
             return done
-        return let(one_pass(done["text"], *left[0]), lambda n: chain(
+        return let(left[0](done["text"]), lambda n: chain(
             F.struct(n["text"].alias("text"), F.concat(done["types"], n["types"]).alias("types")), left[1:]))
 
     def stages(t):
-        return let(one_pass(t, *passes[0]), lambda first: chain(first, passes[1:]))
+        return let(cards(t), lambda first: chain(first, passes))
 
-    return F.when(text.isNull(), F.lit(None)).when(
-        ~text.rlike("[0-9]"), F.struct(text.alias("text"), no_types.alias("types"))).otherwise(let(text, stages))
+    # No number is shorter than eight digits.
+    return F.when(text.isNull(), F.lit(None)).when(~text.rlike(P.NUMBER_NEEDS), _light(text, None)).otherwise(let(text, stages))

@@ -78,6 +78,11 @@ CARD_RE = portable(CARD_NUMBER)
 ACCOUNT_RE = portable(ACCOUNT_NUMBER)
 ROUTING_RE = portable(ROUTING_NUMBER)
 SEPARATOR_RE = portable(SEPARATOR)
+# The two forms of a card on their own, and what every hit holds (regexes that fail at once away from digits).
+CARD16_RE = portable(r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b")
+CARD15_RE = portable(r"\b\d{4}[-\s]?\d{6}[-\s]?\d{5}\b")
+CARD_NEEDS = NUMBER_NEEDS = "[0-9]{4}[^0-9]?[0-9]{4}"
+ACCOUNT_NEEDS = "[0-9]{8}"
 # Anchored at the start of the stripped value: leading whitespace is skipped by
 # the pattern itself, trailing whitespace cannot change the final ``\b``.
 ALREADY_MASKED_RE = "(?i)^" + WHITESPACE + "*" + portable(ALREADY_MASKED)

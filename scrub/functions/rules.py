@@ -95,8 +95,23 @@ class Rule:
         return (self.score if self.score is not None else self.max_score) >= threshold
 
 
-def _has_digit(t: Column) -> Column:
-    return t.rlike("[0-9]")
+#: What a hit of a rule must hold, as a regex that fails at once away from digits; the rule's own is tried after it.
+PHONE_NEEDS = "[0-9]{3}[ .-][0-9]{4}"
+IP_NEEDS = r"[0-9]\.[0-9]{1,3}\.[0-9]"
+SSN_NEEDS = "[0-9]-[0-9]{2}-[0-9]"
+BANK_NEEDS = "[0-9]{8}"
+DATE_NEEDS = "[0-9][/-][0-9]"
+
+
+def _needs(pattern: str) -> Callable[[Column], Column]:
+    return lambda t: t.rlike(pattern)
+
+
+def _may_be_date(t: Column) -> Column:
+    out = t.rlike(DATE_NEEDS)
+    for month in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"):
+        out = out | t.contains(month)
+    return out
 
 
 def luhn_valid(number: Column) -> Column:
@@ -116,13 +131,13 @@ def card_score(hit: Column) -> Column:
 
 BUILTIN_RULES: tuple[Rule, ...] = (
     Rule(EMAIL_ADDRESS, EMAIL_RE, 1.0, lambda t: t.contains("@"), java=EMAIL_JAVA_RE),
-    Rule(PHONE_NUMBER, PHONE_RE, 0.6, _has_digit),
-    Rule(IP_ADDRESS, IP_RE, 0.6, _has_digit),
+    Rule(PHONE_NUMBER, PHONE_RE, 0.6, _needs(PHONE_NEEDS)),
+    Rule(IP_ADDRESS, IP_RE, 0.6, _needs(IP_NEEDS)),
     Rule(URL, URL_RE, 0.6, lambda t: t.contains("://") | t.contains("www."), java=URL_JAVA_RE),
-    Rule(US_SSN, SSN_RE, 0.85, _has_digit),
-    Rule(CREDIT_CARD, P.CARD_RE, None, _has_digit, card_score, 1.0),
-    Rule(US_BANK_NUMBER, BANK_RE, 0.4, _has_digit),
-    Rule(DATE_TIME, DATE_RE, 0.6, _has_digit),
+    Rule(US_SSN, SSN_RE, 0.85, _needs(SSN_NEEDS)),
+    Rule(CREDIT_CARD, P.CARD_RE, None, _needs(P.CARD_NEEDS), card_score, 1.0),
+    Rule(US_BANK_NUMBER, BANK_RE, 0.4, _needs(BANK_NEEDS)),
+    Rule(DATE_TIME, DATE_RE, 0.6, _may_be_date),
 )
 BUILTIN_BY_TYPE = {r.entity_type: r for r in BUILTIN_RULES}
 

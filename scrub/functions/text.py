@@ -127,12 +127,21 @@ def span(stage, entity_type, start, end, score, text, masked) -> Column:
     )
 
 
+#: Stands for a hit while a text is cut at its hits; a private-use character.
+MARK = "\ue0f8"
+
+
 def scan(text: Column, pattern: str) -> Column:
-    """``struct<g: gaps, h: hits>`` of one regex over ``text`` (null stays null)."""
-    return F.struct(
-        F.split(text, pattern, -1).alias("g"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"),
-    )
+    """``struct<g: gaps, h: hits>`` of one regex over ``text`` (null stays null).
+
+    ``split`` compiles its regex again for every value.  The hits are therefore replaced by MARK, which a plain split
+    finds; texts that hold a MARK, and hits of no characters, which ``split`` treats in its own way, go the long way.
+    """
+    def cut(h):
+        plain = F.split(F.regexp_replace(text, pattern, MARK), MARK, -1)
+        return F.struct(F.when(text.contains(MARK) | F.array_contains(h, ""), F.split(text, pattern, -1)).otherwise(plain).alias("g"), h.alias("h"))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
 
 
 def with_replacements(gh: Column, rewrite: Callable[[Column], Column]) -> Column:
@@ -246,8 +255,22 @@ def rewrite_stage(
         spans = hit_spans(ghr, make) if make is not None else empty_spans()
         return F.struct(rebuild(ghr).alias("text"), spans.alias("spans"))
 
+    def sole(gh):
+        """A value's only hit, as most are, needs no fold."""
+        hit, before, after = gh["h"][0], gh["g"][0], gh["g"][1]
+
+        def done(r):
+            start = F.length(before)
+            spans = empty_spans() if make is None else F.filter(F.array(make(hit, r, start, start + F.length(hit))), lambda s: s.isNotNull())
+            return F.struct(F.concat(before, r, after).alias("text"), spans.alias("spans"))
+
+        return let(F.coalesce(rewrite(hit), hit), done)
+
+    def either(gh):
+        return F.when((F.size(gh["h"]) == 1) & (F.size(gh["g"]) == 2), sole(gh)).otherwise(let(with_replacements(gh, rewrite), body))
+
     # One failed find is far cheaper than split + extract + lambdas: most
     # values hold no hit, so they skip the array machinery entirely.
-    return F.when(text.rlike(pattern), let(with_replacements(scan(text, pattern), rewrite), body)).otherwise(
+    return F.when(text.rlike(pattern), let(scan(text, pattern), either)).otherwise(
         F.struct(text.alias("text"), empty_spans().alias("spans"))
     )

@@ -203,7 +203,7 @@ def may_change(t: Column, policy: Policy = DEFAULT_POLICY) -> Column:
     any_fin = t.rlike(fin[0])
     for p in fin[1:]:
         any_fin = any_fin | t.rlike(p)
-    out = t.rlike("[0-9]") & any_fin
+    out = t.rlike(P.NUMBER_NEEDS) & any_fin
     for r in active_rules(policy):
         out = out | r.may_match(t)
     for p in policy.custom_patterns:
