@@ -34,7 +34,7 @@ from scrub.names import col, unique_names
 from scrub.operators.tables import RESULT_PREFIX, cell_results
 from scrub.policy import DEFAULT_POLICY, Policy
 from scrub.session import ensure_checkpoint_dir
-from scrub.sources.files import base_name, guard_output, plain_path, save_report
+from scrub.sources.files import base_name, guard_output, large_files, plain_path, quoted_line_ends, save_report
 from scrub.sources.listing import file_hashes, file_headers, qualified, walk
 from scrub.sources.mirrored import write_mirrored
 
@@ -149,16 +149,25 @@ def group_results(spark: SparkSession, header: tuple, paths, policy: Policy, nul
     names = unique_names(header)
     places = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*places, CORRUPT]])
-    reader = (
-        spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("escape", '"')
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    )
-    src = reader.csv(list(paths))
+
+    def read(some, whole: bool) -> DataFrame:
+        reader = (
+            spark.read.schema(schema).option("header", True).option("multiLine", whole).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        )
+        place = [plain_path(F.col("_metadata.file_path")).alias(SOURCE), F.col("_metadata.file_block_start").alias(BLOCK), F.monotonically_increasing_id().alias(ROW)]
+        return reader.csv(some).select(*places, CORRUPT, *place)
+
+    # A large file whose line ends all lie between records is read in splits.
+    large = large_files(spark, list(paths)) if multiline else []
+    cut = set(large) - set(quoted_line_ends(spark, large)) if large else set() if multiline else set(paths)
+    parts = [(some, whole) for some, whole in (([p for p in paths if p in cut], False), ([p for p in paths if p not in cut], True)) if some]
+    src = read(*parts[0])
+    for part in parts[1:]:
+        src = src.unionByName(read(*part))
     tokens = [t for t in null_tokens if t != ""]
     cells = [(F.when(~F.col(c).isin(*tokens), F.col(c)) if tokens else F.col(c)).alias(c) for c in places]
-    src = src.select(*cells, (F.col(CORRUPT).isNotNull() & (_fields(F.col(CORRUPT)) > len(places))).alias("_long"),
-                     plain_path(F.col("_metadata.file_path")).alias(SOURCE), F.col("_metadata.file_block_start").alias(BLOCK),
-                     F.monotonically_increasing_id().alias(ROW))
+    src = src.select(*cells, (F.col(CORRUPT).isNotNull() & (_fields(F.col(CORRUPT)) > len(places))).alias("_long"), SOURCE, BLOCK, ROW)
     hidden = [c for c, n in zip(places, names) if n in set(policy.sensitive_columns)]
     kept = [c for c, n in zip(places, names) if n in set(keep)]
     return cell_results(src, policy.with_(sensitive_columns=tuple(hidden)), keep=[SOURCE, *kept]), places, names
@@ -216,8 +225,8 @@ def redact_csv_files(spark: SparkSession, inputs, out_dir: str | None = None, po
     relative paths start, so equal names in two folders stay two outputs.
     A file of a header alone is written as such.  ``hashes`` fills ``input_hash`` and, when applying, ``output_hash`` with
     the SHA-256 of the files' bytes.
-    ``null_tokens`` are read as missing cells.  ``multiline=False`` lets large files
-    without quoted line ends be split.  ``others`` (input_path, kind) are listed
+    ``null_tokens`` are read as missing cells.  Large files without quoted line ends are read in splits;
+    ``multiline=False`` says that no file holds any.  ``others`` (input_path, kind) are listed
     files of other kinds, reported as failed.
     """
     started, run_id = now_text(), uuid.uuid4().hex

@@ -33,15 +33,42 @@ PANDAS_NULL_TOKENS = (
 )
 
 
+#: Files above this many bytes are looked through for line ends in quotes, so that several tasks can read one.
+LARGE = 8 << 20
+
+_CELL = r'(?:"(?:[^"\r\x00]++|"")*+"|[^",\r\x00]*+)'
+#: A line that is a whole record, however it is read: cells without quotes, or quoted from end to end; not just blanks.
+PLAIN_LINE = rf"^(?![\x00-\x20]+\z){_CELL}(?:,{_CELL})*+\z"
+
+
+def large_files(spark: SparkSession, paths) -> list[str]:
+    """The files of more than LARGE bytes; names only, which readers take from the driver anyhow."""
+    sized = spark.read.format("binaryFile").load(paths if isinstance(paths, (list, tuple)) else [paths]).where(F.col("length") > LARGE)
+    return [r["p"] for r in sized.select(local_path(F.col("path")).alias("p")).toLocalIterator()]
+
+
+def quoted_line_ends(spark: SparkSession, paths) -> list[str]:
+    """The CSV files that can't be cut at their line ends.
+
+    Every line of the others is a whole record by itself, so it makes no difference whether a reader looks at lines or
+    follows quotes.  The files are read once for it, in splits.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    odd = lines.where(~F.col("value").rlike(PLAIN_LINE)).select(plain_path(F.col("_metadata.file_path")).alias("p")).distinct()
+    return [r["p"] for r in odd.toLocalIterator()]
+
+
 def read_csv_strings(spark: SparkSession, paths, multiline: bool = True, with_source: bool = False,
                      schema=None, corrupt_column: str | None = None, null_tokens=()) -> DataFrame:
     """Header CSV with every column as a string (leading zeros survive; no inference).
 
-    ``multiline`` allows quoted newlines in cells (each file is then one split);
-    turn it off for large files known to hold none, so they split.  Cells equal
+    ``multiline`` allows quoted newlines in cells: where a file is large all are looked through for them, and when there
+    are none the files are read in splits; else each file is one.  Turn it off for files known to hold none.  Cells equal
     to one of ``null_tokens`` become null (default: none; text such as ``NA``
     is kept as text).
     """
+    if multiline and large_files(spark, paths):
+        multiline = bool(quoted_line_ends(spark, paths))
     r = (
         spark.read.option("header", True)
         .option("inferSchema", False)
