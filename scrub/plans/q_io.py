@@ -6,6 +6,8 @@ under the session's checkpoint folder, then read it back.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +24,10 @@ from scrub.plans.q_audit import COUNTS, FILES, PIPE, _files, _redacted
 from scrub.plans.q_detect import _sql as detect_sql
 from scrub.plans.registry import ORACLE_SQL, query
 from scrub.policy import DEFAULT_POLICY
-from scrub.sources.files import (base_name, file_status, fingerprints, inventory, is_supported, load_report,
+from scrub.sources.files import (base_name, csv_writer, file_status, fingerprints, inventory, is_supported, load_report,
                                  output_path, read_csv_strings, row_fingerprint, save_report, write_csv)
+from scrub.sources.listing import qualified, walk
+from scrub.sources.mirrored import join_pieces
 from scrub.streaming.folder import redact_folder_stream, stream_files
 
 W = S.stmt_cte()
@@ -32,12 +36,37 @@ COLS = S.STMT_COLUMNS
 _ALL_STR = ", ".join([f"cast({KEY} as varchar) as {KEY}"] + list(S.STMT_TEXT_COLUMNS))
 
 
+#: Rows of a table that one task writes.
+TASK_ROWS = 250_000
+
+
+def _tasks(df, least=1):
+    """So many tasks to write a table, a multiple of ``least``."""
+    return least * max(1, -(-df.count() // (least * TASK_ROWS)))
+
+
 def _stmt_csv(spark, sf, name, n_files=4):
-    path = scratch_dir(spark, name)
-    write_csv(stmt(spark, sf).repartition(n_files), path)
+    path, s = scratch_dir(spark, name), stmt(spark, sf)
+    write_csv(s.repartition(_tasks(s, n_files)), path)
     return path
 
 
+def _join_csv(df, root, names, tasks):
+    """CSV files ``root/<name>`` of all rows: ``tasks`` write pieces, which are dealt to the files and put in a row below a header."""
+    spark = df.sparkSession
+    root = qualified(spark, root).rstrip("/")
+    work = f"{root}/_work-{uuid.uuid4().hex}"
+    spark.createDataFrame([(",".join(df.columns),)], "value string").coalesce(1).write.text(f"{work}/head")
+    csv_writer(df.repartition(tasks)).option("header", False).csv(f"{work}/rows")
+    number = F.regexp_extract("path", "/part-([0-9]+)-[^/]*$", 1).cast("int")
+    which = F.array(*map(F.lit, names))[number % len(names)]
+    pieces = walk(spark, f"{work}/rows").select(which.alias("file"), "path").groupBy("file").agg(F.sort_array(F.collect_list("path")).alias("p"))
+    head = F.array(*[F.lit(r.path) for r in walk(spark, f"{work}/head").collect()])  # one path
+    join_pieces(pieces.select("file", F.concat(head, "p").alias("pieces")), root, work)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(work)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @query("src_csv_strings", f"with {W} select {_ALL_STR} from stmt")
 def q_src_csv_strings(spark, sf):
     return read_csv_strings(spark, _stmt_csv(spark, sf, "csv-in"))
@@ -58,7 +87,12 @@ def q_sink_csv_roundtrip(spark, sf):
 
 @query("stream_redact", _redacted_sql())
 def q_stream_redact(spark, sf):
-    src = _stmt_csv(spark, sf, "stream-in", n_files=6)
+    src, s = scratch_dir(spark, "stream-in"), stmt(spark, sf)
+    tasks = _tasks(s, 6)
+    if tasks == 6:
+        write_csv(s.repartition(6), src)
+    else:
+        _join_csv(s, src, [f"part-{k}.csv" for k in range(6)], tasks)
     out, ckpt = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ckpt")
     q = redact_folder_stream(spark, src, out, ckpt, COLS, DEFAULT_POLICY, keep=[KEY], max_files_per_trigger=2)
     q.awaitTermination()
@@ -205,6 +239,10 @@ def file_results_schema():
 def _put_csv(df, path):
     """One CSV file of exactly this path."""
     spark = df.sparkSession
+    if (tasks := _tasks(df)) > 1:
+        folder, _, name = path.rpartition("/")
+        _join_csv(df, folder, [name], tasks)
+        return
     tmp = path + ".parts"
     write_csv(df.coalesce(1), tmp)
     hadoop = spark._jvm.org.apache.hadoop.fs

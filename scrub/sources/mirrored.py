@@ -78,6 +78,12 @@ class MirroredFiles(DataSource):
         return _Writer(dict(self.options))
 
 
+def join_pieces(whole: DataFrame, root: str, work: str) -> None:
+    """Put the pieces of each row of ``whole`` (file, array of paths) in a row as ``root/<file>``; ``work`` is a folder below ``root``."""
+    whole.sparkSession.dataSource.register(MirroredFiles)
+    dealt(whole).write.format(FORMAT).option("work", work).mode("append").save(root)
+
+
 def write_mirrored(rows: DataFrame, out_dir: str, mode: str = "errorifexists", observe: tuple[Observation, list] | None = None) -> None:
     """Write ``rows`` (file, block, row, line; any more are only observed) as ``out_dir/<file>``, its lines by (block, row).
 
@@ -108,7 +114,6 @@ def write_mirrored(rows: DataFrame, out_dir: str, mode: str = "errorifexists", o
         folder = F.regexp_extract("path", "/file=([^/]*)/[^/]*$", 1)
         name = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
         whole = parts.groupBy(name.alias("file")).agg(F.sort_array(F.collect_list("path")).alias("pieces"))
-        spark.dataSource.register(MirroredFiles)
-        dealt(whole).write.format(FORMAT).option("work", work).mode("append").save(root)
+        join_pieces(whole, root, work)
     finally:
         system.delete(spark._jvm.org.apache.hadoop.fs.Path(work), True)
