@@ -8,12 +8,15 @@ aggregation map-side), then sorts them by page inside the group.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrub.functions.arrays import explode_kept
 from scrub.operators.redact import redact
 from scrub.policy import DEFAULT_POLICY, Policy
+from scrub.sources.foldered import folder_key, write_foldered
 
 # Fixed layout values of the renders.
 MD_NOTICE = "> **Note:** This document has been processed by scrub. All detected PII has been redacted.\n\n"
@@ -135,37 +138,47 @@ def write_renders(pages: DataFrame, out_dir: str, formats=("txt", "md", "json"),
                   page: str = "page_number", source_name: str | None = None, mode: str = "errorifexists") -> list[str]:
     """Write the chosen renders, one folder per document and format, without gathering pages.
 
-    Page pieces are range-partitioned on ``(doc, page)`` and sorted, then written
-    partitioned by document: a document's file is the concatenation of its part
-    files in part order.  A very large document spans several tasks instead of
-    being collected into one row.  The text writer ends every piece with one
-    newline, so each piece drops its own last one.
+    Pages are evaluated once, into a work table that all formats read and that goes
+    with the run.  Page pieces are range-partitioned on ``(doc, page)`` and sorted,
+    then written by tasks to ``<doc>=<value>/part-*``: a document's file is the
+    concatenation of its part files in part order.  A very large document spans
+    several tasks instead of being collected into one row.  Every piece ends with
+    the newline that the writer adds, so each drops its own last one.
     """
+    spark = pages.sparkSession
     written = []
     name = F.col(source_name) if source_name else F.col(doc).cast("string")
-    keyed = pages.select(doc, page, name.alias("_name"), "redacted", "entities")
+    wanted = [folder_key(F.col(doc)).alias("key"), F.col(page).alias("order"), name.alias("name")]
+    if "txt" in formats or "md" in formats:
+        wanted.append(F.coalesce(F.col("redacted"), F.lit("")).alias("redacted"))
+    if "json" in formats:
+        wanted.append(F.to_json(F.struct(name.alias("source"), F.col(page).alias("page_number"),
+                                         F.col("entities").alias("entities_detected"),
+                                         F.substring("redacted", 1, PREVIEW_CHARS).alias("redacted_text_preview")))
+                      .alias("entry"))
+    work = f"{out_dir.rstrip('/')}/_work-{uuid.uuid4().hex}"
 
     def emit(rows: DataFrame, sub: str):
         path = f"{out_dir}/{sub}"
-        (rows.repartitionByRange(doc, "_order").sortWithinPartitions(doc, "_order")
-         .select(doc, "value").write.mode(mode).partitionBy(doc).text(path))
+        write_foldered(rows, path, doc, mode)
         written.append(path)
 
-    if "txt" in formats:
-        piece = _txt_piece(page, "redacted")
-        emit(keyed.select(doc, F.col(page).alias("_order"), piece.substr(F.lit(1), F.length(piece) - 1).alias("value")),
-             "txt")
-    if "md" in formats:
-        body = F.concat(F.lit("## Page "), F.col(page).cast("string"), F.lit("\n\n"),
-                        F.coalesce(F.col("redacted"), F.lit("")), F.lit("\n"))
-        heads = keyed.groupBy(doc).agg(F.min("_name").alias("_name")).select(
-            doc, F.lit(-1).cast(pages.schema[page].dataType).alias("_order"),
-            F.concat(F.lit("# Sanitized: "), F.col("_name"), F.lit("\n\n"), F.lit(MD_NOTICE.rstrip("\n")), F.lit("\n"))
-            .alias("value"))
-        emit(heads.unionByName(keyed.select(doc, F.col(page).alias("_order"), body.alias("value"))), "md")
-    if "json" in formats:
-        entry = F.to_json(F.struct(F.col("_name").alias("source"), F.col(page).alias("page_number"),
-                                   F.col("entities").alias("entities_detected"),
-                                   F.substring("redacted", 1, PREVIEW_CHARS).alias("redacted_text_preview")))
-        emit(keyed.select(doc, F.col(page).alias("_order"), entry.alias("value")), "json")
+    try:
+        pages.select(*wanted).write.parquet(work)
+        keyed = spark.read.parquet(work)
+        if "txt" in formats:
+            piece = _txt_piece("order", "redacted")
+            emit(keyed.select("key", "order", piece.substr(F.lit(1), F.length(piece) - 1).alias("value")), "txt")
+        if "md" in formats:
+            body = F.concat(F.lit("## Page "), F.col("order").cast("string"), F.lit("\n\n"), F.col("redacted"), F.lit("\n"))
+            heads = keyed.groupBy("key").agg(F.min("name").alias("name")).select(
+                "key", F.lit(-1).cast(keyed.schema["order"].dataType).alias("order"),
+                F.concat(F.lit("# Sanitized: "), F.col("name"), F.lit("\n\n"), F.lit(MD_NOTICE.rstrip("\n")), F.lit("\n"))
+                .alias("value"))
+            emit(heads.unionByName(keyed.select("key", "order", body.alias("value"))), "md")
+        if "json" in formats:
+            emit(keyed.select("key", "order", F.col("entry").alias("value")), "json")
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(work)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
     return written

@@ -12,6 +12,7 @@ from scrub.plans import sqlpipe as SP
 from scrub.plans.catalog import scratch_dir, stmt, table
 from scrub.plans.registry import ORACLE_SQL, query
 from scrub.policy import DEFAULT_POLICY
+from scrub.sources.foldered import read_foldered
 
 W = S.stmt_cte()
 NL = "chr(10)"
@@ -115,9 +116,9 @@ def q_sink_renders_md(spark, sf):
 
 def _reassembled(spark, path, name):
     """Each document's part files in part order, as one text."""
-    back = spark.read.text(path, wholetext=True).select(
+    back = read_foldered(spark, path, "conv_id", whole=True).select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.struct(F.col("_metadata.file_name").alias("f"), F.col("value").alias("v")).alias("part"))
+        F.struct(F.col("file").alias("f"), F.col("value").alias("v")).alias("part"))
     parts = F.array_sort(F.collect_list("part"))
     return back.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias(name))
 
@@ -166,5 +167,5 @@ def q_sink_renders_json(spark, sf):
     """The map as written by the skew-safe writer, a line of JSON a page, its entities read back."""
     out = scratch_dir(spark, "renders-json")
     write_renders(redact_pages(_volumes(spark, sf), DEFAULT_POLICY), out, formats=("json",), doc="volume", page="page_number")
-    lines = spark.read.text(f"{out}/json")
+    lines = read_foldered(spark, f"{out}/json", "volume")
     return _map_entities(lines.select(F.col("volume").cast("long").alias("volume"), F.from_json("value", f"struct<{_MAP_PAGE}>").alias("p")))
