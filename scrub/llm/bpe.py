@@ -65,7 +65,7 @@ class _Memo(dict):
         self.make, self.old = make, {}
 
     def __missing__(self, token: str) -> bytes:
-        ids = self.old.get(token) or np.array(self.make(token), np.int32).tobytes()
+        ids = self.old.get(token) or self.make(token)
         if len(token) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.old = dict(self)
@@ -84,7 +84,7 @@ class Bpe:
         self.wide = re.compile("[^\x00-\u024f]").search
         by_length = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, by_length))) if by_length else None
-        self.memo = _Memo(self.merge)
+        self.memo = _Memo(lambda token: np.array(self.merge(token), np.int32).tobytes())
 
     def merge(self, token: str) -> list[int]:
         """Ids of a pre-token.  A queue entry is rank << 32 | place; it is stale unless `rank` still says so of its place."""

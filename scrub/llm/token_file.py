@@ -302,7 +302,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str =
         bpe = shared.encoder(LibraryBpe)
 
         def part(some: pa.Array) -> pa.Array:
-            return pa.array([bpe.encode(t).astype("<u4").tobytes() + tail for t in some.to_pylist()], pa.binary())
+            return pa.array([ids + tail for ids in bpe.encode_all(some)], pa.binary())
 
         return slices(texts, part)
 
